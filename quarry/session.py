@@ -25,6 +25,7 @@ def local_session(cores: str | int = "*", memory: str = "8g", app: str = "quarry
         **DEFAULTS,
         "spark.driver.memory": memory,
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.shuffle.partitions": "8" if cores == "*" else str(cores),
         "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-", dir="/tmp"),
         **conf,

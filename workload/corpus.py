@@ -291,8 +291,8 @@ def _content(rows):
 
 
 @query("content_join_paths", f"""
-WITH {_DESCRIBED}, content AS (SELECT content_hash, {B.s_first_line('any_value(text)')} AS first_line,
-  list_extract((SELECT list(1)), 1) AS one FROM described GROUP BY 1)
+WITH {_DESCRIBED}, content AS (SELECT content_hash, {B.s_first_line('any_value(text)')} AS first_line
+  FROM described GROUP BY 1)
 SELECT content_hash, first_line, path, source FROM content JOIN described USING (content_hash)""")
 def content_join_paths(t):
     rows = _described(t)
