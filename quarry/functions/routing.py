@@ -22,10 +22,7 @@ def has_any(query: Column, words: list[str]) -> Column:
 
 def keyword_hits(query: Column, words: list[str]) -> Column:
     """How many of the words occur in the query."""
-    total = F.contains(query, F.lit(words[0])).cast("int")
-    for word in words[1:]:
-        total = total + F.contains(query, F.lit(word)).cast("int")
-    return total
+    return F.size(F.filter(_list(words), lambda w: F.contains(query, w)))
 
 
 def has_any_word(query: Column, words: list[str]) -> Column:

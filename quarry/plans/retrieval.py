@@ -9,16 +9,22 @@ from pyspark.sql import functions as F
 
 from quarry import fixed_values as fv
 from quarry.functions import routing as R
-from quarry.operators import context as C
 from quarry.operators import photos as PH
 from quarry.operators import search as SE
 
-_NO_HITS = {
+# ---------------------------------------------------------------- fixed values
+# What a query is told when its branch has no answer.
+_NO_ANSWER = {
     "files": "\n\n## File Search Results\n",
     "content": "\n\n## File Content Results\n",
     "photos": "\n\n## Photo Search\nNo matching photos found.",
     "memory": "\n\n## About You\nI don't know much about you yet. Tell me about yourself!",
     "system": "\n\n## System Info\nNo system information available.",
+    "web": "\n\n## Web Search\nNo web search results found.",
+    "multi": "\n\n## Context\nNo additional context available.",
+    "disk": "\n\n## Disk Analysis\nDisk analysis not yet implemented.",
+    "see": "\n\n## Screen Description\nFailed to capture or analyze screen.",
+    "none": "",
 }
 
 
@@ -40,53 +46,32 @@ def plan_queries(queries: DataFrame) -> DataFrame:
 
 
 def dispatch(planned: DataFrame, branches: dict[str, DataFrame]) -> DataFrame:
-    """Answer every planned query from its branch: (qid, tool, success, context).
+    """Answer every planned query from its branch: (qid, tool, branch, success, context).
 
     ``branches``: per branch name (files, content, photos, memory, system, web)
-    a DataFrame (qid, context).  Queries of a known branch without a row get the
-    text for no hits; multi queries combine the system and web branches.
+    a DataFrame (qid, context).  A query asks one section, a multi query the
+    system and the web section; one join and one aggregation serve all branches.
+    Queries without an answer get the text for no hits.
     """
-    base = planned.select("qid", "tool", "branch", "target")
-    answered = []
-    for name, contexts in branches.items():
-        if name == "web":
-            continue
-        mine = base.filter(F.col("branch") == name)
-        found = C.with_default(mine, contexts, _NO_HITS[name])
-        answered.append(mine.join(found, "qid").withColumn("success", F.lit(True)))
-    web = branches["web"]
-    answered.append(
-        base.filter(F.col("branch") == "web").join(web, "qid", "left").withColumns(
-            {"success": F.lit(True),
-             "context": F.coalesce("context", F.lit("\n\n## Web Search\nNo web search results found."))}
-        )
+    sections = F.when(F.col("branch") == "multi", F.array(F.lit("system"), F.lit("web"))).otherwise(F.array("branch"))
+    asked = planned.select("qid", "tool", "branch", "target", F.posexplode(sections).alias("position", "section"))
+    answers = reduce(
+        DataFrame.unionByName,
+        [c.select("qid", F.lit(name).alias("section"), "context") for name, c in branches.items()],
     )
-    multi = base.filter(F.col("branch") == "multi")
-    parts = [
-        multi.select("qid").join(branches[name], "qid", "left").select(
-            "qid", F.lit(name).alias("section"), F.lit(position).alias("position"),
-            F.col("context").isNotNull().alias("success"), "context",
-        )
-        for position, name in enumerate(("system", "web"))
-    ]
-    combined = C.combine_sections(parts[0].unionByName(parts[1]))
-    answered.append(multi.join(combined, "qid").withColumn("success", F.lit(True)))
-    fixed = base.filter(F.col("branch").isin("none", "disk", "unknown", "see"))
-    answered.append(
-        fixed.withColumns(
-            {
-                "success": ~F.col("branch").isin("unknown", "see"),
-                "context": F.when(F.col("branch") == "disk", "\n\n## Disk Analysis\nDisk analysis not yet implemented.")
-                .when(F.col("branch") == "unknown",
-                      F.concat(F.lit("Unknown target: "), F.coalesce("target", F.lit(""))))
-                .when(F.col("branch") == "see",
-                      "\n\n## Screen Description\nFailed to capture or analyze screen.")
-                .otherwise(""),
-            }
-        )
+    parts = F.array_sort(F.collect_list(F.when(F.col("context").isNotNull(), F.struct("position", "context"))))
+    found = asked.join(answers, ["qid", "section"], "left").groupBy("qid").agg(
+        F.first("tool").alias("tool"), F.first("branch").alias("branch"), F.first("target").alias("target"),
+        F.array_join(F.transform(parts, lambda p: p["context"]), "\n").alias("_found"), F.count("context").alias("_n"),
+    )
+    nothing = None
+    for name, text in _NO_ANSWER.items():
+        nothing = (F.when if nothing is None else nothing.when)(F.col("branch") == name, text)
+    unknown = F.concat(F.lit("Unknown target: "), F.coalesce("target", F.lit("")))
+    return found.select(
+        "qid", "tool", "branch", (~F.col("branch").isin("unknown", "see")).alias("success"),
+        F.when(F.col("_n") > 0, F.col("_found")).otherwise(nothing.otherwise(unknown)).alias("context"),
     )
-    columns = ["qid", "tool", "branch", "success", "context"]
-    return reduce(DataFrame.unionByName, [a.select(*columns) for a in answered])
 
 
 def hybrid_photo_search(

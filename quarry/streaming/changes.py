@@ -16,7 +16,7 @@ from quarry.session import materialize
 
 
 def read_changes(spark: SparkSession, folder: str, fmt: str = "json", files_per_trigger: int | None = None) -> DataFrame:
-    """Stream over a folder of change records."""
+    """Stream over a folder of change records (JSON timestamps carry milliseconds by default)."""
     reader = spark.readStream.schema(schemas.CHANGES)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
@@ -77,7 +77,7 @@ def _exits(times: np.ndarray, width: int) -> np.ndarray:
 
 
 def _bin_summary(width: int, bin_width: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         times = np.unique(pdf["us"].to_numpy(np.int64))
         exits = _exits(times, width)
         start = int(key[1]) * bin_width
@@ -87,7 +87,7 @@ def _bin_summary(width: int, bin_width: int):
     return run
 
 
-def _bin_entries(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _bin_entries(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """Walk the bins of one root: the earliest moment a batch may open in each bin."""
     pdf = pdf.sort_values(["bin", "entry"])
     free, rows = -(2**62), []
@@ -101,7 +101,7 @@ def _bin_entries(key, pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _assign_bin(width: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         us = pdf["us"].to_numpy(np.int64)
         times = np.unique(us)
         free = int(pdf["free_from"].iloc[0])
@@ -154,39 +154,43 @@ def debounce_approximate(changes: DataFrame, width: str) -> DataFrame:
 # ------------------------------------------------------------------- streaming
 
 
-def debounce_processor(width_us: int):
-    """Stateful event-time debounce per root for ``transformWithStateInPandas``."""
+def debounce_processor(width_us: int, timed: bool):
+    """Stateful debounce per root: the moment the batch was opened and the newest change of every path."""
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
     class Debounce(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
             self.opened = handle.getValueState("opened", "us bigint")
-            self.pending = handle.getMapState("pending", "path string", "change_type string, old_path string, us bigint, seq bigint")
+            self.pending = handle.getMapState(
+                "pending", "path string", "change_type string, old_path string, us bigint, seq bigint"
+            )
 
-        def _flush(self, key, opened: int) -> list[tuple]:
-            rows = []
-            for path, change in self.pending.iterator():
-                rows.append((key[0], opened, path[0], change[0], change[1]))
+        def _flush(self, key) -> list[tuple]:
+            opened = self.opened.get()[0]
+            rows = [(key[0], opened, path[0], change[0], change[1]) for path, change in self.pending.iterator()]
             self.pending.clear()
             self.opened.clear()
             return rows
 
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             out = []
-            table = pd.concat(list(rows)).sort_values(["us", "seq"])
-            for row in table.itertuples(index=False):
-                opened = self.opened.get()[0] if self.opened.exists() else None
-                if opened is not None and row.us >= opened + width_us:
-                    out += self._flush(key, opened)
-                    opened = None
-                if opened is None:
+            for row in pd.concat(list(rows)).sort_values(["us", "seq"]).itertuples(index=False):
+                if self.opened.exists() and row.us >= self.opened.get()[0] + width_us:
+                    out += self._flush(key)
+                if not self.opened.exists():
                     self.opened.update((int(row.us),))
-                old = row.old_path
-                if (old is None or old != old) and self.pending.containsKey((row.path,)):
+                    if timed:
+                        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + width_us // 1000)
+                old = row.old_path if isinstance(row.old_path, str) else None
+                if old is None and self.pending.containsKey((row.path,)):
                     old = self.pending.getValue((row.path,))[1]
                 self.pending.updateValue((row.path,), (row.change_type, old, int(row.us), int(row.seq)))
-            yield pd.DataFrame(out, columns=["root", "opened_us", "path", "change_type", "old_path"])
+            yield pd.DataFrame(out, columns=_BATCH_COLUMNS)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            rows = self._flush(key) if self.opened.exists() else []
+            yield pd.DataFrame(rows, columns=_BATCH_COLUMNS)
 
         def close(self) -> None:
             pass
@@ -194,18 +198,22 @@ def debounce_processor(width_us: int):
     return Debounce()
 
 
-def debounce_stream(changes: DataFrame, width_ms: int = fv.DEBOUNCE_MS) -> DataFrame:
-    """Streaming debounce; a batch is emitted by the first later change of its root.
+_BATCH_COLUMNS = ["root", "opened_us", "path", "change_type", "old_path"]
+
+
+def debounce_stream(changes: DataFrame, width_ms: int = fv.DEBOUNCE_MS, timed: bool = False) -> DataFrame:
+    """Streaming debounce, one state per root; needs the RocksDB state store provider.
 
-    Needs the RocksDB state store provider.
+    A batch is emitted by the first later change of its root, or with ``timed``
+    also by a processing-time timer when no change follows.
     """
     root_type = changes.schema["root"].dataType.simpleString()
     shaped = changes.select("root", "path", "change_type", "old_path", F.unix_micros("ts").alias("us"), "seq")
     return shaped.groupBy("root").transformWithStateInPandas(
-        statefulProcessor=debounce_processor(width_ms * 1000),
+        statefulProcessor=debounce_processor(width_ms * 1000, timed),
         outputStructType=f"root {root_type}, opened_us bigint, path string, change_type string, old_path string",
         outputMode="Append",
-        timeMode="None",
+        timeMode="ProcessingTime" if timed else "None",
     )
 
 

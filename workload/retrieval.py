@@ -355,13 +355,13 @@ def cluster_tree(t):
     return nodes.select("node", "parent", "depth", "n_items", "item_hash")
 
 
-_PAGES = """paged AS (SELECT regexp_replace(split_part(split_part(url, '?', 1), '#', 1), '^https?://', '') AS path,
+_PAGES = """paged AS (SELECT rtrim(regexp_replace(split_part(split_part(url, '?', 1), '#', 1), '^https?://', ''), '/') AS path,
   page_id % (SELECT count(*) FROM embeddings) AS vec_id FROM pages)"""
 
 
 def pages_with_vectors(t):
     n = t.embeddings.count()
-    path = F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "^https?://", "")
+    path = F.regexp_replace(F.regexp_replace("url", "/?([?#].*)?$", ""), "^https?://", "")
     paged = t.pages.select(path.alias("path"), F.pmod("page_id", F.lit(n)).alias("vec_id"))
     return paged.join(t.embeddings, "vec_id").select("path", F.col("embedding").alias("vector"))
 
@@ -369,8 +369,10 @@ def pages_with_vectors(t):
 @query("folder_tree", f"""
 WITH {_PAGES}, x AS (SELECT {B.s_parent('path')} AS folder, unnest(embedding)::DOUBLE AS x,
   generate_subscripts(embedding, 1) AS i FROM paged JOIN embeddings USING (vec_id)),
-l2 AS (SELECT folder, i, avg(x) AS x, count(*) AS n FROM x GROUP BY 1, 2),
-l1 AS (SELECT {B.s_parent('folder')} AS folder, i, avg(x) AS x, sum(n)::BIGINT AS n FROM l2 GROUP BY 1, 2),
+l2 AS (SELECT folder, i, avg(x) AS x, count(*) AS n FROM x WHERE contains(folder, '/') GROUP BY 1, 2),
+c1 AS (SELECT {B.s_parent('folder')} AS folder, i, x, n FROM l2
+  UNION ALL SELECT folder, i, x, 1 FROM x WHERE NOT contains(folder, '/')),
+l1 AS (SELECT folder, i, avg(x) AS x, sum(n)::BIGINT AS n FROM c1 GROUP BY 1, 2),
 a AS (SELECT *, 2 AS depth FROM l2 UNION ALL SELECT *, 1 FROM l1)
 SELECT folder, depth::INTEGER AS depth, max(n) AS n_files, round(sum(abs(x)), 5) AS l1,
   round(sum(x) FILTER (i = 1), 5) AS first FROM a GROUP BY 1, 2""")
