@@ -12,7 +12,7 @@ def _list(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
-def has_any(query: Column, words: list[str]) -> Column:
+def any_substring(query: Column, words: list[str]) -> Column:
     """At least one word occurs anywhere in the query (substring test)."""
     test = F.contains(query, F.lit(words[0]))
     for word in words[1:]:
@@ -20,17 +20,25 @@ def has_any(query: Column, words: list[str]) -> Column:
     return test
 
 
-def keyword_hits(query: Column, words: list[str]) -> Column:
+def substring_hits(query: Column, words: list[str]) -> Column:
     """How many of the words occur in the query."""
     return F.size(F.filter(_list(words), lambda w: F.contains(query, w)))
 
 
 def has_any_word(query: Column, words: list[str]) -> Column:
-    """Variant of :func:`has_any` that only accepts whole words."""
+    """Variant of :func:`any_substring` that only accepts whole words."""
     quoted = "|".join(f"\\Q{w}\\E" for w in words)
     return F.rlike(query, F.lit(f"(?<![\\p{{L}}\\p{{N}}])(?:{quoted})(?![\\p{{L}}\\p{{N}}])"))
 
 
+def whole_word_hits(query: Column, words: list[str]) -> Column:
+    """Variant of :func:`substring_hits` that only counts whole words."""
+    total = F.lit(0)
+    for word in words:
+        total = total + has_any_word(query, [word]).cast("int")
+    return total
+
+
 def tokens(query: Column) -> Column:
     return F.split(F.lower(query), "[^\\p{L}\\p{N}]+")
 
@@ -47,34 +55,38 @@ def search_terms(query: Column, username: Column) -> Column:
 def metrics(query: Column) -> Column:
     q = F.lower(query)
     found = F.flatten(
-        F.array(*[F.when(has_any(q, words), _list(names)).otherwise(_list([])) for names, words in fv.METRIC_WORDS])
+        F.array(*[F.when(any_substring(q, words), _list(names)).otherwise(_list([])) for names, words in fv.METRIC_WORDS])
     )
     return F.when(F.size(found) > 0, found).otherwise(_list(["all"]))
 
 
 def system_sections(query: Column) -> Column:
     q = F.lower(query)
-    found = F.array_compact(F.array(*[F.when(has_any(q, words), name) for name, words in fv.SECTION_WORDS]))
+    found = F.array_compact(F.array(*[F.when(any_substring(q, words), name) for name, words in fv.SECTION_WORDS]))
     return F.when(F.size(found) > 0, found).otherwise(_list(["all"]))
 
 
 def disk_focus(query: Column) -> Column:
     q = F.lower(query)
     return (
-        F.when(has_any(q, ["large", "big"]), "large_files")
-        .when(has_any(q, ["clean", "free up"]), "cleanup")
+        F.when(any_substring(q, ["large", "big"]), "large_files")
+        .when(any_substring(q, ["clean", "free up"]), "cleanup")
         .otherwise("overview")
     )
 
 
-def route(df: DataFrame, query: str = "query", username: str = "username") -> DataFrame:
+def route(
+    df: DataFrame, query: str = "query", username: str = "username", whole_words: bool = False
+) -> DataFrame:
     """Add the routing decision of every query.
 
     New columns: tool, intent, target, search_terms, metrics, tools,
     combine_strategy.  The keyword counts are computed once in a first
-    projection, the ordered rule chain reads them in a second one.
+    projection, the ordered rule chain reads them in a second one.  Words match
+    anywhere in the query unless ``whole_words`` is set.
     """
     text = F.lower(F.col(query))
+    has_any, keyword_hits = (has_any_word, whole_word_hits) if whole_words else (any_substring, substring_hits)
     tests = {
         "casual": has_any(text, fv.CASUAL_WORDS) & ~has_any(text, fv.CASUAL_FILE_SUFFIXES),
         "see": has_any(text, fv.SEE_WORDS),
@@ -146,20 +158,20 @@ def smart_defaults(query: Column, tool: Column, file_types: Column, location: Co
     q = F.lower(query)
     applies = tool.isin(fv.SMART_DEFAULT_TOOLS)
     hinted = F.array_distinct(F.flatten(
-        F.array(*[F.when(has_any(q, words), _list(names)).otherwise(_list([])) for names, words in fv.FILE_TYPE_HINTS])
+        F.array(*[F.when(any_substring(q, words), _list(names)).otherwise(_list([])) for names, words in fv.FILE_TYPE_HINTS])
     ))
     given = F.coalesce(F.size(file_types) > 0, F.lit(False))
     types = F.when(given | ~applies, F.coalesce(file_types, _list([]))).otherwise(hinted)
     no_types = F.size(types) == 0
     place = None
     for name, words in fv.LOCATION_HINTS:
-        test = has_any(q, words)
+        test = any_substring(q, words)
         if name == "documents":
             test = test & no_types
         place = F.when(test, name) if place is None else place.when(test, name)
     when = None
     for name, words in fv.DATE_RANGE_HINTS:
-        when = F.when(has_any(q, words), name) if when is None else when.when(has_any(q, words), name)
+        when = F.when(any_substring(q, words), name) if when is None else when.when(any_substring(q, words), name)
     return F.struct(
         types.alias("file_types"),
         F.when(applies, F.coalesce(F.nullif(location, F.lit("")), place)).otherwise(location).alias("location"),

@@ -32,8 +32,10 @@ def take_quota(df: DataFrame, by: list[str], key: str, quota: Column | int, tie:
     """The ``quota`` rows with the smallest hex hash ``key`` in every group, exactly.
 
     A histogram over the first four hex digits finds the one bucket per group in
-    which the quota runs out; only rows of that bucket are ranked, so neither a
-    hot group nor a large quota ends in one task.
+    which the quota runs out; only rows of that bucket are ranked to find the
+    last row to keep.  Both steps read key columns only; the rows themselves are
+    filtered in one pass, so neither a hot group nor a large quota ends in one
+    task.
     """
     quota = F.lit(quota) if isinstance(quota, int) else quota
     rows = df.withColumn("_b", F.substring(key, 1, 4))
@@ -46,12 +48,20 @@ def take_quota(df: DataFrame, by: list[str], key: str, quota: Column | int, tie:
         .groupBy(*by)
         .agg(F.min(F.struct("_b", "_left")).alias("_edge"))
     )
-    marked = rows.join(edges, by, "left")
-    below = marked.filter(F.col("_edge").isNull() | (F.col("_b") < F.col("_edge._b")))
-    at_edge = marked.filter(F.col("_b") == F.col("_edge._b"))
-    w = Window.partitionBy(*by).orderBy(key, *tie)
-    at_edge = at_edge.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= F.col("_edge._left")).drop("_r")
-    return below.unionByName(at_edge).drop("_b", "_edge")
+    place = F.struct(key, *tie)
+    ranked = Window.partitionBy(*by).orderBy(key, *tie)
+    last = (
+        rows.select(*by, "_b", key, *tie).join(edges, by).filter(F.col("_b") == F.col("_edge._b"))
+        .withColumn("_r", F.row_number().over(ranked)).filter(F.col("_r") == F.col("_edge._left"))
+        .select(*by, place.alias("_last"))
+    )
+    limits = edges.join(last, by, "left")
+    keep = (
+        F.col("_edge").isNull()
+        | (F.col("_b") < F.col("_edge._b"))
+        | ((F.col("_b") == F.col("_edge._b")) & F.coalesce(place <= F.col("_last"), F.lit(False)))
+    )
+    return rows.join(limits, by, "left").filter(keep).drop("_b", "_edge", "_last")
 
 
 def with_successor(

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from quarry.operators.ordering import top_k
 
 MAX_QUERY_BLOCK_BYTES = 64 * 1024 * 1024
+MAX_CELLS = 65536
 SCORE_DIGITS = 9
 _HITS = "qid {qid}, row_id {row}, score double"
 
@@ -167,7 +168,9 @@ def knn(queries: DataFrame, entries: DataFrame, k: int = 10) -> DataFrame:
 
 def assign_cells(entries: DataFrame, centroids: DataFrame) -> DataFrame:
     """Add ``cell``, the centroid with the largest dot product (ties: smallest id)."""
-    table = centroids.select("cell", "vector").orderBy("cell").toPandas()
+    table = centroids.select("cell", "vector").limit(MAX_CELLS + 1).toPandas().sort_values("cell")
+    if len(table) > MAX_CELLS:
+        raise ValueError(f"at most {MAX_CELLS} cells")
     ids, vectors = table["cell"].to_numpy(), _matrix(table["vector"])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in entries.schema.fields) + ", cell bigint"
 
@@ -181,12 +184,12 @@ def assign_cells(entries: DataFrame, centroids: DataFrame) -> DataFrame:
 
 
 def train_cells(entries: DataFrame, cells: int, seed: int = 42, iterations: int = 10) -> DataFrame:
-    """Cell centroids (cell, vector) by k-means; at most 65536 of them, the bound for broadcasting."""
+    """Cell centroids (cell, vector) by k-means; their number is bounded, because tasks hold all of them."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    if cells > 65536:
-        raise ValueError("at most 65536 cells")
+    if cells > MAX_CELLS:
+        raise ValueError(f"at most {MAX_CELLS} cells")
     data = entries.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=iterations).fit(data)
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]

@@ -12,9 +12,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def flag_known(files: DataFrame, stored: DataFrame, key: str = "content_hash") -> DataFrame:
-    """Add ``is_known``: the content is already stored."""
-    known = stored.select(key).distinct().withColumn("_known", F.lit(True))
+def flag_known(files: DataFrame, stored: DataFrame, key: str = "content_hash", small_batch: bool = False) -> DataFrame:
+    """Add ``is_known``: the content is already stored.
+
+    ``small_batch`` first reduces the stored keys to those of the batch; Spark
+    then broadcasts the batch (when it is small enough) and only scans the
+    stored table instead of shuffling it.
+    """
+    known = stored.select(key)
+    if small_batch:
+        known = known.join(files.select(key).distinct(), key, "left_semi")
+    known = known.distinct().withColumn("_known", F.lit(True))
     return files.join(known, key, "left").withColumn("is_known", F.coalesce("_known", F.lit(False))).drop("_known")
 
 

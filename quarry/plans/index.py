@@ -97,7 +97,8 @@ def apply_changes(
     """One change batch: deletions and move origins are removed, the rest is upserted if the file still exists.
 
     ``changes``: latest row per path (path, old_path, change_type);
-    ``files``: path, text, mtime of files as they are now.
+    ``files``: path, text, mtime of files as they are now.  The work grows with
+    the batch: the stored tables are neither rewritten nor shuffled.
     """
     now = F.current_timestamp() if now is None else now
     gone = changes.filter(F.col("change_type") == "deleted").select("path").unionByName(
@@ -106,12 +107,12 @@ def apply_changes(
     touched = changes.filter(F.col("change_type") != "deleted").select("path")
     present = files.join(touched, "path", "left_semi")
     described = materialize(
-        S.flag_known(described_files(present, home), store.content().select("content_hash")), "flagged"
+        S.flag_known(described_files(present, home), store.content(), small_batch=True), "flagged"
     )
     fresh = described.filter(~F.col("is_known"))
-    removed = S.known_rows(store.paths(), gone, "path").join(described.select("path"), "path", "left_anti")
     return store.commit(
-        batch_id, content_rows(fresh, now, embed), path_rows(described, now), chunk_rows(fresh, embed), removed=removed
+        batch_id, content_rows(fresh, now, embed), path_rows(described, now), chunk_rows(fresh, embed),
+        removed=gone.distinct(),
     )
 
 

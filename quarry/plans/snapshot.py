@@ -24,10 +24,11 @@ _COMMITS = "version bigint, batch_id string, is_base boolean, committed_at times
 
 
 class Store:
-    """Content, paths and chunks below one folder."""
+    """Content, paths and chunks below one folder; reads see the version known when they were first asked."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._seen: list | None = None
 
     def _exists(self, path: str) -> bool:
         jvm = self.spark.sparkContext._jvm
@@ -41,16 +42,20 @@ class Store:
             return self.spark.createDataFrame([], _COMMITS)
         return self.spark.read.schema(_COMMITS).json(f"{folder}/*/part-*")
 
-    def status(self) -> dict:
+    def _log(self, refresh: bool = False) -> list:
+        """Commit rows, oldest first: one small row per version, kept until the next commit."""
+        if self._seen is None or refresh:
+            self._seen = sorted(self.commits().collect(), key=lambda r: r["version"])
+        return self._seen
+
+    def status(self, refresh: bool = False) -> dict:
         """Does an index exist, at which version, made of how many versions."""
-        row = self.commits().agg(
-            F.max("version").alias("version"), F.max(F.when(F.col("is_base"), F.col("version"))).alias("base")
-        ).first()
-        version = -1 if row["version"] is None else row["version"]
-        return {
-            "indexed": version >= 0, "path": self.root, "version": version,
-            "base": max(0, row["base"] or 0), "versions": version - max(0, row["base"] or 0) + 1 if version >= 0 else 0,
-        }
+        log = self._log(refresh)
+        if not log:
+            return {"indexed": False, "path": self.root, "version": -1, "base": 0, "versions": 0}
+        version = log[-1]["version"]
+        base = max((r["version"] for r in log if r["is_base"]), default=0)
+        return {"indexed": True, "path": self.root, "version": version, "base": base, "versions": version - base + 1}
 
     def _parts(self, table: str) -> DataFrame:
         state = self.status()
@@ -76,7 +81,7 @@ class Store:
         return latest.filter(~F.col("r.deleted")).select(*[F.col(f"r.{c}") for c in columns])
 
     def has_batch(self, batch_id: str) -> bool:
-        return not self.commits().filter(F.col("batch_id") == batch_id).isEmpty()
+        return any(r["batch_id"] == batch_id for r in self._log(refresh=True))
 
     def commit(
         self,
@@ -87,7 +92,11 @@ class Store:
         removed: DataFrame | None = None,
         base: bool = False,
     ) -> int:
-        """Write one version; replaying a committed batch id changes nothing."""
+        """Write one version; replaying a committed batch id changes nothing.
+
+        ``removed``: paths to delete.  They are logged as such without a look at
+        the stored table; of a path both written and removed, the row stays.
+        """
         if self.has_batch(batch_id):
             return self.status()["version"]
         version = self.status()["version"] + 1
@@ -95,8 +104,8 @@ class Store:
         if paths is not None:
             path_parts.append(paths.withColumn("deleted", F.lit(False)))
         if removed is not None:
-            names = [c.split()[0] for c in schemas.PATHS.split(", ")]
-            path_parts.append(removed.select(*names).withColumn("deleted", F.lit(True)))
+            nothing = [F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in schemas.PATHS.split(", ")[1:]]
+            path_parts.append(removed.select("path", *nothing).withColumn("deleted", F.lit(True)))
         if content is not None:
             content.write.mode("overwrite").parquet(f"{self.root}/content/v={version}")
         if path_parts:
@@ -109,6 +118,7 @@ class Store:
             F.lit(base or version == 0).alias("is_base"), F.current_timestamp().alias("committed_at"),
         )
         row.coalesce(1).write.mode("errorifexists").json(f"{self.root}/commits/{version:012d}")
+        self._seen = None
         return version
 
     def compact(self, batch_id: str) -> int:

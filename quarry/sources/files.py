@@ -8,8 +8,9 @@ are dot-files, which the built-in binary reader hides.
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from datetime import datetime, timezone
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -94,24 +95,22 @@ def read_files(files: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------- plug-ins
 
-Extractor = Callable[[str, bytes], str]
-_EXTRACTORS: list[tuple[frozenset[str], Extractor]] = []
+class Extractor(NamedTuple):
+    """Text extraction for file types: ``extract(extension, content)`` returns text or raises."""
 
+    extensions: frozenset[str]
+    extract: Callable[[str, bytes], str]
 
-def register_extractor(extensions: list[str], extract: Extractor) -> None:
-    """Text extraction for a file type; the first registered match wins."""
-    _EXTRACTORS.append((frozenset(extensions), extract))
 
-
-def _run_extractors(registry: list[tuple[frozenset[str], Extractor]]):
+def _run_extractors(registry: list[Extractor]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts, errors = [], []
             for ext, content in zip(batch["extension"], batch["content"]):
                 text, error = None, None
                 try:
-                    plug_in = next(f for kinds, f in registry if ext in kinds)
-                    text = plug_in(ext, bytes(content))
+                    plug_in = next(x for x in registry if ext in x.extensions)
+                    text = plug_in.extract(ext, bytes(content))
                 except Exception as problem:
                     error = type(problem).__name__
                 texts.append(text)
@@ -121,13 +120,13 @@ def _run_extractors(registry: list[tuple[frozenset[str], Extractor]]):
     return run
 
 
-def extract_text(files: DataFrame) -> DataFrame:
-    """Text and first line per file.
+def extract_text(files: DataFrame, extractors: Sequence[Extractor] = ()) -> DataFrame:
+    """Text and first line per file; the first extractor for an extension wins.
 
-    Plain text stays in the JVM; only file types with a registered plug-in pass
-    through Python.  ``files``: content_hash, extension, content and others.
+    Plain text stays in the JVM; only file types with a plug-in pass through
+    Python.  ``files``: extension, content and others.
     """
-    special = sorted({e for kinds, _ in _EXTRACTORS for e in kinds})
+    special = sorted({e for x in extractors for e in x.extensions})
     is_special = F.col("extension").isin(special) if special else F.lit(False)
     readable = files.filter(F.col("content").isNotNull())
     plain = readable.filter(~is_special).withColumn("text", T.decode_utf8(F.col("content"))).drop("content")
@@ -136,7 +135,7 @@ def extract_text(files: DataFrame) -> DataFrame:
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
         columns = [f.name for f in kept]
         parsed = readable.filter(is_special).select(*columns, "content").mapInPandas(
-            _run_extractors(list(_EXTRACTORS)), schema + ", text string, error_type string"
+            _run_extractors(list(extractors)), schema + ", text string, error_type string"
         )
         plain = plain.select(*columns, "text", F.lit(None).cast("string").alias("error_type")).unionByName(parsed)
     return plain.withColumns({"text": F.coalesce("text", F.lit("")),

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from quarry import fixed_values as fv
 from quarry import schemas
 from quarry.functions import paths as P
-from quarry.session import materialize
+
+NEVER = -(2**62)
 
 
 def read_changes(spark: SparkSession, folder: str, fmt: str = "json", files_per_trigger: int | None = None) -> DataFrame:
@@ -61,58 +62,94 @@ def count_late(changes: DataFrame, watermark: Column) -> DataFrame:
 # every bin assigns its own changes.
 
 
-def _chain(times: np.ndarray, width: int) -> np.ndarray:
-    """Position of the first change at or after the close of the batch opened by each change."""
-    return np.searchsorted(times, times + width, side="left")
+def _complete_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Batches of rows sorted by ``keys``, re-cut so that no group is split, with the bounds of their groups."""
+    carry: pd.DataFrame | None = None
+
+    def cut(pdf: pd.DataFrame) -> np.ndarray:
+        change = np.zeros(len(pdf), dtype=bool)
+        for key in keys:
+            values = pdf[key].to_numpy()
+            change[1:] |= values[1:] != values[:-1]
+        return np.concatenate([[0], np.flatnonzero(change), [len(pdf)]])
+
+    for batch in batches:
+        pdf = batch if carry is None else pd.concat([carry, batch], ignore_index=True)
+        if pdf.empty:
+            continue
+        bounds = cut(pdf)
+        carry = pdf.iloc[bounds[-2]:]
+        if len(bounds) > 2:
+            yield pdf.iloc[: bounds[-2]], bounds[:-1]
+    if carry is not None and len(carry):
+        yield carry, np.array([0, len(carry)])
 
 
 def _exits(times: np.ndarray, width: int) -> np.ndarray:
     """Close time of the last batch in the bin, for a chain that enters at each change."""
-    following = _chain(times, width)
-    out = times + width
-    for i in range(len(times) - 1, -1, -1):
-        if following[i] < len(times):
+    following = np.searchsorted(times, times + width, side="left").tolist()
+    out = (times + width).tolist()
+    for i in range(len(out) - 1, -1, -1):
+        if following[i] < len(out):
             out[i] = out[following[i]]
-    return out
-
-
-def _bin_summary(width: int, bin_width: int):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.unique(pdf["us"].to_numpy(np.int64))
-        exits = _exits(times, width)
-        start = int(key[1]) * bin_width
-        reach = int(np.searchsorted(times, start + width, side="left")) + 1
-        return pd.DataFrame({"root": key[0], "bin": key[1], "entry": times[:reach], "exit": exits[:reach]})
+    return np.array(out, dtype=np.int64)
+
+
+def _summarize(width: int, bin_width: int):
+    """Per (root, bin): every change that may enter the chain, with the time at which the chain leaves."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, bounds in _complete_groups(batches, ["root", "bin"]):
+            us, bins = pdf["us"].to_numpy(np.int64), pdf["bin"].to_numpy(np.int64)
+            kept, exits = [], []
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                times = us[a:b]
+                leave = _exits(times, width)
+                reach = min(b - a, int(np.searchsorted(times, bins[a] * bin_width + width, side="left")) + 1)
+                kept.append(np.arange(a, a + reach))
+                exits.append(leave[:reach])
+            rows = np.concatenate(kept)
+            yield pd.DataFrame(
+                {"root": pdf["root"].to_numpy()[rows], "bin": bins[rows], "entry": us[rows], "exit": np.concatenate(exits)}
+            )
 
     return run
 
 
-def _bin_entries(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Walk the bins of one root: the earliest moment a batch may open in each bin."""
-    pdf = pdf.sort_values(["bin", "entry"])
-    free, rows = -(2**62), []
-    for number, part in pdf.groupby("bin", sort=True):
-        entry = part["entry"].to_numpy(np.int64)
-        at = int(np.searchsorted(entry, free, side="left"))
-        rows.append((key[0], number, free))
-        if at < len(entry):
-            free = int(part["exit"].to_numpy(np.int64)[at])
-    return pd.DataFrame(rows, columns=["root", "bin", "free_from"])
-
-
-def _assign_bin(width: int):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        us = pdf["us"].to_numpy(np.int64)
-        times = np.unique(us)
-        free = int(pdf["free_from"].iloc[0])
-        opened = []
-        i = int(np.searchsorted(times, free, side="left"))
-        while i < len(times):
-            opened.append(times[i])
-            i = int(np.searchsorted(times, times[i] + width, side="left"))
-        starts = np.array([free - width, *opened], dtype=np.int64)
-        position = np.searchsorted(starts, us, side="right") - 1
-        return pd.DataFrame({"root": pdf["root"], "seq": pdf["seq"], "opened_us": starts[position]})
+def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Walk the bins of every root: the earliest moment a batch may open in each bin."""
+    for pdf, bounds in _complete_groups(batches, ["root"]):
+        bins = pdf["bin"].to_numpy(np.int64)
+        entry, leave = pdf["entry"].to_numpy(np.int64), pdf["exit"].to_numpy(np.int64)
+        rows, free_from = [], []
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            free = NEVER
+            starts = [a, *(a + 1 + np.flatnonzero(bins[a + 1 : b] != bins[a : b - 1])).tolist(), b]
+            for c, d in zip(starts[:-1], starts[1:]):
+                rows.append(c)
+                free_from.append(free)
+                at = c + int(np.searchsorted(entry[c:d], free, side="left"))
+                if at < d:
+                    free = int(leave[at])
+        yield pd.DataFrame({"root": pdf["root"].to_numpy()[rows], "bin": bins[rows], "free_from": free_from})
+
+
+def _open_batches(width: int):
+    """Per (root, bin): the opening time of the batch of every change."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, bounds in _complete_groups(batches, ["root", "bin"]):
+            us, free_from = pdf["us"].to_numpy(np.int64), pdf["free_from"].to_numpy(np.int64)
+            opened = np.empty(len(pdf), dtype=np.int64)
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                times, free = us[a:b], int(free_from[a])
+                at = int(np.searchsorted(times, free, side="left"))
+                opened[a : a + at] = free - width
+                while at < b - a:
+                    end = int(np.searchsorted(times, times[at] + width, side="left"))
+                    opened[a + at : a + end] = times[at]
+                    at = end
+            yield pdf.drop(columns=["free_from", "bin"]).assign(opened_us=opened)
 
     return run
 
@@ -121,23 +158,23 @@ def debounce(changes: DataFrame, width_ms: int = fv.DEBOUNCE_MS, bin_width_ms: i
     """Add ``batch_opened``, the moment the batch of every change was opened, keyed by root."""
     width = width_ms * 1000
     bin_width = (bin_width_ms or width_ms * 1000) * 1000
-    timed = changes.withColumn("us", F.unix_micros("ts")).withColumn("bin", F.floor(F.col("us") / bin_width))
-    moments = timed.select("root", "bin", "us").distinct()
-    root_type = changes.schema["root"].dataType.simpleString()
-    summary = materialize(
-        moments.groupBy("root", "bin").applyInPandas(
-            _bin_summary(width, bin_width), f"root {root_type}, bin bigint, entry bigint, exit bigint"
-        ),
-        "bins",
+    columns = [c for c in changes.columns if c != "ts"]
+    timed = changes.select(*columns, F.unix_micros("ts").alias("us")).withColumn("bin", F.floor(F.col("us") / bin_width))
+    root = changes.schema["root"].dataType.simpleString()
+    sorted_bins = timed.select("root", "bin", "us").repartition("root", "bin").sortWithinPartitions("root", "bin", "us")
+    summary = sorted_bins.mapInPandas(
+        _summarize(width, bin_width), f"root {root}, bin bigint, entry bigint, exit bigint"
     )
-    entries = summary.groupBy("root").applyInPandas(_bin_entries, f"root {root_type}, bin bigint, free_from bigint")
-    located = timed.select("root", "seq", "us", "bin").join(entries, ["root", "bin"])
-    assigned = located.groupBy("root", "bin").applyInPandas(
-        _assign_bin(width), f"root {root_type}, seq bigint, opened_us bigint"
+    sorted_roots = summary.repartition("root").sortWithinPartitions("root", "bin", "entry")
+    entries = sorted_roots.mapInPandas(_walk, f"root {root}, bin bigint, free_from bigint")
+    located = timed.join(entries, ["root", "bin"]).select(*columns, "us", "bin", "free_from")
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in timed.select(*columns, "us").schema.fields)
+    opened = located.repartition("root", "bin").sortWithinPartitions("root", "bin", "us").mapInPandas(
+        _open_batches(width), shape + ", opened_us bigint"
     )
-    return changes.join(assigned, ["root", "seq"]).withColumn(
-        "batch_opened", F.timestamp_micros("opened_us")
-    ).drop("opened_us")
+    return opened.withColumns(
+        {"ts": F.timestamp_micros("us"), "batch_opened": F.timestamp_micros("opened_us")}
+    ).drop("us", "opened_us")
 
 
 def batches(debounced: DataFrame) -> DataFrame:

@@ -106,6 +106,24 @@ def extract_text(t):
     return out.select("path", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("n"), "first_line")
 
 
+@query("extract_with_plug_in", f"""
+WITH {B.FILES}, p AS (SELECT path, {B.s_ext(B.s_name('path'))} AS ext, text, length(text) % 5 = 0 AS bad FROM files)
+SELECT path, CASE WHEN ext <> '.pdf' THEN md5(text) WHEN bad THEN md5('') ELSE md5('pdf:' || text) END AS text_md5,
+  CASE WHEN ext = '.pdf' AND bad THEN 'ValueError' ELSE '' END AS error_type FROM p""")
+def extract_with_plug_in(t):
+    def parse(_, content):
+        text = content.decode("utf-8")
+        if len(text) % 5 == 0:
+            raise ValueError("damaged file")
+        return "pdf:" + text
+
+    raw = B.files(t).select(
+        "path", P.extension(P.base_name(F.col("path"))).alias("extension"), F.encode("text", "UTF-8").alias("content")
+    )
+    out = SF.extract_text(raw, [SF.Extractor(frozenset([".pdf"]), parse)])
+    return out.select("path", F.md5("text").alias("text_md5"), F.coalesce("error_type", F.lit("")).alias("error_type"))
+
+
 @query("extract_errors", f"""
 WITH {B.FILES}, p AS (SELECT path, ['PermissionError', 'FileNotFoundError', 'UnicodeDecodeError', 'OSError', 'ValueError'][
   (doc_id % 7 + 1)::BIGINT] AS e FROM files), q AS (SELECT *,

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quarry import fixed_values as fv
 from quarry.functions import routing as R
 from quarry.functions import text as T
 from quarry.functions import vectors as V
+from quarry.functions.embedding import hashing_embedding, model_embedding
 from quarry.operators import clusters as CL
 from quarry.operators import context as C
 from quarry.operators import folders as FO
@@ -103,8 +105,8 @@ SELECT qid, {s_hits(fv.SYSTEM_WORDS)}::INTEGER AS n_system, {s_hits(fv.FILE_WORD
 def keyword_hits(t):
     q = F.lower("query")
     return B.asked(t).select(
-        "qid", R.keyword_hits(q, fv.SYSTEM_WORDS).alias("n_system"), R.keyword_hits(q, fv.FILE_WORDS).alias("n_file"),
-        R.keyword_hits(q, fv.WEB_WORDS).alias("n_web"),
+        "qid", R.substring_hits(q, fv.SYSTEM_WORDS).alias("n_system"), R.substring_hits(q, fv.FILE_WORDS).alias("n_file"),
+        R.substring_hits(q, fv.WEB_WORDS).alias("n_web"),
     )
 
 
@@ -239,6 +241,26 @@ def quantize_int8(t):
     )
 
 
+@query("embed_texts", """
+SELECT doc_id, CASE WHEN regexp_matches(text, '[\\p{L}\\p{N}]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM documents""")
+def embed_texts(t):
+    """Model-free embedder on whole documents: every vector has unit length."""
+    out = hashing_embedding(DIMS)(t.documents, "text")
+    return out.select("doc_id", F.round(V.norm(F.col("embedding")), 4).alias("norm"))
+
+
+@query("embed_with_model", """
+SELECT doc_id, length(text)::DOUBLE AS n_chars, len(string_split(text, ' '))::DOUBLE AS n_words FROM documents""")
+def embed_with_model(t):
+    """Embedder plug-in: a model is loaded once per worker and called in batches."""
+
+    def load():
+        return lambda texts: np.array([[len(x), len(x.split(" "))] for x in texts], dtype=np.float32)
+
+    out = model_embedding(load)(t.documents.select("doc_id", "text"), "text")
+    return out.select("doc_id", *[F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(("n_chars", "n_words"))])
+
+
 def index(t):
     """embeddings as rows of the vector index: every third a chunk, label as source, folder by id."""
     i = F.col("vec_id")
