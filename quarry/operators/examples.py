@@ -116,14 +116,15 @@ def difficulty(context: Column, answers: Column, impossible: Column) -> Column:
 def context_partners(contexts: DataFrame, seed: str | int) -> DataFrame:
     """Every distinct context with the next one in a seeded cyclic order: (context_key, partner_key).
 
-    Partners always differ as long as there are two contexts, however often one
-    of them is repeated.
+    Partners always differ, however often a context is repeated; a context that
+    is the only one has none.
     """
     distinct = contexts.select("context_key").distinct().withColumn("_h", seeded_hash(seed, F.col("context_key")))
     linked = with_successor(
         distinct, [], ["_h", "context_key"], F.substring("_h", 1, 3), ["context_key"], cyclic=True
     )
-    return linked.select("context_key", F.col("successor.context_key").alias("partner_key"))
+    pairs = linked.select("context_key", F.col("successor.context_key").alias("partner_key"))
+    return pairs.filter(F.col("context_key") != F.col("partner_key"))
 
 
 def keyed_contexts(qa: DataFrame) -> tuple[DataFrame, DataFrame]:
