@@ -368,6 +368,17 @@ def knn_in_cells(t):
     return SE.knn_in_cells(every, celled, centroids, 5, 4).select("qid", "row_id", "rank", F.round("score", 4).alias("score"))
 
 
+@query("knn_every_cell", f"""
+WITH {_INDEX}, {_LABELS}, {_s_knn(5)} SELECT qid, row_id, rank::INTEGER AS rank, round(score, 4) AS score FROM hits""")
+def knn_every_cell(t):
+    """Cell search that probes every cell is exact."""
+    rows = index(t)
+    centroids = SE.train_cells(rows, 8, seed=7, iterations=3)
+    celled = SE.assign_cells(rows.select("row_id", "embedding"), centroids)
+    hits = SE.knn_in_cells(label_queries(t), celled, centroids, 5, 8)
+    return hits.select("qid", "row_id", "rank", F.round("score", 4).alias("score"))
+
+
 @query("cluster_tree")
 def cluster_tree(t):
     items = t.embeddings.select(
