@@ -230,8 +230,8 @@ def refusals_from(qa: DataFrame, n: int, seed: str | int) -> DataFrame:
     """``n`` questions with the context of another example, half of them with one more unrelated chunk."""
     c = fv.DIFFICULTY_CHARS
     rows, contexts = keyed_contexts(qa)
-    keyed = rows.withColumns({"_all": F.lit(1), "_k": seeded_hash(f"{seed}-negative", F.col("id"))})
-    picked = take_quota(keyed, ["_all"], "_k", n, ["id"]).drop("_all", "_k")
+    keyed = rows.withColumn("_k", seeded_hash(f"{seed}-negative", F.col("id")))
+    picked = take_quota(keyed, [], "_k", n, ["id"]).drop("_k")
     picked = picked.join(partner_texts(contexts, "negative", c["negative"]), "context_key")
     first = F.concat(F.lit("[1] unrelated.txt: "), F.col("first"))
     second = F.concat(F.lit("\n[2] another.txt: "), F.substring("second", 1, c["distractor"]))

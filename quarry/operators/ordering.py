@@ -38,6 +38,8 @@ def take_quota(df: DataFrame, by: list[str], key: str, quota: Column | int, tie:
     task.
     """
     quota = F.lit(quota) if isinstance(quota, int) else quota
+    if not by:
+        return _take_quota_overall(df, key, quota, tie)
     rows = df.withColumn("_b", F.substring(key, 1, 4))
     histogram = rows.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
     running = Window.partitionBy(*by).orderBy("_b")
@@ -64,6 +66,26 @@ def take_quota(df: DataFrame, by: list[str], key: str, quota: Column | int, tie:
     return rows.join(limits, by, "left").filter(keep).drop("_b", "_edge", "_last")
 
 
+def _take_quota_overall(df: DataFrame, key: str, quota: Column, tie: list[str]) -> DataFrame:
+    """:func:`take_quota` without groups: the two limits are scalars, so no join is needed."""
+    bucket = F.substring(key, 1, 4)
+    histogram = df.groupBy(bucket.alias("_b")).agg(F.count("*").alias("_n"))
+    running = Window.partitionBy(F.lit(0)).orderBy("_b")  # at most 65536 rows
+    edge = (
+        histogram.withColumn("_upto", F.sum("_n").over(running)).filter(F.col("_upto") > quota)
+        .agg(F.min(F.struct("_b", (quota - F.col("_upto") + F.col("_n")).alias("_left"))).alias("e")).first()["e"]
+    )
+    if edge is None:
+        return df
+    below = bucket < edge["_b"]
+    if edge["_left"] < 1:
+        return df.filter(below)
+    at_edge = df.filter(bucket == edge["_b"]).select(key, *tie).orderBy(key, *tie).limit(edge["_left"])
+    last = at_edge.agg(F.max(F.struct(key, *tie)).alias("m")).first()["m"]
+    place = F.struct(*[F.lit(last[c]).alias(c) for c in (key, *tie)])
+    return df.filter(below | ((bucket == edge["_b"]) & (F.struct(key, *tie) <= place)))
+
+
 def with_successor(
     df: DataFrame, by: list[str], order: list[str], bucket: Column, carry: list[str], cyclic: bool = False,
     name: str = "successor",

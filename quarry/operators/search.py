@@ -191,7 +191,7 @@ def train_cells(entries: DataFrame, cells: int, seed: int = 42, iterations: int
     if cells > MAX_CELLS:
         raise ValueError(f"at most {MAX_CELLS} cells")
     data = entries.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    model = KMeans(k=cells, seed=seed, maxIter=iterations).fit(data)
+    model = KMeans(k=cells, seed=seed, maxIter=iterations, initMode="random").fit(data)
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     return entries.sparkSession.createDataFrame(rows, "cell bigint, vector array<double>")
 

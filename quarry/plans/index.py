@@ -25,13 +25,10 @@ def _names(schema: str) -> list[str]:
 
 
 def described_files(files: DataFrame, home: str) -> DataFrame:
-    """Files ready for the tables; ``files``: path, text, mtime and optionally content_hash and first_line."""
-    rows = E.describe_files(files, home)
-    if "content_hash" not in rows.columns:
-        rows = rows.withColumn("content_hash", T.fingerprint(F.col("text")))
-    if "first_line" not in rows.columns:
-        rows = rows.withColumn("first_line", T.first_line(F.col("text")))
-    return rows
+    """Files with identity and place, without their text; ``files``: path, mtime, content_hash or text."""
+    if "content_hash" not in files.columns:
+        files = files.withColumn("content_hash", T.fingerprint(F.col("text")))
+    return E.describe_files(files.select("path", "mtime", "content_hash"), home)
 
 
 def path_rows(described: DataFrame, now: Column) -> DataFrame:
@@ -41,51 +38,57 @@ def path_rows(described: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def content_rows(described: DataFrame, now: Column, embed: Embed = DEFAULT_EMBED) -> DataFrame:
-    """One content per hash, from its smallest path; the FILE entry's text is what gets embedded."""
-    first = described.groupBy("content_hash").agg(
-        F.min_by(F.struct("file_name", "extension", "first_line", F.octet_length("text").alias("size")), "path").alias("f")
-    )
-    label = F.concat("f.file_name", F.lit(" - "), P.type_description(F.col("f.extension")), F.lit(" file"))
-    rows = first.select(
-        "content_hash", label.alias("_label"), F.col("f.first_line").alias("first_line"),
-        F.col("f.size").cast("bigint").alias("size_bytes"), now.alias("indexed_at"),
+def new_texts(flagged: DataFrame, texts: DataFrame) -> DataFrame:
+    """The text of every new content once, from its smallest path: content_hash, path, text.
+
+    ``texts``: path, text.  Copies of a content meet here as (hash, path) pairs
+    only; their texts are never shuffled to be compared.
+    """
+    single = flagged.filter(~F.col("is_known")).groupBy("content_hash").agg(F.min("path").alias("path"))
+    return materialize(texts.select("path", "text").join(single, "path").select("content_hash", "path", "text"), "texts")
+
+
+def content_rows(texts: DataFrame, now: Column, embed: Embed = DEFAULT_EMBED) -> DataFrame:
+    """One content per row of ``texts``; the text of its FILE entry is what gets embedded."""
+    name = P.base_name(F.col("path"))
+    label = F.concat(name, F.lit(" - "), P.type_description(P.extension(name)), F.lit(" file"))
+    rows = texts.select(
+        "content_hash", label.alias("_label"), T.first_line(F.col("text")).alias("first_line"),
+        F.octet_length("text").cast("bigint").alias("size_bytes"), now.alias("indexed_at"),
     )
     return embed(rows, "_label").select(*_names(schemas.CONTENT))
 
 
-def chunk_rows(described: DataFrame, embed: Embed = DEFAULT_EMBED) -> DataFrame:
-    """Chunks once per content, whatever the number of copies."""
-    single = described.groupBy("content_hash").agg(F.any_value("text").alias("text"))
-    pieces = single.select("content_hash", F.posexplode(T.chunk_array(F.col("text"))).alias("chunk_index", "text"))
+def chunk_rows(texts: DataFrame, embed: Embed = DEFAULT_EMBED) -> DataFrame:
+    pieces = texts.select("content_hash", F.posexplode(T.chunk_array(F.col("text"))).alias("chunk_index", "text"))
     return embed(pieces, "text").select(*_names(schemas.CHUNKS))
 
 
 def full_refresh(
     store: Store, files: DataFrame, home: str, roots: list[str], batch_id: str, now: Column | None = None,
-    embed: Embed = DEFAULT_EMBED,
+    embed: Embed = DEFAULT_EMBED, texts: DataFrame | None = None,
 ) -> DataFrame:
     """Scan result in, one committed version and a row of counters out.
 
-    Cheap steps come first: the fingerprint decides what is new, and only new
-    contents are chunked and embedded.  ``files``: path, text, mtime,
-    error_type; files with an error count as present but are not read.
+    Cheap steps come first: the fingerprint decides what is new; only the texts
+    of new contents are kept, chunked and embedded.  ``files``: path, mtime,
+    error_type and content_hash or text; files with an error count as present
+    but are not read.  ``texts`` (path, text) may name another place to take
+    the texts from, for example a reader that runs for the new files only.
     """
     now = F.current_timestamp() if now is None else now
-    state = store.content().select("content_hash")
     described = described_files(files.filter(F.col("error_type").isNull()), home)
-    flagged = materialize(S.flag_known(described, state), "flagged")
-    fresh = flagged.filter(~F.col("is_known"))
-    gone = S.stale_paths(store.paths(), files.select("path"), roots)
-    chunks = materialize(chunk_rows(fresh, embed), "chunks")
-    store.commit(
-        batch_id, content_rows(fresh, now, embed), path_rows(flagged, now), chunks, removed=gone,
+    flagged = materialize(S.flag_known(described, store.content()), "flagged")
+    fresh = new_texts(flagged, files if texts is None else texts)
+    gone = S.stale_paths(store.paths(), files.select("path"), roots).select("path")
+    version = store.commit(
+        batch_id, content_rows(fresh, now, embed), path_rows(flagged, now), chunk_rows(fresh, embed), removed=gone
     )
-    n_errors = files.filter(F.col("error_type").isNotNull()).agg(F.count("*").alias("errors"))
-    n_chunks = chunks.agg(F.count("*").alias("chunks_created"))
     counted = S.index_stats(flagged.withColumn("error_type", F.lit(None).cast("string"))).drop("chunks_created", "errors")
-    one_row = [d.withColumn("_one", F.lit(1)) for d in (counted, n_chunks, n_errors)]
-    return one_row[0].join(one_row[1], "_one").join(one_row[2], "_one").drop("_one").withColumn(
+    n_chunks = store.version("chunks", version).agg(F.count("*").alias("chunks_created"))
+    n_errors = files.filter(F.col("error_type").isNotNull()).agg(F.count("*").alias("errors"))
+    parts = counted.unionByName(n_chunks, allowMissingColumns=True).unionByName(n_errors, allowMissingColumns=True)
+    return parts.agg(*[F.max(c).alias(c) for c in parts.columns]).withColumn(
         "files_scanned", F.col("files_scanned") + F.col("errors")
     )
 
@@ -106,12 +109,10 @@ def apply_changes(
     )
     touched = changes.filter(F.col("change_type") != "deleted").select("path")
     present = files.join(touched, "path", "left_semi")
-    described = materialize(
-        S.flag_known(described_files(present, home), store.content(), small_batch=True), "flagged"
-    )
-    fresh = described.filter(~F.col("is_known"))
+    flagged = materialize(S.flag_known(described_files(present, home), store.content(), small_batch=True), "flagged")
+    fresh = new_texts(flagged, present)
     return store.commit(
-        batch_id, content_rows(fresh, now, embed), path_rows(described, now), chunk_rows(fresh, embed),
+        batch_id, content_rows(fresh, now, embed), path_rows(flagged, now), chunk_rows(fresh, embed),
         removed=gone.distinct(),
     )
 
@@ -130,7 +131,8 @@ def force_rebuild(store: Store, files: DataFrame, home: str, batch_id: str, now:
                   embed: Embed = DEFAULT_EMBED) -> int:
     """Everything anew as a base version; older versions are hidden, not deleted."""
     now = F.current_timestamp() if now is None else now
-    described = materialize(described_files(files, home), "described")
+    flagged = materialize(described_files(files, home).withColumn("is_known", F.lit(False)), "flagged")
+    fresh = new_texts(flagged, files)
     return store.commit(
-        batch_id, content_rows(described, now, embed), path_rows(described, now), chunk_rows(described, embed), base=True
+        batch_id, content_rows(fresh, now, embed), path_rows(flagged, now), chunk_rows(fresh, embed), base=True
     )

@@ -65,6 +65,13 @@ class Store:
             return self.spark.createDataFrame([], TABLES[table])
         return self.spark.read.schema(TABLES[table]).parquet(*folders)
 
+    def version(self, table: str, version: int) -> DataFrame:
+        """The rows one version added to a table."""
+        folder = f"{self.root}/{table}/v={version}"
+        if not self._exists(folder):
+            return self.spark.createDataFrame([], TABLES[table])
+        return self.spark.read.schema(TABLES[table]).parquet(folder)
+
     def content(self) -> DataFrame:
         return self._parts("content")
 

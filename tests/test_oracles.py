@@ -11,6 +11,8 @@ FOLDER = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, name):
     df = QUERIES[name](spark, FOLDER)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     got = [tuple(r) for r in df.collect()]
     if name not in ORACLES:
         assert got

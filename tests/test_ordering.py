@@ -21,6 +21,13 @@ def test_quota_equals_sorting_each_group(spark, quota):
     assert got == want
 
 
+@pytest.mark.parametrize("quota", [0, 1, 250, 2999, 3000, 9000])
+def test_quota_over_everything(spark, quota):
+    df = spark.range(3000).withColumn("k", seeded_hash(1, F.col("id")))
+    got = {r.id for r in take_quota(df, [], "k", quota, ["id"]).collect()}
+    assert got == set(sorted(range(3000), key=lambda i: (hashlib.md5(f"1:{i}".encode()).hexdigest(), i))[:quota])
+
+
 def test_quota_with_equal_keys(spark):
     df = spark.createDataFrame([(i, "g", "abcd00") for i in range(50)], "id int, g string, k string")
     assert sorted(r.id for r in take_quota(df, ["g"], "k", 20, ["id"]).collect()) == list(range(20))

@@ -561,12 +561,9 @@ def force_rebuild(t):
     I.full_refresh(store, rows.filter("doc_id % 3 = 0"), HOME, [HOME], "run-1")
     I.force_rebuild(store, rows, HOME, "rebuild")
     state = store.status()
-    counts = [
-        getattr(store, name)().agg(F.count("*").alias(f"n_{name}")).withColumn("_one", F.lit(1))
-        for name in ("paths", "content", "chunks")
-    ]
-    joined = counts[0].join(counts[1], "_one").join(counts[2], "_one").drop("_one")
-    return joined.select(
+    counts = [getattr(store, name)().agg(F.count("*").alias(f"n_{name}")) for name in ("paths", "content", "chunks")]
+    every = counts[0].unionByName(counts[1], allowMissingColumns=True).unionByName(counts[2], allowMissingColumns=True)
+    return every.agg(*[F.max(c).alias(c) for c in every.columns]).select(
         F.lit(state["indexed"]).alias("indexed"), F.lit(state["version"]).cast("bigint").alias("version"),
         F.lit(state["versions"]).cast("bigint").alias("versions"), "n_paths", "n_content", "n_chunks",
     )
