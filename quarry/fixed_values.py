@@ -263,10 +263,11 @@ POSITIVE_SHARE, REFUSAL_SHARE = 0.75, 0.25
 MIN_REWRITE_CHARS = 5
 REFUSAL_FAMILY_SHARES = [("wrong_domain", 0.40), ("out_of_scope", 0.35), ("partial_match", 0.25)]
 PHASES = [
-    (1, "EXTRACTION", "generated/layer1_squad.jsonl", "Basic Extraction"),
-    (2, "REASONING & FORMAT", "generated/layer2_reasoning.jsonl", "Logic + complex formats"),
-    (3, "CONVERSATIONAL", "generated/train_conversational.jsonl", "Natural responses"),
-    (4, "REFUSALS", "generated/layer5_negatives.jsonl", "Polite refusals"),
+    # phase, name, part of the written set, description
+    (1, "EXTRACTION", "layer=1", "Basic Extraction"),
+    (2, "REASONING & FORMAT", "layer=2", "Logic + complex formats"),
+    (3, "CONVERSATIONAL", "polarity=positive", "Natural responses"),
+    (4, "REFUSALS", "layer=5", "Polite refusals"),
 ]
 
 # Pools of the domain layer

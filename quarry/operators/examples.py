@@ -9,6 +9,7 @@ from quarry import fixed_values as fv
 from quarry.functions import templates as M
 from quarry.functions import text as T
 from quarry.operators.ordering import seeded_choice, seeded_hash, take_quota, top_k, with_successor
+from quarry.session import materialize
 
 PROMPTS, CHUNKS = len(fv.PROMPT_FORMATS), len(fv.CHUNK_FORMATS)
 
@@ -191,23 +192,27 @@ def _prompt(context: Column) -> Column:
 def curriculum(qa: DataFrame, total: int, seed: str | int = 42) -> DataFrame:
     """Examples by difficulty with fixed shares; refusals take their share out of the hard part.
 
-    ``qa``: id, context, question, answers, is_impossible.
+    ``qa``: id (unique), context, question, answers, is_impossible.
     Output: id, kind, difficulty, input, output.
     """
     c, share = fv.DIFFICULTY_CHARS, fv.DIFFICULTY_SHARES
     negatives = int(total * fv.NEGATIVE_SHARE)
     quota = {"easy": int(total * share["easy"]), "medium": int(total * share["medium"])}
     quota["hard"] = int(total * share["hard"]) - negatives
-    rows = qa.withColumns(
-        {
-            "difficulty": difficulty(F.col("context"), F.col("answers"), F.col("is_impossible")),
-            "_k": seeded_hash(seed, F.col("id")),
-        }
+    keys = materialize(
+        qa.select(
+            "id", F.md5("context").alias("context_key"),
+            difficulty(F.col("context"), F.col("answers"), F.col("is_impossible")).alias("difficulty"),
+            seeded_hash(seed, F.col("id")).alias("_k"),
+        ),
+        "keys",
     )
+    contexts = context_heads(qa)
     limit = F.lit(0)
     for name, n in quota.items():
         limit = F.when(F.col("difficulty") == name, n).otherwise(limit)
-    taken = take_quota(rows, ["difficulty"], "_k", limit, ["id"]).drop("_k")
+    chosen = take_quota(keys, ["difficulty"], "_k", limit, ["id"]).select("id", "difficulty")
+    taken = qa.join(chosen, "id")
     answer = F.get("answers", F.lit(0))
     plain = taken.filter(F.col("difficulty") != "hard").select(
         "id", F.lit("positive").alias("kind"), "difficulty",
@@ -218,25 +223,34 @@ def curriculum(qa: DataFrame, total: int, seed: str | int = 42) -> DataFrame:
         ).alias("input"),
         answer.alias("output"),
     )
-    _, contexts = keyed_contexts(qa)
     hard = attach_distractors(taken.filter(F.col("difficulty") == "hard"), contexts).select(
         "id", F.lit("positive").alias("kind"), "difficulty", _prompt(F.col("chunks")).alias("input"),
         F.when(F.col("is_impossible") | (F.size("answers") < 1), fv.REFUSAL).otherwise(answer).alias("output"),
     )
-    return plain.unionByName(hard).unionByName(refusals_from(qa, negatives, seed))
+    return plain.unionByName(hard).unionByName(refusals_from(qa, keys, contexts, negatives, seed))
+
+
+def context_heads(qa: DataFrame) -> DataFrame:
+    """Distinct contexts, written once: of other contexts the formats show no more than their first characters."""
+    longest = max(fv.DIFFICULTY_CHARS["negative"], fv.DIFFICULTY_CHARS["distractor"])
+    heads = qa.select(F.md5("context").alias("context_key"), F.substring("context", 1, longest).alias("context"))
+    return materialize(heads.distinct(), "contexts")
 
 
-def refusals_from(qa: DataFrame, n: int, seed: str | int) -> DataFrame:
-    """``n`` questions with the context of another example, half of them with one more unrelated chunk."""
+def refusals_from(qa: DataFrame, keys: DataFrame, contexts: DataFrame, n: int, seed: str | int) -> DataFrame:
+    """``n`` questions with the context of another example, half of them with one more unrelated chunk.
+
+    ``keys``: id, context_key of all rows.
+    """
     c = fv.DIFFICULTY_CHARS
-    rows, contexts = keyed_contexts(qa)
-    keyed = rows.withColumn("_k", seeded_hash(f"{seed}-negative", F.col("id")))
-    picked = take_quota(keyed, [], "_k", n, ["id"]).drop("_k")
-    picked = picked.join(partner_texts(contexts, "negative", c["negative"]), "context_key")
+    order = keys.select("id", "context_key", seeded_hash(f"{seed}-negative", F.col("id")).alias("_n"))
+    picked = take_quota(order, [], "_n", n, ["id"]).drop("_n")
+    asked = qa.select("id", "question").join(picked, "id")
+    asked = asked.join(partner_texts(contexts, "negative", c["negative"]), "context_key")
     first = F.concat(F.lit("[1] unrelated.txt: "), F.col("first"))
     second = F.concat(F.lit("\n[2] another.txt: "), F.substring("second", 1, c["distractor"]))
     more = seeded_choice("negative-more", F.col("id"), 2) == 1
-    return picked.select(
+    return asked.select(
         "id", F.lit("negative").alias("kind"), F.lit("hard").alias("difficulty"),
         _prompt(F.concat(first, F.when(more, second).otherwise(""))).alias("input"), F.lit(fv.REFUSAL).alias("output"),
     )
@@ -299,11 +313,11 @@ def curriculum_order(examples: DataFrame, seed: str | int = 42, partitions: int
 
 
 def phase_plan(counts: DataFrame, phases: DataFrame) -> DataFrame:
-    """Rows per training phase; phases without a file are reported as missing.
+    """Rows per training phase; phases whose part was not written are reported as missing.
 
-    ``counts``: file, n; ``phases``: phase, name, file, description.
+    ``counts``: part, n; ``phases``: phase, name, part, description.
     """
-    return phases.join(counts, "file", "left").withColumns(
+    return phases.join(counts, "part", "left").withColumns(
         {"missing": F.col("n").isNull(), "n": F.coalesce("n", F.lit(0).cast("bigint"))}
     )
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.ordering import top_k
+from quarry.session import materialize
 
 MAX_QUERY_BLOCK_BYTES = 64 * 1024 * 1024
 MAX_CELLS = 65536
@@ -203,7 +204,7 @@ def knn_in_cells(queries: DataFrame, entries: DataFrame, centroids: DataFrame, k
         probes,
     )
     cells = nearest.groupBy("qid").agg(F.array_sort(F.collect_list("row_id")).alias("cells"))
-    return knn(queries.join(cells, "qid"), entries, k)
+    return knn(materialize(queries.join(cells, "qid"), "probes"), entries, k)
 
 
 def hit_projection(hits: DataFrame, index: DataFrame) -> DataFrame:

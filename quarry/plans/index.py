@@ -42,10 +42,13 @@ def new_texts(flagged: DataFrame, texts: DataFrame) -> DataFrame:
     """The text of every new content once, from its smallest path: content_hash, path, text.
 
     ``texts``: path, text.  Copies of a content meet here as (hash, path) pairs
-    only; their texts are never shuffled to be compared.
+    only; their texts are never shuffled to be compared.  The kept texts are
+    rebalanced, because chunking and embedding are the dearest steps and input
+    files may be uneven.
     """
     single = flagged.filter(~F.col("is_known")).groupBy("content_hash").agg(F.min("path").alias("path"))
-    return materialize(texts.select("path", "text").join(single, "path").select("content_hash", "path", "text"), "texts")
+    kept = texts.select("path", "text").join(single, "path").select("content_hash", "path", "text")
+    return materialize(kept.hint("rebalance"), "texts")
 
 
 def content_rows(texts: DataFrame, now: Column, embed: Embed = DEFAULT_EMBED) -> DataFrame:

@@ -472,18 +472,15 @@ def preview_examples(t):
 
 
 @query("phase_plan", f"""
-WITH {_ALL}, c AS (SELECT CASE layer WHEN 1 THEN 'generated/layer1_squad.jsonl' WHEN 2 THEN 'generated/layer2_reasoning.jsonl'
-  WHEN 5 THEN 'generated/layer5_negatives.jsonl' ELSE 'other' END AS file, count(*) AS n FROM every GROUP BY 1),
-p AS (SELECT unnest([1, 2, 3, 4]) AS phase, unnest({sql_list([p[2] for p in fv.PHASES])}) AS file)
-SELECT phase::INTEGER AS phase, file, coalesce(n, 0) AS n, n IS NULL AS missing FROM p LEFT JOIN c USING (file)""")
+WITH {_ALL}, c AS (SELECT 'layer=' || layer AS part, count(*) AS n FROM every GROUP BY 1),
+p AS (SELECT unnest([1, 2, 3, 4]) AS phase, unnest({sql_list([p[2] for p in fv.PHASES])}) AS part)
+SELECT phase::INTEGER AS phase, part, coalesce(n, 0) AS n, n IS NULL AS missing FROM p LEFT JOIN c USING (part)""")
 def phase_plan(t):
-    layer = F.col("layer")
-    file = (
-        F.when(layer == 1, fv.PHASES[0][2]).when(layer == 2, fv.PHASES[1][2]).when(layer == 5, fv.PHASES[3][2]).otherwise("other")
+    counts = all_layers(t).groupBy(F.concat(F.lit("layer="), F.col("layer").cast("string")).alias("part")).agg(
+        F.count("*").alias("n")
     )
-    counts = all_layers(t).groupBy(file.alias("file")).agg(F.count("*").alias("n"))
-    phases = t.spark.createDataFrame(fv.PHASES, "phase int, name string, file string, description string")
-    return X.phase_plan(counts, phases).select("phase", "file", "n", "missing")
+    phases = t.spark.createDataFrame(fv.PHASES, "phase int, name string, part string, description string")
+    return X.phase_plan(counts, phases).select("phase", "part", "n", "missing")
 
 
 @query("squad_flatten", """
