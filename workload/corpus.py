@@ -266,12 +266,13 @@ def unit_convert(t):
 
 
 def _stored_and_current(t):
+    """Two states of the corpus that together hold every document: odd ones are new, every 14th is gone."""
     rows = _described(t)
-    return rows.filter(F.col("doc_id") % 2 == 0), rows.filter(F.col("doc_id") % 7 != 0)
+    return rows.filter(F.col("doc_id") % 2 == 0), rows.filter(F.col("doc_id") % 14 != 0)
 
 
 _SIDES = f"""{_DESCRIBED}, stored AS (SELECT * FROM described WHERE doc_id % 2 = 0),
-cur AS (SELECT * FROM described WHERE doc_id % 7 <> 0)"""
+cur AS (SELECT * FROM described WHERE doc_id % 14 <> 0)"""
 
 
 @query("known_new_split", f"""
@@ -479,7 +480,7 @@ kc AS (SELECT content_hash, {B.s_chunks('text', 1000, 200)} AS cs FROM k)"""
 
 
 @query("full_refresh", f"""
-WITH {_KEPT}, s AS (SELECT * FROM kept WHERE doc_id % 2 = 0), c AS (SELECT * FROM kept WHERE doc_id % 7 <> 0),
+WITH {_KEPT}, s AS (SELECT * FROM kept WHERE doc_id % 2 = 0), c AS (SELECT * FROM kept WHERE doc_id % 14 <> 0),
 k AS (SELECT content_hash, any_value(text) AS text FROM c WHERE content_hash NOT IN (SELECT content_hash FROM s) GROUP BY 1)
 SELECT (SELECT count(*) FROM c) AS files_scanned, (SELECT count(*) FROM k) AS files_indexed,
   (SELECT count(*) FROM c WHERE content_hash IN (SELECT content_hash FROM s)) AS files_skipped,
@@ -490,32 +491,32 @@ def full_refresh(t):
     rows = _scan(t)
     roots = [f"{HOME}/{f}" for f in B.FOLDERS]
     I.full_refresh(store, rows.filter("doc_id % 2 = 0"), HOME, roots, "run-1")
-    return I.full_refresh(store, rows.filter("doc_id % 7 <> 0"), HOME, roots, "run-2").select(
+    return I.full_refresh(store, rows.filter("doc_id % 14 <> 0"), HOME, roots, "run-2").select(
         "files_scanned", "files_indexed", "files_skipped", "files_deduplicated", "chunks_created", "errors"
     )
 
 
 @query("refreshed_paths", f"""
-WITH {_KEPT} SELECT path, content_hash, source, folder, extension FROM kept WHERE doc_id % 7 <> 0""")
+WITH {_KEPT} SELECT path, content_hash, source, folder, extension FROM kept WHERE doc_id % 14 <> 0""")
 def refreshed_paths(t):
     store = Store(t.spark, new_folder(t.spark, "store"))
     rows = _scan(t)
     roots = [f"{HOME}/{f}" for f in B.FOLDERS]
     I.full_refresh(store, rows.filter("doc_id % 2 = 0"), HOME, roots, "run-1")
-    I.full_refresh(store, rows.filter("doc_id % 7 <> 0"), HOME, roots, "run-2")
+    I.full_refresh(store, rows.filter("doc_id % 14 <> 0"), HOME, roots, "run-2")
     return store.paths().select("path", "content_hash", "source", "folder", "extension")
 
 
 @query("incremental_refresh", f"""
 WITH {_KEPT}, moved AS (SELECT regexp_replace(path, '/([^/]*)$', '/moved_\\1') AS path, content_hash FROM kept
   WHERE doc_id % 6 = 0), edited AS (SELECT path, sha256(text || ' edited') AS content_hash FROM kept WHERE doc_id % 6 = 2)
-SELECT path, content_hash FROM kept WHERE doc_id % 6 IN (4) UNION ALL SELECT * FROM moved UNION ALL SELECT * FROM edited
+SELECT path, content_hash FROM kept WHERE doc_id % 6 IN (4, 5) UNION ALL SELECT * FROM moved UNION ALL SELECT * FROM edited
 UNION ALL SELECT path, content_hash FROM kept WHERE doc_id % 6 = 3""")
 def incremental_refresh(t):
     store = Store(t.spark, new_folder(t.spark, "store"))
     rows = _scan(t)
     kind = F.col("doc_id") % 6
-    I.full_refresh(store, rows.filter("doc_id % 2 = 0 OR doc_id % 6 = 1"), HOME, [HOME], "run-1")
+    I.full_refresh(store, rows.filter("doc_id % 6 <> 3"), HOME, [HOME], "run-1")
     target = F.regexp_replace("path", "/([^/]*)$", "/moved_$1")
     changes = rows.filter(kind.isin(0, 1, 2, 3)).select(
         F.when(kind == 0, target).otherwise(F.col("path")).alias("path"),
@@ -524,7 +525,7 @@ def incremental_refresh(t):
             "change_type"
         ),
     )
-    now = rows.filter(kind.isin(0, 2, 3, 4)).select(
+    now = rows.filter(kind.isin(0, 2, 3, 4, 5)).select(
         F.when(kind == 0, target).otherwise(F.col("path")).alias("path"),
         F.when(kind == 2, F.concat("text", F.lit(" edited"))).otherwise(F.col("text")).alias("text"), "mtime",
     )
