@@ -194,7 +194,8 @@ def train_cells(entries: DataFrame, cells: int, seed: int = 42, iterations: int
     data = entries.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=iterations, initMode="random").fit(data)
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    return entries.sparkSession.createDataFrame(rows, "cell bigint, vector array<double>")
+    table = entries.sparkSession.createDataFrame(rows, "cell bigint, vector array<double>")
+    return table.coalesce(1 + cells // 4096)
 
 
 def knn_in_cells(queries: DataFrame, entries: DataFrame, centroids: DataFrame, k: int = 10, probes: int = 4) -> DataFrame:
