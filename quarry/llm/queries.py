@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import common, decontaminate, line_dedup
+from quarry.llm import byte_bpe, common, decontaminate, jaccard_join, line_dedup, rans, warc
+from quarry.session import new_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +44,39 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("leaked_items").cast("long").alias("n_items"),
         F.sha2(F.array_join("leaked_items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op10_jaccard_join")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.similar_components(common.table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op3_warc", """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS raw FROM pages),
+d AS (SELECT page_id, octet_length(raw)::BIGINT AS payload_bytes, sha256(raw) AS payload_digest FROM p),
+r AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
+FROM r""")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    archives = new_folder(spark, "warc")
+    warc.write_archives(common.table(spark, folder, "pages"), archives)
+    return warc.resolve(warc.read_archives(spark, archives))
+
+
+@query("op6_token_files")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    files = new_folder(spark, "token-ids")
+    rans.write_ids(common.table(spark, folder, "documents"), files, public_tokenizers.path("byte_bpe_50k.json"), end=2)
+    return rans.read_ids(spark, files, with_ids=False)
+
+
+@query("op8_byte_bpe")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = byte_bpe.encode(common.table(spark, folder, "documents").select("doc_id", "text"), vocabulary, pattern)
+    decoded = byte_bpe.decode(encoded.drop("text"), vocabulary, pattern)
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
