@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import byte_bpe, common, decontaminate, jaccard_join, line_dedup, rans, warc
+from quarry.llm import byte_bpe, common, decontaminate, jaccard_join, katz, language, line_dedup, near_vectors, quality, rans, warc
 from quarry.session import new_folder
 
 QUERIES: dict = {}
@@ -23,6 +23,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_near_vectors")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors.near_duplicates(common.table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
 @query("op2_line_dedup", r"""
 WITH lines AS (SELECT doc_id, pos, line, lower_ascii AS key FROM (
   SELECT doc_id, pos, line, translate(trim(line, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)),
@@ -80,3 +85,25 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return decoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op5_katz_backoff")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = common.table(spark, folder, "documents")
+    scored = katz.score_documents(docs, "coalesce(crc32(cast(id as string)) % 5, -1) <> 1")
+    return scored.withColumnRenamed("id", "doc_id").select(
+        "doc_id", (common.remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op7_quality")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs = common.table(spark, folder, "documents").select("doc_id", "text")
+    scorer = quality.fit(docs, common.table(spark, folder, "labels"), common.remainder("id", 5) != 0)
+    return quality.score(docs, scorer).select("doc_id", (common.remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op9_language")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = common.table(spark, folder, "documents").select("doc_id", "text", "lang")
+    net = language.fit(docs, common.remainder("id", 4) != 2)
+    return language.predict(docs.select("doc_id", "text"), net).select("doc_id", (common.remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
