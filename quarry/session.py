@@ -67,4 +67,19 @@ def materialize(df, label: str = "stage"):
     """Write once to the shared folder and read back: reused by several consumers, survives lost executors."""
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._scratch_path = path
+    return written
+
+
+def discard(*written) -> None:
+    """Remove tables of ``materialize`` that nothing will read again: their consumers are written themselves."""
+    for df in written:
+        path = getattr(df, "_scratch_path", None)
+        if path:
+            remove_folder(df.sparkSession, path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
