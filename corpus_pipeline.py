@@ -2,19 +2,55 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import common, line_dedup
+from quarry.llm import byte_bpe, common, decontaminate, jaccard_join, line_dedup, quality
 from quarry.session import materialize
 
 
+def _through(docs: DataFrame, operator) -> DataFrame:
+    """The rows that ``operator`` gives, with the columns of ``docs``; columns besides id and text pass by under other
+    names, so that none is mistaken for an output of the operator."""
+    aside = {c: c if c in ("doc_id", "text") else f"_{i}" for i, c in enumerate(docs.columns)}
+    out = operator(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in aside.items()]))
+    return out.select(*[F.col(n).alias(c) for c, n in aside.items()])
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier: documents that it rejects (score below 0.3) go; learns as the query of the operator does."""
+    scorer = quality.fit(docs, common.table(spark, sf_dir, "labels"), common.remainder("id", 5) != 0)
+    return _through(docs, lambda d: quality.score(d, scorer).where("predicted = 1"))
+
+
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: lines found in ten documents or more go; the documents stay with their other lines."""
-    kept = line_dedup.drop_repeated_lines(docs)
-    return kept.select(*[kept["kept_text"].alias("text") if c == "text" else kept[c] for c in docs.columns])
+    return _through(docs, lambda d: line_dedup.drop_repeated_lines(d).withColumn("text", F.col("kept_text")))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Near copies: of each group of documents that share at least 80 % of their five-word shingles, directly or over
+    others, the one with the smallest id stays. Documents without words or id stay."""
+    found = jaccard_join.similar_components(docs, size=5, percent=80)
+    return docs.join(found.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that hold a ten-word window of a test item go."""
+    items = common.table(spark, sf_dir, "benchmark")
+    return _through(docs, lambda d: decontaminate.remove_leaks(decontaminate.find_leaks(d, items)))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte-level BPE: ``ids`` of each text, and the text as decoded from them."""
+    vocabulary, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    decoded = byte_bpe.decode(byte_bpe.encode(docs, vocabulary, pattern).drop("text"), vocabulary, pattern)
+    return decoded.withColumn("text", F.col("decoded").cast("string")).withColumn("n_tokens", F.size("ids").cast("long")).drop("decoded")
 
 
-STAGES = [("line_dedup", drop_lines)]
+STAGES = [("quality", keep_quality), ("line_dedup", drop_lines), ("near_copies", drop_near_copies), ("decontamination", drop_leaks), ("byte_bpe", tokens)]
+#: A classifier trained by descent has no SQL; tests compare each stage with a plain version.
 ORACLE_SQL = None
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.session import materialize
+from quarry.session import discard, materialize
 
 #: Rows of one Arrow batch are worked on in runs of about this many text bytes, which bounds a task's memory.
 RUN_BYTES = 1 << 20
@@ -96,7 +96,8 @@ def components(edges: DataFrame, low: str = "a", high: str = "b") -> DataFrame:
         large = materialize(large, "large")
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b"))
-        now = materialize(small.where("a < b").distinct(), "small")
+        before, now = now, materialize(small.where("a < b").distinct(), "small")
+        discard(before, large)
         after = now.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
         if tuple(after) == tuple(state):
             break

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from quarry.llm import common, spans
 from quarry.llm.common import components
 from quarry.llm.line_dedup import _as_iterator
-from quarry.session import materialize
+from quarry.session import discard, materialize
 
 SKETCH_BITS = 20
 SEGMENT = 1 << 14
@@ -257,10 +257,13 @@ def similar_components(docs: DataFrame, size: int = 4, percent: int = 85, column
     counted = counted.groupBy("x", "y").agg(F.sum("c").alias("c"), F.max("nx").alias("nx"), F.max("ny").alias("ny"))
     second_pairs = counted.where(enough(F.col("c"), F.col("nx"), F.col("ny"))).select("x", "y")
     tried = first_pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    second = _verified(materialize(second_pairs.join(tried, ["x", "y"], "left_anti"), "pairs"), texts, size, percent, sketch)
+    second_pairs = materialize(second_pairs.join(tried, ["x", "y"], "left_anti"), "pairs")
+    discard(groups)
+    second = _verified(second_pairs, texts, size, percent, sketch)
 
     copies = filled.join(classes.select("k1", "k2", "n", "node"), ["k1", "k2", "n"]).where("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
     found = components(first.unionByName(second).unionByName(copies))
+    discard(classes, first_pairs, second_pairs, first)
     out = sets.select("id", "n").join(found, sets["id"] == found["node"], "left")
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 

@@ -239,7 +239,7 @@ def fit(texts: DataFrame, vocabulary: int = 65_000) -> tuple[Model, DataFrame, D
     unseen = lost if lost > 0 else 1 / (tokens + 1)
     model = Model(keys[order], counts[order], tokens, types, documents, factors, np.ones(LAST_DISCOUNT + 1), unseen, (1 - unseen) / (1 - lost), np.zeros(0))
     own = model.word_mass(model.counts)
-    end = float(model.word_mass(np.array([documents]))[0]) if documents else 0.0
+    end = float(model.word_mass(np.array([documents]))[0]) if documents else 0.5  # without texts, an end is as likely as a word
     model.p1 = np.concatenate([own, [max(1 - own.sum() - end, 0.0), end, 0.0]])
     shared = spark.sparkContext.broadcast(model)
     pairs = _counted(texts, 1, lambda column: _Texts(shared.value, column).pairs, buckets)

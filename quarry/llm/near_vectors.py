@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import common
 from quarry.llm.line_dedup import _as_iterator
-from quarry.session import materialize
+from quarry.session import discard, materialize
 
 BLOCK = 4096
 PROBES = 4
@@ -161,6 +161,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.9
     members = materialize(members.join(counts[0].groupBy("node").agg(F.sum("links").alias("links")), "node", "left"), "members")
     edges = links[0].unionByName(members.where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b")))
     found = common.components(edges)
+    discard(classes)
     out = members.select("id", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links")).unionByName(
         rows.where("v is null").select("id", F.lit(0).cast("long").alias("n_links")))
     out = out.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
