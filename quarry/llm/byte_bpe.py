@@ -22,8 +22,9 @@ from quarry.llm import common
 #: A single space between two characters that no definition calls white space: the pattern always cuts before it.
 _CUT = regex.compile(r"(?<=[^\s\x1c-\x1f\x85]) (?=[^\s\x1c-\x1f\x85])")
 _RARE_SPACE = regex.compile(r"[\s\x1c-\x1f\x85] | [\s\x1c-\x1f\x85]|^ | $")
-#: Entries of a worker's memo tables; the older half goes when one is full.
-MEMO = 300_000
+#: Entries of a worker's memo tables of words (twice, see ``WordMemo``) and of pairs of tokens.
+MEMO = 200_000
+PAIRS = 800_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -37,9 +38,51 @@ def split_words(text: str) -> list[str]:
     return _CUT.split(text) if _RARE_SPACE.search(text) else text.split(" ")
 
 
-def halve(memo: dict) -> None:
-    for key in list(memo)[:len(memo) // 2]:
-        del memo[key]
+class WordMemo:
+    """Remembers what was made of words. When it is full, words that nothing asked for since it last was are forgotten."""
+
+    def __init__(self, limit: int = MEMO):
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.limit = limit
+
+    def results(self, words: list[str], make) -> list[bytes]:
+        """What ``make(list of words)`` gives for each of the words, asked for new words only."""
+        if len(self.now) >= self.limit:
+            self.before, self.now = self.now, {}
+        new = []
+        for word in set(words).difference(self.now):
+            known = self.before.get(word)
+            if known is None:
+                new.append(word)
+            else:
+                self.now[word] = known
+        if new:
+            self.now.update(zip(new, make(new)))
+        return list(map(self.now.__getitem__, words))
+
+
+def words_of(texts: list[str | None]) -> tuple[list[str], list[int], list[str]]:
+    """First words of the texts, how many others each has, and all others, which follow a space."""
+    firsts, counts, others = [], [], []
+    for text in texts:
+        parts = split_words(text) if text else [""]
+        firsts.append(parts[0])
+        counts.append(len(parts) - 1)
+        others += parts[1:]
+    return firsts, counts, others
+
+
+def packed_texts(texts: list[str | None], memo: WordMemo, make) -> list[bytes]:
+    """Ids of each text as packed 32-bit integers; ``make`` encodes a list of strings on their own."""
+    firsts, counts, others = words_of(texts)
+    found = memo.results(others, lambda words: make([" " + w for w in words]))
+    heads = make(firsts)
+    out, at = [], 0
+    for head, n in zip(heads, counts):
+        out.append(head + b"".join(found[at:at + n]))
+        at += n
+    return out
 
 
 class Coder:
@@ -54,26 +97,31 @@ class Coder:
         for token, i in ranks.items():
             self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = {}
+        self.words = WordMemo()
+        ends = np.cumsum([0] + [len(self.bytes_of.get(i, b"")) for i in range(max(ranks.values(), default=-1) + 1)])
+        self.lengths, self.starts = np.diff(ends), ends[:-1]
+        self.all_bytes = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(len(self.starts))), np.uint8)
 
     def _merged(self, raw: bytes) -> list[int]:
         """The merges themselves, lowest rank first, for the few bytes of two tokens."""
         parts = [raw[i:i + 1] for i in range(len(raw))]
-        while len(parts) > 1:
-            ranked = [(self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1)]
-            rank, i = min(ranked)
-            if rank == 1 << 60:
-                break
+        rank_of = self.ranks.get
+        ranks = [rank_of(raw[i:i + 2], 1 << 60) for i in range(len(raw) - 1)]
+        while ranks and (least := min(ranks)) < 1 << 60:
+            i = ranks.index(least)
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank_of(parts[i - 1] + parts[i], 1 << 60)
+            if i < len(ranks):
+                ranks[i] = rank_of(parts[i] + parts[i + 1], 1 << 60)
         return [self.ranks[p] for p in parts]
 
     def compatible(self, a: int, b: int) -> bool:
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) >= MEMO:
-                halve(self.pairs)
-            known = self.pairs[a, b] = self._merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        known = self.pairs[a << 32 | b] = self._merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return known
 
     def piece(self, raw: bytes) -> list[int]:
@@ -83,57 +131,58 @@ class Coder:
             return [whole]
         n = len(raw)
         starting: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for last, (i, length) in self.automaton.iter(raw.decode("latin-1")):
-            starting[last - length + 1].append((i, length))  # by growing length
+        for last, match in self.automaton.iter(raw.decode("latin-1")):
+            starting[last + 1 - match[1]].append(match)  # by growing length
+        known = self.pairs.get
         closed = bytearray(n + 1)
         tokens: list[tuple[int, int]] = []
-        tried = [len(starting[0]) - 1]  # the next match to try at each step of the way, longest first
+        tried: list[int] = []  # matches left to try at each step of the way, longest last
         at = 0
+        left = len(starting[0])
         while at < n:
-            matches, k = starting[at], tried[-1]
+            matches = starting[at]
             before = tokens[-1][0] if tokens else -1
-            while k >= 0:
-                i, length = matches[k]
-                k -= 1
-                if not closed[at + length] and (before < 0 or self.compatible(before, i)):
+            while left:
+                left -= 1
+                match = matches[left]
+                if closed[at + match[1]]:
+                    continue
+                if before < 0:
+                    break
+                fits = known(before << 32 | match[0])
+                if fits or fits is None and self.compatible(before, match[0]):
                     break
             else:
                 if not tokens:
                     raise ValueError("the vocabulary lacks single bytes")
                 closed[at] = 1
-                tried.pop()
                 at -= tokens.pop()[1]
+                left = tried.pop()
                 continue
-            tried[-1] = k
-            tokens.append((i, length))
-            at += length
-            if at < n:
-                tried.append(len(starting[at]) - 1)
-        return [i for i, _ in tokens]
+            tried.append(left)
+            tokens.append(match)
+            at += match[1]
+            left = len(starting[at]) if at < n else 0
+        return [match[0] for match in tokens]
 
     def word(self, word: str) -> bytes:
         ids = [i for match in self.pattern.findall(word) for i in self.piece(match.encode())]
-        packed = np.array(ids, np.uint32).tobytes()
-        if len(word) <= 64:
-            if len(self.words) >= MEMO:
-                halve(self.words)
-            self.words[word] = packed
-        return packed
-
-    def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        first, *others = split_words(text)
-        known = self.words
-        out = [known.get(first) or self.word(first)] if first else []
-        for word in others:
-            word = " " + word
-            out.append(known.get(word) or self.word(word))
-        return np.frombuffer(b"".join(out), np.uint32)
-
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
-
+        return np.array(ids, np.uint32).tobytes()
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts and the offsets of each text's."""
+        packed = packed_texts(texts, self.words, lambda words: [self.word(w) for w in words])
+        ends = np.cumsum([0] + [len(x) >> 2 for x in packed])
+        return np.frombuffer(b"".join(packed), np.uint32), ends
+
+    def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All bytes of some texts' ids and the offsets of each text's."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.starts) or not self.lengths[ids].all()):
+            raise ValueError("an id is not in the vocabulary")
+        lengths = self.lengths[ids]
+        ends = np.cumsum(lengths)
+        at = np.repeat(self.starts[ids] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return self.all_bytes[at], np.append(0, ends)[offsets]
 
 _CODERS: dict[int, Coder] = {}
 
@@ -167,12 +216,9 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, column: str = "text",
     shared = _Shared(docs.sparkSession, vocabulary, pattern)
 
     def work(part):
-        coder = _coder(shared)
         texts = part.column(part.schema.get_field_index(column)).to_pylist()
-        found = [coder.encode(t or "") for t in texts]
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-        values = np.concatenate([np.zeros(0, np.uint32), *found]).astype(np.int32)
-        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(values))]
+        ids, ends = _coder(shared).encode(texts)
+        return [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))]
 
     source = docs.withColumn(column, F.col(f"`{column}`").cast("string"))
     return common.append(source, column, [T.StructField(out, T.ArrayType(T.IntegerType()))], work)
@@ -189,8 +235,10 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str, column: str = "ids
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                ids = part.column(part.schema.get_field_index(column)).to_pylist()
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in names] + [
-                    pa.array([coder.decode(x or ()) for x in ids], pa.binary())], names + [out])
+                ids = part.column(part.schema.get_field_index(column))
+                sizes = np.append(0, np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+                data, ends = coder.decode(ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64), sizes)
+                decoded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in names] + [decoded.cast(pa.binary())], names + [out])
 
     return encoded.select(*[f"`{n}`" for n in names]).mapInArrow(run, T.StructType([*kept, T.StructField(out, T.BinaryType())]))
