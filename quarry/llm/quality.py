@@ -76,6 +76,23 @@ def _descend(x: np.ndarray, slope, steps: int, rate: float, decay: float) -> tup
     return w[:-1], float(w[-1])
 
 
+def _estimated_prior(x: np.ndarray, n: int, steps: int, rate: float) -> float:
+    """The class prior from ``n`` positive and the other, unlabelled rows.
+
+    A classifier of positive against unlabelled rows gives g with odds of n * p(x | 1) to m * p(x); where only class 1 lies,
+    that is n / (m * prior). It is read off on each half of the positives by a classifier of the other half.
+    """
+    rows, found = np.arange(len(x)), []
+    for half in (0, 1):
+        use = rows % 2 == half
+        target = (rows[use] < n).astype(float)
+        w, b = _descend(x[use], lambda f: (_sigmoid(f) - target) / len(target), steps, rate, 0.1)  # noqa: B023
+        f = x[~use & (rows < n)] @ w.astype(np.float32) + b
+        if len(f):
+            found.append(float(n / (len(x) - n) / np.exp(np.clip(np.median(f), -20, 20))))
+    return float(np.mean(found)) if found else 0.5
+
+
 def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, steps: int = 300, rate: float = 0.03, decay: float = 1e-4) -> Scorer:
     """Minimise the non-negative risk; a prior of None is estimated from the two samples."""
     n, m = len(positive), len(unlabelled)
@@ -87,10 +104,7 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, ste
     scale = np.where(deviation > 1e-6, 1 / np.maximum(deviation, 1e-6), 0).astype(np.float32)
     x = (x - mean) * scale
     if prior is None:
-        target = np.concatenate([np.ones(n), np.zeros(m)])
-        w, b = _descend(x, lambda f: (_sigmoid(f) - target) / len(x), steps, rate, decay)
-        g = _sigmoid(x @ w.astype(np.float32) + b)
-        prior = float(np.mean(g[n:]) / max(np.mean(g[:n]), 1e-6)) * 0.95
+        prior = _estimated_prior(x, n, steps, rate)
     prior = min(max(prior, 0.01), 0.99)
 
     def slope(f):

@@ -85,7 +85,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit_bytes: int = 100,
     first = slim.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     revisits = slim.join(first, "digest").where("page_id > first").groupBy("page_id").agg(F.collect_set(F.struct("digest", "first")).alias("same"))
     named = rows.join(revisits, "page_id", "left")
-    named = named.withColumn("first", F.filter("same", lambda x: x["digest"] == F.col("digest"))[0]["first"]).drop("same")
+    named = named.withColumn("first", F.get(F.filter("same", lambda x: x["digest"] == F.col("digest")), F.lit(0))["first"]).drop("same")
     named = named.withColumn("copy", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url")))
 
     def records(batches):
