@@ -135,15 +135,15 @@ def keyed_contexts(qa: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def partner_texts(contexts: DataFrame, seed: str | int, limit: int | None = None) -> DataFrame:
-    """Per distinct context the texts of the next two contexts: (context_key, first, second)."""
+    """Per distinct context the texts of the next two contexts: (context_key, first, second); null where there is none."""
     link = context_partners(contexts, seed)
     body = F.col("context") if limit is None else F.substring("context", 1, limit)
     text = contexts.select(F.col("context_key").alias("_k"), body.alias("_t"))
     second = link.select(F.col("context_key").alias("partner_key"), F.col("partner_key").alias("second_key"))
-    chained = link.join(second, "partner_key")
+    chained = link.join(second, "partner_key", "left")
     return (
         chained.join(text.toDF("partner_key", "first"), "partner_key")
-        .join(text.toDF("second_key", "second"), "second_key")
+        .join(text.toDF("second_key", "second"), "second_key", "left")
         .select("context_key", "first", "second")
     )
 
@@ -160,6 +160,8 @@ def negative_pairs(qa: DataFrame, seed: str | int = "negative") -> DataFrame:
 def attach_distractors(qa: DataFrame, contexts: DataFrame | None = None, seed: str | int = "distractor") -> DataFrame:
     """Add ``chunks``: the context and one or two other contexts, half of the rows in another order.
 
+    All rows stay; a row whose context is the only one has no chunk but its own.
+
     ``contexts`` (context_key, context) is where the other contexts come from,
     by default the rows themselves.
     """
@@ -167,13 +169,13 @@ def attach_distractors(qa: DataFrame, contexts: DataFrame | None = None, seed: s
     rows = qa.withColumn("context_key", F.md5("context"))
     if contexts is None:
         contexts = keyed_contexts(qa)[1]
-    rows = rows.join(partner_texts(contexts, seed, c["distractor"]), "context_key")
+    rows = rows.join(partner_texts(contexts, seed, c["distractor"]), "context_key", "left")
     two = seeded_choice(f"{seed}-count", F.col("id"), 2) == 1
     mixed = seeded_choice(f"{seed}-order", F.col("id"), 2) == 1
     head = F.concat(F.lit("[1] document.txt: "), F.substring("context", 1, c["hard"]))
     other = F.concat(F.lit("[2] other_file.txt: "), F.col("first"))
     third = F.concat(F.lit("[3] other_file.txt: "), F.col("second"))
-    parts = F.when(two, F.array(head, other, third)).otherwise(F.array(head, other))
+    parts = F.array_compact(F.when(two, F.array(head, other, third)).otherwise(F.array(head, other)))
     by_hash = F.transform(
         F.array_sort(F.transform(parts, lambda t, i: F.struct(
             seeded_hash(f"{seed}-place", F.col("id"), i).alias("h"), t.alias("t"),
@@ -252,7 +254,7 @@ def refusals_from(qa: DataFrame, keys: DataFrame, contexts: DataFrame, n: int, s
     more = seeded_choice("negative-more", F.col("id"), 2) == 1
     return asked.select(
         "id", F.lit("negative").alias("kind"), F.lit("hard").alias("difficulty"),
-        _prompt(F.concat(first, F.when(more, second).otherwise(""))).alias("input"), F.lit(fv.REFUSAL).alias("output"),
+        _prompt(F.concat(first, F.coalesce(F.when(more, second), F.lit("")))).alias("input"), F.lit(fv.REFUSAL).alias("output"),
     )
 
 

@@ -30,10 +30,6 @@ def new_rows(rows: DataFrame, stored: DataFrame, key: str = "content_hash") -> D
     return rows.join(stored.select(key), key, "left_anti")
 
 
-def known_rows(rows: DataFrame, stored: DataFrame, key: str = "content_hash") -> DataFrame:
-    return rows.join(stored.select(key), key, "left_semi")
-
-
 def first_per_content(entries: DataFrame) -> DataFrame:
     """One row per content: the FILE entry with the smallest path, with the number of paths that share it."""
     files = entries.filter(F.col("entry_type") == "file")
@@ -82,6 +78,22 @@ def stale_paths(stored: DataFrame, current: DataFrame, roots: list[str] | None =
     return scanned.join(current.select("path"), "path", "left_anti")
 
 
+def outside(rows: DataFrame, folders: DataFrame) -> DataFrame:
+    """Rows whose ``path`` lies in or below none of the folders (``path``); a path meets its own ancestors by equality."""
+    parts = F.split("path", "/")
+    ancestors = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    below = rows.select("path", F.explode(ancestors).alias("_folder")).join(folders.select(F.col("path").alias("_folder")), "_folder", "left_semi")
+    return rows.join(below.select("path").distinct(), "path", "left_anti")
+
+
+def changed_paths(described: DataFrame, stored: DataFrame) -> DataFrame:
+    """Files that are new, or whose content or modification time differs from the stored path row."""
+    old = stored.select("path", F.col("content_hash").alias("_hash"), F.col("mtime").alias("_mtime"), F.lit(True).alias("_stored"))
+    same = F.col("_hash").eqNullSafe(F.col("content_hash")) & F.col("_mtime").eqNullSafe(F.col("mtime"))
+    joined = described.join(old, "path", "left")
+    return joined.filter(F.col("_stored").isNull() | ~same).drop("_hash", "_mtime", "_stored")
+
+
 def without_orphans(rows: DataFrame, paths: DataFrame) -> DataFrame:
     """Content or chunk rows that some path still refers to."""
     return rows.join(paths.select("content_hash"), "content_hash", "left_semi")
@@ -96,9 +108,13 @@ def content_paths(content: DataFrame, paths: DataFrame) -> DataFrame:
     return content.join(paths, "content_hash")
 
 
-def chunk_paths(chunks: DataFrame, content: DataFrame, paths: DataFrame) -> DataFrame:
-    """One row per chunk and path; three tables partitioned once, on ``content_hash``."""
-    return chunks.join(content.select("content_hash"), "content_hash").join(paths, "content_hash")
+def chunk_paths(chunks: DataFrame, paths: DataFrame) -> DataFrame:
+    """One row per chunk and path.
+
+    A single join of two shuffled sides, which adaptive execution splits where a content has very many paths. Contents need
+    not be joined: a chunk without a path falls away here, and no chunk is stored without its content.
+    """
+    return chunks.join(paths, "content_hash")
 
 
 def index_rows(content: DataFrame, paths: DataFrame, chunks: DataFrame | None) -> DataFrame:
@@ -113,7 +129,7 @@ def index_rows(content: DataFrame, paths: DataFrame, chunks: DataFrame | None) -
     rows = files
     if chunks is not None:
         parts = chunk_paths(
-            chunks.filter(F.col("embedding").isNotNull()), content, paths.select(*located)
+            chunks.filter(F.col("embedding").isNotNull()), paths.select(*located)
         ).withColumn("type", F.lit("chunk"))
         rows = files.unionByName(parts.select(*files.columns))
     row_id = F.concat_ws("#", "type", "path", F.col("chunk_index").cast("string"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +14,8 @@ from quarry.functions.embedding import Embed, hashing_embedding
 from quarry.operators import entries as E
 from quarry.operators import store as S
 from quarry.plans.snapshot import Store
-from quarry.session import materialize
+from quarry.session import discard, materialize
+from quarry.sources.files import Extractor, extract_text, hash_files, read_files
 
 DIMS = 64
 
@@ -83,9 +86,10 @@ def full_refresh(
     described = described_files(files.filter(F.col("error_type").isNull()), home)
     flagged = materialize(S.flag_known(described, store.content()), "flagged")
     fresh = new_texts(flagged, files if texts is None else texts)
-    gone = S.stale_paths(store.paths(), files.select("path"), roots).select("path")
+    gone = removed_paths(store, files, roots)
+    changed = S.changed_paths(flagged, store.paths())
     version = store.commit(
-        batch_id, content_rows(fresh, now, embed), path_rows(flagged, now), chunk_rows(fresh, embed), removed=gone
+        batch_id, content_rows(fresh, now, embed), path_rows(changed, now), chunk_rows(fresh, embed), removed=gone
     )
     counted = S.index_stats(flagged.withColumn("error_type", F.lit(None).cast("string"))).drop("chunks_created", "errors")
     n_chunks = store.version("chunks", version).agg(F.count("*").alias("chunks_created"))
@@ -96,6 +100,55 @@ def full_refresh(
     )
 
 
+def removed_paths(store: Store, files: DataFrame, roots: list[str]) -> DataFrame:
+    """Stored paths below the roots that a scan did not meet, without those below a folder it could not list."""
+    gone = S.stale_paths(store.paths(), files.select("path"), roots).select("path")
+    if "is_dir" in files.columns:
+        gone = S.outside(gone, files.filter(F.col("is_dir") & F.col("error_type").isNotNull()).select("path"))
+    return gone
+
+
+def refresh_from_disk(
+    store: Store, listing: DataFrame, home: str, roots: list[str], batch_id: str, extractors: Sequence[Extractor] = (),
+    now: Column | None = None, embed: Embed = DEFAULT_EMBED,
+) -> dict:
+    """From a listing (``scan_files``) to a committed version; returns the counters of the run.
+
+    A cascade: files with the stored modification time are taken as unchanged and not opened; the others are hashed in
+    the task that reads them; only one file of each new content is read for its text and goes through an extractor, once.
+    Files and folders that cannot be read are counted and keep what is stored for them.
+    """
+    now = F.current_timestamp() if now is None else now
+    listing = materialize(listing, "listing")
+    stored = store.paths()
+    known = stored.select("path", F.col("mtime").alias("_mtime"))
+    files = listing.filter(F.col("error_type").isNull()).join(known, "path", "left")
+    touched = files.filter(~F.coalesce(F.col("_mtime") == F.col("mtime"), F.lit(False))).drop("_mtime")
+    hashed = materialize(hash_files(touched), "hashed")
+    described = described_files(hashed.filter(F.col("error_type").isNull()), home)
+    flagged = materialize(S.flag_known(described, store.content()), "flagged")
+    single = flagged.filter(~F.col("is_known")).groupBy("content_hash").agg(F.min("path").alias("path"))
+    read = read_files(hashed.join(single.select("path"), "path", "left_semi"))
+    texts = extract_text(read, extractors).select("content_hash", "path", "text", "error_type")
+    texts = materialize(texts.filter(F.col("content_hash").isNotNull()).dropDuplicates(["content_hash"]), "texts")
+    at_hand = texts.select("content_hash").unionByName(flagged.filter("is_known").select("content_hash")).distinct()
+    rows = S.changed_paths(flagged, stored).join(at_hand, "content_hash", "left_semi")
+    version = store.commit(
+        batch_id, content_rows(texts, now, embed), path_rows(rows, now), chunk_rows(texts, embed),
+        removed=removed_paths(store, listing, roots),
+    )
+    failed = F.col("error_type").isNotNull()
+    n_files, n_failed = listing.agg(F.count_if(~F.col("is_dir")), F.count_if(failed)).first()
+    n_read, n_unread = hashed.agg(F.count("*"), F.count_if(failed)).first()
+    n_new, n_unparsed = texts.agg(F.count("*"), F.count_if(failed)).first()
+    out = {
+        "files_scanned": n_files, "files_read": n_read, "files_indexed": n_new, "errors": n_failed + n_unread + n_unparsed,
+        "chunks_created": store.version("chunks", version).count(),
+    }
+    discard(listing, hashed, flagged, texts)
+    return out
+
+
 def apply_changes(
     store: Store, changes: DataFrame, files: DataFrame, home: str, batch_id: str, now: Column | None = None,
     embed: Embed = DEFAULT_EMBED,

@@ -1,26 +1,49 @@
 """Versioned tables on plain Parquet.
 
-A version is a folder per table plus one commit row written last.  Readers only
-see committed versions, so half a batch is never visible.  A *delta* adds rows
-(new contents, chunks and path changes) without touching older files; a *base*
-rewrites the tables and hides everything before it.
+A version is a folder per table, under a name of its own, plus one commit file
+written last, which names the folder.  Readers only see committed versions, so
+half a batch is never visible.  Of two writers that want the same version number
+one creates the commit file; the other gets ``CommitConflict`` and has touched
+nothing that a reader sees.  A *delta* adds rows (new contents, chunks and path
+changes) without touching older files; a *base* rewrites the tables and hides
+everything before it.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import schemas
+from quarry.session import remove_folder
 
 TABLES = {
     "content": schemas.CONTENT,
     "paths": schemas.PATHS + ", deleted boolean, version bigint",
     "chunks": schemas.CHUNKS,
 }
-_COMMITS = "version bigint, batch_id string, is_base boolean, committed_at timestamp"
+_COMMITS = "version bigint, batch_id string, is_base boolean, folder string, tables array<string>"
+
+
+class CommitConflict(RuntimeError):
+    """Another writer committed a version since this one was planned; plan again on what it wrote."""
+
+
+def retried(plan: Callable, store: "Store", attempts: int = 5):
+    """``plan()`` again after a conflict, each time on the newest version."""
+    for left in range(attempts - 1, -1, -1):
+        try:
+            return plan()
+        except CommitConflict:
+            store.status(refresh=True)
+            if not left:
+                raise
 
 
 class Store:
@@ -30,17 +53,17 @@ class Store:
         self.spark, self.root = spark, root.rstrip("/")
         self._seen: list | None = None
 
-    def _exists(self, path: str) -> bool:
+    def _files(self):
         jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/commits")
+        return jvm, folder, folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def commits(self) -> DataFrame:
-        """Committed versions; ``_SUCCESS`` decides whether a commit folder counts."""
-        folder = f"{self.root}/commits"
-        if not self._exists(folder):
+        """Committed versions. A commit file that its writer did not finish holds no row."""
+        _, folder, files = self._files()
+        if not files.exists(folder):
             return self.spark.createDataFrame([], _COMMITS)
-        return self.spark.read.schema(_COMMITS).json(f"{folder}/*/part-*")
+        return self.spark.read.schema(_COMMITS).json(f"{self.root}/commits/*.json").filter("version is not null")
 
     def _log(self, refresh: bool = False) -> list:
         """Commit rows, oldest first: one small row per version, kept until the next commit."""
@@ -48,6 +71,12 @@ class Store:
             self._seen = sorted(self.commits().collect(), key=lambda r: r["version"])
         return self._seen
 
+    def _next_version(self) -> int:
+        """One more than the last commit file, whether or not its writer finished it."""
+        _, folder, files = self._files()
+        names = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
+        return max((int(n[:-5]) for n in names if n.endswith(".json")), default=-1) + 1
+
     def status(self, refresh: bool = False) -> dict:
         """Does an index exist, at which version, made of how many versions."""
         log = self._log(refresh)
@@ -55,22 +84,22 @@ class Store:
             return {"indexed": False, "path": self.root, "version": -1, "base": 0, "versions": 0}
         version = log[-1]["version"]
         base = max((r["version"] for r in log if r["is_base"]), default=0)
-        return {"indexed": True, "path": self.root, "version": version, "base": base, "versions": version - base + 1}
+        versions = sum(r["version"] >= base for r in log)
+        return {"indexed": True, "path": self.root, "version": version, "base": base, "versions": versions}
 
-    def _parts(self, table: str) -> DataFrame:
-        state = self.status()
-        folders = [f"{self.root}/{table}/v={v}" for v in range(state["base"], state["version"] + 1)]
-        folders = [f for f in folders if self._exists(f)]
+    def _read(self, table: str, log: list) -> DataFrame:
+        folders = [f"{self.root}/{table}/{r['folder']}" for r in log if table in r["tables"]]
         if not folders:
             return self.spark.createDataFrame([], TABLES[table])
         return self.spark.read.schema(TABLES[table]).parquet(*folders)
 
+    def _parts(self, table: str) -> DataFrame:
+        base = self.status()["base"]
+        return self._read(table, [r for r in self._log() if r["version"] >= base])
+
     def version(self, table: str, version: int) -> DataFrame:
         """The rows one version added to a table."""
-        folder = f"{self.root}/{table}/v={version}"
-        if not self._exists(folder):
-            return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(folder)
+        return self._read(table, [r for r in self._log() if r["version"] == version])
 
     def content(self) -> DataFrame:
         return self._parts("content")
@@ -106,28 +135,44 @@ class Store:
         """
         if self.has_batch(batch_id):
             return self.status()["version"]
-        version = self.status()["version"] + 1
+        version, known = self._next_version(), self.status()["version"]
         path_parts = []
         if paths is not None:
             path_parts.append(paths.withColumn("deleted", F.lit(False)))
         if removed is not None:
             nothing = [F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in schemas.PATHS.split(", ")[1:]]
             path_parts.append(removed.select("path", *nothing).withColumn("deleted", F.lit(True)))
-        if content is not None:
-            content.write.mode("overwrite").parquet(f"{self.root}/content/v={version}")
+        parts = {"content": content, "chunks": chunks}
         if path_parts:
-            log = reduce(lambda a, b: a.unionByName(b), path_parts).withColumn("version", F.lit(version).cast("bigint"))
-            log.write.mode("overwrite").parquet(f"{self.root}/paths/v={version}")
-        if chunks is not None:
-            chunks.write.mode("overwrite").parquet(f"{self.root}/chunks/v={version}")
-        row = self.spark.range(1).select(
-            F.lit(version).cast("bigint").alias("version"), F.lit(batch_id).alias("batch_id"),
-            F.lit(base or version == 0).alias("is_base"), F.current_timestamp().alias("committed_at"),
-        )
-        row.coalesce(1).write.mode("errorifexists").json(f"{self.root}/commits/{version:012d}")
+            log = reduce(lambda a, b: a.unionByName(b), path_parts)
+            parts["paths"] = log.withColumn("version", F.lit(version).cast("bigint"))
+        parts = {table: rows for table, rows in parts.items() if rows is not None}
+        folder = f"v={version}-{uuid.uuid4().hex}"
+        for table, rows in parts.items():
+            rows.write.parquet(f"{self.root}/{table}/{folder}")
+        row = {"version": version, "batch_id": batch_id, "is_base": base or known < 0, "folder": folder, "tables": sorted(parts)}
+        try:
+            self._create_commit(version, json.dumps(row))
+        except CommitConflict:
+            for table in parts:
+                remove_folder(self.spark, f"{self.root}/{table}/{folder}")
+            raise
         self._seen = None
         return version
 
+    def _create_commit(self, version: int, text: str) -> None:
+        """Create the commit file; the file system lets one writer do so."""
+        jvm, folder, files = self._files()
+        target = jvm.org.apache.hadoop.fs.Path(folder, f"{version:012d}.json")
+        try:
+            out = files.create(target, False)
+        except Py4JJavaError as error:
+            if files.exists(target):
+                raise CommitConflict(f"version {version} of {self.root} was committed by another writer") from error
+            raise
+        out.write(bytearray(text.encode()))
+        out.close()
+
     def compact(self, batch_id: str) -> int:
         """Rewrite everything visible as a new base, without contents and chunks no path refers to."""
         from quarry.operators.store import without_orphans

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import fixed_values as fv
@@ -254,23 +255,38 @@ def debounce_stream(changes: DataFrame, width_ms: int = fv.DEBOUNCE_MS, timed: b
     )
 
 
-def run_incremental(changes: DataFrame, store, current_files, home: str, checkpoint: str, trigger: dict | None = None):
-    """Apply every micro-batch to the store; the batch id makes a replay harmless.
+def stream_id(spark, checkpoint: str) -> str:
+    """The name of a stream, kept beside its checkpoint: the same after a restart, another one for a new checkpoint."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}/stream-name")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        out = files.create(path, False)
+        out.write(bytearray(uuid.uuid4().hex.encode()))
+        out.close()
+    return spark.read.text(path.toString()).first()[0]
 
-    ``current_files``: function (SparkSession) to DataFrame of the files as they are now.
+
+def run_incremental(changes: DataFrame, store, current_files, home: str, checkpoint: str, trigger: dict | None = None,
+                    fold_after: int = 64):
+    """Apply every micro-batch to the store; the batch id, which names the stream too, makes a replay harmless.
+
+    ``current_files``: function (SparkSession) to DataFrame of the files as they are now. After ``fold_after`` versions
+    the store is compacted. A version that another writer committed meanwhile makes the batch plan again.
     """
     from quarry.plans.index import apply_changes
+    from quarry.plans.snapshot import retried
+
+    name = stream_id(changes.sparkSession, checkpoint)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         latest = latest_per_path(relevant(batch))
-        apply_changes(store, latest, current_files(batch.sparkSession), home, f"stream-{batch_id}")
+        files = current_files(batch.sparkSession)
+        retried(lambda: apply_changes(store, latest, files, home, f"stream-{name}-{batch_id}"), store)
+        if store.status(refresh=True)["versions"] > fold_after:
+            retried(lambda: store.compact(f"fold-{name}-{batch_id}"), store)
 
     return (
         changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True})).start()
     )
-
-
-def per_path_rank(changes: DataFrame) -> DataFrame:
-    w = Window.partitionBy("root", "path").orderBy(F.desc("ts"), F.desc("seq"))
-    return changes.withColumn("recency", F.row_number().over(w))

@@ -155,8 +155,97 @@ def test_scan_read_and_extract(spark, tmp_path):
     got = {r.name: r for r in text.collect()}
     assert got["sample.txt"].first_line == "This is a sample text file."
     assert got["bad.pdf"].error_type == "ValueError" and got["bad.pdf"].text == ""
-    assert "copy.txt" not in got and got["binary.bin"].error_type is None
+    assert got["copy.txt"].error_type == "FileNotFoundError" and got["copy.txt"].text == ""
+    assert got["missing"].error_type == "FileNotFoundError" and got["binary.bin"].error_type is None
 
 
 def test_empty_root(spark, tmp_path):
     assert SF.scan_files(spark, [str(tmp_path)]).count() == 0
+
+
+def test_refresh_from_disk(spark, tmp_path):
+    """New contents go through their extractor once; what cannot be read or listed keeps what is stored."""
+    root, calls = tmp_path / "root", tmp_path / "calls"
+    calls.mkdir()
+    deep = root.joinpath(*["n"] * 80)
+    deep.mkdir(parents=True)
+    (deep / "deep.txt").write_text("deep")
+    (root / "a.pdf").write_bytes(b"one")
+    (root / "copy.pdf").write_bytes(b"one")
+    (root / "sub").mkdir()
+    (root / "sub" / "b.pdf").write_bytes(b"two")
+    (root / "bad.pdf").write_bytes(b"bad")
+    where = str(calls)
+
+    def parse(_, content):
+        import uuid
+
+        with open(f"{where}/{uuid.uuid4().hex}", "wb") as out:
+            out.write(content)
+        if content == b"bad":
+            raise ValueError("cannot read")
+        return "text of " + content.decode()
+
+    def seen():
+        out = sorted(p.read_bytes() for p in calls.iterdir())
+        for p in calls.iterdir():
+            p.unlink()
+        return out
+
+    store, extractors = new_store(spark), [SF.Extractor(frozenset([".pdf"]), parse)]
+
+    def run(batch):
+        return I.refresh_from_disk(store, SF.scan_files(spark, [str(root)]), str(root), [str(root)], batch, extractors)
+
+    first = run("one")
+    assert (first["files_scanned"], first["files_read"], first["files_indexed"], first["errors"]) == (5, 5, 4, 1)
+    assert seen() == [b"bad", b"one", b"two"] and len(paths(store)) == 5
+    again = run("two")
+    assert (again["files_scanned"], again["files_read"], again["files_indexed"], again["chunks_created"]) == (5, 0, 0, 0) and seen() == []
+    assert store.version("paths", store.status()["version"]).count() == 0  # nothing changed, so no row is written
+    (root / "a.pdf").unlink()
+    (root / "sub" / "new.pdf").write_bytes(b"three")
+    third = run("three")
+    assert (third["files_read"], third["files_indexed"]) == (1, 1) and seen() == [b"three"]
+    assert str(root / "a.pdf") not in paths(store) and len(paths(store)) == 5
+    root.rename(tmp_path / "away")
+    lost = run("four")
+    assert lost["errors"] == 1 and len(paths(store)) == 5  # a root that cannot be reached deletes nothing
+
+
+def test_walk_in_many_rounds(spark, tmp_path, monkeypatch):
+    for i in range(40):
+        folder = tmp_path / f"d{i % 5}" / f"e{i}"
+        folder.mkdir(parents=True)
+        (folder / f"f{i}.txt").write_text("x")
+    monkeypatch.setattr(SF, "WALK", 3)
+    assert SF.scan_files(spark, [str(tmp_path)]).filter("not is_dir").count() == 40
+
+
+def test_two_writers(spark):
+    from quarry.plans import snapshot
+
+    one = new_store(spark)
+    refresh(one, spark, {"/r/a.txt": "a"}, "b1")
+    two = Store(spark, one.root)
+    taken = two._next_version()
+    two._next_version = lambda: taken  # planned before the other writer commits
+    refresh(one, spark, {"/r/a.txt": "a", "/r/b.txt": "b"}, "b2")
+    try:
+        refresh(two, spark, {"/r/c.txt": "c"}, "b3")
+        raise AssertionError("the second writer must not commit")
+    except snapshot.CommitConflict:
+        pass
+    assert paths(Store(spark, one.root)) == {"/r/a.txt", "/r/b.txt"}
+    del two._next_version
+    snapshot.retried(lambda: refresh(two, spark, {"/r/a.txt": "a", "/r/c.txt": "c"}, "b3"), two)
+    assert paths(Store(spark, one.root)) == {"/r/a.txt", "/r/c.txt"}
+    assert Store(spark, one.root).content().count() == 3
+
+
+def test_distractors_of_a_single_context(spark):
+    from quarry.operators import examples as X
+
+    rows_ = [(1, "ctx", "q", ["a"], False), (2, "ctx", "r", ["b"], False)]
+    qa = spark.createDataFrame(rows_, "id long, context string, question string, answers array<string>, is_impossible boolean")
+    assert [r.chunks for r in X.attach_distractors(qa).collect()] == ["[1] document.txt: ctx"] * 2

@@ -136,3 +136,22 @@ def test_full_system_report(spark):
         "- **/:** 10.0 GB free of 20.0 GB (50.0% used)\n\n### Top Processes (by RAM)\n- **a** (PID 1): 9.0 MB RAM, 1.0% CPU\n\n"
         "### Top Processes (by CPU)\n- **b** (PID 2): 9.0% CPU, 3.0 MB RAM\n\n### Battery\n- **Level:** 80% (On battery)\n"
     )
+
+
+def test_second_stream_on_one_store(spark):
+    """A stream with a new checkpoint counts its batches from 0 again and still gets through; a replay changes nothing."""
+    from quarry.plans.snapshot import Store
+
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    store = Store(spark, folder + "/store")
+    for i in (1, 2):
+        change_table(spark, [("/r", 1, i, f"/r/f{i}.txt", None, "created")]).write.json(f"{folder}/changes{i}")
+        files = spark.createDataFrame([(f"/r/f{i}.txt", f"text {i}", None)], "path string, text string, mtime timestamp")
+        for _ in range(2):  # the second start finds nothing new
+            job = SC.run_incremental(SC.read_changes(spark, f"{folder}/changes{i}"), store, lambda _, f=files: f, "/home/u", f"{folder}/state{i}")
+            job.awaitTermination()
+    assert {r.path for r in store.paths().collect()} == {"/r/f1.txt", "/r/f2.txt"}
+    assert store.status(refresh=True)["versions"] == 2
+    job = SC.run_incremental(SC.read_changes(spark, f"{folder}/changes1"), store, lambda _: files, "/home/u", f"{folder}/state3", fold_after=2)
+    job.awaitTermination()
+    assert store.status(refresh=True)["versions"] == 1  # folded

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import BLANKS
@@ -163,14 +163,31 @@ pairs AS (SELECT conv_id, turn, text AS question, next_text AS answer FROM nexts
   WHERE role = 'user' AND next_role = 'assistant')"""
 
 
+def numbered_pairs(t: Tables) -> tuple[DataFrame, int]:
+    """The pairs with ``k``, the running number of their conversation among those that have pairs, and how many there are.
+
+    Conversations are counted per thousand ids first; only the thousands' sums are added up in order.
+    """
+    asked = pairs(t)
+    ids = asked.select("conv_id").distinct().withColumn("_thousand", F.floor(F.col("conv_id") / 1000))
+    sums = ids.groupBy("_thousand").agg(F.count("*").alias("_n"))
+    before = sums.select("_thousand", (F.sum("_n").over(Window.orderBy("_thousand")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_thousand").orderBy("conv_id")) - 1 + F.col("_before")
+    numbers = ids.join(before, "_thousand").select("conv_id", place.alias("k"))
+    return asked.join(numbers, "conv_id"), max(1, ids.count())
+
+
+NUMBERED = PAIRS + """, numbered AS (
+  SELECT p.*, n.k FROM pairs p JOIN (SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS k
+    FROM (SELECT DISTINCT conv_id FROM pairs)) n USING (conv_id))"""
+
+
 def qa(t: Tables) -> DataFrame:
     """Every document with the question-answer pairs of one conversation; low quality means unanswerable."""
-    n = t.conversations.agg(F.max("conv_id") + 1).first()[0]
-    docs = t.documents.select(
-        "doc_id", F.col("text").alias("context"), F.pmod("doc_id", F.lit(n)).alias("conv_id")
-    )
+    asked, n = numbered_pairs(t)
+    docs = t.documents.select("doc_id", F.col("text").alias("context"), F.pmod("doc_id", F.lit(n)).alias("k"))
     bad = t.labels.filter("quality = 0").select("doc_id").distinct().withColumn("is_impossible", F.lit(True))
-    rows = docs.join(pairs(t), "conv_id").join(bad, "doc_id", "left")
+    rows = docs.join(asked, "k").join(bad, "doc_id", "left")
     impossible = F.coalesce("is_impossible", F.lit(False))
     return rows.select(
         (F.col("doc_id") * 100 + F.col("turn")).alias("id"), "context", "question",
@@ -180,11 +197,11 @@ def qa(t: Tables) -> DataFrame:
 
 
 QA = (
-    PAIRS
+    NUMBERED
     + """, qa AS (
   SELECT d.doc_id * 100 + p.turn AS id, d.text AS context, p.question,
     l.doc_id IS NOT NULL AS is_impossible, CASE WHEN l.doc_id IS NULL THEN p.answer END AS answer
-  FROM documents d JOIN pairs p ON p.conv_id = d.doc_id % (SELECT max(conv_id) + 1 FROM conversations)
+  FROM documents d JOIN numbered p ON p.k = d.doc_id % (SELECT count(DISTINCT conv_id) FROM pairs)
   LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 0) l ON l.doc_id = d.doc_id)"""
 )
 

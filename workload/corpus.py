@@ -15,6 +15,7 @@ from quarry.plans.snapshot import Store
 from quarry.session import new_folder
 from quarry.sources import files as SF
 from workload import bindings as B
+from workload import trees
 from workload.registry import query, sql_list, sql_text
 
 HOME = B.HOME
@@ -35,18 +36,6 @@ def chunk_statistics(t):
 # ------------------------------------------------------------------------- files
 
 
-@query("scan_files")
-def scan_files(t):
-    found = SF.scan_files(t.spark, [t.folder])
-    return found.select("name", "extension", "size", "is_placeholder")
-
-
-@query("read_and_fingerprint")
-def read_and_fingerprint(t):
-    read = SF.read_files(SF.scan_files(t.spark, [t.folder]))
-    return read.select("name", "content_hash", F.octet_length("content").alias("bytes"))
-
-
 _SKIP_FILE = (
     f"list_contains({sql_list(fv.SYSTEM_FILES)}, n) OR (starts_with(n, '.') AND NOT ends_with(n, '.icloud')) "
     f"OR list_contains({sql_list(fv.SKIP_EXTENSIONS)}, lower({B.s_suffix('n')}))"
@@ -327,7 +316,7 @@ def chunk_join_paths(t):
     rows = _described(t)
     single = rows.groupBy("content_hash").agg(F.any_value("text").alias("text"))
     chunks = single.select("content_hash", F.posexplode(T.chunk_array(F.col("text"))).alias("chunk_index", "text"))
-    joined = S.chunk_paths(chunks, single, rows.select("content_hash", "path"))
+    joined = S.chunk_paths(chunks, rows.select("content_hash", "path"))
     return joined.select("content_hash", "chunk_index", F.md5("text").alias("text_md5"), "path")
 
 
@@ -479,6 +468,57 @@ _CONTENT_CHUNKS = f"""k AS (SELECT content_hash, any_value(text) AS text FROM ke
 kc AS (SELECT content_hash, {B.s_chunks('text', 1000, 200)} AS cs FROM k)"""
 
 
+@query("scan_files", f"""
+WITH {_KEPT} SELECT path, extension, {B.s_placeholder('file_name')} AS is_placeholder, strlen(text) AS size, mtime_s, NULL AS error_type
+FROM kept UNION ALL SELECT '{HOME}/missing', '', false, 0, NULL, 'FileNotFoundError'""")
+def scan_files(t):
+    """The documents written out as files and listed."""
+    root = trees.documents_tree(t)
+    return SF.scan_files(t.spark, trees.roots(root)).select(
+        trees.below_home("path", root).alias("path"), "extension", "is_placeholder", "size", F.unix_seconds("mtime").alias("mtime_s"), "error_type"
+    )
+
+
+@query("read_and_fingerprint", f"""
+WITH {_KEPT} SELECT path, content_hash, strlen(text) AS bytes FROM kept UNION ALL SELECT '{HOME}/missing', NULL, NULL""")
+def read_and_fingerprint(t):
+    root = trees.documents_tree(t)
+    read = SF.read_files(SF.scan_files(t.spark, trees.roots(root)))
+    return read.select(trees.below_home("path", root).alias("path"), "content_hash", F.octet_length("content").cast("bigint").alias("bytes"))
+
+
+@query("refresh_from_disk", f"""
+WITH {_KEPT}, one AS (SELECT * FROM kept WHERE doc_id % 7 <> 0),
+two AS (SELECT path, CASE WHEN doc_id % 5 = 2 AND doc_id % 7 <> 0 THEN sha256(text || ' edited') ELSE content_hash END AS content_hash,
+  doc_id % 7 = 0 OR doc_id % 5 = 2 AS opened FROM kept WHERE doc_id % 7 = 0 OR doc_id % 5 <> 1),
+counts AS (SELECT (SELECT count(*) FROM two) AS files_scanned, (SELECT count(*) FROM two WHERE opened) AS files_read,
+  (SELECT count(DISTINCT content_hash) FROM two WHERE content_hash NOT IN (SELECT content_hash FROM one)) AS files_indexed,
+  (SELECT count(*) FROM two) AS unchanged_scanned, 0::BIGINT AS unchanged_read, 0::BIGINT AS unchanged_indexed)
+SELECT path, content_hash, counts.* FROM two, counts""")
+def refresh_from_disk(t):
+    """Documents as files, refreshed three times: at first, after edits, deletions and additions, and unchanged."""
+    root, kind = new_folder(t.spark, "tree"), F.col("doc_id")
+    files = B.files(t)
+    trees.write_tree(files.filter(kind % 7 != 0), root)
+    store = Store(t.spark, new_folder(t.spark, "store"))
+
+    def run(batch):
+        local = root.removeprefix("file://").removeprefix("file:")
+        return local, I.refresh_from_disk(store, SF.scan_files(t.spark, trees.roots(local)), local, trees.roots(local), batch)
+
+    run("one")
+    later = F.col("mtime") + F.expr("interval 1 hour")
+    edited = files.filter((kind % 5 == 2) & (kind % 7 != 0)).withColumns({"text": F.concat("text", F.lit(" edited")), "mtime": later})
+    gone = files.filter((kind % 5 == 1) & (kind % 7 != 0)).withColumn("text", F.lit(None).cast("string"))
+    trees.write_tree(edited.unionByName(gone).unionByName(files.filter(kind % 7 == 0)), root)
+    local, second = run("two")
+    _, third = run("three")
+    counters = {n: second[n] for n in ("files_scanned", "files_read", "files_indexed")}
+    counters |= {f"unchanged_{n[6:]}": third[n] for n in ("files_scanned", "files_read", "files_indexed")}
+    return store.paths().select(
+        trees.below_home("path", local).alias("path"), "content_hash", *[F.lit(v).cast("bigint").alias(k) for k, v in counters.items()])
+
+
 @query("full_refresh", f"""
 WITH {_KEPT}, s AS (SELECT * FROM kept WHERE doc_id % 2 = 0), c AS (SELECT * FROM kept WHERE doc_id % 14 <> 0),
 k AS (SELECT content_hash, any_value(text) AS text FROM c WHERE content_hash NOT IN (SELECT content_hash FROM s) GROUP BY 1)

@@ -124,23 +124,23 @@ def numeric_layer(t):
 
 
 def stories(t):
-    """Conversations as stories with all their question-answer turns; the document with the same id is the story."""
-    turns = B.pairs(t).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "question", "answer"))).alias("qs"))
-    told = t.documents.select(F.col("doc_id").alias("conv_id"), F.col("text").alias("story"))
-    return turns.join(told, "conv_id").select(
-        F.col("conv_id").alias("id"), "story",
-        F.transform("qs", lambda q: q["question"]).alias("questions"), F.transform("qs", lambda q: q["answer"]).alias("answers"),
+    """Every document as the story of one conversation, with all its question-answer turns."""
+    asked, n = B.numbered_pairs(t)
+    turns = asked.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("turn", "question", "answer"))).alias("qs"))
+    told = t.documents.select(F.col("doc_id").alias("id"), F.pmod("doc_id", F.lit(n)).alias("k"), F.col("text").alias("story"))
+    return told.join(turns, "k").select(
+        "id", "story", F.transform("qs", lambda q: q["question"]).alias("questions"), F.transform("qs", lambda q: q["answer"]).alias("answers"),
     )
 
 
 _L2C = f"""turns AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i,
-  count(*) OVER (PARTITION BY conv_id) AS k FROM pairs),
-picked AS (SELECT conv_id AS id, d.text AS context, question, answer AS output FROM turns JOIN documents d ON d.doc_id = conv_id
-  WHERE i = conv_id % k),
+  count(*) OVER (PARTITION BY conv_id) AS n_turns FROM numbered),
+picked AS (SELECT d.doc_id AS id, d.text AS context, question, answer AS output FROM turns
+  JOIN documents d ON turns.k = d.doc_id % (SELECT count(DISTINCT conv_id) FROM pairs) WHERE i = d.doc_id % n_turns),
 l2c AS (SELECT id, output, {s_layer('story', 'story')} AS input FROM picked)"""
 
 
-@query("conversational_layer", f"WITH {B.PAIRS}, {_L2C} SELECT id, {s_digest(sql_text('coqa'), 2)} FROM l2c")
+@query("conversational_layer", f"WITH {B.NUMBERED}, {_L2C} SELECT id, {s_digest(sql_text('coqa'), 2)} FROM l2c")
 def conversational_layer(t):
     return digests(X.conversational_layer(stories(t)))
 
