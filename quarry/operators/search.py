@@ -1,27 +1,26 @@
 """Filtered top-k vector search.
 
-Entries are never shuffled: every task multiplies its Arrow batches with the
-block of query vectors and keeps a running top-k per query; only those rows go
-to the merge.  A query block is limited in bytes; more queries mean more blocks,
-each of them a separate scan, so no amount of queries is dropped or collected
-at once.
+Queries meet entries in a join: on the cell in a cell search, on a tile of the
+entries in an exact search. Entries and queries are dealt to tiles of bounded
+size, so a task holds one tile of each, whatever their numbers, and nothing
+passes through the driver. A task multiplies its two tiles and keeps the top k
+of each query; those rows are merged by query.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.ordering import top_k
 from quarry.session import materialize
 
-MAX_QUERY_BLOCK_BYTES = 64 * 1024 * 1024
-MAX_CELLS = 65536
+#: Entries and queries of one tile.
+ENTRY_TILE, QUERY_TILE = 1 << 14, 1 << 12
 SCORE_DIGITS = 9
 _HITS = "qid {qid}, row_id {row}, score double"
 
@@ -70,127 +69,87 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return inside[np.lexsort((ids[inside], -scores[inside]))][:k]
 
 
-def _scorer(block: pd.DataFrame, k: int):
-    """The per-task function: batches of entries in, local top-k per query out."""
-    qids = block["qid"].to_numpy()
-    vectors = _matrix(block["vector"])
-    filters = {c: block[c].to_numpy() for c in ("type", "source", "folder") if c in block.columns}
-    probes: dict = {}
-    if "cells" in block.columns:
-        for pos, cells in enumerate(block["cells"]):
-            for cell in cells:
-                probes.setdefault(int(cell), []).append(pos)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-        def offer(pos: int, ids: np.ndarray, scores: np.ndarray) -> None:
-            if pos in kept:
-                ids, scores = np.concatenate([kept[pos][0], ids]), np.concatenate([kept[pos][1], scores])
-            best = _best(ids, scores, k)
-            kept[pos] = (ids[best], scores[best])
-
-        def offer_all(rows: pd.DataFrame, positions: list[int]) -> None:
-            ids = rows["row_id"].to_numpy()
-            ids = ids.astype(str) if ids.dtype == object else ids
-            table = np.round(_matrix(rows["embedding"]) @ vectors[positions].T, SCORE_DIGITS)
-            for column, pos in enumerate(positions):
-                mask = np.ones(len(ids), dtype=bool)
-                for name in ("type", "source"):
-                    if name in filters and filters[name][pos] is not None:
-                        mask &= rows[name].to_numpy() == filters[name][pos]
-                if "folder" in filters and filters["folder"][pos] is not None:
-                    mask &= rows["folder"].fillna("").str.startswith(filters["folder"][pos]).to_numpy()
-                if mask.any():
-                    offer(pos, ids[mask], table[mask, column])
-
-        for batch in batches:
-            batch = batch[batch["embedding"].notna()]
-            if batch.empty:
-                continue
-            if not probes:
-                offer_all(batch, list(range(len(qids))))
-                continue
-            for cell, rows in batch.groupby("cell", sort=False):
-                if int(cell) in probes:
-                    offer_all(rows, probes[int(cell)])
-        for pos, (ids, scores) in kept.items():
-            yield pd.DataFrame({"qid": [qids[pos]] * len(ids), "row_id": ids, "score": scores})
+def _scorer(k: int, filters: list[str], schema_names: list[str]):
+    """The function of a group: a tile of queries and a tile of entries in, the top k of each query out."""
+
+    def score(asked: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or entries.empty:
+            return pd.DataFrame({n: [] for n in schema_names})
+        ids = entries["row_id"].to_numpy()
+        ids = ids.astype(str) if ids.dtype == object else ids
+        table = np.round(_matrix(entries["embedding"]) @ _matrix(asked["vector"]).T, SCORE_DIGITS)
+        parts = []
+        for column, row in enumerate(asked.itertuples(index=False)):
+            mask = np.ones(len(ids), dtype=bool)
+            for name in filters:
+                wanted = getattr(row, name)
+                if wanted is None or wanted != wanted:
+                    continue
+                own = entries[name].fillna("")
+                mask &= (own.str.startswith(wanted) if name == "folder" else own == wanted).to_numpy()
+            some = np.flatnonzero(mask)
+            best = some[_best(ids[some], table[some, column], k)]
+            parts.append(pd.DataFrame({"qid": [row.qid] * len(best), "row_id": ids[best], "score": table[best, column]}))
+        return pd.concat(parts)
 
     return score
 
 
-def _query_blocks(queries: DataFrame) -> Iterator[pd.DataFrame]:
-    """Query rows as pandas blocks of at most ``MAX_QUERY_BLOCK_BYTES``."""
-    size = queries.agg(
-        F.count("*").alias("n"), F.coalesce(F.max(F.size("vector")), F.lit(1)).alias("dims")
-    ).first()
-    per_row = 8 * max(int(size["dims"]), 1) + 256
-    blocks = max(1, -(-int(size["n"]) * per_row // MAX_QUERY_BLOCK_BYTES))
-    if blocks == 1:
-        yield queries.toPandas()
-        return
-    for b in range(blocks):
-        yield queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).toPandas()
-
-
 def knn(queries: DataFrame, entries: DataFrame, k: int = 10) -> DataFrame:
     """Exact top-k by dot product: (qid, row_id, score, rank).
 
     ``queries``: qid, vector and optionally type, source, folder (null = any)
     and cells; ``entries``: row_id, embedding and the columns the filters name.
+    With cells a query only meets the entries of its cells. Rows without a
+    vector take no part.
     """
-    wanted = [c for c in ("type", "source", "folder") if c in queries.columns]
-    scanned = entries.select(
-        "row_id", "embedding", *wanted, *(["cell"] if "cells" in queries.columns else [])
-    )
+    filters = [c for c in ("type", "source", "folder") if c in queries.columns]
+    in_cells = "cells" in queries.columns
+    asked = queries.select("qid", "vector", *filters, *(["cells"] if in_cells else [])).filter("vector is not null")
+    rows = entries.select("row_id", "embedding", *filters, *(["cell"] if in_cells else [])).filter("embedding is not null")
+    n_asked = asked.count()
+    for name in [c for c in ("type", "source") if c in filters]:  # an index is stored by these; a few values prune its folders
+        values = [r[0] for r in asked.select(name).distinct().limit(101).collect()]
+        if len(values) <= 100 and None not in values:
+            rows = rows.filter(F.col(name).isin(values))
+    query_tiles = max(1, -(-n_asked // QUERY_TILE))
+    if in_cells:
+        asked = asked.withColumn("cell", F.explode("cells")).drop("cells")
+        sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / ENTRY_TILE).cast("int").alias("_tiles"))
+        rows, asked = rows.join(sizes, "cell"), asked.join(sizes, "cell")
+    else:
+        tiles = max(1, -(-rows.count() // ENTRY_TILE))
+        rows, asked = (x.withColumns({"cell": F.lit(0), "_tiles": F.lit(tiles)}) for x in (rows, asked))
+    rows = rows.withColumns({
+        "_tile": F.pmod(F.xxhash64("row_id"), "_tiles").cast("int"), "_block": F.explode(F.sequence(F.lit(0), F.lit(query_tiles - 1)))})
+    asked = asked.withColumns({
+        "_block": F.pmod(F.xxhash64("qid"), F.lit(query_tiles)).cast("int"), "_tile": F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))})
+    keys = ["cell", "_tile", "_block"]
     schema = _HITS.format(
         qid=queries.schema["qid"].dataType.simpleString(), row=entries.schema["row_id"].dataType.simpleString()
     )
-    found = []
-    for block in _query_blocks(queries):
-        if block.empty:
-            continue
-        block = block.astype(object).where(block.notna(), None) if wanted else block
-        rows = scanned
-        for name in ("type", "source"):
-            if name in wanted and all(v is not None for v in block[name]):
-                rows = rows.filter(F.col(name).isin(sorted(set(block[name]))))
-        if "cells" in block.columns:
-            cells = sorted({int(c) for probe in block["cells"] for c in probe})
-            if len(cells) <= 1000:
-                rows = rows.filter(F.col("cell").isin(cells))
-        found.append(rows.mapInPandas(_scorer(block, k), schema))
-    if not found:
-        return entries.sparkSession.createDataFrame([], schema + ", rank int")
-    hits = reduce(DataFrame.unionByName, found)
+    hits = asked.drop("_tiles").groupBy(*keys).cogroup(rows.drop("_tiles").groupBy(*keys)).applyInPandas(
+        _scorer(k, filters, ["qid", "row_id", "score"]), schema)
     return top_k(hits, ["qid"], [F.desc("score"), F.asc("row_id")], k)
 
 
 def assign_cells(entries: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Add ``cell``, the centroid with the largest dot product (ties: smallest id)."""
-    table = centroids.select("cell", "vector").limit(MAX_CELLS + 1).toPandas().sort_values("cell")
-    if len(table) > MAX_CELLS:
-        raise ValueError(f"at most {MAX_CELLS} cells")
-    ids, vectors = table["cell"].to_numpy(), _matrix(table["vector"])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in entries.schema.fields) + ", cell bigint"
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                scores = np.round(_matrix(batch["embedding"]) @ vectors.T, SCORE_DIGITS)
-                yield batch.assign(cell=ids[scores.argmax(axis=1)])
+    """Add ``cell``, the centroid with the largest dot product (ties: smallest id); null for a row without a vector.
 
-    return entries.mapInPandas(assign, schema)
+    Made once, when an index is written; ``row_id`` is unique.
+    """
+    best = knn(
+        entries.select(F.col("row_id").alias("qid"), F.col("embedding").alias("vector")),
+        centroids.select(F.col("cell").cast("bigint").alias("row_id"), F.col("vector").alias("embedding")), 1,
+    )
+    return entries.join(best.select(F.col("qid").alias("row_id"), F.col("row_id").alias("cell")), "row_id", "left").select(*entries.columns, "cell")
 
 
 def train_cells(entries: DataFrame, cells: int, seed: int = 42, iterations: int = 10) -> DataFrame:
-    """Cell centroids (cell, vector) by k-means; their number is bounded, because tasks hold all of them."""
+    """Cell centroids (cell, vector) by k-means."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    if cells > MAX_CELLS:
-        raise ValueError(f"at most {MAX_CELLS} cells")
     data = entries.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=iterations, initMode="random").fit(data)
     rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
@@ -239,7 +198,3 @@ def hybrid_score(scored: DataFrame, weights: dict[str, float], minimum: float) -
     """Weighted sum of ``<name>_score`` columns, weak rows dropped."""
     total = reduce(lambda a, b: a + b, [F.col(f"{name}_score") * F.lit(w) for name, w in weights.items()])
     return scored.withColumn("score", F.round(total, 6)).filter(F.col("score") >= minimum)
-
-
-def rank_within(df: DataFrame, by: list[str], order: list) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

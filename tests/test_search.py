@@ -24,9 +24,10 @@ def brute(vectors, query, k, allowed=lambda i: True):
     return order[:k]
 
 
-@pytest.mark.parametrize("block_bytes", [64 << 20, 700])
-def test_knn_equals_brute_force_in_one_or_many_blocks(spark, monkeypatch, block_bytes):
-    monkeypatch.setattr(SE, "MAX_QUERY_BLOCK_BYTES", block_bytes)
+@pytest.mark.parametrize("tiles", [(1 << 14, 1 << 12), (40, 2)])
+def test_knn_equals_brute_force_in_one_or_many_tiles(spark, monkeypatch, tiles):
+    monkeypatch.setattr(SE, "ENTRY_TILE", tiles[0])
+    monkeypatch.setattr(SE, "QUERY_TILE", tiles[1])
     vectors, entries = table(spark)
     queries = spark.createDataFrame([(q, vectors[q * 5].tolist()) for q in range(9)], "qid int, vector array<float>")
     got = {(r.qid, r["rank"]): r.row_id for r in SE.knn(queries, entries, 15).collect()}

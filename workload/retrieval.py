@@ -359,13 +359,23 @@ def hit_projection(t):
     return out.withColumn("chunk_index", F.coalesce("chunk_index", F.lit(-1)))
 
 
-@query("knn_in_cells")
+_DOT = "round(list_sum(list_transform(list_zip({}, {}), lambda p: p[1] * p[2])), 9)"
+
+
+@query("knn_in_cells", f"""
+WITH {_INDEX}, {_LABELS}, sc AS (SELECT row_id, qid AS cell, {_DOT.format('qv', 'v')} AS s FROM idx, queries),
+nearest AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY s DESC, cell) AS r FROM sc),
+pairs AS (SELECT p.row_id AS qid, c.row_id, {_DOT.format('a.v', 'b.v')} AS score FROM nearest p JOIN idx a ON a.row_id = p.row_id
+  JOIN nearest c ON c.cell = p.cell AND c.r = 1 JOIN idx b ON b.row_id = c.row_id WHERE p.r <= 2)
+SELECT qid, row_id, rank::INTEGER AS rank, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid
+  ORDER BY score DESC, row_id) AS rank FROM pairs) WHERE rank <= 5""")
 def knn_in_cells(t):
+    """Every entry asks in its two best cells; the label means are the centroids."""
     rows = index(t)
-    centroids = SE.train_cells(rows, 16, seed=7, iterations=5)
+    centroids = label_queries(t).select(F.col("qid").alias("cell"), "vector")
     celled = SE.assign_cells(rows.select("row_id", "embedding"), centroids)
     every = rows.select(F.col("row_id").alias("qid"), F.col("embedding").alias("vector"))
-    return SE.knn_in_cells(every, celled, centroids, 5, 4).select("qid", "row_id", "rank", F.round("score", 4).alias("score"))
+    return SE.knn_in_cells(every, celled, centroids, 5, 2).select("qid", "row_id", "rank", F.round("score", 4).alias("score"))
 
 
 @query("knn_every_cell", f"""
@@ -641,18 +651,21 @@ def fallback_source(t):
     return C.first_with_hits(primary, fallback).select("qid", "row_id", "rank", "origin")
 
 
-@query("combine_sections", """
-WITH p AS (SELECT user_id AS qid, event_type AS section, CASE event_type WHEN 'click' THEN 0 ELSE 1 END AS position,
-  max(event_type || ' ' || event_id) AS context, count(*) % 2 = 0 AS success FROM events
-  WHERE event_type IN ('click', 'error') GROUP BY 1, 2, 3)
-SELECT qid, coalesce(string_agg(context, chr(10) ORDER BY position) FILTER (success),
+_SECTIONS = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("combine_sections", f"""
+WITH p AS (SELECT user_id AS qid, event_type AS section, coalesce(list_position({sql_list(_SECTIONS)}, event_type), 99) AS position,
+  max(event_type || ' ' || event_id) AS context, count(*) % 2 = 0 AS success FROM events GROUP BY 1, 2, 3)
+SELECT qid, coalesce(string_agg(context, chr(10) ORDER BY position, section) FILTER (success),
   chr(10) || chr(10) || '## Context' || chr(10) || 'No additional context available.') AS context FROM p GROUP BY 1""")
 def combine_sections(t):
-    parts = t.events.filter(F.col("event_type").isin("click", "error")).groupBy(
-        F.col("user_id").alias("qid"), F.col("event_type").alias("section")
-    ).agg(F.max(F.concat_ws(" ", "event_type", F.col("event_id").cast("string"))).alias("context"),
-          (F.count("*") % 2 == 0).alias("success"))
-    return C.combine_sections(parts.withColumn("position", F.when(F.col("section") == "click", 0).otherwise(1)))
+    """The event types of a user as sections, of which those with an even number of events succeed."""
+    parts = t.events.groupBy(F.col("user_id").alias("qid"), F.col("event_type").alias("section")).agg(
+        F.max(F.concat_ws(" ", "event_type", F.col("event_id").cast("string"))).alias("context"),
+        (F.count("*") % 2 == 0).alias("success"))
+    place = F.array_position(F.array(*[F.lit(x) for x in _SECTIONS]), F.col("section"))
+    return C.combine_sections(parts.withColumn("position", F.when(place == 0, 99).otherwise(place).cast("int")))
 
 
 _BRANCH = """planned AS (SELECT qid, rule, length(query) AS n, CASE rule WHEN 'web' THEN 'web' WHEN 'multi' THEN 'multi'
