@@ -66,15 +66,6 @@ def system_sections(query: Column) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(_list(["all"]))
 
 
-def disk_focus(query: Column) -> Column:
-    q = F.lower(query)
-    return (
-        F.when(any_substring(q, ["large", "big"]), "large_files")
-        .when(any_substring(q, ["clean", "free up"]), "cleanup")
-        .otherwise("overview")
-    )
-
-
 def route(
     df: DataFrame, query: str = "query", username: str = "username", whole_words: bool = False
 ) -> DataFrame:

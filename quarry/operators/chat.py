@@ -103,7 +103,3 @@ def session_topics(turns: DataFrame) -> DataFrame:
     return turns.groupBy("chat_id", "topic").agg(
         F.count("*").alias("query_count"), F.max("last_used").alias("last_used")
     )
-
-
-def per_chat_top(messages: DataFrame, n: int) -> DataFrame:
-    return top_k(messages, ["chat_id"], [F.desc("created_at"), F.desc("id")], n)

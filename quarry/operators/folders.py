@@ -33,11 +33,3 @@ def folder_tree(files: DataFrame, dims: int, keep_levels: bool = True) -> DataFr
         below = materialize(level, "folders") if keep_levels else level
         result = below if result is None else result.unionByName(below)
     return result
-
-
-def folder_summary(tree: DataFrame) -> DataFrame:
-    """A line of text per folder."""
-    name = P.base_name(F.col("folder"))
-    return tree.withColumn(
-        "summary", F.concat(name, F.lit(": "), F.col("n_files").cast("string"), F.lit(" files"))
-    )

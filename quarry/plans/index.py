@@ -178,6 +178,35 @@ def current_index(store: Store, include_chunks: bool = True) -> DataFrame:
     return S.index_rows(store.content(), store.paths(), store.chunks() if include_chunks else None)
 
 
+def entry_rows(entries: DataFrame, embed: Embed = DEFAULT_EMBED) -> DataFrame:
+    """Entries that no stored file stands behind (photos, images, memory facts) as index rows."""
+    key = F.coalesce(F.col("file_path"), F.sha2(F.col("text"), 256))
+    rows = entries.select(
+        F.concat_ws("#", F.col("entry_type"), "source", key).alias("row_id"), F.col("entry_type").alias("type"), "source", "file_path",
+        "file_name", "folder", "chunk_index", "content_hash", "text",
+    )
+    return embed(rows, "text").select(*_names(schemas.INDEX_ROWS))
+
+
+def whole_index(store: Store, home: str, photos: DataFrame | None = None, facts: DataFrame | None = None,
+                images: DataFrame | None = None, embed: Embed = DEFAULT_EMBED) -> DataFrame:
+    """One index of all sources: stored files and chunks, photo records, described image files and memory facts.
+
+    ``photos``: photo records; ``facts``: content, source; ``images``: described files. A fact told twice is one row.
+    """
+    rows = current_index(store)
+    parts = []
+    if photos is not None:
+        parts.append(E.photo_entries(photos, home))
+    if images is not None:
+        parts.append(E.image_entries(images))
+    if facts is not None:
+        parts.append(E.memory_entries(facts).dropDuplicates(["text"]))
+    for part in parts:
+        rows = rows.unionByName(entry_rows(part, embed))
+    return rows
+
+
 def write_index(rows: DataFrame, path: str) -> None:
     """Stored by type and source, so that a search filter prunes folders."""
     rows.write.mode("overwrite").partitionBy("type", "source").parquet(path)

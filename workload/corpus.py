@@ -592,6 +592,24 @@ def index_documents(t):
     )
 
 
+@query("index_all_sources", f"""
+WITH {B.PHOTOS}, {_KEPT}, {_CONTENT_CHUNKS}, u AS (SELECT content_hash, unnest(cs) AS c FROM kc)
+SELECT 'file' AS type, source, count(*) AS n FROM kept GROUP BY 2
+UNION ALL SELECT 'chunk', source, count(*) FROM u JOIN kept USING (content_hash) GROUP BY 2
+UNION ALL SELECT 'file', 'photos', (SELECT count(*) FROM photos) + (SELECT count(*) FROM kept WHERE list_contains({sql_list(fv.IMAGE_EXTENSIONS)}, extension))
+UNION ALL SELECT 'chunk', 'memory', count(DISTINCT text) FROM conversations WHERE role = 'user' AND {B.s_strip('text')} <> ''""")
+def index_all_sources(t):
+    """Files and chunks, photo records, image files and facts in one written index, counted by type and source."""
+    store = Store(t.spark, new_folder(t.spark, "store"))
+    rows = _scan(t)
+    I.full_refresh(store, rows, HOME, [HOME], "run-1")
+    facts = t.conversations.filter("role = 'user'").select(F.col("text").alias("content"), F.lit("chat").alias("source"))
+    images = E.describe_files(rows.select("path", T.fingerprint(F.col("text")).alias("content_hash")), HOME)
+    folder = new_folder(t.spark, "index")
+    I.write_index(I.whole_index(store, HOME, B.photos(t), facts, images), folder)
+    return t.spark.read.parquet(folder).groupBy("type", "source").agg(F.count("*").alias("n"))
+
+
 @query("force_rebuild", f"""
 WITH {_KEPT}, {_CONTENT_CHUNKS} SELECT true AS indexed, 1::BIGINT AS version, 1::BIGINT AS versions,
   (SELECT count(*) FROM kept) AS n_paths, (SELECT count(*) FROM k) AS n_content,
