@@ -108,6 +108,18 @@ def s_chunks(x: str, size: int, overlap: int) -> str:
     )
 
 
+def with_position(df: DataFrame) -> DataFrame:
+    """``df`` with ``position``: the place of each row in the order in which the rows come out, from 0."""
+    from quarry.session import materialize
+
+    numbered = materialize(df.withColumn("_m", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("_m", 33).alias("_part")
+    counts = numbered.groupBy(part).agg(F.count("*").alias("_n"))  # a row for each partition
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    rows = numbered.withColumn("_part", F.shiftright("_m", 33)).join(before, "_part")
+    return rows.withColumn("position", F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m", "_part", "_before")
+
+
 # ------------------------------------------------------------------ conversations
 
 

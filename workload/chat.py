@@ -80,18 +80,21 @@ def question_answer_pairs(t):
 
 
 @query("recent_chats", f"""
-WITH {B.MESSAGES}, {B.CHATS} SELECT id, updated_s FROM chats ORDER BY updated_s DESC, id DESC LIMIT 10""")
+WITH {B.MESSAGES}, {B.CHATS} SELECT id, updated_s, row_number() OVER (ORDER BY updated_s DESC, id DESC) - 1 AS position
+FROM chats ORDER BY updated_s DESC, id DESC LIMIT 10""")
 def recent_chats(t):
-    return CH.recent_chats(B.chats(t)).select("id", seconds("updated_at").alias("updated_s"))
+    found = B.with_position(CH.recent_chats(B.chats(t)))
+    return found.select("id", seconds("updated_at").alias("updated_s"), "position")
 
 
 @query("chat_messages", f"""
-WITH {B.MESSAGES} SELECT id, role, created_s FROM messages WHERE chat_id = (SELECT max(chat_id) FROM messages)
-ORDER BY created_s, id""")
+WITH {B.MESSAGES} SELECT id, role, created_s, row_number() OVER (ORDER BY created_s, id) - 1 AS position
+FROM messages WHERE chat_id = (SELECT max(chat_id) FROM messages)""")
 def chat_messages(t):
     m = B.messages(t)
     newest = m.agg(F.max("chat_id")).first()[0]
-    return CH.chat_messages(m, newest).select("id", "role", seconds("created_at").alias("created_s"))
+    found = B.with_position(CH.chat_messages(m, newest))
+    return found.select("id", "role", seconds("created_at").alias("created_s"), "position")
 
 
 @query("cascade_delete", f"""

@@ -337,19 +337,23 @@ def cap_layers(t):
 
 
 @query("seeded_shuffle", """
-SELECT doc_id, substring(md5('7:' || doc_id), 1, 12) AS h FROM documents ORDER BY md5('7:' || doc_id), doc_id""")
+SELECT doc_id, substring(md5('7:' || doc_id), 1, 12) AS h, row_number() OVER (ORDER BY md5('7:' || doc_id), doc_id) - 1 AS position
+FROM documents""")
 def seeded_shuffle(t):
     from quarry.operators.ordering import shuffle_rows
 
-    return shuffle_rows(t.documents, 7, "doc_id").select("doc_id", F.substring(seeded_hash(7, F.col("doc_id")), 1, 12).alias("h"))
+    shuffled = B.with_position(shuffle_rows(t.documents.select("doc_id"), 7, "doc_id"))
+    return shuffled.select("doc_id", F.substring(seeded_hash(7, F.col("doc_id")), 1, 12).alias("h"), "position")
 
 
 @query("curriculum_order", """
-SELECT doc_id AS id, CASE WHEN n_chars < 1000 THEN 1 ELSE 2 END AS layer,
-  substring(md5('42:' || CASE WHEN n_chars < 1000 THEN 1 ELSE 2 END || ':' || source || ':' || doc_id), 1, 8) AS h FROM documents""")
+WITH keyed AS (SELECT doc_id AS id, CASE WHEN n_chars < 1000 THEN 1 ELSE 2 END AS layer,
+  md5('42:' || CASE WHEN n_chars < 1000 THEN 1 ELSE 2 END || ':' || source || ':' || doc_id) AS h FROM documents)
+SELECT id, layer, substring(h, 1, 8) AS h, row_number() OVER (ORDER BY layer, h) - 1 AS position FROM keyed""")
 def curriculum_order(t):
     rows = t.documents.select(F.col("doc_id").alias("id"), "source", F.when(F.col("n_chars") < 1000, 1).otherwise(2).alias("layer"))
-    return X.curriculum_order(rows).select("id", "layer", F.substring("_h", 1, 8).alias("h"))
+    ordered = B.with_position(X.curriculum_order(rows))
+    return ordered.select("id", "layer", F.substring("_h", 1, 8).alias("h"), "position")
 
 
 _MARKS = "(length(context) - length(translate(context, '.!?', '')))"
