@@ -13,6 +13,7 @@ from quarry.session import materialize
 def _through(docs: DataFrame, operator) -> DataFrame:
     """The rows that ``operator`` gives, with the columns of ``docs``; columns besides id and text pass by under other
     names, so that none is mistaken for an output of the operator."""
+    common.bounded_batches(docs.sparkSession)
     aside = {c: c if c in ("doc_id", "text") else f"_{i}" for i, c in enumerate(docs.columns)}
     out = operator(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in aside.items()]))
     return out.select(*[F.col(n).alias(c) for c, n in aside.items()])
@@ -44,6 +45,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE: ``ids`` of each text, and the text as decoded from them."""
+    common.bounded_batches(spark)
     vocabulary, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     decoded = byte_bpe.decode(byte_bpe.encode(docs, vocabulary, pattern).drop("text"), vocabulary, pattern)
     return decoded.withColumn("text", F.col("decoded").cast("string")).withColumn("n_tokens", F.size("ids").cast("long")).drop("decoded")

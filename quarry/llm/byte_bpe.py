@@ -23,8 +23,8 @@ from quarry.llm import common
 _CUT = regex.compile(r"(?<=[^\s\x1c-\x1f\x85]) (?=[^\s\x1c-\x1f\x85])")
 _RARE_SPACE = regex.compile(r"[\s\x1c-\x1f\x85] | [\s\x1c-\x1f\x85]|^ | $")
 #: Entries of a worker's memo tables of words (twice, see ``WordMemo``) and of pairs of tokens.
-MEMO = 200_000
-PAIRS = 800_000
+MEMO = 150_000
+PAIRS = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -35,7 +35,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 def split_words(text: str) -> list[str]:
     """The text cut before each single space between solid characters; all parts but the first lack that space."""
-    return _CUT.split(text) if _RARE_SPACE.search(text) else text.split(" ")
+    if "  " in text or _RARE_SPACE.search(text):
+        return _CUT.split(text)
+    return text.split(" ")
 
 
 class WordMemo:
@@ -89,20 +91,23 @@ class Coder:
     """Encoder and decoder of one vocabulary in a worker."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        import ahocorasick
-
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.bytes_of = {i: t for t, i in ranks.items()}
-        self.automaton = ahocorasick.Automaton()
-        for token, i in ranks.items():
-            self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
-        self.automaton.make_automaton()
+        self.automaton = None  # built by the first encoding; a worker that only decodes does without
         self.pairs: dict[int, bool] = {}
         self.words = WordMemo()
         ends = np.cumsum([0] + [len(self.bytes_of.get(i, b"")) for i in range(max(ranks.values(), default=-1) + 1)])
         self.lengths, self.starts = np.diff(ends), ends[:-1]
         self.all_bytes = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(len(self.starts))), np.uint8)
 
+    def _build(self) -> None:
+        import ahocorasick
+
+        self.automaton = ahocorasick.Automaton()
+        for token, i in self.ranks.items():
+            self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
+        self.automaton.make_automaton()
+
     def _merged(self, raw: bytes) -> list[int]:
         """The merges themselves, lowest rank first, for the few bytes of two tokens."""
         parts = [raw[i:i + 1] for i in range(len(raw))]
@@ -129,6 +134,8 @@ class Coder:
         whole = self.ranks.get(raw)
         if whole is not None:
             return [whole]
+        if self.automaton is None:
+            self._build()
         n = len(raw)
         starting: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         for last, match in self.automaton.iter(raw.decode("latin-1")):
