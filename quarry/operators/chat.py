@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators.ordering import top_k, with_successor
+from quarry.operators.ordering import with_successor
 
 TURNS_PER_BUCKET = 1024
 
