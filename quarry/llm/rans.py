@@ -15,6 +15,7 @@ of the files; a lost task writes its file again.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 
@@ -24,14 +25,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import common
-from quarry.llm.byte_bpe import MEMO, halve, split_words
+from quarry.llm.byte_bpe import WordMemo, packed_texts
 from quarry.session import materialize
 
 SCALE = 20
 LANES = 1024
 BLOCK = 1 << 18
 #: Ids of a section, which bounds a writer's memory.
-SECTION = 1 << 22
+SECTION = 1 << 21
+#: Words that a worker remembers, twice; below a few hundred thousand, most of the time goes to words of the long tail.
+WORDS = 400_000
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 _MASK = np.uint64(0xFFFFFFFF)
@@ -165,23 +168,20 @@ class WordEncoder:
     """
 
     def __init__(self, definition: str, end: int, by_word: bool):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.by_word = Tokenizer.from_str(definition), end, by_word
-        self.words: dict[str, bytes] = {}
+        self.tokenizer, self.by_word = Tokenizer.from_str(definition), by_word
+        self.end = np.array([end], np.uint32).tobytes()
+        self.memo = WordMemo(WORDS)
 
-    def many(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.by_word:
-            return [np.array([*e.ids, self.end], np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-        parts = [[(" " if k else "") + w for k, w in enumerate(split_words(t))] if t else [] for t in texts]
-        if len(self.words) > MEMO:
-            halve(self.words)
-        known = self.words
-        new = list({w for words in parts for w in words if w not in known})
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            known[w] = np.array(e.ids, np.uint32).tobytes()
-        end = np.array([self.end], np.uint32).tobytes()
-        return [np.frombuffer(b"".join([*map(known.__getitem__, words), end]), np.uint32) for words in parts]
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for k in range(0, len(texts), 4096)
+                for e in self.tokenizer.encode_batch_fast(texts[k:k + 4096], add_special_tokens=False)]
+
+    def many(self, texts: list[str | None]) -> list[np.ndarray]:
+        packed = packed_texts(texts, self.memo, self._encode) if self.by_word else self._encode([t or "" for t in texts])
+        return [np.frombuffer(x + self.end, np.uint32) for x in packed]
 
 
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, end: int, by_word: bool = True, column: str = "text", id_column: str = "doc_id") -> None:
@@ -199,7 +199,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end: int, by_word: b
         size = 0
         for batch in batches:
             for part in common.text_runs(batch, "text"):
-                names, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
+                names, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
                 for name, ids in zip(names, coder.many(texts)):
                     while size + len(ids) >= SECTION:
                         cut = SECTION - size
