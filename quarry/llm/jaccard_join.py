@@ -4,11 +4,12 @@
    the hash. Any fixed order is correct; this one keeps frequent shingles out of the prefixes.
 2. Candidates. Two similar sets share a shingle of their first ``n - ceil(t * n) + 1`` ones. Classes of equal sets count
    once. Only shingles that lie in several prefixes leave the exchange.
-3. First links. In each group of a shared shingle the smallest set is the leader; pairs (leader, member) that lead often
-   enough are verified and give first components. This step only spares work.
-4. All other links. Every pair of different components that shares a prefix shingle is counted by shared prefix shingles;
-   too few of them rule the pair out, all others are verified. Pairs inside a component are not needed again, so a large
-   group of near copies costs one pass, not its square.
+3. First links. In each group of a shared shingle the set that has it first, with the fewest shingles of its own before it,
+   is the leader. Each set, then each component of those found, is verified with the leader that it shares most with; a few
+   rounds of this join nearly all groups of copies with a pair for each member. They only spare work.
+4. All other links. Every pair of different components that shares a prefix shingle early enough in both sets (all other
+   shared ones must still follow it) is verified. Pairs inside a component are not needed again, so a large group of near
+   copies costs one pass, not its square.
 
 Verification joins one set with a prefix tree: the candidate sets, in global order, are walked in the order of the tree, a
 common head is intersected once, and a subtree is left as soon as its misses exceed what the longest admissible set
@@ -17,6 +18,8 @@ allows. Sets are compared by 64-bit hashes of shingles.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +35,9 @@ SEGMENT = 1 << 14
 #: Prefix entries of a bucket and members of a probe's block, which bound the memory of a task.
 BUCKET_ENTRIES = 1 << 19
 BLOCK = 512
+#: Rounds of leaders before all pairs of components that are left, and bits of a map of ids (a prime).
+LEADER_ROUNDS = 3
+MAP_BITS = 8_388_593
 
 
 def _shingles(data, offsets, size):
@@ -92,6 +98,15 @@ def _pair_needed(a, b, percent):
     return -(-percent * (a + b) // (100 + percent))
 
 
+def _may_link(n, place, m, other, percent):
+    """Whether sets of ``n`` and ``m`` shingles that share one at these places may be similar with it as their first.
+
+    The first shingle that two similar sets share lies in front of all others they share, of which there are enough.
+    """
+    needed = _pair_needed(n, m, percent)
+    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (place <= n - needed) & (other <= m - needed)
+
+
 def tree_join(probe: np.ndarray, sets: list[np.ndarray], percent: int) -> list[int]:
     """Which of the sets, all in the global order, are similar to the probe: one walk over their prefix tree."""
     found: list[int] = []
@@ -125,13 +140,54 @@ def tree_join(probe: np.ndarray, sets: list[np.ndarray], percent: int) -> list[i
     return found
 
 
+def _group_columns(batches):
+    table = pa.Table.from_batches(list(batches))
+    return [table[c].to_numpy() for c in ("gram", "node", "n", "place", "of")]
+
+
+def _labelled(groups: DataFrame, known: DataFrame | None, buckets: int) -> DataFrame:
+    """The groups of shared shingles by bucket, each member with its component so far."""
+    of = F.col("node")
+    if known is not None:
+        groups, of = groups.join(known, "node", "left"), F.coalesce("component_id", "node")
+    return groups.select(F.pmod(F.xxhash64("gram"), F.lit(buckets)).alias("bucket"), "gram", "node", "n", "place", of.alias("of"))
+
+
+def _distinct(pairs: np.ndarray) -> np.ndarray:
+    if not len(pairs):
+        return pairs
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    return pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1))]
+
+
+def _of_nodes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts without most of those that a join with ``wanted`` would drop, so that they are not shuffled for it.
+
+    A bit map of the ids modulo a prime, always of the same size, goes to the tasks.
+    """
+    bit = F.pmod(F.col("node"), F.lit(MAP_BITS))
+    parts = wanted.select(bit.alias("bit")).distinct().groupBy(F.floor(F.col("bit") / 32768).cast("int").alias("k")).agg(
+        F.bitmap_construct_agg(F.col("bit") % 32768).alias("bits")).collect()
+    marks = np.zeros(-(-MAP_BITS // 32768) * 4096, np.uint8)
+    for k, bits in parts:
+        marks[k * 4096:(k + 1) * 4096] = np.frombuffer(bits, np.uint8)
+    shared = texts.sparkSession.sparkContext.broadcast(marks)
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0).fill_null(0).to_numpy() % MAP_BITS
+            yield batch.filter(pa.array((shared.value[ids >> 3] >> (ids & 7)) & 1).cast(pa.bool_()))
+
+    return texts.mapInArrow(run, texts.schema)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, sketch) -> DataFrame:
     """The pairs (x, y) that are similar. A probe's candidates are split into blocks, each with the probe's own text."""
     blocks = pairs.groupBy("x").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
     members = pairs.join(blocks, "x").select("x", F.pmod(F.xxhash64("y"), "blocks").alias("block"), F.col("y").alias("node"))
     probes = blocks.select("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("x").alias("node"))
-    wanted = members.unionByName(probes)
-    rows = wanted.join(texts.withColumnRenamed("id", "node"), "node")
+    wanted = materialize(members.unionByName(probes), "wanted")
+    rows = wanted.join(_of_nodes(texts, wanted).withColumnRenamed("id", "node"), "node")
 
     def join(key, batches):
         x = key[0].as_py()
@@ -192,78 +248,95 @@ def similar_components(docs: DataFrame, size: int = 4, percent: int = 85, column
             lengths = np.array([len(h.as_buffer()) >> 3 for h in heads])
             grams = np.frombuffer(b"".join(h.as_buffer() for h in heads), np.uint64)
             nodes, n = (np.repeat(batch.column(i).to_numpy(), lengths) for i in (0, 1))
+            places = np.arange(len(grams)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             to = (spans.mix(grams) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(to, kind="stable")
             cuts = np.searchsorted(to[order], np.arange(buckets + 1))
-            grams, nodes, n = grams[order], nodes[order], n[order].astype(np.int32)
+            grams, nodes, n, places = grams[order], nodes[order], n[order].astype(np.int32), places[order].astype(np.int32)
             used = np.flatnonzero(np.diff(cuts))
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32())] + [
-                pa.array([x[cuts[i]:cuts[i + 1]].tobytes() for i in used], pa.binary()) for x in (grams, nodes, n)], ["bucket", "grams", "nodes", "sizes"])
+                pa.array([x[cuts[i]:cuts[i + 1]].tobytes() for i in used], pa.binary()) for x in (grams, nodes, n, places)],
+                ["bucket", "grams", "nodes", "sizes", "places"])
 
     def shared(key, batches):
-        parts = [[], [], []]
+        parts = [[], [], [], []]
         for batch in batches:
-            for i in range(3):
-                parts[i] += [np.frombuffer(v.as_buffer(), (np.uint64, np.int64, np.int32)[i]) for v in batch.column(i + 1)]
-        grams, nodes, n = (np.concatenate(p) for p in parts)
-        order = np.lexsort((nodes, n, grams))
-        grams, nodes, n = grams[order], nodes[order], n[order]
+            for i, kind in enumerate((np.uint64, np.int64, np.int32, np.int32)):
+                parts[i] += [np.frombuffer(v.as_buffer(), kind) for v in batch.column(i + 1)]
+        grams, nodes, n, places = (np.concatenate(p) for p in parts)
+        order = np.lexsort((nodes, places, grams))
+        grams, nodes, n, places = grams[order], nodes[order], n[order].astype(np.int64), places[order].astype(np.int64)
         new = np.ones(len(grams), bool)
         new[1:] = grams[1:] != grams[:-1]
         heads = np.flatnonzero(new)
         counts = np.diff(np.append(heads, len(grams)))
-        lead = np.repeat(heads, counts)
         keep = np.repeat(counts, counts) > 1
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (grams.view(np.int64), nodes, n, nodes[lead], n[lead])], ["gram", "node", "n", "lead", "lead_n"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (grams.view(np.int64), nodes, n, places)], ["gram", "node", "n", "place"])
 
-    dealt = classes.select("node", "n", "head").mapInArrow(deal, "bucket int, grams binary, nodes binary, sizes binary")
-    groups = materialize(dealt.groupBy("bucket").applyInArrow(_as_iterator(shared), "gram long, node long, n int, lead long, lead_n int"), "groups")
+    dealt = classes.select("node", "n", "head").mapInArrow(deal, "bucket int, grams binary, nodes binary, sizes binary, places binary")
+    groups = materialize(dealt.groupBy("bucket").applyInArrow(_as_iterator(shared), "gram long, node long, n long, place long"), "groups")
 
-    rest = lambda n: n - (n - F.ceil(n * percent / 100) + 1)  # noqa: E731  a set without its prefix
-    enough = lambda count, a, b: count + F.greatest(rest(a), rest(b)) >= F.ceil((a + b) * percent / (100 + percent))
-    leads = groups.where(f"lead <> node and 100 * lead_n >= {percent} * n").groupBy("lead", "node").agg(
-        F.count("*").alias("c"), F.max("n").alias("n"), F.max("lead_n").alias("lead_n"))
-    first_pairs = materialize(leads.where(enough(2 * F.col("c"), F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("x"), F.col("node").alias("y")), "pairs")
-    first = materialize(_verified(first_pairs, texts, size, percent, sketch), "links")
-    known = components(first)
+    def leaders(key, batches):
+        grams, nodes, n, places, of = _group_columns(batches)
+        order = np.lexsort((nodes, places, grams))
+        grams, nodes, n, places, of = grams[order], nodes[order], n[order], places[order], of[order]
+        heads = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])) if len(grams) else np.zeros(0, np.int64)
+        lead = np.repeat(heads, np.diff(np.append(heads, len(grams))))
+        fits = (of != of[lead]) & _may_link(n, places, n[lead], places[lead], percent)
+        pairs, counts = np.zeros((0, 3), np.int64), np.zeros(0, np.int64)
+        if fits.any():
+            pairs, counts = np.unique(np.stack([nodes[lead[fits]], nodes[fits], of[fits]], 1), axis=0, return_counts=True)
+        yield pa.RecordBatch.from_arrays([*[pa.array(np.ascontiguousarray(c)) for c in pairs.T], pa.array(counts)], ["x", "y", "of", "c"])
+
+    links, tried = [], []
+    known = None
+    for _ in range(LEADER_ROUNDS):
+        found = _labelled(groups, known, buckets).groupBy("bucket").applyInArrow(_as_iterator(leaders), "x long, y long, of long, c long")
+        found = found.groupBy("x", "y").agg(F.max("of").alias("of"), F.sum("c").alias("c"))
+        for before in tried:
+            found = found.join(before, ["x", "y"], "left_anti")
+        best = found.groupBy("of").agg(F.max_by(F.struct("x", "y"), F.struct("c", "x", "y")).alias("p"))
+        tried.append(materialize(best.select("p.x", "p.y"), "pairs"))
+        links.append(materialize(_verified(tried[-1], texts, size, percent, sketch), "links"))
+        known = components(reduce(DataFrame.unionByName, links))
 
     def across(key, batches):
-        table = pa.Table.from_batches(list(batches))
-        grams, nodes, n, of = (table[c].to_numpy() for c in ("gram", "node", "n", "c"))
-        order = np.argsort(grams, kind="stable")
-        grams, nodes, n, of = grams[order], nodes[order], n[order], of[order]
+        grams, nodes, n, places, of = _group_columns(batches)
+        order = np.lexsort((n, grams))
+        grams, nodes, n, places, of = grams[order], nodes[order], n[order], places[order], of[order]
         heads = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])) if len(grams) else np.zeros(0, np.int64)
         mixed = np.minimum.reduceat(of, heads) != np.maximum.reduceat(of, heads) if len(heads) else heads.astype(bool)
         stops = np.append(heads[1:], len(grams))
-        seen: dict[tuple[int, int, int, int], int] = {}
+        pairs, size = [np.zeros((0, 2), np.int64)], 0
         for a, b in zip(heads[mixed].tolist(), stops[mixed].tolist()):
             names, counts = np.unique(of[a:b], return_counts=True)
-            minor = np.flatnonzero(of[a:b] != names[np.argmax(counts)]) + a
-            is_minor = np.zeros(b - a, bool)
-            is_minor[minor - a] = True
-            for i in minor.tolist():  # each pair of components once: with every member of the largest, and later minors
-                j = np.arange(a, b)
-                fits = (of[a:b] != of[i]) & (~is_minor | (j > i)) & (100 * np.minimum(n[a:b], n[i]) >= percent * np.maximum(n[a:b], n[i]))
-                for k in j[fits].tolist():
-                    p = (int(nodes[i]), int(nodes[k]), int(n[i]), int(n[k]))
-                    p = p if p[0] < p[1] else (p[1], p[0], p[3], p[2])
-                    seen[p] = seen.get(p, 0) + 1
-        columns = list(zip(*[(*p, c) for p, c in seen.items()])) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["x", "y", "nx", "ny", "c"])
-
-    labelled = groups.select("gram", "node", "n").join(known, "node", "left").select(
-        F.pmod(F.xxhash64("gram"), F.lit(buckets)).alias("bucket"), "gram", "node", F.col("n").cast("long").alias("n"), F.coalesce("component_id", "node").alias("c"))
-    counted = labelled.groupBy("bucket").applyInArrow(_as_iterator(across), "x long, y long, nx long, ny long, c long")
-    counted = counted.groupBy("x", "y").agg(F.sum("c").alias("c"), F.max("nx").alias("nx"), F.max("ny").alias("ny"))
-    second_pairs = counted.where(enough(F.col("c"), F.col("nx"), F.col("ny"))).select("x", "y")
-    tried = first_pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    second_pairs = materialize(second_pairs.join(tried, ["x", "y"], "left_anti"), "pairs")
-    discard(groups)
-    second = _verified(second_pairs, texts, size, percent, sketch)
-
+            is_minor = of[a:b] != names[np.argmax(counts)]
+            minor = np.flatnonzero(is_minor)
+            for k in range(0, len(minor), 256):  # each pair once: minors with the largest component and with later minors
+                i = minor[k:k + 256]
+                low = a + int(np.searchsorted(n[a:b], -(-percent * n[a + i[0]] // 100)))
+                high = a + int(np.searchsorted(n[a:b], n[a + i[-1]] * 100 // percent, "right"))
+                j = np.arange(low - a, high - a)  # sizes that may fit
+                x, y = i[:, None], j[None, :]
+                fits = (of[a + x] != of[a + y]) & (~is_minor[y] | (y > x)) & _may_link(n[a + x], places[a + x], n[a + y], places[a + y], percent)
+                at, to = np.nonzero(fits)
+                x, y = nodes[a + i[at]], nodes[a + j[to]]
+                pairs.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+                size += len(x)
+                if size > 1 << 20:
+                    pairs, size = [_distinct(np.concatenate(pairs))], 0
+        x, y = _distinct(np.concatenate(pairs)).T
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)), pa.array(np.ascontiguousarray(y))], ["x", "y"])
+
+    second = _labelled(groups, known, buckets).groupBy("bucket").applyInArrow(_as_iterator(across), "x long, y long").distinct()
+    for before in tried:
+        second = second.join(before.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
+    tried.append(materialize(second, "pairs"))
+    links.append(materialize(_verified(tried[-1], texts, size, percent, sketch), "links"))
+    discard(groups, *tried)
     copies = filled.join(classes.select("k1", "k2", "n", "node"), ["k1", "k2", "n"]).where("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
-    found = components(first.unionByName(second).unionByName(copies))
-    discard(classes, first_pairs, second_pairs, first)
+    found = components(reduce(DataFrame.unionByName, links).unionByName(copies))
+    discard(classes, *links)
     out = sets.select("id", "n").join(found, sets["id"] == found["node"], "left")
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
