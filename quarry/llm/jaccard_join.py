@@ -312,8 +312,8 @@ def similar_components(docs: DataFrame, size: int = 4, percent: int = 85, column
             names, counts = np.unique(of[a:b], return_counts=True)
             is_minor = of[a:b] != names[np.argmax(counts)]
             minor = np.flatnonzero(is_minor)
-            for k in range(0, len(minor), 256):  # each pair once: minors with the largest component and with later minors
-                i = minor[k:k + 256]
+            for k in range(0, len(minor), 32):  # each pair once: minors with the largest component and with later minors
+                i = minor[k:k + 32]
                 low = a + int(np.searchsorted(n[a:b], -(-percent * n[a + i[0]] // 100)))
                 high = a + int(np.searchsorted(n[a:b], n[a + i[-1]] * 100 // percent, "right"))
                 j = np.arange(low - a, high - a)  # sizes that may fit
@@ -323,7 +323,7 @@ def similar_components(docs: DataFrame, size: int = 4, percent: int = 85, column
                 x, y = nodes[a + i[at]], nodes[a + j[to]]
                 pairs.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
                 size += len(x)
-                if size > 1 << 20:
+                if size > 1 << 18:
                     pairs, size = [_distinct(np.concatenate(pairs))], 0
         x, y = _distinct(np.concatenate(pairs)).T
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)), pa.array(np.ascontiguousarray(y))], ["x", "y"])
