@@ -1,7 +1,18 @@
 """Katz backoff language model: Good-Turing discounted counts, exactly normalised backoff weights, partitioned tables.
 
-The model is a bigram model over the ``vocabulary`` most frequent words of the training texts, an end token, a start context
-and one class for all other words, which spells a word by its share of the class:
+``fit_all`` and ``score_all``, which ``score_documents`` uses, are a bigram model over all words of the training texts, an
+end token and a start context; words never seen share the mass of one unseen word:
+
+    p(word | h)      = d(c) * c / c(h)             for pairs seen c times, d by Good-Turing for c up to 5
+                     = bow(h) * p(word)            for the others, bow such that all words sum to one
+
+The ``vocabulary`` most frequent words are hot: their counts, contexts and most frequent pairs go to all tasks, pairs of two
+of them are packed in 32 bits. Pairs with another word lie in the bucket of that word's hash: those with such a word in the
+word's bucket, next to its count, those after such a context in the context's bucket, next to its weights. An occurrence with
+two such words asks both buckets, and the answers add up. No word is left out, and no key of an exchange is large.
+
+``fit`` and ``score`` are the smaller model over the ``vocabulary`` most frequent words, an end token, a start context and one
+class for all other words, which spells a word by its share of the class:
 
     p(word | before) = p(class | class before) * p(word | class)
     p(class | h)     = d(c) * c / c(h)             for pairs seen c times, d by Good-Turing for c up to 5
@@ -34,6 +45,10 @@ HOT_SHARE = 1 << 17
 #: Entries of one bucket and bytes of text between two hand-outs of a task: both bound its memory.
 BUCKET_ENTRIES = 1 << 23
 HAND_OUT = 1 << 23
+#: As BUCKET_ENTRIES, where pairs are held as two hashes.
+BUCKET_PAIRS = 1 << 21
+#: Stand for the end token and the start context among hashes of words.
+END, START = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 _BLOB = "bucket int, kind int, keys binary, counts binary, docs binary"
 _NAMES = ["bucket", "kind", "keys", "counts", "docs"]
 
@@ -82,6 +97,15 @@ class Model:
     def other(self) -> int:
         return len(self.words)
 
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Classes of hashes of words, ``END`` and ``START``."""
+        at = np.minimum(np.searchsorted(self.words, hashes), max(len(self.words) - 1, 0))
+        known = self.words[at] == hashes if len(self.words) else np.zeros(len(hashes), bool)
+        found = np.where(known, at, self.other).astype(np.int64)
+        found[hashes == END] = self.other + 1
+        found[hashes == START] = self.other + 2
+        return found
+
     def word_mass(self, counts: np.ndarray) -> np.ndarray:
         """p(word) for counts; the unseen word for count 0."""
         return np.where(counts > 0, self.scale * _discounted(counts, self.word_factors) / max(self.tokens, 1), self.unseen)
@@ -209,14 +233,14 @@ def _statistics(counted: DataFrame, kind: int):
     return np.array(values[:-2], np.float64), values[-2], values[-1]
 
 
-def fit(texts: DataFrame, vocabulary: int = 65_000) -> tuple[Model, DataFrame, DataFrame, int]:
-    """The model of the rows' ``text`` (null: empty), the tables of words and pairs, and the number of buckets."""
+def _single_words(texts: DataFrame, vocabulary: int, entries: int = BUCKET_ENTRIES) -> tuple[Model, DataFrame, int]:
+    """The model's single words, the table of all words, and the number of buckets."""
     if not 0 < vocabulary <= (1 << 16) - 3:
         raise ValueError("a vocabulary has 1 to 65,533 words")
     spark = texts.sparkSession
     stated = texts.agg(F.count("*"), F.sum(F.length(F.col("text").cast("binary")))).first()
     documents = int(stated[0])
-    buckets = int(max(spark.sparkContext.defaultParallelism, -(-int(stated[1] or 0) // 4 // BUCKET_ENTRIES)))
+    buckets = int(max(spark.sparkContext.defaultParallelism, -(-int(stated[1] or 0) // 4 // entries)))
     words = _counted(texts, 0, lambda column: _Texts(None, column).hashes, buckets)
     n, types, tokens = _statistics(words, 0)
     if documents:
@@ -241,6 +265,13 @@ def fit(texts: DataFrame, vocabulary: int = 65_000) -> tuple[Model, DataFrame, D
     own = model.word_mass(model.counts)
     end = float(model.word_mass(np.array([documents]))[0]) if documents else 0.5  # without texts, an end is as likely as a word
     model.p1 = np.concatenate([own, [max(1 - own.sum() - end, 0.0), end, 0.0]])
+    return model, words, buckets
+
+
+def fit(texts: DataFrame, vocabulary: int = 65_000) -> tuple[Model, DataFrame, DataFrame, int]:
+    """The model of the rows' ``text`` (null: empty), the tables of words and pairs, and the number of buckets."""
+    spark = texts.sparkSession
+    model, words, buckets = _single_words(texts, vocabulary)
     shared = spark.sparkContext.broadcast(model)
     pairs = _counted(texts, 1, lambda column: _Texts(shared.value, column).pairs, buckets)
     model.pair_factors = discounts(_statistics(pairs, 1)[0])
@@ -263,12 +294,22 @@ def fit(texts: DataFrame, vocabulary: int = 65_000) -> tuple[Model, DataFrame, D
         F.sum("total"), F.sum("kept"), F.sum("p1")).toArrow()  # a row for each context of the vocabulary at most
     h, total, kept, mass = (found[i].to_numpy() for i in range(4))
     model.totals, model.seen, model.bow = np.zeros(size), np.ones(size), np.ones(size)
+    model.totals[h] = total
+    model.seen[h], model.bow[h] = _weights(total, kept, mass)
+    model.hot = _hot_pairs(model, pairs)
+    return model, words, pairs, buckets
+
+
+def _weights(total: np.ndarray, kept: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scale of seen pairs and backoff weight of contexts from counts, discounted counts and the mass of what was seen after."""
     left = np.where(kept >= total - 1e-9, 1 / (total + 1), 1 - kept / np.maximum(total, 1))
     rest = 1 - mass
-    left = np.where(rest > 1e-12, left, 0.0)  # every class was seen after h
-    model.totals[h], model.bow[h] = total, left / np.maximum(rest, 1e-12)
-    model.seen[h] = (1 - left) * total / kept
-    least = max(1, -(-tokens // HOT_SHARE))
+    left = np.where(rest > 1e-12, left, 0.0)  # everything was seen after h
+    return (1 - left) * total / kept, left / np.maximum(rest, 1e-12)
+
+
+def _hot_pairs(model: Model, pairs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    least = max(1, -(-model.tokens // HOT_SHARE))
 
     def hot(batches):
         for batch in batches:
@@ -280,8 +321,7 @@ def fit(texts: DataFrame, vocabulary: int = 65_000) -> tuple[Model, DataFrame, D
     most = pairs.select("keys", "counts").mapInArrow(hot, "pair long, n long").toArrow()
     keys, counts = most["pair"].to_numpy().astype(np.uint32), most["n"].to_numpy()
     order = np.argsort(keys)
-    model.hot = keys[order], counts[order]
-    return model, words, pairs, buckets
+    return keys[order], counts[order]
 
 
 def score(texts: DataFrame, fitted: tuple[Model, DataFrame, DataFrame, int]) -> DataFrame:
@@ -357,6 +397,11 @@ def score(texts: DataFrame, fitted: tuple[Model, DataFrame, DataFrame, int]) ->
     own = rows.mapInArrow(near, f"id {kind}, key long, n_tokens long, known double, base double, value double")
     sent = rows.mapInArrow(send, _BLOB).unionByName(words).unionByName(pairs)
     back = sent.groupBy("bucket").applyInArrow(_as_iterator(far), "key long, known double, base double, value double")
+    return _together(own, back)
+
+
+def _together(own: DataFrame, back: DataFrame) -> DataFrame:
+    """Each row's own sums and those that came back for it."""
     back = back.groupBy("key").agg(*[F.sum(c).alias(f"far_{c}") for c in ("known", "base", "value")])
     # rows that are equal in id and text share a key, and what came back for it counts once for each of them
     own = materialize(own, "near")
@@ -366,8 +411,331 @@ def score(texts: DataFrame, fitted: tuple[Model, DataFrame, DataFrame, int]) ->
     return out.select("id", "n_tokens", F.round(total("known")).cast("long").alias("n_known"), total("base").alias("base_score"), total("value").alias("score"))
 
 
+_WIDE = "bucket int, kind int, keys binary, others binary, counts binary, docs binary"
+_WIDE_NAMES = ["bucket", "kind", "keys", "others", "counts", "docs"]
+#: Kinds of rows: counts of words, pairs of hot words, pairs by their rare word, pairs by their rare context, weights of contexts.
+#: And documents' keys of a hand-out under a hash of them, so that they travel once for all kinds.
+WORDS, HOT_PAIRS, BY_WORD, BY_CONTEXT, WEIGHTS, NAMES = range(6)
+#: Buckets that meet in one group for scoring: the fewer groups, the fewer copies of documents' keys.
+JOINED = 4
+
+
+class _Pairs(_Texts):
+    """Also the hashes of words (or ``END``) and of what is before them (or ``START``), and which of them are not hot."""
+
+    def __init__(self, model: Model, column):
+        super().__init__(model, column)
+        self.word = np.full(len(self.classes), END, np.uint64)
+        self.word[self.classes != model.other + 1] = self.hashes
+        self.before = np.append(START, self.word)[:-1]
+        self.before[self.context == model.other + 2] = START
+        self.rare_word, self.rare_before = self.classes == model.other, self.context == model.other
+
+
+def _packed(m: Model, hashes: np.ndarray) -> np.ndarray:
+    """Bytes of hashes: two for the class of each, then the whole hash of those that are not hot."""
+    classes = m.find(hashes)
+    return np.concatenate([classes.astype(np.uint16).view(np.uint8), hashes[classes == m.other].view(np.uint8)])
+
+
+def _unpacked(m: Model, packed, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and classes from ``_packed``."""
+    classes = np.frombuffer(packed, np.uint16, n).astype(np.int64)
+    hashes = np.concatenate([m.words, np.array([0, END, START], np.uint64)])[classes]
+    hashes[classes == m.other] = np.frombuffer(packed, np.uint8)[2 * n:].copy().view(np.uint64)
+    return hashes, classes
+
+
+def pair_hashes(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return spans.mix(spans.mix(before) * np.uint64(0xD6E8FEB86659FD93) + word)
+
+
+def _added_pairs(keys: np.ndarray, others: np.ndarray, counts: np.ndarray):
+    """Distinct pairs in order and the sums of their counts."""
+    order = np.lexsort((others, keys))
+    keys, others, counts = keys[order], others[order], counts[order]
+    heads = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (others[1:] != others[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[heads], others[heads], np.add.reduceat(counts, heads) if len(heads) else counts
+
+
+def _wide(bucket, kind: int, keys: np.ndarray, others=None, counts=None, docs=None) -> pa.RecordBatch:
+    """A row of one bucket."""
+    blob = lambda x: pa.array([b"" if x is None else np.ascontiguousarray(x).tobytes()], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), blob(keys), blob(others), blob(counts), blob(docs)], _WIDE_NAMES)
+
+
+def _deal_wide(m: Model, kind: int, keys: np.ndarray, others, counts: np.ndarray, buckets: int, docs=None, names=None):
+    """Blobs per bucket of keys, their other halves and counts (or rows into the documents' ``names``), and ``docs`` for each key."""
+    to = (spans.mix(keys.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    cuts = np.searchsorted(to[order], np.arange(buckets + 1))
+    keys, counts = keys[order], counts[order].astype(np.uint32 if names is None else _places(names))
+    others, docs = (x if x is None else x[order] for x in (others, docs))
+    for i in np.flatnonzero(np.diff(cuts)).tolist():
+        part = slice(cuts[i], cuts[i + 1])
+        yield _wide(i, kind, keys[part], None if others is None else _packed(m, others[part]), counts[part], docs[part] if docs is not None else None if names is None else _names_hash(names))
+
+
+def _names_hash(names: np.ndarray) -> np.ndarray:
+    return spans.mix(spans.mix(names.view(np.uint64)) + np.arange(len(names), dtype=np.uint64)).sum(keepdims=True)
+
+
+def _one_table(tables: list) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys with counts from several such tables without common keys."""
+    keys, counts = (np.concatenate(x) for x in zip(*tables))
+    order = np.argsort(keys, kind="stable")
+    return keys[order], counts[order]
+
+
+def _places(names: np.ndarray):
+    """The type of places in ``names``."""
+    return np.uint16 if len(names) <= 1 << 16 else np.uint32
+
+
+def _looked_up(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys in a sorted table, and whether they are there."""
+    at = np.minimum(np.searchsorted(table, keys), max(len(table) - 1, 0))
+    return at, table[at] == keys if len(table) else np.zeros(len(keys), bool)
+
+
+def _count_at(table, keys: np.ndarray) -> np.ndarray:
+    at, there = _looked_up(table[0], keys)
+    return np.where(there, table[1][at], 0).astype(np.int64) if len(table[0]) else np.zeros(len(keys), np.int64)
+
+
+def _read(batch: pa.RecordBatch):
+    """Kind, keys, others, counts and docs of each row of ``_WIDE``, the last three as buffers."""
+    for kind, keys, others, counts, docs in zip(batch.column(1).to_pylist(), *(batch.column(i) for i in range(2, 6))):
+        yield kind, np.frombuffer(keys.as_buffer(), np.uint32 if kind == HOT_PAIRS else np.uint64), others.as_buffer(), counts.as_buffer(), docs.as_buffer()
+
+
+def fit_all(texts: DataFrame, vocabulary: int = 65_000) -> tuple[Model, DataFrame, DataFrame, DataFrame, int]:
+    """The model of all words of the rows' ``text`` (null: empty): what goes to every task, the tables of words, of pairs and
+    of contexts, and the number of buckets."""
+    spark = texts.sparkSession
+    model, words, buckets = _single_words(texts, vocabulary, BUCKET_PAIRS)
+    buckets = -(-buckets // JOINED) * JOINED
+    if not model.documents:
+        model.unseen = float(model.p1[model.other])
+    words = words.select("bucket", "kind", "keys", F.lit(b"").alias("others"), "counts", "docs")
+    shared = spark.sparkContext.broadcast(model)
+
+    def count(batches):
+        near, held = _Counter(), {BY_WORD: [], BY_CONTEXT: []}
+
+        def hand_out():
+            keys, counts = near.take()
+            if len(keys):
+                yield from _deal_wide(shared.value, HOT_PAIRS, keys, None, counts, buckets)
+            for kind, parts in held.items():
+                if parts:
+                    keys, others, counts = _added_pairs(*(np.concatenate(x) for x in zip(*parts)))
+                    yield from _deal_wide(shared.value, kind, keys, others, counts, buckets)
+                    parts.clear()
+
+        size = 0
+        for batch in batches:
+            for part in common.text_runs(batch, "text"):
+                t = _Pairs(shared.value, part.column(0))
+                near.add(t.pairs[~t.rare_word & ~t.rare_before])
+                after = t.rare_before & ~t.rare_word
+                for kind, keys, others in ((BY_WORD, t.word[t.rare_word], t.before[t.rare_word]), (BY_CONTEXT, t.before[after], t.word[after])):
+                    held[kind].append(_added_pairs(keys, others, np.ones(len(keys), np.int64)))
+                    size += len(held[kind][-1][0])
+                if near.size + 2 * size > 1 << 21:
+                    yield from hand_out()
+                    size = 0
+        yield from hand_out()
+
+    def merge(key, batches):
+        bucket, known, parts = key[0].as_py(), (np.zeros(0, np.uint64), np.zeros(0, np.uint32)), {HOT_PAIRS: [], BY_WORD: [], BY_CONTEXT: []}
+        for batch in batches:
+            for kind, keys, others, counts, _ in _read(batch):
+                counts = np.frombuffer(counts, np.uint32)
+                if kind == WORDS:
+                    known = keys, counts
+                else:
+                    parts[kind].append((keys, _unpacked(shared.value, others, len(keys))[0] if kind != HOT_PAIRS else keys, counts.astype(np.int64)))
+        for kind, own in parts.items():
+            if own:
+                keys, others, counts = _added_pairs(*(np.concatenate(x) for x in zip(*own)))
+                own.clear()
+                yield _wide(bucket, kind, keys, None if kind == HOT_PAIRS else _packed(shared.value, others), np.minimum(counts, 2**32 - 1).astype(np.uint32),
+                            _count_at(known, keys).astype(np.uint32) if kind == BY_WORD else None)
+
+    dealt = texts.select("text").mapInArrow(count, _WIDE).unionByName(words)
+    pairs = materialize(dealt.groupBy("bucket").applyInArrow(_as_iterator(merge), _WIDE), "pairs")
+    model.pair_factors = discounts(_statistics(pairs, 1)[0])
+    shared = spark.sparkContext.broadcast(model)
+    size = len(model.p1)
+
+    def hot_contexts(batches):
+        m, sums = shared.value, np.zeros((3, size))
+        for batch in batches:
+            for kind, keys, others, counts, docs in _read(batch):
+                counts = np.frombuffer(counts, np.uint32).astype(np.int64)
+                if kind == HOT_PAIRS:
+                    h, mass = (keys >> 16).astype(np.int64), m.p1[keys & 0xFFFF]
+                else:
+                    h, mass = _unpacked(m, others, len(keys))[1], m.word_mass(np.frombuffer(docs, np.uint32).astype(np.int64))
+                for i, value in enumerate((counts, _discounted(counts, m.pair_factors), mass)):
+                    sums[i] += np.bincount(h, value, size)
+        sums[:, m.other] = 0
+        used = np.flatnonzero(sums[0])
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *[pa.array(s[used]) for s in sums]], ["h", "total", "kept", "p1"])
+
+    found = pairs.where(F.col("kind").isin(HOT_PAIRS, BY_WORD)).mapInArrow(hot_contexts, "h long, total double, kept double, p1 double").groupBy("h").agg(
+        F.sum("total"), F.sum("kept"), F.sum("p1")).toArrow()  # a row for each hot context at most
+    h, total, kept, mass = (found[i].to_numpy() for i in range(4))
+    model.totals, model.seen, model.bow = np.zeros(size), np.ones(size), np.ones(size)
+    model.totals[h] = total
+    model.seen[h], model.bow[h] = _weights(total, kept, mass)
+
+    def onward(batches):
+        """Pairs of two rare words to the bucket of the context; those with a hot word are there."""
+        m = shared.value
+        for batch in batches:
+            for kind, keys, others, counts, docs in _read(batch):
+                (others, classes), counts = _unpacked(m, others, len(keys)), np.frombuffer(counts, np.uint32)
+                if kind == BY_CONTEXT:
+                    yield from _deal_wide(m, kind, keys, others, counts, buckets)
+                else:
+                    rare = classes == m.other
+                    if rare.any():
+                        yield from _deal_wide(m, kind, others[rare], keys[rare], counts[rare], buckets, np.frombuffer(docs, np.uint32)[rare])
+
+    def contexts(key, batches):
+        m, parts = shared.value, []
+        for batch in batches:
+            for kind, keys, others, counts, docs in _read(batch):
+                others, classes = _unpacked(m, others, len(keys))
+                mass = m.p1[classes] if kind == BY_CONTEXT else m.word_mass(np.frombuffer(docs, np.uint32).astype(np.int64))
+                parts.append((keys, others, np.frombuffer(counts, np.uint32), mass))
+        before, word, counts, mass = (np.concatenate(x) for x in zip(*parts))
+        hashes = pair_hashes(before, word)
+        order = np.argsort(hashes, kind="stable")
+        yield _wide(key[0].as_py(), BY_CONTEXT, hashes[order], None, counts[order])
+        order = np.argsort(before, kind="stable")
+        before, mass, counts = before[order], mass[order], counts[order].astype(np.int64)
+        heads = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
+        total, kept, mass = (np.add.reduceat(x, heads) for x in (counts, _discounted(counts, m.pair_factors), mass))
+        seen, bow = _weights(total, kept, mass)
+        yield _wide(key[0].as_py(), WEIGHTS, before[heads], seen / total, bow)
+
+    moved = pairs.where(F.col("kind").isin(BY_WORD, BY_CONTEXT)).mapInArrow(onward, _WIDE)
+    weights = materialize(moved.groupBy("bucket").applyInArrow(_as_iterator(contexts), _WIDE), "contexts")
+    model.hot = _hot_pairs(model, pairs.where(F.col("kind") == HOT_PAIRS))
+    return model, words, pairs, weights, buckets
+
+
+def score_all(texts: DataFrame, fitted: tuple[Model, DataFrame, DataFrame, DataFrame, int]) -> DataFrame:
+    """As ``score``, by the model of ``fit_all``."""
+    spark = texts.sparkSession
+    model, words, pairs, weights, buckets = fitted
+    groups = buckets // JOINED
+    shared = spark.sparkContext.broadcast(model)
+    rows = texts.select("id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("id", "text"))
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def at_hand(m: Model, t: _Pairs):
+        at, there = _looked_up(m.hot[0], t.pairs)
+        return at, there & ~t.rare_word & ~t.rare_before
+
+    def near(batches):
+        """What a task can tell by itself: counts of hot words, and hot pairs."""
+        for batch in batches:
+            for part in common.text_runs(batch, "text"):
+                m = shared.value
+                t = _Pairs(m, part.column(1))
+                at, here = at_hand(m, t)
+                value = np.zeros(len(t.pairs))
+                value[here] = np.log10(m.pair(t.context[here], t.classes[here], m.hot[1][at[here]]))
+                c = np.append(m.counts, [0, m.documents])[t.classes]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2)] + [pa.array(x) for x in (
+                    np.bincount(t.of, minlength=t.n), np.bincount(t.of, ~t.rare_word & (c > 0), t.n), np.bincount(t.of, np.where(t.rare_word, 0.0, m.base(c)), t.n), np.bincount(t.of, value, t.n))],
+                    ["id", "key", "n_tokens", "known", "base", "value"])
+
+    def send(batches):
+        for batch in batches:
+            for part in common.text_runs(batch, "text", HAND_OUT):
+                names, first, asked = part.column(2).to_numpy(), 0, {HOT_PAIRS: [], BY_WORD: [], BY_CONTEXT: []}
+                for run in common.text_runs(part, "text"):
+                    m = shared.value
+                    t = _Pairs(m, run.column(1))
+                    cold = ~at_hand(m, t)[1] & ~t.rare_word & ~t.rare_before
+                    for k, keys, others, some in ((HOT_PAIRS, t.pairs, t.pairs, cold), (BY_WORD, t.word, t.before, t.rare_word), (BY_CONTEXT, t.before, t.word, t.rare_before)):
+                        asked[k].append((keys[some], others[some], t.of[some] + first))
+                    first += t.n
+                for k, parts in asked.items():
+                    keys, others, of = (np.concatenate(x) for x in zip(*parts))
+                    yield from _deal_wide(shared.value, k, keys, None if k == HOT_PAIRS else others, of, groups, names=names)
+                for group in range(groups):
+                    yield _wide(group, NAMES, _names_hash(names), names)
+
+    def slim(batches):
+        for batch in batches:
+            for bucket, (k, keys, others, counts, _) in zip(batch.column(0).to_pylist(), _read(batch)):
+                counts = np.frombuffer(counts, np.uint32)
+                if k == BY_WORD:
+                    keys = pair_hashes(_unpacked(shared.value, others, len(keys))[0], keys)
+                    order = np.argsort(keys, kind="stable")
+                    keys, counts = keys[order], counts[order]
+                yield _wide(bucket, k, keys, None, counts)
+
+    def far(key, batches):
+        m = shared.value
+        none = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        found, wanted, own, named = {}, [], [], {}
+        for batch in batches:
+            for k, keys, others, counts, docs in _read(batch):
+                if k == NAMES:
+                    named[int(keys[0])] = np.frombuffer(others, np.int64)
+                elif k == WEIGHTS:
+                    own.append((keys, np.stack([np.frombuffer(others, np.float64), np.frombuffer(counts, np.float64)], 1)))
+                elif docs.size:
+                    wanted.append((k, keys, others, counts, int(np.frombuffer(docs, np.uint64)[0])))
+                else:
+                    found.setdefault(k, []).append((keys, np.frombuffer(counts, np.uint32)))
+        tables = {HOT_PAIRS: (np.zeros(0, np.uint32), none[1])} | {k: _one_table(v) for k, v in found.items()}
+        own = _one_table(own) if own else (none[0], np.zeros((0, 2)))
+        found.clear()
+        for k, keys, others, of, at in wanted:
+            names = named[at]
+            of = np.frombuffer(of, _places(names))
+            known, base = np.zeros(len(keys)), np.zeros(len(keys))
+            if k == HOT_PAIRS:
+                value = np.log10(m.pair((keys >> 16).astype(np.int64), (keys & 0xFFFF).astype(np.int64), _count_at(tables[k], keys)))
+            elif k == BY_WORD:
+                before, h = _unpacked(m, others, len(keys))
+                c = _count_at(tables.get(k, none), pair_hashes(before, keys))
+                n = _count_at(tables.get(WORDS, none), keys)
+                alone = m.word_mass(n)
+                after_hot = np.where(c > 0, m.seen[h] * _discounted(c, m.pair_factors) / np.maximum(m.totals[h], 1), m.bow[h] * alone)
+                value = np.log10(np.where(h != m.other, after_hot, np.where(c > 0, 1.0, alone)))
+                known, base = n > 0, m.base(n)
+            else:
+                word, w = _unpacked(m, others, len(keys))
+                c = _count_at(tables.get(k, none), pair_hashes(keys, word))
+                at, there = _looked_up(own[0], keys)
+                share, bow = np.where(there[:, None], own[1][at], 1.0).T if len(own[0]) else np.ones((2, len(keys)))
+                value = np.log10(np.where(c > 0, share * _discounted(c, m.pair_factors), bow * np.where(w != m.other, m.p1[w], 1.0)))
+            used, place = np.unique(of, return_inverse=True)
+            sums = [np.bincount(place, x, len(used)) for x in (known, base, value)]
+            yield pa.RecordBatch.from_arrays([pa.array(names[used]), *[pa.array(s) for s in sums]], ["key", "known", "base", "value"])
+
+    own = rows.mapInArrow(near, f"id {kind}, key long, n_tokens long, known double, base double, value double")
+    tables = words.unionByName(pairs.where(F.col("kind").isin(HOT_PAIRS, BY_WORD)).mapInArrow(slim, _WIDE)).unionByName(weights)
+    tables = tables.withColumn("bucket", (F.col("bucket") % groups).cast("int"))
+    sent = rows.mapInArrow(send, _WIDE).unionByName(tables)
+    back = sent.groupBy("bucket").applyInArrow(_as_iterator(far), "key long, known double, base double, value double")
+    return _together(own, back)
+
+
 def score_documents(docs: DataFrame, training: str, vocabulary: int = 65_000, column: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """Fit on the rows that fulfil ``training`` (a condition on ``id``) and score all rows; see ``score`` for the columns."""
+    """Fit on the rows that fulfil ``training`` (a condition on ``id``) and score all rows; see ``score`` for the columns.
+
+    Every word has its own pairs; ``vocabulary`` is only how many words all tasks keep at hand.
+    """
     texts = docs.select(F.col(f"`{id_column}`").alias("id"), F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("")).alias("text"))
-    fitted = fit(texts.where(training), vocabulary)
-    return score(texts, fitted).withColumn("train_tokens", F.lit(fitted[0].tokens).cast("long"))
+    fitted = fit_all(texts.where(training), vocabulary)
+    return score_all(texts, fitted).withColumn("train_tokens", F.lit(fitted[0].tokens).cast("long"))

@@ -251,3 +251,35 @@ def test_hashes_of_queries(spark):
     rows = QUERIES["op8_byte_bpe"](spark, "/root/testdata/sf0.001").limit(3).collect()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     assert all(r["decoded_sha256"] == hashlib.sha256((texts[r["doc_id"]] or "").encode()).hexdigest() for r in rows)
+
+
+def test_katz_pairs_of_all_words(spark):
+    rows = data.texts(8)
+    trained = [(i, t) for i, t in rows if i % 4 != 0]
+    tokens = {i: plain.words(t) + [None] for i, t in rows}  # None: the end
+    single, pair, after = {}, {}, {}
+    for i, _ in trained:
+        for h, w in zip(["<s>"] + tokens[i], tokens[i]):
+            single[w], pair[h, w] = single.get(w, 0) + 1, pair.get((h, w), 0) + 1
+            after.setdefault(h, set()).add(w)
+    of_counts = lambda c: np.array([0] + [sum(v == r for v in c.values()) for r in range(1, 7)], float)
+    d1, d2 = katz.discounts(of_counts(single)), katz.discounts(of_counts(pair))
+    cut = lambda c, d: c * (d[c] if c <= 5 else 1.0)
+    total = sum(single.values())
+    kept = sum(cut(c, d1) for c in single.values())
+    unseen = 1 - kept / total if kept < total - 1e-9 else 1 / (total + 1)
+    p = {w: (1 - unseen) * cut(c, d1) / kept for w, c in single.items()}
+    share, bow = {}, {}
+    for h, own in after.items():
+        n, k = sum(pair[h, w] for w in own), sum(cut(pair[h, w], d2) for w in own)
+        left = 1 - k / n if k < n - 1e-9 else 1 / (n + 1)
+        share[h], bow[h] = (1 - left) / k, left / (1 - sum(p[w] for w in own))
+        assert sum(share[h] * cut(pair[h, w], d2) if w in own else bow[h] * p[w] for w in p) + bow[h] * unseen == pytest.approx(1)
+    got = {}
+    for hot in (1, 30, 65_000):  # how many words are at hand in every task does not change a score
+        got = {r["id"]: r["score"] for r in katz.score_documents(frame(spark, rows), "id % 4 <> 0", vocabulary=hot).collect()}
+        for i, _ in rows:
+            value = 0.0
+            for h, w in zip(["<s>"] + tokens[i], tokens[i]):
+                value += np.log10(share[h] * cut(pair[h, w], d2) if (h, w) in pair else bow.get(h, 1.0) * p.get(w, unseen))
+            assert got[i] == pytest.approx(value, abs=1e-6)
