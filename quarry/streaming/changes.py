@@ -214,6 +214,9 @@ def debounce_processor(width_us: int, timed: bool):
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             out = []
             for row in pd.concat(list(rows)).sort_values(["us", "seq"]).itertuples(index=False):
+                if row.change_type == CLOSING:
+                    out += self._flush(key) if self.opened.exists() else []
+                    continue
                 if self.opened.exists() and row.us >= self.opened.get()[0] + width_us:
                     out += self._flush(key)
                 if not self.opened.exists():
@@ -239,11 +242,23 @@ def debounce_processor(width_us: int, timed: bool):
 _BATCH_COLUMNS = ["root", "opened_us", "path", "change_type", "old_path"]
 
 
+#: Type of the record that ends a root's changes: it closes the open batch and belongs to none.
+CLOSING = "end of changes"
+
+
+def closing_changes(changes: DataFrame, width_ms: int = fv.DEBOUNCE_MS) -> DataFrame:
+    """One record per root, a width after its newest change, to be streamed after ``changes`` where they end."""
+    last = changes.groupBy("root").agg(F.max("seq").alias("seq"), F.timestamp_micros(F.max(F.unix_micros("ts")) + width_ms * 1000).alias("ts"))
+    none = F.lit(None).cast("string")
+    made = {"path": none, "old_path": none, "change_type": F.lit(CLOSING)}
+    return last.select(*[made.get(c, F.col(c) if c in last.columns else F.lit(None)).alias(c) for c in changes.columns])
+
+
 def debounce_stream(changes: DataFrame, width_ms: int = fv.DEBOUNCE_MS, timed: bool = False) -> DataFrame:
     """Streaming debounce, one state per root; needs the RocksDB state store provider.
 
     A batch is emitted by the first later change of its root, or with ``timed``
-    also by a processing-time timer when no change follows.
+    also by a processing-time timer when no change follows, or by a record of ``closing_changes``.
     """
     root_type = changes.schema["root"].dataType.simpleString()
     shaped = changes.select("root", "path", "change_type", "old_path", F.unix_micros("ts").alias("us"), "seq")

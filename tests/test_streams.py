@@ -155,3 +155,14 @@ def test_second_stream_on_one_store(spark):
     job = SC.run_incremental(SC.read_changes(spark, f"{folder}/changes1"), store, lambda _: files, "/home/u", f"{folder}/state3", fold_after=2)
     job.awaitTermination()
     assert store.status(refresh=True)["versions"] == 1  # folded
+
+
+def test_closed_stream_has_every_batch(spark):
+    """Also the newest batch of each path, and paths whose changes all lie in one batch."""
+    from workload.catalog import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    columns = ["path", "opened_us", "change_type"]
+    closed = {tuple(r) for r in QUERIES["debounce_stream_closed"](spark, folder).select(*columns).collect()}
+    batches = {tuple(r) for r in QUERIES["debounced_batches"](spark, folder).select(*columns).collect()}
+    assert closed == batches

@@ -113,9 +113,25 @@ SELECT path AS root, opened AS opened_us, path, arg_max(change_type, (us, seq))
 WHERE opened < last GROUP BY path, opened""")
 def debounce_stream(t):
     """Stateful debounce per path over the change log as a stream; the newest batch of a path stays open."""
+    return _debounced(t, closed=False)
+
+
+@query("debounce_stream_closed", f"""
+WITH {_CHANGES}, {_RELEVANT}, {_CHAIN}, b AS (SELECT c.path, f.opened, c.us, c.seq, c.change_type, c.old_path
+  FROM relevant c JOIN fold f ON f.root = c.path AND f.us = c.us)
+SELECT path AS root, opened AS opened_us, path, arg_max(change_type, (us, seq)) AS change_type FROM b GROUP BY path, opened""")
+def debounce_stream_closed(t):
+    """As debounce_stream, with a closing record per path after the log, so that the newest batches come out too."""
+    return _debounced(t, closed=True)
+
+
+def _debounced(t, closed):
     spark = t.spark
     folder, out = new_folder(spark, "changes"), new_folder(spark, "stream")
-    SC.relevant(changes(t)).withColumn("root", F.col("path")).repartition(4).write.parquet(folder)
+    log = SC.relevant(changes(t)).withColumn("root", F.col("path"))
+    log.repartition(4).write.parquet(folder)
+    if closed:
+        SC.closing_changes(log, 2 * DAY).write.mode("append").parquet(folder)
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
