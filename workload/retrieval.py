@@ -651,6 +651,22 @@ def fallback_source(t):
     return C.first_with_hits(primary, fallback).select("qid", "row_id", "rank", "origin")
 
 
+@query("fallback_source_all", f"""
+WITH {_INDEX}, {_LABELS}, {_s_knn(3, "type = 'file' AND starts_with(folder, 'Desktop/g' || qid)", 'a')},
+b AS (SELECT * FROM (SELECT qid, row_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id) AS rank FROM (
+  SELECT qid, row_id, round(list_sum(list_transform(list_zip(qv, v), lambda p: p[1] * p[2])), 9) AS score
+  FROM queries, idx WHERE type = 'chunk' AND source = 'memory')) WHERE rank <= 3)
+SELECT qid, row_id, rank::INTEGER AS rank, 'primary' AS origin FROM a
+UNION ALL SELECT qid, row_id, rank::INTEGER, 'fallback' FROM b WHERE qid NOT IN (SELECT qid FROM a)""")
+def fallback_source_all(t):
+    """Every label asks both sources; the primary one in the folder of the label's name, which not every label has."""
+    rows, asked = index(t), label_queries(t)
+    mine = SE.with_preset(asked, "files").withColumn("folder", F.concat(F.lit("Desktop/g"), F.col("qid").cast("string")))
+    primary = SE.knn(mine, rows, 3)
+    fallback = SE.knn(SE.with_preset(asked, "memory"), rows, 3)
+    return C.first_with_hits(primary, fallback).select("qid", "row_id", "rank", "origin")
+
+
 _SECTIONS = ["click", "error", "purchase", "signup", "view"]
 
 
