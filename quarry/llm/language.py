@@ -121,14 +121,15 @@ def _gradients(net: Network, text: np.ndarray, target: np.ndarray, real: np.ndar
     return loss, [*d_inputs, *d_recurrent, d_output, p.sum(axis=(0, 2))]
 
 
-def train(texts: list[tuple[bytes, str]], steps: int = 400, lanes: int = 128, length: int = 64, rate: float = 0.01, seed: int = 7) -> Network:
-    """A network from (text, language) pairs by Adam on random windows, languages in equal shares."""
+def train(texts: list[tuple[bytes | list[bytes], str]], steps: int = 400, lanes: int = 128, length: int = 64, rate: float = 0.01, seed: int = 7) -> Network:
+    """A network from (text, language) pairs by Adam on random windows, languages in equal shares; a list holds pieces of one text."""
     languages = sorted({lang for _, lang in texts})
     rng = np.random.default_rng(seed)
     h, k = HIDDEN, len(languages)
     init = lambda *shape: (rng.standard_normal(shape) * 0.3).astype(np.float32)
     net = Network(languages, (init(3 * h, 256), init(3 * h, 256)), (init(3 * h, h), init(3 * h, h)), init(k, 2 * h), np.zeros(k, np.float32))
-    by_language = [[np.frombuffer(t, np.uint8) for t, lang in texts if lang == name and t] for name in languages]
+    pieces = lambda t: [np.frombuffer(x, np.uint8) for x in (t if isinstance(t, list) else [t])]
+    by_language = [[pieces(t) for t, lang in texts if lang == name and t and t != [b""]] for name in languages]
     pick = [i for i, own in enumerate(by_language) if own]
     if k < 2 or not pick:
         return net
@@ -139,6 +140,7 @@ def train(texts: list[tuple[bytes, str]], steps: int = 400, lanes: int = 128, le
         target = np.array([pick[i % len(pick)] for i in range(lanes)])
         for i, lang in enumerate(target.tolist()):
             own = by_language[lang][rng.integers(len(by_language[lang]))]
+            own = own[rng.integers(len(own)) if len(own) > 1 else 0]
             a = int(rng.integers(max(1, len(own) - length + 1)))
             piece = own[a:a + length]
             batch[:len(piece), i] = piece
@@ -179,15 +181,36 @@ def predict_texts(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.nda
 def fit(docs: DataFrame, training: Column | None = None, per_language: int = 300, max_bytes: int = 4000, column: str = "text", id_column: str = "doc_id",
         lang_column: str = "lang", **settings) -> Network:
     """A network from at most ``per_language`` texts of each language among ``training`` rows (a condition on ``id``), in the
-    order of a hash of their ids; of each such text at most ``max_bytes`` bytes, a bound on the training sample alone."""
+    order of a hash of their ids; of each such text at most ``max_bytes`` bytes, a bound on the training sample alone. Of a
+    longer text these are windows as long as those of the training, at places drawn over the whole text by the id's hash."""
     use = F.lit(True) if training is None else training
     rows = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{lang_column}`").cast("string").alias("lang"), F.col(f"`{column}`").cast("string").alias("text"))
     rows = rows.where(use).where("lang is not null and text is not null and id is not null")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     chosen = rows.select("id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("id")
-    some = rows.join(F.broadcast(chosen), "id", "left_semi").select("id", "lang", F.substring(F.col("text").cast("binary"), 1, max_bytes).alias("text"))
-    found = some.orderBy("lang", F.xxhash64("id"), "id", "text").toArrow()
-    return train([(bytes(t), lang) for t, lang in zip(found["text"].to_pylist(), found["lang"].to_pylist())], **settings)
+    some = rows.join(F.broadcast(chosen), "id", "left_semi").select("id", "lang", F.xxhash64("id").alias("seed"), F.col("text").cast("binary").alias("text"))
+    length = settings.get("length", 64)
+
+    def draw(batches):
+        for batch in batches:
+            for part in common.text_runs(batch, "text"):
+                own = [_pieces(v.as_buffer(), s, length, max_bytes) for v, s in zip(part.column(3), part.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(own, pa.list_(pa.binary()))], ["id", "lang", "seed", "pieces"])
+
+    kind = some.schema["id"].dataType.simpleString()
+    drawn = some.mapInArrow(draw, f"id {kind}, lang string, seed long, pieces array<binary>")
+    found = drawn.orderBy("lang", "seed", "id", "pieces").toArrow()
+    return train([(own, lang) for own, lang in zip(found["pieces"].to_pylist(), found["lang"].to_pylist())], **settings)
+
+
+def _pieces(text, seed: int, length: int, most: int) -> list[bytes]:
+    """The text if it has at most ``most`` bytes, else windows of it with so many bytes in all."""
+    data = memoryview(text)
+    if len(data) <= most:
+        return [bytes(data)]
+    length = min(length, most)
+    starts = np.random.default_rng(seed & 0xFFFFFFFFFFFFFFFF).integers(len(data) - length + 1, size=most // length)
+    return [bytes(data[a:a + length]) for a in starts.tolist()]
 
 
 def predict(docs: DataFrame, net: Network, column: str = "text") -> DataFrame:

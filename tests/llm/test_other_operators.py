@@ -208,3 +208,14 @@ def test_language(spark):
     assert language.predict(docs.limit(0), net).collect() == []
     none = language.fit(docs.where("lang is null"))
     assert {r["lang_pred"] for r in language.predict(docs.where("doc_id = 5"), none).collect()} == {"und"}
+
+
+def test_language_samples_the_whole_text(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language, "train", lambda texts, **_: seen.extend(texts))
+    language.fit(spark.createDataFrame([(1, "h" * 4000 + "b" * 36000, "x"), (2, "short", "y")], "doc_id long, text string, lang string"))
+    by_language = {lang: pieces for pieces, lang in seen}
+    assert by_language["y"] == [b"short"]
+    assert sum(len(p) for p in by_language["x"]) <= 4000 and len(by_language["x"]) == 62
+    assert sum(p == b"b" * 64 for p in by_language["x"]) > 40  # nine tenths of the text lie behind the header
+    assert language._pieces(b"abc" * 3000, 5, 64, 4000) == language._pieces(b"abc" * 3000, 5, 64, 4000)
