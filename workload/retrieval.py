@@ -534,10 +534,11 @@ def photo_search(t):
     return PH.search_photos(B.photos(t), terms, 20).select("qid", "file_path", "score", "rank")
 
 
-def _photo_vector_hits(t):
+def _photo_vector_hits(t, queries=None):
     """Vector hits of every photo query from the index, by the label the query name hashes to."""
     labels = t.embeddings.agg(F.max("label") + 1).first()[0]
-    asked = B.photo_queries(t).withColumn("label", F.pmod(F.length("query"), F.lit(labels)))
+    queries = B.photo_queries(t) if queries is None else queries
+    asked = queries.withColumn("label", F.pmod(F.length("query"), F.lit(labels)))
     return SE.with_preset(label_queries(t).withColumnRenamed("qid", "label").join(asked, "label"), "photos")
 
 
@@ -562,6 +563,33 @@ def hybrid_merge(t):
     return SE.hybrid_merge(kw, vec, 10, fv.HYBRID_MIN_KEYWORD_HITS)
 
 
+_MORE_QUERIES = """asked AS (SELECT * FROM photo_queries UNION ALL SELECT 'nation-' || n_name, 'Show me photos of ' || n_name FROM nation)"""
+
+
+@query("hybrid_merge_all", f"""
+WITH {B.PHOTOS}, {B.PHOTO_QUERIES}, {_MORE_QUERIES}, {_PHOTO_SCORED.replace('FROM photo_queries', 'FROM asked')}, {_INDEX},
+{_LABELS.replace('queries AS', 'lq AS')},
+queries AS (SELECT p.qid, qv FROM asked p JOIN lq ON lq.qid = length(p.query) % (SELECT max(label) + 1 FROM embeddings)),
+{_s_knn(10, "type = 'file' AND source = 'photos'")},
+kw AS (SELECT qid, file_path AS path, rank FROM ranked WHERE rank <= 10),
+few AS (SELECT p.qid FROM asked p LEFT JOIN kw USING (qid) GROUP BY 1 HAVING count(kw.path) < 3),
+vec AS (SELECT h.qid, i.file_path AS path, min(h.rank) AS rank FROM hits h JOIN idx i USING (row_id) GROUP BY 1, 2),
+allh AS (SELECT qid, path, rank, 0 AS part FROM kw UNION ALL SELECT qid, path, rank, 1 FROM vec
+  WHERE qid IN (SELECT qid FROM few) AND (qid, path) NOT IN (SELECT (qid, path) FROM kw))
+SELECT * FROM (SELECT qid, path, CASE part WHEN 0 THEN 'keyword' ELSE 'vector' END AS method,
+  row_number() OVER (PARTITION BY qid ORDER BY part, rank, path)::INTEGER AS rank FROM allh) WHERE rank <= 10""")
+def hybrid_merge_all(t):
+    """All keyword hits; also asked for the nations' names, of which photos know few, so that vectors have to help."""
+    more = t.nation.select(F.concat(F.lit("nation-"), "n_name").alias("qid"), F.concat(F.lit("Show me photos of "), "n_name").alias("query"))
+    asked = B.photo_queries(t).unionByName(more)
+    terms = asked.select("qid", F.explode(R.photo_keywords(F.col("query"))).alias("term"))
+    kw = PH.search_photos(B.photos(t), terms, 10).select("qid", F.col("file_path").alias("path"), "rank")
+    vectors = _photo_vector_hits(t, asked).select("qid", "vector", "type", "source", "folder")
+    hits = SE.knn(vectors, index(t), 10).join(index(t).select("row_id", "file_path"), "row_id")
+    vec = hits.groupBy("qid", F.col("file_path").alias("path")).agg(F.min("rank").alias("rank"))
+    return SE.hybrid_merge(kw, vec, 10, fv.HYBRID_MIN_KEYWORD_HITS)
+
+
 # ----------------------------------------------------------------------- context
 
 
