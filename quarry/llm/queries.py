@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import byte_bpe, common, decontaminate, jaccard_join, katz, language, line_dedup, near_vectors, quality, rans, warc
+from quarry.llm import byte_bpe, common, decontaminate, fim, jaccard_join, katz, language, line_dedup, merkle, near_vectors, quality, rans, url_rules, warc
 from quarry.session import new_folder
 
 QUERIES: dict = {}
@@ -107,3 +107,88 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     docs = common.table(spark, folder, "documents").select("doc_id", "text", "lang")
     net = language.fit(docs, common.remainder("id", 4) != 2)
     return language.predict(docs.select("doc_id", "text"), net).select("doc_id", (common.remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+#: The rules that the query judges by: action, host, path.
+URL_RULES = [
+    url_rules.Rule("allow", "org", "/"), url_rules.Rule("block", "example.org", "/es/"), url_rules.Rule("block", "example.org", "/en/1"),
+    url_rules.Rule("allow", "com", "/fr/"), url_rules.Rule("block", "com", "/de/"),
+]
+
+
+@query("op11_url_rules", """
+WITH u AS (SELECT row_number() OVER () AS row, page_id,
+  CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT row, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+rules(action, rule_host, rule_path) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+  ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+fits AS (SELECT row, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+  arg_max(action, length(rule_host || rule_path)) AS action
+  FROM p JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY row)
+SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM p LEFT JOIN fits USING (row)""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return url_rules.judge(common.table(spark, folder, "pages").select("page_id", "url"), URL_RULES).drop("url")
+
+
+@query("op12_merkle_manifest", """
+WITH RECURSIVE
+steps AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i,
+  list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+d AS (SELECT row_number() OVER () AS row, documents.*, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered,
+  coalesce(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 3 = 0, false) AS hit FROM documents, steps),
+l AS (SELECT row, doc_id, coalesce('+' || lang, '') AS g, hit,
+  sha256(array_to_string([coalesce(strlen(v) || ':' || v, '-') for v in [doc_id::VARCHAR, source, lang, n_chars::VARCHAR, text]], '')) AS leaf,
+  sha256(array_to_string([coalesce(strlen(v) || ':' || v, '-') for v in [doc_id::VARCHAR, source, lang, n_chars::VARCHAR, lowered]], '')) AS lower_leaf FROM d),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS total FROM l),
+tree AS (SELECT g, 0 AS lvl, pos, total, leaf AS h FROM leaves UNION ALL
+  SELECT g, lvl + 1, pos // 8, (total + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM tree WHERE total > 1 GROUP BY g, lvl, pos // 8, total),
+subroots AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS place, count(*) OVER () AS total FROM tree WHERE total = 1),
+top AS (SELECT 0 AS lvl, place AS pos, total, subroot AS h FROM subroots UNION ALL
+  SELECT lvl + 1, pos // 8, (total + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM top WHERE total > 1 GROUP BY lvl, pos // 8, total),
+beside AS (
+  SELECT a.g, a.lvl AS seq, a.lvl, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') || '|'
+    || coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS way
+  FROM tree a JOIN tree b ON a.g = b.g AND a.lvl = b.lvl AND a.pos // 8 = b.pos // 8 WHERE a.total > 1 GROUP BY ALL UNION ALL
+  SELECT NULL, 1000 + a.lvl, a.lvl, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') || '|'
+    || coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '')
+  FROM top a JOIN top b ON a.lvl = b.lvl AND a.pos // 8 = b.pos // 8 WHERE a.total > 1 GROUP BY ALL),
+ways AS (
+  SELECT row, seq, way FROM leaves JOIN beside ON leaves.g = beside.g AND beside.pos = leaves.pos >> (3 * lvl) UNION ALL
+  SELECT row, seq, way FROM leaves JOIN subroots USING (g) JOIN beside ON beside.g IS NULL AND beside.pos = place >> (3 * lvl)),
+up AS (SELECT row, list(way ORDER BY seq) AS ways FROM ways GROUP BY row),
+folded AS (SELECT doc_id, leaf, subroot, (SELECT h FROM top WHERE total = 1) AS root,
+  sha256(coalesce(replace(array_to_string(ways, ''), '|', ''), '')) AS proof_sha256,
+  list_reduce(list_prepend(CASE WHEN hit THEN lower_leaf ELSE leaf END, coalesce(ways, [])),
+    lambda x, y: sha256(split_part(y, '|', 1) || x || split_part(y, '|', 2))) AS folded_root
+  FROM leaves JOIN subroots USING (g) LEFT JOIN up USING (row))
+SELECT *, folded_root = root AS verified FROM folded""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    docs = common.table(spark, folder, "documents")
+    names = ["doc_id", "source", "lang", "n_chars", "text"]
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, merkle.leaf_hash([F.col(c) for c in names[:-1]] + [lowered]))
+    manifest = merkle.build(docs, F.col("lang"), merkle.leaf_hash([F.col(c) for c in names]), "doc_id", {"tampered": tampered})
+    return manifest.verify("tampered").drop("tampered")
+
+
+@query("op13_fill_in_middle", """
+WITH u AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
+  sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+d AS (SELECT *, len(units) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3,
+  ('0x' || h[25:32])::BIGINT AS h4 FROM u),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+       WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, coalesce(array_to_string(units[1:a], ''), '') AS prefix, coalesce(array_to_string(units[a + 1:b], ''), '') AS middle,
+  coalesce(array_to_string(units[b + 1:], ''), '') AS suffix FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    examples = fim.restore(fim.transform(common.table(spark, folder, "documents").select("doc_id", "text"), using=["text"]))
+    sha = {f"{c}_sha256": F.sha2(F.col(c).cast("binary"), 256) for c in ("output", "restored")}
+    return examples.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *[v.alias(k) for k, v in sha.items()])
