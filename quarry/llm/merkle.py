@@ -1,7 +1,7 @@
 """Merkle manifest of a dataset: a hash tree with eight children a parent for every group, and one over the groups.
 
 Rows get their place in a group by a range sort and running counts, so a group of any size lies in many tasks. Runs of
-``CAP`` neighbouring nodes are blocks; a task turns a block into one node, several levels at once, and the nodes of all
+4,096 neighbouring nodes are blocks; a task turns a block into one node, several levels at once, and the nodes of all
 blocks are the input of the next pass until one node of each group is left. The same passes over the groups' roots give
 the root.
 
@@ -31,9 +31,8 @@ from pyspark.sql import types as T
 from quarry.session import discard, materialize
 
 FAN = 8
-#: Levels that one pass folds, and the nodes of a block.
+#: Levels that one pass folds: a block has FAN**HEIGHT nodes.
 HEIGHT = 4
-CAP = FAN**HEIGHT
 
 
 def leaf_hash(columns: list[Column]) -> Column:
@@ -43,10 +42,10 @@ def leaf_hash(columns: list[Column]) -> Column:
     return F.sha2(F.concat(*parts).cast("binary"), 256)
 
 
-def levels(total: int) -> int:
-    """Levels of a pass over a group of ``total`` nodes: as many as leave one node, or ``HEIGHT``."""
+def levels(total: int, height: int) -> int:
+    """Levels of a pass over a group of ``total`` nodes: as many as leave one node, or ``height``."""
     n = 0
-    while total > 1 and n < HEIGHT:
+    while total > 1 and n < height:
         total, n = -(-total // FAN), n + 1
     return n
 
@@ -79,9 +78,9 @@ class Parent:
 class Block:
     """The tree over one block, with the way from its top to the root."""
 
-    def __init__(self, nodes: list[bytes], total: int, left: list[str] = (), right: list[str] = ()):
+    def __init__(self, nodes: list[bytes], height: int, left: list[str] = (), right: list[str] = ()):
         self.nodes, self.levels = nodes, []
-        for _ in range(levels(total)):
+        for _ in range(height):
             self.levels.append([Parent(nodes[i:i + FAN]) for i in range(0, len(nodes), FAN)])
             nodes = [p.digest for p in self.levels[-1]]
         self.digest = nodes[0]
@@ -145,10 +144,10 @@ def numbered(rows: DataFrame, group: str, order: list[str]) -> tuple[DataFrame,
     return stored.join(sizes, [group, "part"]).select(*rows.columns, (F.col("first") + F.col("nth")).alias("pos"), "total"), stored
 
 
-def _to_block(carried: list[str]):
+def _to_block(carried: list[str], height: int):
     def fold(table):
         table = table.sort_by("pos")
-        block = Block([n.encode() for n in table.column("node").to_pylist()], table.column("total")[0].as_py())
+        block = Block([n.encode() for n in table.column("node").to_pylist()], levels(table.column("total")[0].as_py(), height))
         lists = [pa.array([table.column(c).to_pylist()], pa.list_(table.schema.field(c).type)) for c in ("node", *carried)]
         once = [table.column(c)[:1] for c in ("g", "block", "total")]
         return pa.table([*once, pa.array([block.digest.decode()]), *lists], names=["g", "block", "total", "digest", "node", *carried])
@@ -156,9 +155,10 @@ def _to_block(carried: list[str]):
     return fold
 
 
-def _passes(nodes: DataFrame, carried: list[str]) -> list[DataFrame]:
+def _passes(nodes: DataFrame, carried: list[str], height: int) -> list[DataFrame]:
     """Written tables of blocks, pass by pass, from (g, pos, total, node) and columns that the first pass carries along."""
     out: list[DataFrame] = []
+    cap = FAN**height
     while True:
         types = {f.name: f.dataType for f in nodes.schema.fields}
         schema = T.StructType([
@@ -166,25 +166,25 @@ def _passes(nodes: DataFrame, carried: list[str]) -> list[DataFrame]:
             T.StructField("digest", T.StringType()),
             *[T.StructField(c, T.ArrayType(types[c])) for c in ("node", *carried)]])
 
-        inputs = nodes.select("g", F.floor(F.col("pos") / CAP).cast("long").alias("block"), "pos", "total", "node", *carried)
-        blocks = materialize(inputs.groupBy("g", "block").applyInArrow(_to_block(carried), schema), "blocks")
+        inputs = nodes.select("g", F.expr(f"pos div {cap}").alias("block"), "pos", "total", "node", *carried)
+        blocks = materialize(inputs.groupBy("g", "block").applyInArrow(_to_block(carried, height), schema), "blocks")
         out.append(blocks)
-        more = blocks.where(F.col("total") > CAP)
+        more = blocks.where(F.col("total") > cap)
         if more.isEmpty():
             return out
-        nodes = more.select("g", F.col("block").alias("pos"), F.ceil(F.col("total") / CAP).cast("long").alias("total"), F.col("digest").alias("node"))
+        nodes = more.select("g", F.col("block").alias("pos"), F.expr(f"(total + {cap - 1}) div {cap}").alias("total"), F.col("digest").alias("node"))
         carried = []
 
 
-def _tops(passes: list[DataFrame]) -> DataFrame:
+def _tops(passes: list[DataFrame], height: int) -> DataFrame:
     """(g, node): the one node left of each group."""
-    return reduce(DataFrame.unionByName, [p.where(F.col("total") <= CAP).select("g", F.col("digest").alias("node")) for p in passes])
+    return reduce(DataFrame.unionByName, [p.where(F.col("total") <= FAN**height).select("g", F.col("digest").alias("node")) for p in passes])
 
 
 _WAY = "left array<string>, right array<string>, subroot string, root string"
 
 
-def _each_block(blocks: DataFrame, ways: DataFrame, carried: list[str], schema: str, rows: Callable) -> DataFrame:
+def _each_block(blocks: DataFrame, ways: DataFrame, carried: list[str], height: int, schema: str, rows: Callable) -> DataFrame:
     """Rows that ``rows(block, record)`` gives for every block, which meets its own way to the root."""
     types = {f.name: f.dataType for f in blocks.schema.fields}
     own = "".join(f", {c} {types[c].elementType.simpleString()}" for c in carried)
@@ -193,7 +193,7 @@ def _each_block(blocks: DataFrame, ways: DataFrame, carried: list[str], schema:
         for batch in batches:
             for i in range(batch.num_rows):
                 record = batch.slice(i, 1).to_pylist()[0]
-                block = Block([n.encode() for n in record["node"]], record["total"], record["left"], record["right"])
+                block = Block([n.encode() for n in record["node"]], levels(record["total"], height), record["left"], record["right"])
                 columns = rows(block, record)
                 along = [batch.column(batch.schema.names.index(c)).slice(i, 1).flatten() for c in carried]
                 yield pa.RecordBatch.from_arrays([*columns, *along], [*names, *carried])
@@ -202,27 +202,27 @@ def _each_block(blocks: DataFrame, ways: DataFrame, carried: list[str], schema:
     return blocks.join(ways, ["g", "block"]).mapInArrow(run, schema + own)
 
 
-def _ways(passes: list[DataFrame], entries: DataFrame) -> DataFrame:
+def _ways(passes: list[DataFrame], entries: DataFrame, height: int) -> DataFrame:
     """The ways of the blocks of the first pass, from those of the groups' tops, down pass by pass."""
     ways = None
     for p in reversed(range(len(passes))):
-        here = passes[p].where(F.col("total") <= CAP).select("g", "block").join(entries, "g")
-        ways = here if ways is None else here.unionByName(_lower(passes[p + 1], ways, []).withColumnRenamed("pos", "block").drop("node"))
+        here = passes[p].where(F.col("total") <= FAN**height).select("g", "block").join(entries, "g")
+        ways = here if ways is None else here.unionByName(_lower(passes[p + 1], ways, [], height).withColumnRenamed("pos", "block").drop("node"))
     return ways
 
 
-def _lower(blocks: DataFrame, ways: DataFrame, carried: list[str]) -> DataFrame:
+def _lower(blocks: DataFrame, ways: DataFrame, carried: list[str], height: int) -> DataFrame:
     """The way of every node of the blocks: (g, pos, node, left, right, subroot, root) and the carried columns."""
     def rows(block: Block, record: dict):
         n = len(block.nodes)
         found = [block.way(i) for i in range(n)]
         lists = pa.list_(pa.string())
         return [
-            pa.array([record["g"]] * n, pa.string()), pa.array([record["block"] * CAP + i for i in range(n)], pa.int64()),
+            pa.array([record["g"]] * n, pa.string()), pa.array([record["block"] * FAN**height + i for i in range(n)], pa.int64()),
             pa.array(record["node"], pa.string()), pa.array([w[0] for w in found], lists), pa.array([w[1] for w in found], lists),
             pa.array([record["subroot"]] * n, pa.string()), pa.array([record["root"]] * n, pa.string())]
 
-    return _each_block(blocks, ways, carried, "g string, pos long, node string, " + _WAY, rows)
+    return _each_block(blocks, ways, carried, height, "g string, pos long, node string, " + _WAY, rows)
 
 
 @dataclass
@@ -232,16 +232,17 @@ class Manifest:
     passes: list[DataFrame]
     top: list[DataFrame]
     names: dict[str, str]
+    height: int
 
     def root(self) -> DataFrame:
         """One row ``root``, or none for an empty table."""
-        return _tops(self.top).select(F.col("node").alias("root"))
+        return _tops(self.top, self.height).select(F.col("node").alias("root"))
 
     def _entries(self) -> DataFrame:
         """The way from each group's root to the root: (g, left, right, subroot, root)."""
         none = F.array().cast("array<string>")
-        start = _tops(self.top).select("g", none.alias("left"), none.alias("right"), F.lit(None).cast("string").alias("subroot"), F.col("node").alias("root"))
-        found = _lower(self.top[0], _ways(self.top, start), ["key"])
+        start = _tops(self.top, self.height).select("g", none.alias("left"), none.alias("right"), F.lit(None).cast("string").alias("subroot"), F.col("node").alias("root"))
+        found = _lower(self.top[0], _ways(self.top, start, self.height), ["key"], self.height)
         return found.select(F.col("key").alias("g"), "left", "right", F.col("node").alias("subroot"), "root")
 
     def verify(self, replacement: str | None = None) -> DataFrame:
@@ -261,14 +262,15 @@ class Manifest:
 
         outputs = ["leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
         fields = ", ".join(f"{n} {'boolean' if n == 'verified' else 'string'}" for n in outputs)
-        found = _each_block(self.passes[0], _ways(self.passes, self._entries()), list(self.names), fields, rows)
+        found = _each_block(self.passes[0], _ways(self.passes, self._entries(), self.height), list(self.names), self.height, fields, rows)
         return found.select(*[F.col(c).alias(n) for c, n in self.names.items() if n.lower() not in outputs], *outputs)
 
 
-def build(rows: DataFrame, group: Column, leaf: Column, order: str, carried: dict[str, Column] | None = None) -> Manifest:
+def build(rows: DataFrame, group: Column, leaf: Column, order: str, carried: dict[str, Column] | None = None, height: int = HEIGHT) -> Manifest:
     """The manifest of ``rows``: trees per ``group`` over the ``leaf`` digests in the order of column ``order``.
 
-    ``carried`` are further columns that ``Manifest.verify`` returns, besides the order column.
+    ``carried`` are further columns that ``Manifest.verify`` returns, besides the order column; ``height`` changes the size
+    of blocks, not the result.
     """
     more = {f"c{i}": item for i, item in enumerate((carried or {}).items())}
     key = F.coalesce(F.concat(F.lit("+"), group.cast("string")), F.lit(""))
@@ -276,9 +278,9 @@ def build(rows: DataFrame, group: Column, leaf: Column, order: str, carried: dic
         key.alias("g"), leaf.alias("node"), F.col(f"`{order}`").alias("key"), *[c.alias(at) for at, (_, c) in more.items()]), "leaves")
     names = {"key": order, **{at: name for at, (name, _) in more.items()}}
     nodes, stored = numbered(leaves, "g", ["key", "node"])
-    passes = _passes(nodes, list(names))
+    passes = _passes(nodes, list(names), height)
     discard(leaves, stored)
-    tops, stored = numbered(_tops(passes).select(F.lit("").alias("g"), "node", F.col("g").alias("key")), "g", ["key"])
-    top = _passes(tops, ["key"])
+    tops, stored = numbered(_tops(passes, height).select(F.lit("").alias("g"), "node", F.col("g").alias("key")), "g", ["key"])
+    top = _passes(tops, ["key"], height)
     discard(stored)
-    return Manifest(passes, top, names)
+    return Manifest(passes, top, names, height)
