@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -39,6 +40,27 @@ def local_session(cores: str | int = "*", memory: str = "8g", app: str = "quarry
     return spark
 
 
+@contextlib.contextmanager
+def stateful_streams(spark: SparkSession, idle_batches: bool = True):
+    """Streams started inside keep their state in RocksDB, which operators with several states and timers need.
+
+    Without ``idle_batches`` no micro-batch runs when there are no new rows: a stream with timers that reads what is
+    available then ends, while otherwise it would wait for its timers for ever.
+    """
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.noDataMicroBatches.enabled": str(idle_batches).lower(),
+    }
+    before = {key: spark.conf.get(key) for key in wanted}
+    try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry import fixed_values as fv
 from quarry import schemas
 from quarry.functions import paths as P
+from quarry.session import discard, materialize
 
 NEVER = -(2**62)
 
@@ -41,17 +44,6 @@ def latest_per_path(changes: DataFrame, by: list[str] | None = None) -> DataFram
     )
 
 
-def with_watermark(changes: DataFrame, delay: str) -> DataFrame:
-    return changes.withWatermark("ts", delay)
-
-
-def count_late(changes: DataFrame, watermark: Column) -> DataFrame:
-    """Rows before a watermark, counted apart from those on time."""
-    return changes.agg(
-        F.count_if(F.col("ts") < watermark).alias("late"), F.count_if(F.col("ts") >= watermark).alias("on_time")
-    )
-
-
 # -------------------------------------------------------------------- debounce
 #
 # The first change of a root opens a batch that closes ``debounce`` later; the
@@ -192,84 +184,185 @@ def debounce_approximate(changes: DataFrame, width: str) -> DataFrame:
 # ------------------------------------------------------------------- streaming
 
 
-def debounce_processor(width_us: int, timed: bool):
-    """Stateful debounce per root: the moment the batch was opened and the newest change of every path."""
-    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+class StreamState:
+    """Tables that a stream hands from one micro-batch to the next, in one folder per step below ``folder``.
 
-    class Debounce(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.handle = handle
-            self.opened = handle.getValueState("opened", "us bigint")
-            self.pending = handle.getMapState(
-                "pending", "path string", "change_type string, old_path string, us bigint, seq bigint"
-            )
+    A step is named ``batch.n``: n is 0 for the micro-batch itself and counts on for what is done between two batches. It
+    counts once its clock is written, which comes last, so a step that is repeated after a failure starts from the step
+    before it and writes the same again. Older steps are removed.
+    """
 
-        def _flush(self, key) -> list[tuple]:
-            opened = self.opened.get()[0]
-            rows = [(key[0], opened, path[0], change[0], change[1]) for path, change in self.pending.iterator()]
-            self.pending.clear()
-            self.opened.clear()
-            return rows
+    CLOCK = "watermark bigint, newest bigint, late bigint, on_time bigint"
 
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            out = []
-            for row in pd.concat(list(rows)).sort_values(["us", "seq"]).itertuples(index=False):
-                if row.change_type == CLOSING:
-                    out += self._flush(key) if self.opened.exists() else []
-                    continue
-                if self.opened.exists() and row.us >= self.opened.get()[0] + width_us:
-                    out += self._flush(key)
-                if not self.opened.exists():
-                    self.opened.update((int(row.us),))
-                    if timed:
-                        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + width_us // 1000)
-                old = row.old_path if isinstance(row.old_path, str) else None
-                if old is None and self.pending.containsKey((row.path,)):
-                    old = self.pending.getValue((row.path,))[1]
-                self.pending.updateValue((row.path,), (row.change_type, old, int(row.us), int(row.seq)))
-            yield pd.DataFrame(out, columns=_BATCH_COLUMNS)
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            rows = self._flush(key) if self.opened.exists() else []
-            yield pd.DataFrame(rows, columns=_BATCH_COLUMNS)
+    def steps(self) -> list[tuple[int, int]]:
+        """Finished steps in order."""
+        if not self._files.exists(self._path(self.folder)):
+            return []
+        found = [f.getPath() for f in self._files.listStatus(self._path(self.folder))]
+        done = [p.getName() for p in found if self._files.exists(self._path(f"{p.toString()}/clock/_SUCCESS"))]
+        return sorted(tuple(int(n) for n in name.split(".")) for name in done)
 
-        def close(self) -> None:
-            pass
+    def before(self, batch_id: int) -> tuple[int, int] | None:
+        """The newest finished step of the micro-batches before this one."""
+        return max((s for s in self.steps() if s[0] < batch_id), default=None)
 
-    return Debounce()
+    def table(self, step: tuple[int, int] | None, name: str, schema) -> DataFrame:
+        if step is None:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{step[0]}.{step[1]}/{name}")
 
+    def watermark(self, step: tuple[int, int] | None) -> int:
+        row = self.table(step, "clock", self.CLOCK).first()
+        return row["watermark"] if row else NEVER
 
-_BATCH_COLUMNS = ["root", "opened_us", "path", "change_type", "old_path"]
+    def finish(self, step: tuple[int, int], tables: dict[str, DataFrame], clock: tuple) -> None:
+        """Write the tables of a step and then its clock; steps before the previous batch go."""
+        for name, df in tables.items():
+            df.write.mode("overwrite").parquet(f"{self.folder}/{step[0]}.{step[1]}/{name}")
+        self.spark.createDataFrame([clock], self.CLOCK).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/{step[0]}.{step[1]}/clock")
+        for old in self.steps():
+            if old[0] < step[0] - 1:
+                self._files.delete(self._path(f"{self.folder}/{old[0]}.{old[1]}"), True)
 
 
-#: Type of the record that ends a root's changes: it closes the open batch and belongs to none.
-CLOSING = "end of changes"
+def _advanced(watermark: int, newest: int | None, delay_us: int) -> int:
+    return watermark if newest is None else max(watermark, newest - delay_us)
 
 
-def closing_changes(changes: DataFrame, width_ms: int = fv.DEBOUNCE_MS) -> DataFrame:
-    """One record per root, a width after its newest change, to be streamed after ``changes`` where they end."""
-    last = changes.groupBy("root").agg(F.max("seq").alias("seq"), F.timestamp_micros(F.max(F.unix_micros("ts")) + width_ms * 1000).alias("ts"))
-    none = F.lit(None).cast("string")
-    made = {"path": none, "old_path": none, "change_type": F.lit(CLOSING)}
-    return last.select(*[made.get(c, F.col(c) if c in last.columns else F.lit(None)).alias(c) for c in changes.columns])
+def _noted(rows: DataFrame, watermark: int, path: str) -> tuple[DataFrame, dict]:
+    """The rows written with ``late``, their time before the watermark, and what was observed while they were written."""
+    us, late = F.unix_micros("ts"), F.coalesce(F.unix_micros("ts") < F.lit(watermark), F.lit(False))
+    seen = Observation()
+    flagged = rows.withColumn("late", late).observe(
+        seen, F.max(us).alias("newest"), F.min(us).alias("oldest"), F.count_if(F.col("late")).alias("late"), F.count_if(~F.col("late")).alias("on_time"))
+    flagged.write.mode("overwrite").partitionBy("late").parquet(path)
+    return rows.sparkSession.read.schema(flagged.schema).parquet(path), seen.get
 
 
-def debounce_stream(changes: DataFrame, width_ms: int = fv.DEBOUNCE_MS, timed: bool = False) -> DataFrame:
-    """Streaming debounce, one state per root; needs the RocksDB state store provider.
+def run_split_late(changes: DataFrame, out: str, checkpoint: str, delay_ms: int, trigger: dict | None = None):
+    """Write the stream to ``out``, rows that come too late apart from those on time (``late=true`` and ``late=false``).
 
-    A batch is emitted by the first later change of its root, or with ``timed``
-    also by a processing-time timer when no change follows, or by a record of ``closing_changes``.
+    The watermark of a micro-batch is the newest time of all batches before it less ``delay_ms``, and never goes back; rows
+    older than that are late, rows without a time never are. Counts and watermark of each batch are observed in the pass
+    that writes the rows: ``late_log`` has them. Replaying a batch writes the same again.
     """
-    root_type = changes.schema["root"].dataType.simpleString()
-    shaped = changes.select("root", "path", "change_type", "old_path", F.unix_micros("ts").alias("us"), "seq")
-    return shaped.groupBy("root").transformWithStateInPandas(
-        statefulProcessor=debounce_processor(width_ms * 1000, timed),
-        outputStructType=f"root {root_type}, opened_us bigint, path string, change_type string, old_path string",
-        outputMode="Append",
-        timeMode="ProcessingTime" if timed else "None",
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        state = StreamState(batch.sparkSession, checkpoint + "-state")
+        watermark = state.watermark(state.before(batch_id))
+        _, seen = _noted(batch, watermark, f"{out}/rows/batch={batch_id}")
+        log = batch.sparkSession.createDataFrame(
+            [(None if watermark == NEVER else watermark, seen["late"], seen["on_time"])], "watermark bigint, late bigint, on_time bigint")
+        log.coalesce(1).write.mode("overwrite").parquet(f"{out}/log/batch={batch_id}")
+        state.finish((batch_id, 0), {}, (_advanced(watermark, seen["newest"], delay_ms * 1000), seen["newest"], seen["late"], seen["on_time"]))
+
+    return _started(changes, apply, checkpoint, trigger)
+
+
+def late_log(spark: SparkSession, out: str) -> DataFrame:
+    """Per micro-batch of ``run_split_late``: batch, watermark (micros, null before the first times are known), late, on_time."""
+    return spark.read.schema("watermark bigint, late bigint, on_time bigint, batch bigint").parquet(f"{out}/log")
+
+
+def split_late_rows(spark: SparkSession, out: str, schema) -> DataFrame:
+    """Rows that ``run_split_late`` wrote, with ``late`` and ``batch``."""
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("late", T.BooleanType()), T.StructField("batch", T.LongType())])).parquet(f"{out}/rows")
+
+
+def _started(changes: DataFrame, apply, checkpoint: str, trigger: dict | None):
+    return (
+        changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).start()
     )
 
 
+#: Type of the records that only tell the time.
+HEARTBEAT = "heartbeat"
+
+
+def with_heartbeat(changes: DataFrame) -> DataFrame:
+    """The stream with a record every second that carries the wall clock, so that micro-batches come when nothing changes."""
+    ticks = changes.sparkSession.readStream.format("rate").option("rowsPerSecond", 1).load()
+    made = {"ts": F.col("timestamp"), "change_type": F.lit(HEARTBEAT)}
+    return changes.unionByName(ticks.select(*[made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in changes.schema.fields]))
+
+
+class DebouncedStream:
+    """Debounced batches of a change stream, the binned batch plan run on every micro-batch.
+
+    The changes of a root's open batch are carried from one micro-batch to the next as table rows; the plan runs over them
+    and the new changes together, so one root's changes are spread over many tasks. A batch is closed and comes out once the
+    watermark (newest time seen less ``delay_ms``) has passed its end, or by the wall clock: in a micro-batch that only holds
+    heartbeats, and by :meth:`expire` after a stream that ends. Changes older than the watermark come out at once as batches
+    of their own, marked ``late``. Output: root, batch_opened, path, change_type, old_path, ts, seq, n_changes, late.
+    """
+
+    def __init__(self, out: str, checkpoint: str, width_ms: int = fv.DEBOUNCE_MS, delay_ms: int = 0):
+        self.out, self.checkpoint = out.rstrip("/"), checkpoint.rstrip("/")
+        self.width, self.delay = width_ms * 1000, delay_ms * 1000
+
+    def start(self, changes: DataFrame, trigger: dict | None = None):
+        return _started(changes, self._apply, self.checkpoint, trigger)
+
+    def batches(self, spark: SparkSession) -> DataFrame:
+        """What has come out so far."""
+        shape = ("root string, batch_opened timestamp, path string, change_type string, old_path string, ts timestamp, "
+                 "seq bigint, n_changes bigint, late boolean, step string")
+        return spark.read.schema(shape).parquet(self.out).drop("step")
+
+    def _bin_ms(self, seen: dict, tasks: int) -> int:
+        """Bins so wide that a root which fills the whole span is cut for a few times as many tasks, but of four widths at
+        least: only changes within a width of a bin's beginning are chained from bin to bin."""
+        span = 0 if seen["newest"] is None else seen["newest"] - seen["oldest"]
+        return max(4 * self.width, span // (4 * tasks)) // 1000 + 1
+
+    def _apply(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        state = StreamState(spark, self.checkpoint + "-state")
+        before = state.before(batch_id)
+        watermark = state.watermark(before)
+        shaped = batch.select("root", "path", "change_type", "old_path", "ts", "seq")
+        noted, seen = _noted(relevant(shaped), watermark, f"{self.checkpoint}-noted")
+        rows = noted.where("not late").drop("late").unionByName(state.table(before, "open", _OPEN))
+        opened = debounce(rows, self.width // 1000, self._bin_ms(seen, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        after = until = _advanced(watermark, seen["newest"], self.delay)
+        if seen["newest"] is None:
+            now = shaped.where(F.col("change_type") == HEARTBEAT).agg(F.max(F.unix_micros("ts"))).first()[0]
+            until = after if now is None else max(after, now - self.delay)
+        late = noted.where("late").withColumn("batch_opened", F.min("ts").over(Window.partitionBy("root", "path")))
+        self._step(state, (batch_id, 0), opened, until, after, late, seen)
+
+    def _step(self, state: StreamState, step: tuple[int, int], opened: DataFrame, until: int, watermark: int, late: DataFrame | None, seen: dict) -> None:
+        """Let out the batches that end until then; the others stay open."""
+        written = materialize(opened, "opened")
+        closed = F.unix_micros("batch_opened") + self.width <= until
+        done = batches(written.where(closed)).withColumn("late", F.lit(False))
+        if seen.get("late"):
+            done = done.unionByName(batches(late).withColumn("late", F.lit(True)))
+        done.write.mode("overwrite").parquet(f"{self.out}/step={step[0]}.{step[1]}")
+        if until > watermark:  # by the wall clock: nothing may join what came out
+            last = written.where(closed).agg(F.max(F.unix_micros("batch_opened"))).first()[0]
+            watermark = watermark if last is None else max(watermark, last + self.width)
+        state.finish(step, {"open": written.where(~closed).drop("batch_opened")}, (watermark, seen.get("newest"), seen.get("late", 0), seen.get("on_time", 0)))
+        discard(written)
+
+    def expire(self, spark: SparkSession, now_us: int | None = None) -> None:
+        """Let out what is open although its end has passed by the clock; for a stream that does not run."""
+        state = StreamState(spark, self.checkpoint + "-state")
+        last = max(state.steps(), default=None)
+        if last is not None:
+            now = time.time_ns() // 1000 if now_us is None else now_us
+            opened = debounce(state.table(last, "open", _OPEN), self.width // 1000)
+            self._step(state, (last[0], last[1] + 1), opened, now - self.delay, state.watermark(last), None, {})
+
+
+_OPEN = "root string, path string, change_type string, old_path string, ts timestamp, seq bigint"
+
+
 def stream_id(spark, checkpoint: str) -> str:
     """The name of a stream, kept beside its checkpoint: the same after a restart, another one for a new checkpoint."""
     jvm = spark.sparkContext._jvm
@@ -301,7 +394,4 @@ def run_incremental(changes: DataFrame, store, current_files, home: str, checkpo
         if store.status(refresh=True)["versions"] > fold_after:
             retried(lambda: store.compact(f"fold-{name}-{batch_id}"), store)
 
-    return (
-        changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True})).start()
-    )
+    return _started(changes, apply, checkpoint, trigger)

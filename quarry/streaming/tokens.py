@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +17,19 @@ def read_lines(spark: SparkSession, folder: str) -> DataFrame:
     return event_lines(spark.readStream.text(folder))
 
 
+def _messages(replies: DataFrame) -> DataFrame:
+    """``content`` of each reply from ``raw``: without memory tags, but the partial text as it is after an abort.
+
+    A reply that was cut off before its first text is no message.
+    """
+    cut = F.col("finish_reason").isin("abort", "abandoned")
+    content = F.when(cut, F.col("raw")).otherwise(T.strip_memory_tags(F.col("raw")))
+    said = F.when(cut, F.trim("raw") != "").otherwise((F.col("finish_reason") == "finish") | (content != ""))
+    return replies.withColumn("content", content).filter(said)
+
+
 def assemble(tokens: DataFrame) -> DataFrame:
-    """One message per reply: tokens joined in order, memory tags removed, with the reason it ended.
+    """One message per reply: tokens joined in order, with the reason it ended.
 
     ``tokens``: chat_id, reply_id, seq, kind (token, finish or abort), token.
     Keyed by reply, so a chat with many messages is spread over many tasks.
@@ -23,14 +37,85 @@ def assemble(tokens: DataFrame) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.when(F.col("kind") == "token", F.struct("seq", "token"))))
     whole = F.array_join(F.transform(ordered, lambda s: s["token"]), "")
     ended = F.max(F.when(F.col("kind") != "token", F.col("kind")))
-    return (
-        tokens.groupBy("chat_id", "reply_id")
-        .agg(whole.alias("raw"), F.coalesce(ended, F.lit("open")).alias("finish_reason"))
-        .withColumn("content", T.strip_memory_tags(F.col("raw")))
-        .filter((F.col("content") != "") | (F.col("finish_reason") == "finish"))
+    return _messages(
+        tokens.groupBy("chat_id", "reply_id").agg(whole.alias("raw"), F.coalesce(ended, F.lit("open")).alias("finish_reason"))
     )
 
 
-def assemble_stream(tokens: DataFrame) -> DataFrame:
-    """Streaming form of :func:`assemble`; use update output mode, a finished reply is complete once it says so."""
-    return assemble(tokens)
+def _assembly(idle_ms: int, first_seq: int):
+    """State of a reply that is still being told: its tokens so far, how it ends, and a timer for its silence."""
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+    class Assembly(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.parts = handle.getListState("parts", "seq bigint, token string")
+            self.known = handle.getValueState("known", "n bigint, kind string, last bigint, timer bigint")
+
+        def _told(self, key, parts: list[tuple], kind: str) -> pd.DataFrame:
+            text = "".join(token for _, token in sorted(dict(parts).items()) if token is not None)
+            return pd.DataFrame([(*key, text, kind)], columns=_REPLY)
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            frame = pd.concat(list(rows), ignore_index=True)
+            ends, tokens = frame[frame["kind"] != "token"], frame[frame["kind"] == "token"]
+            new = list(zip(tokens["seq"].astype("int64").tolist(), tokens["token"].tolist()))
+            stored = self.known.exists()
+            n, kind, last, timer = self.known.get() if stored else (0, None, None, None)
+            if kind is None and len(ends):
+                end = ends.sort_values("seq").iloc[0]
+                kind, last = end["kind"], int(end["seq"])
+            n += len(new)
+            if kind is not None and n >= last - first_seq:
+                parts = (list(self.parts.get()) if stored else []) + new
+                if len(dict(parts)) >= last - first_seq:
+                    if stored:
+                        self._forget(timer)
+                    yield self._told(key, parts, kind)
+                    return
+            if new:
+                self.parts.appendList(new)
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            timer = timerValues.getCurrentProcessingTimeInMs() + idle_ms
+            self.handle.registerTimer(timer)
+            self.known.update((n, kind, last, timer))
+            yield pd.DataFrame([], columns=_REPLY)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            if not self.known.exists():
+                yield pd.DataFrame([], columns=_REPLY)
+                return
+            parts, kind = list(self.parts.get()), self.known.get()[1]
+            self._forget(None)
+            yield self._told(key, parts, kind or "abandoned")
+
+        def _forget(self, timer: int | None) -> None:
+            self.parts.clear()
+            self.known.clear()
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+
+        def close(self) -> None:
+            pass
+
+    return Assembly()
+
+
+_REPLY = ["chat_id", "reply_id", "raw", "finish_reason"]
+
+
+def assemble_stream(tokens: DataFrame, idle_ms: int = 600_000, first_seq: int = 0) -> DataFrame:
+    """Streaming form of :func:`assemble`: every message comes out once, in append mode; needs the RocksDB state store.
+
+    Records of a reply are numbered from ``first_seq``; one that ends comes out as soon as all records before its end are
+    there, in whatever order they arrive, and its state is cleared. A reply that is silent for ``idle_ms`` comes out with
+    what there is: as it ended if its end is known, otherwise as ``abandoned``. Records that come still later begin a new
+    reply. A reply that begins and ends in one micro-batch never touches the state.
+    """
+    found = tokens.groupBy("chat_id", "reply_id").transformWithStateInPandas(
+        statefulProcessor=_assembly(idle_ms, first_seq),
+        outputStructType="chat_id bigint, reply_id bigint, raw string, finish_reason string",
+        outputMode="Append", timeMode="ProcessingTime",
+    )
+    return _messages(found)

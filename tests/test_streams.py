@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarry import schemas
 from quarry.operators import chat as CH
 from quarry.operators import context as C
+from quarry.session import stateful_streams
 from quarry.streaming import changes as SC
 from quarry.streaming import tokens as TK
 from tests.conftest import rows
@@ -61,32 +62,143 @@ def test_latest_change_wins_and_keeps_the_origin(spark):
     assert got == {"/r/a.txt": ("modified", "/r/old.txt"), "/r/b.txt": ("created", None)}
 
 
-def test_streamed_debounce_flushes_by_timer(spark):
-    folder, out = (tempfile.mkdtemp(prefix="spark-", dir="/tmp") for _ in range(2))
-    data = [("/r", i, 1_700_000_000_000_000 + t, f"/r/f{i % 2}", None, "modified") for i, t in enumerate([0, 500, 2500, 2600])]
-    change_table(spark, data).coalesce(1).write.mode("overwrite").parquet(folder)
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def wait_for(found, n, seconds=60):
+    """What ``found`` gives, as soon as it has n rows."""
+    deadline = time.time() + seconds
+    while True:
+        time.sleep(1)
+        try:
+            got = found()
+        except Exception:  # nothing written yet
+            got = []
+        if len(got) >= n or time.time() > deadline:
+            return got
+
+
+BASE = 1_700_000_000_000_000
+
+
+def stream_of(spark, *files):
+    """A folder of changes with one file for each list, in this order."""
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    for data in files:
+        change_table(spark, data).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
+def debounced(spark, folder, width, delay=0, job=None):
+    job = job or SC.DebouncedStream(folder + "-out", folder + "-state", width, delay)
+    job.start(SC.read_changes(spark, folder, "parquet", files_per_trigger=1)).awaitTermination(120)
+    return job
+
+
+def told(job, spark):
+    return sorted((r.opened - BASE, r.path, r.n_changes, r.late) for r in job.batches(spark).withColumn("opened", F.unix_micros("batch_opened")).collect())
+
+
+def test_one_hot_root_debounced_over_micro_batches(spark):
+    """All changes in one root; batches that begin in one micro-batch and end in another are chained as in one piece."""
+    rng = random.Random(4)
+    times = sorted(rng.randrange(0, 4_000_000) for _ in range(600))
+    data = [("/r", i, BASE + t, f"/r/f{i % 7}", None, "modified") for i, t in enumerate(times)]
+    folder = stream_of(spark, data[:250], data[250:251], data[251:])
+    job = debounced(spark, folder, 20)
+    job.expire(spark)
+    opened, expected = None, {}
+    for i, t in enumerate(times):
+        if opened is None or t >= opened + 20_000:
+            opened = t
+        expected[opened, f"/r/f{i % 7}"] = expected.get((opened, f"/r/f{i % 7}"), 0) + 1
+    assert told(job, spark) == sorted((o, p, n, False) for (o, p), n in expected.items())
+    seen = {"oldest": BASE, "newest": BASE + 4_000_000}
+    table = change_table(spark, data)
+    bins = SC.debounce(table, 20, job._bin_ms(seen, 8)).select((F.unix_micros("ts") / (job._bin_ms(seen, 8) * 1000)).cast("long")).distinct().count()
+    assert bins > 16  # one root, many bins for eight tasks
+
+
+def test_late_changes_come_out_and_the_rest_waits_for_its_time(spark):
+    first = [("/r", 1, BASE + 0, "/r/a.txt", None, "modified"), ("/r", 2, BASE + 900_000, "/r/b.txt", None, "modified")]
+    second = [("/r", 3, BASE + 100, "/r/late.txt", None, "created"), ("/r", 4, BASE + 950_000, "/r/b.txt", None, "deleted"), ("/r", 5, BASE + 960_000, None, None, "modified")]
+    folder = stream_of(spark, first, second)
+    job = debounced(spark, folder, 200)
+    early = [(0, "/r/a.txt", 1, False), (100, "/r/late.txt", 1, True)]
+    assert told(job, spark) == early
+    job.expire(spark, BASE + 1_000_000)  # the end of the open batch has not come yet
+    assert told(job, spark) == early
+    job.expire(spark, BASE + 1_200_000)
+    job.expire(spark, BASE + 1_300_000)  # nothing is open any more
+    whole = sorted([*early, (900_000, "/r/b.txt", 2, False)])
+    assert told(job, spark) == whole
+    change_table(spark, [("/r", 6, BASE + 950_001, "/r/c.txt", None, "created"), ("/r", 7, BASE + 2_000_000, "/r/d.txt", None, "created")]).write.mode(
+        "append").parquet(folder)
+    debounced(spark, folder, 200, job=job)  # goes on where it ended; a batch that came out is not opened again
+    job.expire(spark)
+    assert told(job, spark) == sorted([*whole, (950_001, "/r/c.txt", 1, True), (2_000_000, "/r/d.txt", 1, False)])
+
+
+def test_heartbeats_let_the_last_batch_out(spark):
+    data = [("/r", i, BASE + t, f"/r/f{i % 2}", None, "modified") for i, t in enumerate([0, 500, 2500, 2600])]
+    folder = stream_of(spark, data)
+    job = SC.DebouncedStream(folder + "-out", folder + "-state", 2)
+    running = job.start(SC.with_heartbeat(SC.read_changes(spark, folder, "parquet")), {"processingTime": "1 second"})
     try:
-        stream = SC.debounce_stream(SC.read_changes(spark, folder, "parquet"), 2, timed=True)
-        job = (
-            stream.writeStream.format("parquet").option("path", out + "/o").option("checkpointLocation", out + "/c")
-            .trigger(processingTime="500 milliseconds").start()
-        )
-        got, deadline = [], time.time() + 60
-        while len(got) < 4 and time.time() < deadline:
-            time.sleep(1)
-            try:
-                got = spark.read.schema("root string, opened_us bigint, path string, change_type string, old_path string").parquet(
-                    out + "/o").collect()
-            except Exception:
-                got = []
-        job.stop()
+        wait_for(lambda: job.batches(spark).collect(), 4)
+        assert told(job, spark) == [(0, "/r/f0", 1, False), (0, "/r/f1", 1, False), (2500, "/r/f0", 1, False), (2500, "/r/f1", 1, False)]
     finally:
-        spark.conf.set(key, before)
-    base = 1_700_000_000_000_000
-    assert sorted((r.opened_us - base, r.path) for r in got) == [(0, "/r/f0"), (0, "/r/f1"), (2500, "/r/f0"), (2500, "/r/f1")]
+        running.stop()
+
+
+def test_repeated_micro_batch_writes_the_same(spark):
+    folder = stream_of(spark, [("/r", 1, BASE, "/r/a.txt", None, "created")])
+    job = debounced(spark, folder, 2)
+    batch = change_table(spark, [("/r", 2, BASE + 5000, "/r/b.txt", None, "created")])
+    job._apply(batch, 1)
+    job._apply(batch, 1)
+    assert told(job, spark) == [(0, "/r/a.txt", 1, False)]
+    job.expire(spark)
+    assert told(job, spark) == [(0, "/r/a.txt", 1, False), (5000, "/r/b.txt", 1, False)]
+
+
+def test_late_rows_apart_over_restarts(spark):
+    folder = stream_of(spark, [("/r", 1, BASE + 10_000, "/a", None, "x")], [("/r", 2, BASE + 8_999, "/b", None, "x"), ("/r", 3, BASE + 9_000, "/c", None, "x")])
+    out = folder + "-split"
+    schema = SC.read_changes(spark, folder, "parquet").schema
+
+    def run():
+        SC.run_split_late(SC.read_changes(spark, folder, "parquet", files_per_trigger=1), out, folder + "-state", 1).awaitTermination(120)
+
+    run()
+    change_table(spark, [("/r", 4, BASE + 1, "/d", None, "x")]).withColumn("ts", F.when(F.col("seq") == 4, F.lit(None)).otherwise(F.col("ts"))).coalesce(1).write.mode("append").parquet(folder)
+    run()
+    got = sorted((r.batch, r.watermark and r.watermark - BASE, r.late, r.on_time) for r in SC.late_log(spark, out).collect())
+    assert got == [(0, None, 0, 1), (1, 9_000, 1, 1), (2, 9_000, 0, 1)]
+    assert [r.path for r in SC.split_late_rows(spark, out, schema).where("late").collect()] == ["/b"]
+
+
+def test_streamed_replies_come_once_and_leave_no_state(spark):
+    """Ended in order, ended before its tokens came, aborted, aborted without text, and abandoned."""
+    folder, out = (tempfile.mkdtemp(prefix="spark-", dir="/tmp") for _ in range(2))
+    files = [
+        [(1, 1, 0, "token", "a "), (1, 1, 1, "token", "b"), (1, 1, 2, "finish", None), (1, 2, 2, "finish", None), (1, 2, 0, "token", "late <memory>"),
+         (2, 1, 0, "token", "half <memory>x</memory> "), (3, 1, 0, "token", "never ended"), (4, 1, 0, "abort", None)],
+        [(1, 2, 1, "token", "y</memory>text"), (2, 1, 1, "abort", None), (3, 1, 1, "token", " at all"), (5, 1, 0, "finish", None)],
+    ]
+    for i, data in enumerate(files):
+        spark.createDataFrame(data, schemas.TOKENS).coalesce(1).write.mode("append").json(folder)
+    stream = spark.readStream.schema(schemas.TOKENS).option("maxFilesPerTrigger", 1).json(folder)
+    with stateful_streams(spark):
+        job = TK.assemble_stream(stream, idle_ms=4000).writeStream.format("parquet").option("path", out + "/o").option(
+            "checkpointLocation", out + "/c").trigger(processingTime="1 second").start()
+        try:
+            got = wait_for(lambda: spark.read.parquet(out + "/o").collect(), 5)
+            time.sleep(2)
+            progress = job.lastProgress
+        finally:
+            job.stop()
+    assert sorted((r.chat_id, r.reply_id, r.content, r.finish_reason) for r in got) == [
+        (1, 1, "a b", "finish"), (1, 2, "late text", "finish"), (2, 1, "half <memory>x</memory> ", "abort"), (3, 1, "never ended at all", "abandoned"),
+        (5, 1, "", "finish")]
+    assert progress["stateOperators"][0]["numRowsTotal"] == 0
 
 
 def test_assembled_replies(spark):
@@ -97,7 +209,7 @@ def test_assembled_replies(spark):
     ]
     df = spark.createDataFrame(data, schemas.TOKENS)
     got = {(r.chat_id, r.reply_id): (r.content, r.finish_reason) for r in TK.assemble(df).collect()}
-    assert got == {(1, 1): ("a b", "finish"), (1, 2): ("cut", "abort"), (3, 1): ("", "finish"), (4, 1): ("still going", "open")}
+    assert got == {(1, 1): ("a b", "finish"), (1, 2): ("cut <memory>x</memory>", "abort"), (3, 1): ("", "finish"), (4, 1): ("still going", "open")}
 
 
 def test_chat_commands(spark):
@@ -155,14 +267,3 @@ def test_second_stream_on_one_store(spark):
     job = SC.run_incremental(SC.read_changes(spark, f"{folder}/changes1"), store, lambda _: files, "/home/u", f"{folder}/state3", fold_after=2)
     job.awaitTermination()
     assert store.status(refresh=True)["versions"] == 1  # folded
-
-
-def test_closed_stream_has_every_batch(spark):
-    """Also the newest batch of each path, and paths whose changes all lie in one batch."""
-    from workload.catalog import QUERIES
-
-    folder = "/root/testdata/sf0.001"
-    columns = ["path", "opened_us", "change_type"]
-    closed = {tuple(r) for r in QUERIES["debounce_stream_closed"](spark, folder).select(*columns).collect()}
-    batches = {tuple(r) for r in QUERIES["debounced_batches"](spark, folder).select(*columns).collect()}
-    assert closed == batches

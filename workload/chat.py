@@ -150,7 +150,7 @@ def lines(t):
         "conv_id", "turn", "seq", F.concat(F.lit("data: "), F.to_json(F.struct(F.concat("w", F.lit(" ")).alias("token")))).alias(
             "value")
     )
-    done = c.select("conv_id", "turn", F.lit(1 << 30).alias("seq"), F.lit('data: {"done": true}').alias("value"))
+    done = c.select("conv_id", "turn", F.size(words).alias("seq"), F.lit('data: {"done": true}').alias("value"))
     bad = c.filter(F.col("turn") % 3 == 1).select(
         "conv_id", "turn", F.lit(-1).alias("seq"), F.lit('data: {"token": "cut').alias("value")
     )

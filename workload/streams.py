@@ -8,7 +8,7 @@ from quarry import schemas
 from quarry.functions import telemetry as U
 from quarry.operators import context as C
 from quarry.operators import telemetry as TE
-from quarry.session import new_folder
+from quarry.session import new_folder, stateful_streams
 from quarry.streaming import changes as SC
 from quarry.streaming import tokens as TK
 from workload import bindings as B
@@ -106,45 +106,30 @@ def debounce_approximate(t):
     return out.select("root", "path", F.unix_micros("batch_opened").alias("opened_us"), "n_changes")
 
 
-@query("debounce_stream", f"""
-WITH {_CHANGES}, {_RELEVANT}, {_CHAIN}, b AS (SELECT c.path, f.opened, c.us, c.seq, c.change_type, c.old_path
-  FROM relevant c JOIN fold f ON f.root = c.path AND f.us = c.us), m AS (SELECT path, max(opened) AS last FROM b GROUP BY 1)
-SELECT path AS root, opened AS opened_us, path, arg_max(change_type, (us, seq)) AS change_type FROM b JOIN m USING (path)
-WHERE opened < last GROUP BY path, opened""")
-def debounce_stream(t):
-    """Stateful debounce per path over the change log as a stream; the newest batch of a path stays open."""
-    return _debounced(t, closed=False)
+def in_order_of_arrival(rows, by, n):
+    """A folder of n files, each written after the one before it, with the rows in the order of ``by``."""
+    spark = rows.sparkSession
+    folder = new_folder(spark, "changes")
+    low, high = rows.agg(F.min(by), F.max(by)).first()
+    for i in range(n):
+        part = F.expr(f"({by} - {low}) * {n} div {high - low + 1} = {i}")
+        rows.where(part).coalesce(1).write.mode("append").parquet(folder)
+    return folder
 
 
-@query("debounce_stream_closed", f"""
+@query("debounce_stream", f"""
 WITH {_CHANGES}, {_RELEVANT}, {_CHAIN}, b AS (SELECT c.path, f.opened, c.us, c.seq, c.change_type, c.old_path
   FROM relevant c JOIN fold f ON f.root = c.path AND f.us = c.us)
-SELECT path AS root, opened AS opened_us, path, arg_max(change_type, (us, seq)) AS change_type FROM b GROUP BY path, opened""")
-def debounce_stream_closed(t):
-    """As debounce_stream, with a closing record per path after the log, so that the newest batches come out too."""
-    return _debounced(t, closed=True)
-
-
-def _debounced(t, closed):
+SELECT path AS root, opened AS opened_us, path, arg_max(change_type, (us, seq)) AS change_type, count(*) AS n_changes, false AS late
+FROM b GROUP BY path, opened""")
+def debounce_stream(t):
+    """The change log as a stream of several micro-batches, debounced per path; the newest batches come out by the clock."""
     spark = t.spark
-    folder, out = new_folder(spark, "changes"), new_folder(spark, "stream")
-    log = SC.relevant(changes(t)).withColumn("root", F.col("path"))
-    log.repartition(4).write.parquet(folder)
-    if closed:
-        SC.closing_changes(log, 2 * DAY).write.mode("append").parquet(folder)
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        stream = SC.debounce_stream(SC.read_changes(spark, folder, "parquet"), 2 * DAY)
-        job = (
-            stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-state")
-            .trigger(availableNow=True).start()
-        )
-        job.awaitTermination()
-    finally:
-        spark.conf.set(key, before)
-    return spark.read.parquet(out).select("root", "opened_us", "path", "change_type")
+    folder = in_order_of_arrival(changes(t).withColumn("root", F.col("path")), "seq", 4)
+    job = SC.DebouncedStream(new_folder(spark, "batches"), new_folder(spark, "state"), 2 * DAY, DAY)
+    job.start(SC.read_changes(spark, folder, "parquet", files_per_trigger=1)).awaitTermination()
+    job.expire(spark)
+    return job.batches(spark).select("root", F.unix_micros("batch_opened").alias("opened_us"), "path", "change_type", "n_changes", "late")
 
 
 @query("change_batches_applied", f"""
@@ -167,32 +152,42 @@ def change_batches_applied(t):
     return store.paths().select("path", "content_hash")
 
 
-@query("late_changes", """
-SELECT count(*) FILTER (ts < TIMESTAMP '2024-01-10') AS late, count(*) FILTER (ts >= TIMESTAMP '2024-01-10') AS on_time FROM events""")
+_MINUTE = 60_000
+
+
+@query("late_changes", f"""
+WITH {_CHANGES}, a AS (SELECT us, us // 60000000 + seq * 7919 % 100 AS arrived FROM changes), lim AS (SELECT min(arrived) AS low, max(arrived) AS high FROM a),
+c AS (SELECT (arrived - low) * 4 // (high - low + 1) AS batch, us FROM a, lim), n AS (SELECT batch, max(us) AS newest FROM c GROUP BY 1),
+w AS (SELECT batch, max(newest) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {5 * _MINUTE * 1000} AS watermark FROM n)
+SELECT batch, watermark, count(*) FILTER (us < watermark) AS late, count(*) FILTER (watermark IS NULL OR us >= watermark) AS on_time,
+  (sum(us) FILTER (us < watermark))::BIGINT AS late_us FROM c JOIN w USING (batch) GROUP BY 1, 2""")
 def late_changes(t):
-    return SC.count_late(changes(t), F.lit("2024-01-10 00:00:00").cast("timestamp"))
+    """The change log, each change under way for up to 100 minutes, as a stream of files in order of arrival; what each
+    micro-batch brought too late, apart and counted."""
+    spark = t.spark
+    arrived = F.expr("unix_micros(ts) div 60000000 + seq * 7919 % 100")
+    folder = in_order_of_arrival(changes(t).withColumn("arrived", arrived), "arrived", 4)
+    out = new_folder(spark, "split")
+    SC.run_split_late(SC.read_changes(spark, folder, "parquet", files_per_trigger=1), out, new_folder(spark, "state"), 5 * _MINUTE).awaitTermination()
+    apart = SC.split_late_rows(spark, out, changes(t).schema).where("late").groupBy("batch").agg(F.sum(F.unix_micros("ts")).alias("late_us"))
+    return SC.late_log(spark, out).join(apart, "batch", "left").select("batch", "watermark", "late", "on_time", "late_us")
 
 
 @query("assemble_token_stream", f"""
-SELECT conv_id AS chat_id, turn AS reply_id, {B.s_strip('text')} AS content FROM conversations""")
+SELECT conv_id AS chat_id, turn AS reply_id, 'finish' AS finish_reason, {B.s_strip('text')} AS content FROM conversations""")
 def assemble_token_stream(t):
-    """Token records read as a stream, replies kept in state, last update per reply read back."""
+    """Token records as a stream of several micro-batches; every message is written once, when its last record is there."""
     spark = t.spark
     folder, out = new_folder(spark, "tokens"), new_folder(spark, "stream")
     WC.tokens(t).repartition(4).write.json(folder)
     stream = spark.readStream.schema(schemas.TOKENS).option("maxFilesPerTrigger", 2).json(folder)
-
-    def write(batch, batch_id):
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    job = (
-        TK.assemble_stream(stream).writeStream.outputMode("update").foreachBatch(write)
-        .option("checkpointLocation", out + "-state").trigger(availableNow=True).start()
-    )
-    job.awaitTermination()
-    updates = spark.read.parquet(out)
-    latest = updates.groupBy("chat_id", "reply_id").agg(F.max_by("content", "batch").alias("content"))
-    return latest.select("chat_id", "reply_id", "content")
+    with stateful_streams(spark, idle_batches=False):
+        job = (
+            TK.assemble_stream(stream).writeStream.format("parquet").option("path", out)
+            .option("checkpointLocation", out + "-state").trigger(availableNow=True).start()
+        )
+        job.awaitTermination()
+    return spark.read.parquet(out).select("chat_id", "reply_id", "finish_reason", "content")
 
 
 # --------------------------------------------------------------------- telemetry
