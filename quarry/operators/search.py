@@ -13,7 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.ordering import top_k
@@ -69,8 +69,9 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return inside[np.lexsort((ids[inside], -scores[inside]))][:k]
 
 
-def _scorer(k: int, filters: list[str], schema_names: list[str]):
-    """The function of a group: a tile of queries and a tile of entries in, the top k of each query out."""
+def _scorer(k: int | None, filters: list[str], schema_names: list[str]):
+    """The function of a group: a tile of queries and a tile of entries in, the top k of each query out, or without k all
+    entries whose score reaches the query's minimum."""
 
     def score(asked: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or entries.empty:
@@ -80,57 +81,67 @@ def _scorer(k: int, filters: list[str], schema_names: list[str]):
         table = np.round(_matrix(entries["embedding"]) @ _matrix(asked["vector"]).T, SCORE_DIGITS)
         parts = []
         for column, row in enumerate(asked.itertuples(index=False)):
-            mask = np.ones(len(ids), dtype=bool)
+            mask = np.ones(len(ids), dtype=bool) if k is not None else table[:, column] >= row.minimum
             for name in filters:
                 wanted = getattr(row, name)
                 if wanted is None or wanted != wanted:
                     continue
                 own = entries[name].fillna("")
                 mask &= (own.str.startswith(wanted) if name == "folder" else own == wanted).to_numpy()
-            some = np.flatnonzero(mask)
-            best = some[_best(ids[some], table[some, column], k)]
+            best = np.flatnonzero(mask)
+            best = best if k is None else best[_best(ids[best], table[best, column], k)]
             parts.append(pd.DataFrame({"qid": [row.qid] * len(best), "row_id": ids[best], "score": table[best, column]}))
         return pd.concat(parts)
 
     return score
 
 
-def knn(queries: DataFrame, entries: DataFrame, k: int = 10) -> DataFrame:
-    """Exact top-k by dot product: (qid, row_id, score, rank).
-
-    ``queries``: qid, vector and optionally type, source, folder (null = any)
-    and cells; ``entries``: row_id, embedding and the columns the filters name.
-    With cells a query only meets the entries of its cells. Rows without a
-    vector take no part.
-    """
+def _meet(queries: DataFrame, entries: DataFrame, k: int | None) -> DataFrame:
+    """Hits (qid, row_id, score) of every pair of tiles; queries and entries of a cell are dealt by that cell's own sizes,
+    so an entry is sent once to each block of queries that ask in its cell, and not at all where none asks."""
     filters = [c for c in ("type", "source", "folder") if c in queries.columns]
     in_cells = "cells" in queries.columns
-    asked = queries.select("qid", "vector", *filters, *(["cells"] if in_cells else [])).filter("vector is not null")
+    own = [*filters, *(["cells"] if in_cells else []), *([] if k is not None else ["minimum"])]
+    asked = queries.select("qid", "vector", *own).filter("vector is not null")
     rows = entries.select("row_id", "embedding", *filters, *(["cell"] if in_cells else [])).filter("embedding is not null")
-    n_asked = asked.count()
     for name in [c for c in ("type", "source") if c in filters]:  # an index is stored by these; a few values prune its folders
         values = [r[0] for r in asked.select(name).distinct().limit(101).collect()]
         if len(values) <= 100 and None not in values:
             rows = rows.filter(F.col(name).isin(values))
-    query_tiles = max(1, -(-n_asked // QUERY_TILE))
     if in_cells:
         asked = asked.withColumn("cell", F.explode("cells")).drop("cells")
-        sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / ENTRY_TILE).cast("int").alias("_tiles"))
+        sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / ENTRY_TILE).cast("int").alias("_tiles")).join(
+            asked.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_TILE).cast("int").alias("_blocks")), "cell")
         rows, asked = rows.join(sizes, "cell"), asked.join(sizes, "cell")
     else:
-        tiles = max(1, -(-rows.count() // ENTRY_TILE))
-        rows, asked = (x.withColumns({"cell": F.lit(0), "_tiles": F.lit(tiles)}) for x in (rows, asked))
+        tiles, blocks = (max(1, -(-x.count() // size)) for x, size in ((rows, ENTRY_TILE), (asked, QUERY_TILE)))
+        rows, asked = (x.withColumns({"cell": F.lit(0), "_tiles": F.lit(tiles), "_blocks": F.lit(blocks)}) for x in (rows, asked))
     rows = rows.withColumns({
-        "_tile": F.pmod(F.xxhash64("row_id"), "_tiles").cast("int"), "_block": F.explode(F.sequence(F.lit(0), F.lit(query_tiles - 1)))})
+        "_tile": F.pmod(F.xxhash64("row_id"), "_tiles").cast("int"), "_block": F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))})
     asked = asked.withColumns({
-        "_block": F.pmod(F.xxhash64("qid"), F.lit(query_tiles)).cast("int"), "_tile": F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))})
+        "_block": F.pmod(F.xxhash64("qid"), "_blocks").cast("int"), "_tile": F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1))})
     keys = ["cell", "_tile", "_block"]
     schema = _HITS.format(
         qid=queries.schema["qid"].dataType.simpleString(), row=entries.schema["row_id"].dataType.simpleString()
     )
-    hits = asked.drop("_tiles").groupBy(*keys).cogroup(rows.drop("_tiles").groupBy(*keys)).applyInPandas(
+    return asked.drop("_tiles", "_blocks").groupBy(*keys).cogroup(rows.drop("_tiles", "_blocks").groupBy(*keys)).applyInPandas(
         _scorer(k, filters, ["qid", "row_id", "score"]), schema)
-    return top_k(hits, ["qid"], [F.desc("score"), F.asc("row_id")], k)
+
+
+def knn(queries: DataFrame, entries: DataFrame, k: int = 10) -> DataFrame:
+    """Exact top-k by dot product: (qid, row_id, score, rank).
+
+    ``queries``: qid, vector and optionally type, source, folder (null = any)
+    and cells; ``entries``: row_id, embedding and the columns the filters name.
+    With cells a query only meets the entries of its cells. Rows without a
+    vector take no part.
+    """
+    return top_k(_meet(queries, entries, k), ["qid"], [F.desc("score"), F.asc("row_id")], k)
+
+
+def within(queries: DataFrame, entries: DataFrame) -> DataFrame:
+    """All entries whose dot product reaches ``minimum``, a column of the queries: (qid, row_id, score)."""
+    return _meet(queries, entries, None)
 
 
 def assign_cells(entries: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -198,3 +209,65 @@ def hybrid_score(scored: DataFrame, weights: dict[str, float], minimum: float) -
     """Weighted sum of ``<name>_score`` columns, weak rows dropped."""
     total = reduce(lambda a, b: a + b, [F.col(f"{name}_score") * F.lit(w) for name, w in weights.items()])
     return scored.withColumn("score", F.round(total, 6)).filter(F.col("score") >= minimum)
+
+
+def tokens(text: Column) -> Column:
+    """Distinct lower-case words of letters and digits; none for null."""
+    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+
+
+def hybrid_search(queries: DataFrame, index: DataFrame, nearby, weights: dict[str, float], minimum: float, hot_rows: int = 100_000) -> DataFrame:
+    """Every row whose weighted score of file name, content and keywords reaches ``minimum``: (qid, row_id, three scores, score).
+
+    ``queries``: qid, vector, terms; ``index``: row_id, file_name, text, embedding; ``nearby``: function of queries with a
+    ``minimum`` that gives all rows of that content score (:func:`within`, or ``CellIndex.within``). Name and keyword score
+    are the share of a query's terms among the words of file name and text.
+
+    Candidates come from three lists, of which a row that reaches the sum must be in one: the rows whose name or whose text
+    holds one of the query's terms, and the rows so near that they reach the sum without one. Words of more than
+    ``hot_rows`` rows list no candidates; what they could add is taken off the content score that the near rows must have,
+    so nothing is lost. All three scores are then computed for the candidates alone.
+    """
+    terms = queries.select("qid", F.array_distinct(F.filter(F.transform("terms", F.lower), lambda w: w != "")).alias("terms"))
+    words = materialize(terms.select("qid", F.explode("terms").alias("term"), F.size("terms").alias("n")), "terms")
+    share = {"filename": "file_name", "keyword": "text"}
+    pairs, needed = [], queries.select("qid", "vector").withColumn("minimum", F.lit(minimum))
+    for name, column in share.items():
+        postings = index.select("row_id", F.explode(tokens(F.col(column))).alias("term"))
+        sizes = postings.join(words.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("rows"))
+        hot = materialize(sizes.where(F.col("rows") > hot_rows).select("term"), "hot")
+        pairs.append(postings.join(words.join(hot, "term", "left_anti"), "term").select("qid", "row_id"))
+        listed = words.join(hot, "term").groupBy("qid").agg((F.count("*") / F.first("n")).alias("hot"))
+        needed = needed.join(listed, "qid", "left").withColumn("minimum", F.col("minimum") - F.coalesce("hot", F.lit(0.0)) * weights[name]).drop("hot")
+    near = nearby(materialize(needed.withColumn("minimum", F.col("minimum") / weights["content"] - 1e-6), "needed"))
+    found = reduce(DataFrame.unionByName, [*pairs, near.select("qid", "row_id")]).distinct()
+    product = F.aggregate(F.zip_with("embedding", "vector", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    scored = found.join(index.select("row_id", "embedding", *share.values()).where("embedding is not null"), "row_id").join(
+        queries.select("qid", "vector").where("vector is not null").join(terms, "qid"), "qid")
+    hits = {f"{name}_score": F.coalesce(F.size(F.array_intersect(tokens(F.col(c)), "terms")) / F.nullif(F.size("terms"), F.lit(0)), F.lit(0.0)) for name, c in share.items()}
+    columns = ["qid", "row_id", "content_score", *hits]
+    return hybrid_score(scored.withColumns({**hits, "content_score": F.round(product, SCORE_DIGITS)}).select(*columns), weights, minimum)
+
+
+def beam_search(queries: DataFrame, nodes: DataFrame, entries: DataFrame, k: int = 10, beam: int = 8) -> DataFrame:
+    """Top-k among the entries of the tree nodes that a descent keeps: (qid, row_id, score, rank).
+
+    ``nodes``: node, parent (null for the top), vector; ``entries``: row_id, embedding and ``node``, the folder or cluster
+    that holds the entry (null: the top itself), and the columns the filters name. Level by level, the children of the kept
+    nodes meet their queries in tiles and the ``beam`` best of each query are kept; entries of every kept node are scored,
+    those above the last level too. With a beam as wide as the widest level the result is exact.
+    """
+    cell = F.coalesce("parent", F.lit(""))
+    below = materialize(nodes.select(F.col("node").alias("row_id"), F.col("vector").alias("embedding"), cell.alias("cell")), "nodes")
+    kept = materialize(queries.select("qid", F.lit("").alias("cell")), "kept")
+    every = [kept]
+    while True:
+        cells = kept.groupBy("qid").agg(F.array_sort(F.collect_list("cell")).alias("cells"))
+        best = knn(queries.select("qid", "vector").join(cells, "qid"), below, beam)
+        kept = materialize(best.select("qid", F.col("row_id").alias("cell")), "kept")
+        if kept.isEmpty():
+            break
+        every.append(kept)
+    cells = reduce(DataFrame.unionByName, every).groupBy("qid").agg(F.array_sort(F.collect_list("cell")).alias("cells"))
+    asked = materialize(queries.join(cells, "qid"), "asked")
+    return knn(asked, entries.withColumn("cell", F.coalesce("node", F.lit(""))), k)

@@ -1,7 +1,10 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.functions import vectors as V
 from quarry.operators import photos as PH
 from quarry.operators import search as SE
 from quarry.operators.clusters import cluster_tree
@@ -122,3 +125,89 @@ def test_cluster_tree_limits(spark):
             assert r.n_items <= 50 or r.depth == 4
     same, _ = cluster_tree(items.repartition(9), 4, iterations=2)
     assert sorted((r.node, r.item_hash) for r in same.collect()) == sorted((r.node, r.item_hash) for r in tree)
+
+
+def vectors(seed, n, dims=8, groups=6):
+    """(row_id, unit vector) around a few directions."""
+    rng = np.random.default_rng(seed)
+    centers = rng.normal(size=(groups, dims))
+    v = centers[rng.integers(0, groups, n)] + 0.25 * rng.normal(size=(n, dims))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    return [(i, [float(x) for x in row]) for i, row in enumerate(v)]
+
+
+def entry_table(spark, rows):
+    return spark.createDataFrame(rows, "row_id bigint, embedding array<double>")
+
+
+def hits_of(df):
+    return sorted((r.qid, r.rank, r.row_id) for r in df.collect())
+
+
+def test_stored_cells_give_exact_hits_and_skip_cells(spark, tmp_path):
+    from quarry.plans.cells import CellIndex
+
+    rows = [*vectors(1, 900), (5000, None)]
+    entries = entry_table(spark, rows)
+    stored = CellIndex.write(entries, SE.train_cells(entries.where("embedding is not null"), 12, seed=3, iterations=4), f"{tmp_path}/cells")
+    queries = entry_table(spark, vectors(2, 40)).selectExpr("row_id as qid", "embedding as vector").unionByName(
+        spark.createDataFrame([(999, None)], "qid bigint, vector array<double>"))
+    hits, probed = stored.top_k(queries, 7)
+    assert hits_of(hits) == hits_of(SE.knn(queries, entries, 7))
+    n_cells, n_probed = stored.cells.count(), probed.count()
+    assert probed.distinct().count() == n_probed < 0.7 * 40 * n_cells
+    some = probed.where("qid = 0")
+    opened = {f.split("cell=")[1].split("/")[0] for f in stored.entries(some).inputFiles()}
+    assert "PartitionFilters: [" in stored.entries(some)._jdf.queryExecution().executedPlan().toString() and opened
+    assert hits_of(stored.top_k(queries, 2000)[0]) == hits_of(SE.knn(queries, entries, 2000))  # more than any cell holds
+    asked = queries.withColumn("minimum", F.lit(0.9))
+    near = {(r.qid, r.row_id) for r in stored.within(asked).collect()}
+    q, v = ({r[0]: np.array(r[1]) for r in t.where(c + " is not null").collect()} for t, c in ((queries, "vector"), (entries, "embedding")))
+    assert near == {(a, b) for a in q for b in v if round(float(q[a] @ v[b]), 9) >= 0.9}
+
+
+def test_descent_with_a_wide_beam_is_exact(spark):
+    """Through folders that hold entries at every level, and through a cluster tree."""
+    rows = vectors(4, 400)
+    folder = {i: [None, "a", "a/b", "a/c", "d", "d/e/f"][i % 6] for i, _ in rows}
+    entries = spark.createDataFrame([(i, v, folder[i]) for i, v in rows], "row_id bigint, embedding array<double>, node string")
+    mean = entries.where("node is not null").groupBy("node").agg(V.mean_vector(F.col("embedding"), 8).alias("vector"))
+    inner = spark.createDataFrame([("d/e", [0.1] * 8)], "node string, vector array<double>")
+    parent = F.when(F.col("node").contains("/"), F.regexp_replace("node", "/[^/]+$", ""))
+    nodes = mean.unionByName(inner).select("node", parent.alias("parent"), "vector")
+    queries = entry_table(spark, vectors(5, 20)).selectExpr("row_id as qid", "embedding as vector")
+    exact = hits_of(SE.knn(queries, entries, 9))
+    assert hits_of(SE.beam_search(queries, nodes, entries, 9, beam=3)) == exact
+    narrow = SE.beam_search(queries, nodes, entries, 9, beam=1)
+    assert narrow.groupBy("qid").count().where("count > 9").isEmpty() and narrow.count() == 180
+    items = entries.selectExpr("row_id as id", "embedding as vector", "cast(row_id as string) as content")
+    tree, placed = cluster_tree(items, 8)
+    leaves = placed.selectExpr("id as row_id", "vector as embedding", "node")
+    assert hits_of(SE.beam_search(queries, tree, leaves, 9, beam=150)) == exact
+    found = {(q, i) for q, _, i in hits_of(SE.beam_search(queries, tree, leaves, 9, beam=4))}
+    assert len(found & {(q, i) for q, _, i in exact}) >= 0.7 * len(exact)
+
+
+def test_hybrid_search_finds_every_row_of_the_sum(spark):
+    rng = np.random.default_rng(8)
+    names = ["report", "budget", "photo", "notes", "draft"]
+    rows = [(i, f"{rng.choice(names)}_{i % 13}.txt" if i % 9 else None, " ".join(rng.choice(names, 3)) + " all", v if i % 50 else None) for i, v in vectors(6, 500)]
+    index = spark.createDataFrame(rows, "row_id bigint, file_name string, text string, embedding array<double>")
+    asked = [(i, v, [["Report", "7"], ["budget", "all"], [], ["photo"], ["all"]][i % 5]) for i, v in vectors(7, 15)]
+    queries = spark.createDataFrame(asked, "qid bigint, vector array<double>, terms array<string>")
+    weights = {"filename": 0.35, "content": 0.40, "keyword": 0.25}
+
+    def words(text):
+        return set(re.findall("[a-z0-9]+", (text or "").lower()))
+
+    expected = set()
+    for q, qv, terms in asked:
+        ts = {x.lower() for x in terms}
+        for i, name, text, v in rows:
+            if v is not None:
+                f, k = (len(ts & words(x)) / len(ts) if ts else 0.0 for x in (name, text))
+                if round(0.35 * f + 0.40 * round(float(np.dot(qv, v)), 9) + 0.25 * k, 6) >= 0.35:
+                    expected.add((q, i))
+    for hot in (3, 100_000):
+        got = SE.hybrid_search(queries, index, lambda asked: SE.within(asked, index), weights, 0.35, hot_rows=hot)
+        assert {(r.qid, r.row_id) for r in got.collect()} == expected and expected

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from quarry import fixed_values as fv
+from quarry.functions import paths as P
 from quarry.functions import routing as R
 from quarry.functions import text as T
 from quarry.functions import vectors as V
@@ -16,6 +17,8 @@ from quarry.operators import folders as FO
 from quarry.operators import photos as PH
 from quarry.operators import search as SE
 from quarry.plans import retrieval as RP
+from quarry.plans.cells import CellIndex
+from quarry.session import new_folder
 from workload import bindings as B
 from workload.registry import query, sql_list, sql_text
 
@@ -389,6 +392,16 @@ def knn_every_cell(t):
     return hits.select("qid", "row_id", "rank", F.round("score", 4).alias("score"))
 
 
+@query("knn_stored_cells", f"""
+WITH {_INDEX}, {_LABELS}, {_s_knn(10)} SELECT qid, row_id, rank::INTEGER AS rank, round(score, 4) AS score FROM hits""")
+def knn_stored_cells(t):
+    """Exact search over an index stored by cells, in the cells that can hold a hit."""
+    rows = index(t).select("row_id", "embedding")
+    stored = CellIndex.write(rows, SE.train_cells(rows, 16, seed=7, iterations=3), new_folder(t.spark, "cells"))
+    hits, _ = stored.top_k(label_queries(t), 10)
+    return hits.select("qid", "row_id", "rank", F.round("score", 4).alias("score"))
+
+
 @query("cluster_tree")
 def cluster_tree(t):
     items = t.embeddings.select(
@@ -405,8 +418,8 @@ _PAGES = """paged AS (SELECT rtrim(regexp_replace(split_part(split_part(url, '?'
 def pages_with_vectors(t):
     n = t.embeddings.count()
     path = F.regexp_replace(F.regexp_replace("url", "/?([?#].*)?$", ""), "^https?://", "")
-    paged = t.pages.select(path.alias("path"), F.pmod("page_id", F.lit(n)).alias("vec_id"))
-    return paged.join(t.embeddings, "vec_id").select("path", F.col("embedding").alias("vector"))
+    paged = t.pages.select(path.alias("path"), F.pmod("page_id", F.lit(n)).alias("vec_id"), "page_id")
+    return paged.join(t.embeddings, "vec_id").select("path", F.col("embedding").alias("vector"), "page_id")
 
 
 @query("folder_tree", f"""
@@ -427,23 +440,45 @@ def folder_tree(t):
     )
 
 
+@query("tree_search", f"""
+WITH {_PAGES.replace('AS vec_id FROM', 'AS vec_id, page_id AS row_id FROM')}, {_LABELS},
+x AS (SELECT {B.s_parent('path')} AS folder, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM paged JOIN embeddings USING (vec_id)),
+l2 AS (SELECT folder, i, avg(x) AS x FROM x WHERE contains(folder, '/') GROUP BY 1, 2),
+c1 AS (SELECT {B.s_parent('folder')} AS folder, i, x FROM l2 UNION ALL SELECT folder, i, x FROM x WHERE NOT contains(folder, '/')),
+l1 AS (SELECT folder, i, avg(x) AS x FROM c1 GROUP BY 1, 2),
+v1 AS (SELECT folder, list(x ORDER BY i) AS nv FROM l1 GROUP BY 1), v2 AS (SELECT folder, list(x ORDER BY i) AS nv FROM l2 GROUP BY 1),
+s1 AS (SELECT qid, folder, {_DOT.format('qv', 'nv')} AS s FROM queries, v1),
+k1 AS (SELECT qid, folder FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, folder) AS r FROM s1) WHERE r <= 6),
+s2 AS (SELECT q.qid, v2.folder, {_DOT.format('qv', 'nv')} AS s FROM k1 JOIN queries q USING (qid) JOIN v2 ON {B.s_parent('v2.folder')} = k1.folder),
+k2 AS (SELECT qid, folder FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, folder) AS r FROM s2) WHERE r <= 6),
+k AS (SELECT * FROM k1 UNION ALL SELECT * FROM k2),
+c AS (SELECT qid, row_id, {_DOT.format('qv', 'list_transform(embedding, lambda x: x::DOUBLE)')} AS score
+  FROM k JOIN queries USING (qid) JOIN paged ON {B.s_parent('path')} = k.folder JOIN embeddings USING (vec_id))
+SELECT qid, row_id, rank::INTEGER AS rank, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid
+  ORDER BY score DESC, row_id) AS rank FROM c) WHERE rank <= 10""")
+def tree_search(t):
+    """Descent through the folder tree of the pages, six folders a level, then the pages of the folders that were kept."""
+    pages = pages_with_vectors(t)
+    nodes = FO.folder_tree(pages, DIMS).select(F.col("folder").alias("node"), F.nullif(P.parent(F.col("folder")), F.lit("")).alias("parent"), "vector")
+    entries = pages.select(F.col("page_id").alias("row_id"), F.col("vector").alias("embedding"), P.parent(F.col("path")).alias("node"))
+    hits = SE.beam_search(label_queries(t), nodes, entries, 10, 6)
+    return hits.select("qid", "row_id", "rank", F.round("score", 4).alias("score"))
+
+
 @query("hybrid_score", f"""
-WITH {_INDEX}, {_LABELS}, s AS (SELECT qid, row_id,
-  round(list_sum(list_transform(list_zip(qv, v), lambda p: p[1] * p[2])), 9) AS content_score,
-  CASE WHEN contains(file_name, qid::VARCHAR) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS filename_score,
-  CASE WHEN contains(text, qid::VARCHAR) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS keyword_score FROM queries, idx),
-h AS (SELECT *, round(0.35::DOUBLE * filename_score + 0.40::DOUBLE * content_score + 0.25::DOUBLE * keyword_score, 6) AS score FROM s),
-r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY content_score DESC, row_id) AS n FROM h)
-SELECT qid, row_id, round(score, 4) AS score FROM r WHERE n <= 50 AND score >= 0.35""")
+WITH {_INDEX}, {_LABELS}, unit AS (SELECT qid, list_transform(qv, lambda x: x / sqrt(list_sum(list_transform(qv, lambda y: y * y)))) AS qv FROM queries),
+s AS (SELECT qid, row_id, {_DOT.format('qv', 'v')} AS content_score,
+  len(list_intersect(['f' || qid, 'text'], string_split_regex(file_name, '[^a-z0-9]+'))) / 2.0::DOUBLE AS filename_score,
+  len(list_intersect(['f' || qid, 'text'], string_split_regex(text, '[^a-z0-9]+'))) / 2.0::DOUBLE AS keyword_score FROM unit, idx),
+h AS (SELECT *, round(0.35::DOUBLE * filename_score + 0.40::DOUBLE * content_score + 0.25::DOUBLE * keyword_score, 6) AS score FROM s)
+SELECT qid, row_id, round(score, 4) AS score FROM h WHERE score >= 0.35""")
 def hybrid_score(t):
-    hits = SE.knn(label_queries(t), index(t), 50).join(index(t).select("row_id", "file_name", "text"), "row_id")
-    label = F.col("qid").cast("string")
-    scored = hits.select(
-        "qid", "row_id", F.col("score").alias("content_score"),
-        F.contains(F.col("file_name"), label).cast("double").alias("filename_score"),
-        F.contains(F.col("text"), label).cast("double").alias("keyword_score"),
-    )
-    out = SE.hybrid_score(scored, fv.HYBRID_WEIGHTS, fv.HYBRID_MIN_SCORE)
+    """All entries are candidates: by name, by keyword, or by a near vector from the stored cells; "text" is in every entry."""
+    rows = index(t)
+    asked = label_queries(t).select(
+        "qid", V.l2_normalize(F.col("vector")).alias("vector"), F.array(F.concat(F.lit("f"), F.col("qid").cast("string")), F.lit("Text")).alias("terms"))
+    stored = CellIndex.write(rows.select("row_id", "embedding"), SE.train_cells(rows, 16, seed=7, iterations=3), new_folder(t.spark, "cells"))
+    out = SE.hybrid_search(asked, rows, stored.within, fv.HYBRID_WEIGHTS, fv.HYBRID_MIN_SCORE, hot_rows=100)
     return out.select("qid", "row_id", F.round("score", 4).alias("score"))
 
 
@@ -542,31 +577,10 @@ def _photo_vector_hits(t, queries=None):
     return SE.with_preset(label_queries(t).withColumnRenamed("qid", "label").join(asked, "label"), "photos")
 
 
-@query("hybrid_merge", f"""
-WITH {B.PHOTOS}, {B.PHOTO_QUERIES}, {_PHOTO_SCORED}, {_INDEX}, {_LABELS.replace('queries AS', 'lq AS')},
-queries AS (SELECT p.qid, qv FROM photo_queries p JOIN lq ON lq.qid = length(p.query) % (SELECT max(label) + 1 FROM embeddings)),
-{_s_knn(10, "type = 'file' AND source = 'photos'")},
-kw AS (SELECT qid, file_path AS path, rank FROM ranked WHERE rank <= 10 AND (length(qid) % 2 = 0 OR rank <= 2)),
-few AS (SELECT p.qid FROM photo_queries p LEFT JOIN kw USING (qid) GROUP BY 1 HAVING count(kw.path) < 3),
-vec AS (SELECT h.qid, i.file_path AS path, min(h.rank) AS rank FROM hits h JOIN idx i USING (row_id) GROUP BY 1, 2),
-allh AS (SELECT qid, path, rank, 0 AS part FROM kw UNION ALL SELECT qid, path, rank, 1 FROM vec
-  WHERE qid IN (SELECT qid FROM few) AND (qid, path) NOT IN (SELECT (qid, path) FROM kw))
-SELECT * FROM (SELECT qid, path, CASE part WHEN 0 THEN 'keyword' ELSE 'vector' END AS method,
-  row_number() OVER (PARTITION BY qid ORDER BY part, rank, path)::INTEGER AS rank FROM allh) WHERE rank <= 10""")
-def hybrid_merge(t):
-    terms = B.photo_queries(t).select("qid", F.explode(R.photo_keywords(F.col("query"))).alias("term"))
-    kw = PH.search_photos(B.photos(t), terms, 10).select("qid", F.col("file_path").alias("path"), "rank")
-    kw = kw.filter((F.length("qid") % 2 == 0) | (F.col("rank") <= 2))
-    asked = _photo_vector_hits(t).select("qid", "vector", "type", "source", "folder")
-    hits = SE.knn(asked, index(t), 10).join(index(t).select("row_id", "file_path"), "row_id")
-    vec = hits.groupBy("qid", F.col("file_path").alias("path")).agg(F.min("rank").alias("rank"))
-    return SE.hybrid_merge(kw, vec, 10, fv.HYBRID_MIN_KEYWORD_HITS)
-
-
 _MORE_QUERIES = """asked AS (SELECT * FROM photo_queries UNION ALL SELECT 'nation-' || n_name, 'Show me photos of ' || n_name FROM nation)"""
 
 
-@query("hybrid_merge_all", f"""
+@query("hybrid_merge", f"""
 WITH {B.PHOTOS}, {B.PHOTO_QUERIES}, {_MORE_QUERIES}, {_PHOTO_SCORED.replace('FROM photo_queries', 'FROM asked')}, {_INDEX},
 {_LABELS.replace('queries AS', 'lq AS')},
 queries AS (SELECT p.qid, qv FROM asked p JOIN lq ON lq.qid = length(p.query) % (SELECT max(label) + 1 FROM embeddings)),
@@ -578,7 +592,7 @@ allh AS (SELECT qid, path, rank, 0 AS part FROM kw UNION ALL SELECT qid, path, r
   WHERE qid IN (SELECT qid FROM few) AND (qid, path) NOT IN (SELECT (qid, path) FROM kw))
 SELECT * FROM (SELECT qid, path, CASE part WHEN 0 THEN 'keyword' ELSE 'vector' END AS method,
   row_number() OVER (PARTITION BY qid ORDER BY part, rank, path)::INTEGER AS rank FROM allh) WHERE rank <= 10""")
-def hybrid_merge_all(t):
+def hybrid_merge(t):
     """All keyword hits; also asked for the nations' names, of which photos know few, so that vectors have to help."""
     more = t.nation.select(F.concat(F.lit("nation-"), "n_name").alias("qid"), F.concat(F.lit("Show me photos of "), "n_name").alias("query"))
     asked = B.photo_queries(t).unionByName(more)
@@ -666,27 +680,13 @@ def render_photos(t):
 
 
 @query("fallback_source", f"""
-WITH {_INDEX}, {_LABELS}, {_s_knn(3, "type = 'file' AND (qid % 2 = 1 OR row_id < 0)", 'a')},
-b AS (SELECT * FROM (SELECT qid, row_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id) AS rank FROM (
-  SELECT qid, row_id, round(list_sum(list_transform(list_zip(qv, v), lambda p: p[1] * p[2])), 9) AS score
-  FROM queries, idx WHERE type = 'chunk' AND source = 'memory')) WHERE rank <= 3)
-SELECT qid, row_id, rank::INTEGER AS rank, 'primary' AS origin FROM a
-UNION ALL SELECT qid, row_id, rank::INTEGER, 'fallback' FROM b WHERE qid NOT IN (SELECT qid FROM a)""")
-def fallback_source(t):
-    rows, asked = index(t), label_queries(t)
-    primary = SE.knn(SE.with_preset(asked.filter("qid % 2 = 1"), "files"), rows, 3)
-    fallback = SE.knn(SE.with_preset(asked, "memory"), rows, 3)
-    return C.first_with_hits(primary, fallback).select("qid", "row_id", "rank", "origin")
-
-
-@query("fallback_source_all", f"""
 WITH {_INDEX}, {_LABELS}, {_s_knn(3, "type = 'file' AND starts_with(folder, 'Desktop/g' || qid)", 'a')},
 b AS (SELECT * FROM (SELECT qid, row_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id) AS rank FROM (
   SELECT qid, row_id, round(list_sum(list_transform(list_zip(qv, v), lambda p: p[1] * p[2])), 9) AS score
   FROM queries, idx WHERE type = 'chunk' AND source = 'memory')) WHERE rank <= 3)
 SELECT qid, row_id, rank::INTEGER AS rank, 'primary' AS origin FROM a
 UNION ALL SELECT qid, row_id, rank::INTEGER, 'fallback' FROM b WHERE qid NOT IN (SELECT qid FROM a)""")
-def fallback_source_all(t):
+def fallback_source(t):
     """Every label asks both sources; the primary one in the folder of the label's name, which not every label has."""
     rows, asked = index(t), label_queries(t)
     mine = SE.with_preset(asked, "files").withColumn("folder", F.concat(F.lit("Desktop/g"), F.col("qid").cast("string")))
