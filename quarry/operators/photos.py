@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry import fixed_values as fv
 from quarry.operators.ordering import top_k
+from quarry.session import materialize
 
 
 def _filled(names: str) -> Column:
@@ -93,8 +96,44 @@ def match_points(vocabulary: DataFrame, terms: DataFrame) -> DataFrame:
     )
 
 
-def search_photos(photos: DataFrame, terms: DataFrame, k: int = 20, key: str = "file_path") -> DataFrame:
-    """Keyword-scored top-k per query: (qid, key, date, score, rank), best score first, newest first."""
+#: Photos and queries of one tile.
+PHOTO_TILE, QUERY_TILE = 1 << 14, 1 << 12
+
+
+def _tile_scorer(k: int, key: str):
+    """The function of a group: postings of a tile of photos and the points of a tile of queries in, the k best photos of
+    each query out, by score, newest date and key."""
+
+    def score(postings: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        columns = ["qid", key, "date", "score"]
+        if postings.empty or points.empty:
+            return pd.DataFrame({c: [] for c in columns})
+        photos, place = np.unique(postings[key].to_numpy(), return_inverse=True)
+        when = np.full(len(photos), _NO_DATE)
+        dates = postings["date"].to_numpy()
+        known = ~pd.isna(dates)
+        np.maximum.at(when, place[known], dates[known].astype(np.int64))
+        lists = {name: (place[at], postings["times"].to_numpy(np.int64)[at]) for name, at in postings.groupby(["field", "token"]).indices.items()}
+        parts = []
+        for qid, mine in points.groupby("qid", sort=False):
+            held = [(*lists[f, t], p) for f, t, p in zip(mine["field"], mine["token"], mine["points"]) if (f, t) in lists]
+            if held:
+                where = np.concatenate([at for at, _, _ in held])
+                total = np.bincount(where, np.concatenate([times * p for _, times, p in held]), len(photos)).astype(np.int64)
+                hits = np.flatnonzero(total > 0)
+                best = hits[np.lexsort((hits, -when[hits], -total[hits]))][:k]
+                parts.append(pd.DataFrame({"qid": [qid] * len(best), key: photos[best], "date": when[best], "score": total[best]}))
+        return pd.concat(parts) if parts else pd.DataFrame({c: [] for c in columns})
+
+    return score
+
+
+def photo_hits(photos: DataFrame, terms: DataFrame, k: int = 20, key: str = "file_path", tile: int = PHOTO_TILE) -> DataFrame:
+    """The k best photos of every query in every tile of photos: (qid, key, date in micros, score).
+
+    A word that very many photos have meets a query once a tile, not once a photo: its postings lie in the tiles, and each
+    tile lets at most k rows of a query out.
+    """
     values = F.array(
         F.struct(F.lit("keyword").alias("field"), F.col("keywords").alias("names")),
         F.struct(F.lit("person").alias("field"), F.col("persons").alias("names")),
@@ -104,14 +143,28 @@ def search_photos(photos: DataFrame, terms: DataFrame, k: int = 20, key: str = "
     tokens = (
         photos.select(key, "date", F.explode(values).alias("v"))
         .select(key, "date", F.col("v.field").alias("field"), F.explode("v.names").alias("token"))
-        .select(key, "date", "field", F.lower("token").alias("token"))
+        .select(key, F.unix_micros("date").alias("date"), "field", F.lower("token").alias("token"))
         .filter(F.col("token") != "")
     )
-    points = match_points(tokens.select("field", "token").distinct(), terms)
-    scored = (
-        tokens.join(points, ["field", "token"])
-        .groupBy("qid", key)
-        .agg(F.sum("points").alias("score"), F.max("date").alias("date"))
-        .filter(F.col("score") > 0)
-    )
-    return top_k(scored, ["qid"], [F.desc("score"), F.desc_nulls_last("date"), F.asc(key)], k)
+    points = materialize(match_points(tokens.select("field", "token").distinct(), terms), "points")
+    name = ["field", "token"]
+    tiles = max(1, -(-photos.count() // tile))
+    postings = tokens.join(points.select(*name).distinct(), name, "left_semi").groupBy(key, *name).agg(
+        F.count("*").alias("times"), F.max("date").alias("date")).withColumn("_tile", F.pmod(F.xxhash64(key), F.lit(tiles)).cast("int"))
+    postings = materialize(postings, "postings")
+    blocks = max(1, -(-points.select("qid").distinct().count() // QUERY_TILE))
+    asked = points.join(postings.select(F.col("_tile").alias("_in"), *name).distinct(), name).withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
+    dealt = postings.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    schema = f"qid {points.schema['qid'].dataType.simpleString()}, {key} {photos.schema[key].dataType.simpleString()}, date bigint, score bigint"
+    return dealt.groupBy("_tile", "_block").cogroup(asked.groupBy("_in", "_block")).applyInPandas(_tile_scorer(k, key), schema)
+
+
+def search_photos(photos: DataFrame, terms: DataFrame, k: int = 20, key: str = "file_path", tile: int = PHOTO_TILE) -> DataFrame:
+    """Keyword-scored top-k per query: (qid, key, date, score, rank), best score first, newest first."""
+    found = photo_hits(photos, terms, k, key, tile)
+    dated = found.withColumn("date", F.timestamp_micros(F.when(F.col("date") > _NO_DATE, F.col("date"))))
+    return top_k(dated, ["qid"], [F.desc("score"), F.desc_nulls_last("date"), F.asc(key)], k)
+
+
+#: Instead of the date of a photo without one.
+_NO_DATE = -(2**62)

@@ -211,3 +211,30 @@ def test_hybrid_search_finds_every_row_of_the_sum(spark):
     for hot in (3, 100_000):
         got = SE.hybrid_search(queries, index, lambda asked: SE.within(asked, index), weights, 0.35, hot_rows=hot)
         assert {(r.qid, r.row_id) for r in got.collect()} == expected and expected
+
+
+def test_a_word_in_every_photo_lets_k_rows_a_tile_through(spark):
+    rng = np.random.default_rng(9)
+    words = ["dog", "park", "summer", "sea"]
+    data = [(f"/p{i % 290}", ["Beach", *rng.choice(words, 2)], [str(rng.choice(["Ann", "Bob", ""]))], "Beach road" if i % 3 else "", int(rng.integers(0, 5)) if i % 7 else None, ["beach"])
+            for i in range(300)]
+    photos = spark.createDataFrame(data, "file_path string, keywords array<string>, persons array<string>, location string, d int, album_names array<string>")
+    photos = photos.withColumn("date", F.timestamp_seconds("d")).drop("d")
+    asked = {"a": ["beach"], "b": ["beach", "dog", "dog"], "c": ["ann", "sea"], "d": ["nothing"], "e": ["each"]}
+    terms = spark.createDataFrame([(q, w) for q, ws in asked.items() for w in ws], "qid string, term string")
+    score, date = {}, {}
+    for path, keywords, persons, location, d, albums in data:
+        for q, ws in asked.items():
+            n = sum(2 if w.lower() in ws else any(x in w.lower() for x in ws) for w in keywords)
+            n += sum(3 if w.lower() in ws else 2 * any(x in w.lower() for x in ws) for w in persons)
+            n += sum(x in location.lower() for x in ws) + sum(a in ws for a in albums)
+            score[q, path] = score.get((q, path), 0) + n
+        date[path] = max(date.get(path, -1), -1 if d is None else d)
+    expected = []
+    for q in asked:
+        best = sorted((-n, -date[p], p) for (r, p), n in score.items() if r == q and n)[:6]
+        expected += [(q, p, -n, i + 1) for i, (n, _, p) in enumerate(best)]
+    got = PH.search_photos(photos, terms, 6, tile=40).select("qid", "file_path", "score", "rank")
+    assert sorted(rows(got)) == sorted(expected)
+    per_query = PH.photo_hits(photos, terms, 6, tile=40).groupBy("qid").count().collect()
+    assert max(r["count"] for r in per_query) <= 6 * 8 and len(per_query) == 4
