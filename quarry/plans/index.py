@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quarry import schemas
@@ -101,11 +101,25 @@ def full_refresh(
 
 
 def removed_paths(store: Store, files: DataFrame, roots: list[str]) -> DataFrame:
-    """Stored paths below the roots that a scan did not meet, without those below a folder it could not list."""
-    gone = S.stale_paths(store.paths(), files.select("path"), roots).select("path")
-    if "is_dir" in files.columns:
-        gone = S.outside(gone, files.filter(F.col("is_dir") & F.col("error_type").isNotNull()).select("path"))
-    return gone
+    """Stored paths below the roots that a scan did not meet."""
+    return S.stale_paths(store.paths(), files.select("path"), roots).select("path")
+
+
+def compared(stored: DataFrame, listing: DataFrame, roots: list[str], closed: DataFrame | None = None) -> DataFrame:
+    """What differs between a listing and the stored paths: listed files that are new or whose modification time differs
+    (``gone`` false), and stored paths below the roots that the listing does not have (``gone`` true).
+
+    ``closed``: folders that could not be listed (path); what lies below them is not gone. One join finds both.
+    """
+    known = stored.select(F.col("path").alias("_stored"), F.col("mtime").alias("_mtime"))
+    both = listing.join(known, F.col("path") == F.col("_stored"), "full")
+    touched = F.col("path").isNotNull() & F.col("error_type").isNull() & ~F.coalesce(F.col("_mtime") == F.col("mtime"), F.lit(False))
+    gone = F.col("path").isNull() & S.below_roots(F.col("_stored"), roots)
+    columns = [F.coalesce("path", "_stored").alias("path") if c == "path" else F.col(c) for c in listing.columns]
+    found = both.filter(touched | gone).select(*columns, gone.alias("gone"))
+    if closed is None:
+        return found
+    return found.filter(~F.col("gone")).unionByName(S.outside(found.filter("gone"), closed))
 
 
 def refresh_from_disk(
@@ -116,14 +130,22 @@ def refresh_from_disk(
 
     A cascade: files with the stored modification time are taken as unchanged and not opened; the others are hashed in
     the task that reads them; only one file of each new content is read for its text and goes through an extractor, once.
-    Files and folders that cannot be read are counted and keep what is stored for them.
+    Files and folders that cannot be read are counted and keep what is stored for them. Where nothing differs the run ends
+    after the comparison; counts are observed while tables are written.
     """
     now = F.current_timestamp() if now is None else now
-    listing = materialize(listing, "listing")
+    failed = F.col("error_type").isNotNull()
+    seen = Observation()
+    listing = materialize(listing.observe(seen, F.count_if(~F.col("is_dir")).alias("files"), F.count_if(failed).alias("failed")), "listing")
+    closed = listing.filter(F.col("is_dir") & failed).select("path") if seen.get["failed"] else None
     stored = store.paths()
-    known = stored.select("path", F.col("mtime").alias("_mtime"))
-    files = listing.filter(F.col("error_type").isNull()).join(known, "path", "left")
-    touched = files.filter(~F.coalesce(F.col("_mtime") == F.col("mtime"), F.lit(False))).drop("_mtime")
+    different = materialize(compared(stored, listing, roots, closed), "different")
+    out = {"files_scanned": seen.get["files"], "files_read": 0, "files_indexed": 0, "errors": seen.get["failed"], "chunks_created": 0}
+    if different.isEmpty():
+        store.commit(batch_id)
+        discard(listing, different)
+        return out
+    touched = different.filter(~F.col("gone")).drop("gone")
     hashed = materialize(hash_files(touched), "hashed")
     described = described_files(hashed.filter(F.col("error_type").isNull()), home)
     flagged = materialize(S.flag_known(described, store.content()), "flagged")
@@ -135,17 +157,15 @@ def refresh_from_disk(
     rows = S.changed_paths(flagged, stored).join(at_hand, "content_hash", "left_semi")
     version = store.commit(
         batch_id, content_rows(texts, now, embed), path_rows(rows, now), chunk_rows(texts, embed),
-        removed=removed_paths(store, listing, roots),
+        removed=different.filter("gone").select("path"),
     )
-    failed = F.col("error_type").isNotNull()
-    n_files, n_failed = listing.agg(F.count_if(~F.col("is_dir")), F.count_if(failed)).first()
     n_read, n_unread = hashed.agg(F.count("*"), F.count_if(failed)).first()
     n_new, n_unparsed = texts.agg(F.count("*"), F.count_if(failed)).first()
-    out = {
-        "files_scanned": n_files, "files_read": n_read, "files_indexed": n_new, "errors": n_failed + n_unread + n_unparsed,
+    out |= {
+        "files_read": n_read, "files_indexed": n_new, "errors": out["errors"] + n_unread + n_unparsed,
         "chunks_created": store.version("chunks", version).count(),
     }
-    discard(listing, hashed, flagged, texts)
+    discard(listing, different, hashed, flagged, texts)
     return out
 
 

@@ -7,6 +7,14 @@ one creates the commit file; the other gets ``CommitConflict`` and has touched
 nothing that a reader sees.  A *delta* adds rows (new contents, chunks and path
 changes) without touching older files; a *base* rewrites the tables and hides
 everything before it.
+
+Every ``CHECKPOINT_EVERY`` versions a checkpoint is written: one file with the
+visible part of the commit log, and the path rows of the versions since the last
+one merged to a *run*, one row per path, in folders by hash bucket.  Runs are
+merged by levels: a new run takes up the newest runs that are not much larger
+than itself, so few runs exist and a row is rewritten a few times only.  A
+reader opens the newest checkpoint and the commit files after it, however many
+versions there have been.
 """
 
 from __future__ import annotations
@@ -17,7 +25,7 @@ from collections.abc import Callable
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import schemas
@@ -28,7 +36,12 @@ TABLES = {
     "paths": schemas.PATHS + ", deleted boolean, version bigint",
     "chunks": schemas.CHUNKS,
 }
-_COMMITS = "version bigint, batch_id string, is_base boolean, folder string, tables array<string>"
+
+
+def _latest(rows: DataFrame) -> DataFrame:
+    """The newest row of every path; of one version a row that is there before a deletion."""
+    found = rows.groupBy(F.col("path").alias("_key")).agg(F.max_by(F.struct(*rows.columns), F.struct("version", ~F.col("deleted"), "last_verified")).alias("r"))
+    return found.select(*[F.col(f"r.{c}") for c in rows.columns])
 
 
 class CommitConflict(RuntimeError):
@@ -46,36 +59,73 @@ def retried(plan: Callable, store: "Store", attempts: int = 5):
                 raise
 
 
+CHECKPOINT_EVERY = 50
+#: Hash buckets of a run, and how much larger an older run may be to be merged with a new one.
+BUCKETS, LEVEL = 16, 4
+_RUN = TABLES["paths"] + ", bucket int"
+
+
+def bucket_of(path: Column) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(BUCKETS)).cast("int")
+
+
 class Store:
     """Content, paths and chunks below one folder; reads see the version known when they were first asked."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._seen: list | None = None
+        self._point: dict = {"version": -1, "rows": [], "runs": []}
 
-    def _files(self):
+    def _files(self, name: str = "commits"):
         jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/commits")
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return jvm, folder, folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def commits(self) -> DataFrame:
-        """Committed versions. A commit file that its writer did not finish holds no row."""
-        _, folder, files = self._files()
-        if not files.exists(folder):
-            return self.spark.createDataFrame([], _COMMITS)
-        return self.spark.read.schema(_COMMITS).json(f"{self.root}/commits/*.json").filter("version is not null")
+    def _text(self, folder: str, version: int) -> str | None:
+        """A small file of the log, or None where there is none."""
+        jvm, where, files = self._files(folder)
+        path = jvm.org.apache.hadoop.fs.Path(where, f"{version:012d}.json")
+        if not files.exists(path):
+            return None
+        stream = files.open(path)
+        try:
+            return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _versions(self, folder: str) -> list[int]:
+        _, where, files = self._files(folder)
+        names = [f.getPath().getName() for f in files.listStatus(where)] if files.exists(where) else []
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json"))
 
-    def _log(self, refresh: bool = False) -> list:
-        """Commit rows, oldest first: one small row per version, kept until the next commit."""
+    def _tail(self) -> list[tuple[int, str]]:
+        """Number and text of the commit files after the checkpoint, one after the other until there is none."""
+        tail, version = [], self._point["version"] + 1
+        while (text := self._text("commits", version)) is not None:
+            tail.append((version, text))
+            version += 1
+        return tail
+
+    def _log(self, refresh: bool = False) -> list[dict]:
+        """Visible commit rows, oldest first: those of the checkpoint and of the commit files after it. A commit file that
+        its writer did not finish holds no row."""
         if self._seen is None or refresh:
-            self._seen = sorted(self.commits().collect(), key=lambda r: r["version"])
+            newest = max(self._versions("log"), default=-1)
+            if newest > self._point["version"]:
+                self._point = json.loads(self._text("log", newest))
+            rows = list(self._point["rows"])
+            for _, text in self._tail():
+                try:
+                    rows.append(json.loads(text))
+                except ValueError:
+                    continue
+            self._seen = rows
         return self._seen
 
     def _next_version(self) -> int:
         """One more than the last commit file, whether or not its writer finished it."""
-        _, folder, files = self._files()
-        names = [f.getPath().getName() for f in files.listStatus(folder)] if files.exists(folder) else []
-        return max((int(n[:-5]) for n in names if n.endswith(".json")), default=-1) + 1
+        return max([v for v, _ in self._tail()], default=self._point["version"]) + 1
 
     def status(self, refresh: bool = False) -> dict:
         """Does an index exist, at which version, made of how many versions."""
@@ -107,17 +157,71 @@ class Store:
     def chunks(self) -> DataFrame:
         return self._parts("chunks")
 
-    def paths(self) -> DataFrame:
-        """Current paths: the newest row per path, deletions removed."""
-        log = self._parts("paths")
-        columns = [c for c in log.columns if c not in ("deleted", "version")]
-        latest = log.groupBy(F.col("path").alias("_key")).agg(
-            F.max_by(F.struct(*columns, "deleted"), F.struct("version", ~F.col("deleted"), "last_verified")).alias("r")
-        )
-        return latest.filter(~F.col("r.deleted")).select(*[F.col(f"r.{c}") for c in columns])
+    def _runs(self) -> list[dict]:
+        """Merged runs that hold visible rows only."""
+        return [r for r in self._point["runs"] if r["first"] >= self.status()["base"]]
+
+    def _path_rows(self, buckets: list[int] | None = None) -> DataFrame:
+        """Visible path rows: runs, and the versions after them."""
+        log, runs = self._log(), self._runs()
+        merged = max((r["last"] for r in runs), default=-1)
+        rows = self._read("paths", [r for r in log if r["version"] > merged and r["version"] >= self.status()["base"]])
+        if buckets is not None:
+            rows = rows.where(bucket_of(F.col("path")).isin(buckets))
+        for run in runs:
+            part = self.spark.read.schema(_RUN).parquet(f"{self.root}/runs/{run['folder']}")
+            part = part if buckets is None else part.where(F.col("bucket").isin(buckets))
+            rows = rows.unionByName(part.drop("bucket"))
+        return rows
+
+    def paths(self, of: DataFrame | None = None) -> DataFrame:
+        """Current paths: the newest row per path, deletions removed.
+
+        With ``of``, a small table with a column ``path``, only the buckets of those paths are read.
+        """
+        buckets = None
+        if of is not None:
+            buckets = [r[0] for r in of.select(bucket_of(F.col("path"))).distinct().collect()]
+        latest = _latest(self._path_rows(buckets))
+        return latest.filter(~F.col("deleted")).drop("deleted", "version")
 
     def has_batch(self, batch_id: str) -> bool:
-        return any(r["batch_id"] == batch_id for r in self._log(refresh=True))
+        if any(r["batch_id"] == batch_id for r in self._log(refresh=True)):
+            return True
+        if self._point["version"] < 0:
+            return False
+        return not self.spark.read.schema("batch_id string").parquet(f"{self.root}/batches").where(F.col("batch_id") == batch_id).isEmpty()
+
+    def checkpoint(self) -> None:
+        """Write the visible log and merge the path rows that no run holds yet. Of two writers one writes it; readers go on
+        meanwhile with what they have."""
+        log = self._log(refresh=True)
+        version, runs = max([v for v, _ in self._tail()], default=-1), self._runs()
+        if version < 0:
+            return
+        base, merged = self.status()["base"], max((r["last"] for r in runs), default=-1)
+        fresh = [r for r in log if r["version"] > merged and r["version"] >= base]
+        ids = [(r["batch_id"],) for r in log if r["version"] > self._point["version"]]
+        self.spark.createDataFrame(ids, "batch_id string").coalesce(1).write.mode("append").parquet(f"{self.root}/batches")
+        if fresh:
+            rows, size = self._read("paths", fresh), 0
+            size, first = rows.count(), fresh[0]["version"]
+            while runs and runs[-1]["rows"] <= LEVEL * size:
+                last = runs.pop()
+                rows = rows.unionByName(self.spark.read.schema(_RUN).parquet(f"{self.root}/runs/{last['folder']}").drop("bucket"))
+                size, first = size + last["rows"], last["first"]
+            latest = _latest(rows)
+            latest = latest if runs else latest.filter(~F.col("deleted"))  # nothing older is left to be hidden
+            folder = f"{first}-{version}-{uuid.uuid4().hex}"
+            latest.withColumn("bucket", bucket_of(F.col("path"))).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/runs/{folder}")
+            n = self.spark.read.schema(_RUN).parquet(f"{self.root}/runs/{folder}").count()
+            runs = [*runs, {"folder": folder, "first": first, "last": version, "rows": n}]
+        visible = [r for r in log if r["version"] >= base]
+        self._create("log", version, json.dumps({"version": version, "rows": visible, "runs": runs}))
+        jvm, where, files = self._files("log")
+        for old in self._versions("log")[:-2]:
+            files.delete(jvm.org.apache.hadoop.fs.Path(where, f"{old:012d}.json"), False)
+        self._seen = None
 
     def commit(
         self,
@@ -152,17 +256,22 @@ class Store:
             rows.write.parquet(f"{self.root}/{table}/{folder}")
         row = {"version": version, "batch_id": batch_id, "is_base": base or known < 0, "folder": folder, "tables": sorted(parts)}
         try:
-            self._create_commit(version, json.dumps(row))
+            self._create("commits", version, json.dumps(row))
         except CommitConflict:
             for table in parts:
                 remove_folder(self.spark, f"{self.root}/{table}/{folder}")
             raise
         self._seen = None
+        if version - self._point["version"] >= CHECKPOINT_EVERY:
+            try:
+                self.checkpoint()
+            except CommitConflict:  # another writer has just written it
+                self._seen = None
         return version
 
-    def _create_commit(self, version: int, text: str) -> None:
-        """Create the commit file; the file system lets one writer do so."""
-        jvm, folder, files = self._files()
+    def _create(self, name: str, version: int, text: str) -> None:
+        """Create a file of the log; the file system lets one writer do so."""
+        jvm, folder, files = self._files(name)
         target = jvm.org.apache.hadoop.fs.Path(folder, f"{version:012d}.json")
         try:
             out = files.create(target, False)

@@ -1,7 +1,11 @@
+import json
 import tempfile
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from quarry import schemas
 from quarry.operators import store as S
 from quarry.plans import index as I
 from quarry.plans.snapshot import Store
@@ -249,3 +253,55 @@ def test_distractors_of_a_single_context(spark):
     rows_ = [(1, "ctx", "q", ["a"], False), (2, "ctx", "r", ["b"], False)]
     qa = spark.createDataFrame(rows_, "id long, context string, question string, answers array<string>, is_impossible boolean")
     assert [r.chunks for r in X.attach_distractors(qa).collect()] == ["[1] document.txt: ctx"] * 2
+
+
+def test_many_small_batches_read_a_checkpoint_and_its_tail(spark, tmp_path):
+    """500 versions: the log is one checkpoint and the commits after it, paths are few runs, a lookup opens its buckets only."""
+    from quarry.plans import snapshot
+
+    store = Store(spark, str(tmp_path / "store"))
+    shape = schemas.PATHS
+    expected = {}
+    for i in range(500):  # versions as a writer leaves them, without a Spark job for each
+        path, gone = f"/r/f{i % 90}.txt", i % 7 == 0 and i > 90
+        folder = tmp_path / "store" / "paths" / f"v={i}-x"
+        folder.mkdir(parents=True)
+        row = [[path], [None if gone else f"h{i}"], *[[None] for _ in range(5)], [gone], [i]]
+        names = ["path", "content_hash", "file_name", "extension", "source", "folder", "sync_status", "deleted", "version"]
+        types = [pa.string()] * 7 + [pa.bool_(), pa.int64()]
+        pq.write_table(pa.table([pa.array(v, t) for v, t in zip(row, types)], names=names), folder / "part-0.parquet")
+        store._create("commits", i, json.dumps({"version": i, "batch_id": f"b{i}", "is_base": i == 0, "folder": f"v={i}-x", "tables": ["paths"]}))
+        expected[path] = None if gone else f"h{i}"
+        if i in (60, 140, 300, 455):
+            store._seen = None
+            store.checkpoint()
+    expected = {p: h for p, h in expected.items() if h}
+    fresh = Store(spark, str(tmp_path / "store"))
+    assert {r.path: r.content_hash for r in fresh.paths().collect()} == expected
+    assert fresh.status()["version"] == 499 and len(fresh._versions("log")) == 2
+    assert len(fresh._tail()) == 44 and 1 <= len(fresh._runs()) <= 3
+    assert fresh.has_batch("b3") and fresh.has_batch("b460") and not fresh.has_batch("other")
+    asked = spark.createDataFrame([("/r/f5.txt",)], "path string")
+    some = fresh.paths(asked)
+    assert {r.path: r.content_hash for r in some.where("path = '/r/f5.txt'").collect()} == {p: h for p, h in expected.items() if p == "/r/f5.txt"}
+    plan = fresh._path_rows([3])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "= 3" in plan
+    fresh.commit("more", paths=spark.createDataFrame([("/r/new.txt", "h", *[None] * 7)], shape), removed=asked)
+    assert {r.path for r in fresh.paths().collect()} == (set(expected) | {"/r/new.txt"}) - {"/r/f5.txt"}
+    fresh.compact("fold")
+    fresh.checkpoint()
+    again = Store(spark, str(tmp_path / "store"))
+    assert {r.path for r in again.paths().collect()} == (set(expected) | {"/r/new.txt"}) - {"/r/f5.txt"}
+    assert again.status()["versions"] == 1 and again.has_batch("b3") and len(again._runs()) == 1
+    assert snapshot.CHECKPOINT_EVERY == 50
+
+
+def test_commits_write_checkpoints_by_themselves(spark, tmp_path, monkeypatch):
+    from quarry.plans import snapshot
+
+    monkeypatch.setattr(snapshot, "CHECKPOINT_EVERY", 3)
+    store, other = Store(spark, str(tmp_path)), Store(spark, str(tmp_path))
+    for i in range(7):
+        store.commit(f"b{i}", paths=spark.createDataFrame([(f"/r/{i}", f"h{i}", *[None] * 7)], schemas.PATHS))
+    assert {r.path for r in other.paths().collect()} == {f"/r/{i}" for i in range(7)}
+    assert other._versions("log") == [2, 5] and store.commit("b1") == 6
