@@ -105,21 +105,16 @@ def removed_paths(store: Store, files: DataFrame, roots: list[str]) -> DataFrame
     return S.stale_paths(store.paths(), files.select("path"), roots).select("path")
 
 
-def compared(stored: DataFrame, listing: DataFrame, roots: list[str], closed: DataFrame | None = None) -> DataFrame:
+def compared(stored: DataFrame, listing: DataFrame, roots: list[str]) -> DataFrame:
     """What differs between a listing and the stored paths: listed files that are new or whose modification time differs
-    (``gone`` false), and stored paths below the roots that the listing does not have (``gone`` true).
-
-    ``closed``: folders that could not be listed (path); what lies below them is not gone. One join finds both.
+    (``gone`` false), and stored paths below the roots that the listing does not have (``gone`` true). One join finds both.
     """
     known = stored.select(F.col("path").alias("_stored"), F.col("mtime").alias("_mtime"))
     both = listing.join(known, F.col("path") == F.col("_stored"), "full")
     touched = F.col("path").isNotNull() & F.col("error_type").isNull() & ~F.coalesce(F.col("_mtime") == F.col("mtime"), F.lit(False))
     gone = F.col("path").isNull() & S.below_roots(F.col("_stored"), roots)
     columns = [F.coalesce("path", "_stored").alias("path") if c == "path" else F.col(c) for c in listing.columns]
-    found = both.filter(touched | gone).select(*columns, gone.alias("gone"))
-    if closed is None:
-        return found
-    return found.filter(~F.col("gone")).unionByName(S.outside(found.filter("gone"), closed))
+    return both.filter(touched | gone).select(*columns, gone.alias("gone"))
 
 
 def refresh_from_disk(
@@ -135,16 +130,17 @@ def refresh_from_disk(
     """
     now = F.current_timestamp() if now is None else now
     failed = F.col("error_type").isNotNull()
-    seen = Observation()
-    listing = materialize(listing.observe(seen, F.count_if(~F.col("is_dir")).alias("files"), F.count_if(failed).alias("failed")), "listing")
-    closed = listing.filter(F.col("is_dir") & failed).select("path") if seen.get["failed"] else None
-    stored = store.paths()
-    different = materialize(compared(stored, listing, roots, closed), "different")
+    seen, stored = Observation(), store.paths()
+    counted = listing.observe(seen, F.count_if(~F.col("is_dir")).alias("files"), F.count_if(failed).alias("failed"))
+    different = materialize(compared(stored, counted, roots), "different")
     out = {"files_scanned": seen.get["files"], "files_read": 0, "files_indexed": 0, "errors": seen.get["failed"], "chunks_created": 0}
     if different.isEmpty():
         store.commit(batch_id)
-        discard(listing, different)
+        discard(different)
         return out
+    gone = different.filter("gone").select("path")
+    if seen.get["failed"]:  # what lies below a folder that could not be listed is not gone
+        gone = S.outside(gone, listing.filter(F.col("is_dir") & failed).select("path"))
     touched = different.filter(~F.col("gone")).drop("gone")
     hashed = materialize(hash_files(touched), "hashed")
     described = described_files(hashed.filter(F.col("error_type").isNull()), home)
@@ -157,7 +153,7 @@ def refresh_from_disk(
     rows = S.changed_paths(flagged, stored).join(at_hand, "content_hash", "left_semi")
     version = store.commit(
         batch_id, content_rows(texts, now, embed), path_rows(rows, now), chunk_rows(texts, embed),
-        removed=different.filter("gone").select("path"),
+        removed=gone,
     )
     n_read, n_unread = hashed.agg(F.count("*"), F.count_if(failed)).first()
     n_new, n_unparsed = texts.agg(F.count("*"), F.count_if(failed)).first()
@@ -165,7 +161,7 @@ def refresh_from_disk(
         "files_read": n_read, "files_indexed": n_new, "errors": out["errors"] + n_unread + n_unparsed,
         "chunks_created": store.version("chunks", version).count(),
     }
-    discard(listing, different, hashed, flagged, texts)
+    discard(different, hashed, flagged, texts)
     return out
 
 
