@@ -79,19 +79,25 @@ def _scorer(k: int | None, filters: list[str], schema_names: list[str]):
         ids = entries["row_id"].to_numpy()
         ids = ids.astype(str) if ids.dtype == object else ids
         table = np.round(_matrix(entries["embedding"]) @ _matrix(asked["vector"]).T, SCORE_DIGITS)
-        parts = []
+        masks: dict[tuple, np.ndarray] = {}
+
+        def passing(name: str, wanted) -> np.ndarray:
+            if (name, wanted) not in masks:
+                own = entries[name].fillna("")
+                masks[name, wanted] = (own.str.startswith(wanted) if name == "folder" else own == wanted).to_numpy(bool)
+            return masks[name, wanted]
+
+        found = []
         for column, row in enumerate(asked.itertuples(index=False)):
             mask = np.ones(len(ids), dtype=bool) if k is not None else table[:, column] >= row.minimum
             for name in filters:
                 wanted = getattr(row, name)
-                if wanted is None or wanted != wanted:
-                    continue
-                own = entries[name].fillna("")
-                mask &= (own.str.startswith(wanted) if name == "folder" else own == wanted).to_numpy()
+                if wanted is not None and wanted == wanted:
+                    mask = mask & passing(name, wanted)
             best = np.flatnonzero(mask)
-            best = best if k is None else best[_best(ids[best], table[best, column], k)]
-            parts.append(pd.DataFrame({"qid": [row.qid] * len(best), "row_id": ids[best], "score": table[best, column]}))
-        return pd.concat(parts)
+            found.append(best if k is None else best[_best(ids[best], table[best, column], k)])
+        column, place = np.repeat(np.arange(len(asked)), [len(f) for f in found]), np.concatenate(found)
+        return pd.DataFrame({"qid": asked["qid"].to_numpy()[column], "row_id": ids[place], "score": table[place, column]})
 
     return score
 

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from quarry import fixed_values as fv
 from quarry.functions import routing as R
+from quarry.operators import context as C
 from quarry.operators import photos as PH
 from quarry.operators import search as SE
+from quarry.session import materialize
 
 # ---------------------------------------------------------------- fixed values
 # What a query is told when its branch has no answer.
@@ -89,6 +91,31 @@ def hybrid_photo_search(
     return SE.hybrid_merge(keyword, vector, limit, fv.HYBRID_MIN_KEYWORD_HITS)
 
 
+def answer(planned: DataFrame, index: DataFrame, photos: DataFrame, told: dict[str, tuple[DataFrame, str]], k: int = 10) -> DataFrame:
+    """Every planned query answered by its own branch: (qid, tool, branch, success, context).
+
+    ``planned``: :func:`plan_queries` with the query's ``vector``; ``index``: rows of the vector index; ``photos``: photo
+    records; ``told``: for the sections ``system`` and ``web`` a table (key, context) and the name of the column of
+    ``planned`` that holds the key. File, content and memory queries are one filtered vector search, whose hits go to the
+    three renderers; photo queries are searched by keyword and by vector.
+    """
+    planned = materialize(planned, "planned")
+    asked = {name: planned.filter(F.col("branch") == name) for name in ("files", "content", "memory", "photos")}
+    local = [SE.with_preset(asked[name].select("qid", "branch", "vector"), name) for name in ("files", "content", "memory")]
+    local = reduce(DataFrame.unionByName, local)
+    hits = materialize(search(local, index, k).join(local.select("qid", "branch"), "qid"), "hits")
+    render = {"files": C.file_list, "content": C.content_groups, "memory": C.memory_list}
+    branches = {name: make(hits.filter(F.col("branch") == name)) for name, make in render.items()}
+    found = hybrid_photo_search(photos, asked["photos"].select("qid", "query", "vector"), index, k)
+    shown = F.struct("file_name", "persons", "keywords", "file_path")
+    pictures = found.join(photos.select(F.col("file_path").alias("path"), shown.alias("p")), "path").select("qid", "rank", "method", "p.*")
+    branches["photos"] = C.photo_list(pictures)
+    for name, (contexts, key) in told.items():
+        wants = planned.filter(F.col("branch").isin(name, "multi")).select("qid", F.col(key).alias("key"))
+        branches[name] = wants.join(contexts.select("key", "context"), "key").select("qid", "context")
+    return dispatch(planned, branches)
+
+
 def search(queries: DataFrame, index: DataFrame, k: int = 10) -> DataFrame:
     """Filtered vector search with hit metadata; ``queries``: qid, vector and filter columns."""
     return SE.hit_projection(SE.knn(queries, index, k), index)

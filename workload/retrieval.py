@@ -16,6 +16,7 @@ from quarry.operators import context as C
 from quarry.operators import folders as FO
 from quarry.operators import photos as PH
 from quarry.operators import search as SE
+from quarry.operators.ordering import top_k
 from quarry.plans import retrieval as RP
 from quarry.plans.cells import CellIndex
 from quarry.session import new_folder
@@ -657,8 +658,6 @@ SELECT qid, chr(10) || chr(10) || '## Web Search' || chr(10) || string_agg(rank
   '   ' || length(url) || ' chars' || chr(10) || '   Source: ' || url, chr(10) || chr(10) ORDER BY rank) AS context
 FROM r WHERE rank <= 5 GROUP BY 1""")
 def render_web(t):
-    from quarry.operators.ordering import top_k
-
     host = F.element_at(F.split("url", "/"), 3)
     ranked = top_k(t.pages.withColumn("qid", host), ["qid"], [F.asc("page_id")], 5)
     return C.web_list(ranked.select(
@@ -718,27 +717,48 @@ _BRANCH = """planned AS (SELECT qid, rule, length(query) AS n, CASE rule WHEN 'w
 
 
 @query("dispatch", f"""
-WITH {B.ASKED}, {_SIGNALS}, {_BRANCH} SELECT qid, branch, branch <> 'see' AS success, CASE
+WITH {B.ASKED}, {_SIGNALS}, {_BRANCH}, {_INDEX}, {_LABELS.replace('queries AS', 'lq AS')},
+q AS (SELECT p.qid, branch, qv FROM planned p JOIN lq ON lq.qid = p.n % (SELECT max(label) + 1 FROM embeddings)),
+scored AS (SELECT q.qid, branch, row_id, {_DOT.format('qv', 'v')} AS score FROM q JOIN idx ON CASE branch
+  WHEN 'files' THEN type = 'file' WHEN 'content' THEN type = 'chunk' WHEN 'memory' THEN type = 'chunk' AND source = 'memory' ELSE false END),
+h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id) AS rank FROM scored) JOIN idx USING (row_id) WHERE rank <= 10),
+g AS (SELECT qid, file_path, max(file_name) AS file_name, min(rank) AS fr,
+  string_agg('> ' || {B.s_strip('text')}, chr(10) || chr(10) || '...' || chr(10) || chr(10) ORDER BY rank) AS c FROM (
+    SELECT *, row_number() OVER (PARTITION BY qid, file_path ORDER BY rank) AS n FROM h WHERE branch = 'content') WHERE n <= 2 GROUP BY 1, 2),
+sites AS (SELECT page_id % 40 AS topic, page_id, url, row_number() OVER (PARTITION BY page_id % 40 ORDER BY page_id) AS rank FROM pages),
+webs AS (SELECT topic, chr(10) || chr(10) || '## Web Search' || chr(10) || string_agg(rank || '. **Page ' || page_id || '**' || chr(10) ||
+  '   ' || length(url) || ' chars' || chr(10) || '   Source: ' || url, chr(10) || chr(10) ORDER BY rank) AS web FROM sites WHERE rank <= 5 GROUP BY 1),
+reports AS (SELECT host, 'System of host ' || host || ': ' || n || ' samples' AS report FROM (SELECT user_id AS host, count(*) AS n FROM events GROUP BY 1)),
+local AS (SELECT qid, chr(10) || chr(10) || '## File Search Results' || chr(10) || string_agg(rank || '. **' || file_name || '** - ' || file_path, chr(10)
+    ORDER BY rank) AS context FROM h WHERE branch = 'files' AND rank <= 5 GROUP BY 1
+  UNION ALL SELECT qid, chr(10) || chr(10) || '## What I Know About You' || chr(10) || string_agg('- ' || text, chr(10) ORDER BY rank)
+    FROM h WHERE branch = 'memory' AND rank <= 5 GROUP BY 1
+  UNION ALL SELECT qid, chr(10) || chr(10) || '## File Content Results' || chr(10) || string_agg('### ' || file_name || chr(10) || '*Path: ' ||
+    file_path || '*' || chr(10) || chr(10) || '**Relevant content:**' || chr(10) || c || chr(10) || chr(10), '' ORDER BY fr) FROM g GROUP BY 1)
+SELECT qid, branch, branch <> 'see' AS success, CASE
   WHEN branch IN ('none') THEN ''
   WHEN branch = 'disk' THEN chr(10) || chr(10) || '## Disk Analysis' || chr(10) || 'Disk analysis not yet implemented.'
   WHEN branch = 'see' THEN chr(10) || chr(10) || '## Screen Description' || chr(10) || 'Failed to capture or analyze screen.'
-  WHEN branch = 'multi' THEN CASE WHEN n % 2 = 0 THEN 'system:' || qid || chr(10) || 'web:' || qid ELSE 'web:' || qid END
-  WHEN branch = 'web' THEN 'web:' || qid
-  WHEN n % 2 = 0 THEN branch || ':' || qid
+  WHEN branch = 'multi' AND coalesce(report, web) IS NOT NULL THEN concat_ws(chr(10), report, web)
+  WHEN branch = 'multi' THEN chr(10) || chr(10) || '## Context' || chr(10) || 'No additional context available.'
+  WHEN branch = 'web' THEN coalesce(web, chr(10) || chr(10) || '## Web Search' || chr(10) || 'No web search results found.')
+  WHEN branch = 'system' THEN coalesce(report, chr(10) || chr(10) || '## System Info' || chr(10) || 'No system information available.')
+  WHEN context IS NOT NULL THEN context
   WHEN branch = 'files' THEN chr(10) || chr(10) || '## File Search Results' || chr(10)
   WHEN branch = 'content' THEN chr(10) || chr(10) || '## File Content Results' || chr(10)
-  WHEN branch = 'memory' THEN chr(10) || chr(10) || '## About You' || chr(10) ||
-    'I don''t know much about you yet. Tell me about yourself!'
-  ELSE chr(10) || chr(10) || '## System Info' || chr(10) || 'No system information available.' END AS context
-FROM planned""")
+  ELSE chr(10) || chr(10) || '## About You' || chr(10) || 'I don''t know much about you yet. Tell me about yourself!' END AS context
+FROM planned LEFT JOIN local USING (qid) LEFT JOIN reports ON host = n % 200 LEFT JOIN webs ON topic = n % 40""")
 def dispatch(t):
-    asked = B.asked(t)
-    planned = RP.plan_queries(asked)
-
-    def answers(name, every=False):
-        mine = asked if every else asked.filter(F.length("query") % 2 == 0)
-        return mine.select("qid", F.concat(F.lit(f"{name}:"), "qid").alias("context"))
-
-    branches = {n: answers(n) for n in ("files", "content", "photos", "memory", "system")}
-    branches["web"] = answers("web", True)
-    return RP.dispatch(planned, branches).select("qid", "branch", "success", "context")
+    """All queries answered by the file, content, memory, photo, system and web operators; the index, photos, host samples
+    and pages stand in for the sources."""
+    n, labels = F.length("query"), t.embeddings.agg(F.max("label") + 1).first()[0]
+    planned = RP.plan_queries(B.asked(t)).withColumns({"label": F.pmod(n, F.lit(labels)), "host": n % 200, "topic": n % 40})
+    planned = planned.join(label_queries(t).withColumnRenamed("qid", "label"), "label")
+    topic = F.pmod("page_id", F.lit(40)).alias("qid")
+    sites = top_k(t.pages.select(topic, "page_id", "url"), ["qid"], [F.asc("page_id")], 5).select(
+        "qid", "rank", F.concat(F.lit("Page "), F.col("page_id").cast("string")).alias("title"),
+        F.concat(F.length("url").cast("string"), F.lit(" chars")).alias("snippet"), F.col("url").alias("link"))
+    reports = t.events.groupBy(F.col("user_id").alias("key")).agg(F.count("*").alias("n")).select(
+        "key", F.concat(F.lit("System of host "), F.col("key").cast("string"), F.lit(": "), F.col("n").cast("string"), F.lit(" samples")).alias("context"))
+    told = {"system": (reports, "host"), "web": (C.web_list(sites).withColumnRenamed("qid", "key"), "topic")}
+    return RP.answer(planned, index(t), B.photos(t), told).select("qid", "branch", "success", "context")
