@@ -322,18 +322,23 @@ _H = "md5('{seed}:' || {ids})"
 
 @query("cap_per_source", """
 SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id), doc_id) AS r
-FROM documents) WHERE r <= 20""")
+FROM documents) WHERE r <= (SELECT count(*) // (2 * count(DISTINCT source)) FROM documents)""")
 def cap_per_source(t):
+    """At most half of the average source."""
     rows = t.documents.withColumn("id", F.col("doc_id"))
-    return X.cap_per_source(rows, 20).select("doc_id", "source")
+    n, sources = rows.agg(F.count("*"), F.count_distinct("source")).first()
+    return X.cap_per_source(rows, n // (2 * sources)).select("doc_id", "source")
 
 
 @query("cap_layers", f"""
 WITH {_ALL}, r AS (SELECT *, row_number() OVER (PARTITION BY layer, CASE WHEN layer = 2 THEN source ELSE '' END
-  ORDER BY md5('42:' || source || ':' || id), source, id) AS r FROM every)
-SELECT id, source, layer FROM r WHERE r <= CASE layer WHEN 1 THEN 300 WHEN 2 THEN 100 WHEN 3 THEN 200 WHEN 4 THEN 200 ELSE 100 END""")
+  ORDER BY md5('42:' || source || ':' || id), source, id) AS r FROM every),
+s AS (SELECT {{{", ".join(f"'s{k}': floor(count(*) * 0.5::DOUBLE * {v} / {sum(fv.LAYER_SIZES.values())})::BIGINT" for k, v in fv.LAYER_SIZES.items())}}} AS s FROM every)
+SELECT id, source, layer, md5(input) AS input_md5 FROM r, s
+WHERE r <= CASE layer WHEN 1 THEN s.s1 WHEN 2 THEN s.s2 // 3 WHEN 3 THEN s.s3 WHEN 4 THEN s.s4 ELSE s.s5 END""")
 def cap_layers(t):
-    return D.cap_layers(all_layers(t), {1: 300, 2: 300, 3: 200, 4: 200, 5: 100}).select("id", "source", "layer")
+    """The layers in the proportions of the recipe, half of all examples."""
+    return D.cap_layers(all_layers(t), share=0.5).select("id", "source", "layer", F.md5("input").alias("input_md5"))
 
 
 @query("seeded_shuffle", """
@@ -405,11 +410,14 @@ def attach_distractors(t):
 
 
 @query("curriculum", f"""
-WITH {B.QA}, {_DIFF}, taken AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY difficulty ORDER BY md5('42:' || id), id)
-  AS r FROM diff) WHERE r <= CASE difficulty WHEN 'easy' THEN 200 WHEN 'medium' THEN 280 ELSE 240 END),
+WITH {B.QA}, {_DIFF}, size AS (SELECT count(*) // 10 AS n FROM qa), quota AS (SELECT floor(n * {fv.NEGATIVE_SHARE}::DOUBLE)::BIGINT AS negative,
+  floor(n * {fv.DIFFICULTY_SHARES['easy']}::DOUBLE)::BIGINT AS easy, floor(n * {fv.DIFFICULTY_SHARES['medium']}::DOUBLE)::BIGINT AS medium,
+  floor(n * {fv.DIFFICULTY_SHARES['hard']}::DOUBLE)::BIGINT - floor(n * {fv.NEGATIVE_SHARE}::DOUBLE)::BIGINT AS hard FROM size),
+taken AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY difficulty ORDER BY md5('42:' || id), id)
+  AS r FROM diff), quota WHERE r <= CASE difficulty WHEN 'easy' THEN easy WHEN 'medium' THEN medium ELSE hard END),
 hardr AS (SELECT * FROM taken WHERE difficulty = 'hard'), {s_distract('hardr')}, {s_partners('negative', 'np')},
 neg AS (SELECT qa.*, np.p1, np.p2 FROM (SELECT *, row_number() OVER (ORDER BY md5('42-negative:' || id), id) AS r FROM qa) qa
-  JOIN np ON np.k = md5(context) WHERE r <= 80),
+  JOIN np ON np.k = md5(context) WHERE r <= (SELECT negative FROM quota)),
 o AS (SELECT id, 'positive' AS kind, difficulty, CASE difficulty WHEN 'easy' THEN substring(context, 1, 300)
     ELSE '[1] document.txt: ' || substring(context, 1, 500) END AS c, question, answer AS output FROM taken WHERE difficulty <> 'hard'
   UNION ALL SELECT id, 'positive', 'hard', chunks, question, coalesce(answer, {sql_text(fv.REFUSAL)}) FROM chunked
@@ -419,7 +427,8 @@ o AS (SELECT id, 'positive' AS kind, difficulty, CASE difficulty WHEN 'easy' THE
 SELECT id, kind, difficulty, md5('Context:' || chr(10) || c || chr(10) || chr(10) || 'Question: ' || question) AS input_md5,
   md5(output) AS output_md5 FROM o""")
 def curriculum(t):
-    return X.curriculum(B.qa(t), 800).select(
+    """A tenth of all rows, in the shares of the recipe."""
+    return X.curriculum(B.qa(t), B.qa(t).count() // 10).select(
         "id", "kind", "difficulty", F.md5("input").alias("input_md5"), F.md5("output").alias("output_md5")
     )
 
@@ -445,9 +454,11 @@ def polarity_split(t):
 @query("budget_sample", f"""
 WITH {_MIXED}, p AS (SELECT id, CASE WHEN contains(lower(output), 'not found') THEN 'negative' ELSE 'positive' END AS polarity
   FROM mixed), r AS (SELECT *, row_number() OVER (PARTITION BY polarity ORDER BY md5('42:' || id), id) AS r FROM p)
-SELECT id, polarity FROM r WHERE r <= CASE polarity WHEN 'positive' THEN 450 ELSE 150 END""")
+SELECT id, polarity FROM r, (SELECT count(*) // 2 AS n FROM mixed)
+WHERE r <= CASE polarity WHEN 'positive' THEN floor(n * {fv.POSITIVE_SHARE}::DOUBLE) ELSE floor(n * {fv.REFUSAL_SHARE}::DOUBLE) END""")
 def budget_sample(t):
-    return X.budget_sample(_mixed(t), 600).select("id", "polarity")
+    """Half of all examples, in the shares of the recipe."""
+    return X.budget_sample(_mixed(t), _mixed(t).count() // 2).select("id", "polarity")
 
 
 @query("rewrite_answers", f"""
@@ -475,16 +486,35 @@ def preview_examples(t):
     return X.preview(all_layers(t), ["layer", "source"], 3).select("layer", "source", "id", "rank")
 
 
+_POLARITY = "CASE WHEN contains(lower(output), 'not found') THEN 'polarity=negative' ELSE 'polarity=positive' END"
+
+
 @query("phase_plan", f"""
-WITH {_ALL}, c AS (SELECT 'layer=' || layer AS part, count(*) AS n FROM every GROUP BY 1),
+WITH {_ALL}, c AS (SELECT 'layer=' || layer AS part, count(*) AS n FROM every GROUP BY 1
+  UNION ALL SELECT {_POLARITY}, count(*) FROM every GROUP BY 1),
 p AS (SELECT unnest([1, 2, 3, 4]) AS phase, unnest({sql_list([p[2] for p in fv.PHASES])}) AS part)
 SELECT phase::INTEGER AS phase, part, coalesce(n, 0) AS n, n IS NULL AS missing FROM p LEFT JOIN c USING (part)""")
 def phase_plan(t):
-    counts = all_layers(t).groupBy(F.concat(F.lit("layer="), F.col("layer").cast("string")).alias("part")).agg(
-        F.count("*").alias("n")
-    )
+    """Counts of the written layers and of the two outputs by polarity."""
+    folder = new_folder(t.spark, "dataset")
+    D.build(all_layers(t), folder)
+    written = ST.read_examples(t.spark, folder)
+    layers = written.groupBy(F.concat(F.lit("layer="), F.col("layer").cast("string")).alias("part")).agg(F.count("*").alias("n"))
+    polarities = D.write_polarities(written, new_folder(t.spark, "polarities"))
     phases = t.spark.createDataFrame(fv.PHASES, "phase int, name string, part string, description string")
-    return X.phase_plan(counts, phases).select("phase", "part", "n", "missing")
+    return X.phase_plan(layers.unionByName(polarities.select("part", "n")), phases).select("phase", "part", "n", "missing")
+
+
+@query("polarity_outputs", f"""
+WITH {_ALL} SELECT {_POLARITY} AS part, layer, count(*) AS n, sum(strlen(input) + strlen(output))::BIGINT AS bytes FROM every GROUP BY 1, 2""")
+def polarity_outputs(t):
+    """All examples written as two outputs by polarity and read back; the counts observed while writing agree."""
+    folder = new_folder(t.spark, "polarities")
+    counts = D.write_polarities(all_layers(t), folder)
+    back = t.spark.read.schema("input string, output string, source string, layer int, polarity string").json(folder)
+    part = F.concat(F.lit("polarity="), "polarity").alias("part")
+    found = back.groupBy(part, "layer").agg(F.count("*").alias("n"), F.sum(F.octet_length("input") + F.octet_length("output")).alias("bytes"))
+    return found.join(counts.select("part"), "part", "left_semi")
 
 
 @query("squad_flatten", """
