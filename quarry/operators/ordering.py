@@ -41,6 +41,20 @@ def take_quota(df: DataFrame, by: list[str], key: str, quota: Column | int, tie:
     if not by:
         return _take_quota_overall(df, key, quota, tie)
     rows = df.withColumn("_b", F.substring(key, 1, 4))
+    place = F.struct(key, *tie)
+    limits = quota_limits(df, by, key, quota, tie)
+    keep = (
+        F.col("_edge").isNull()
+        | (F.col("_b") < F.col("_edge._b"))
+        | ((F.col("_b") == F.col("_edge._b")) & F.coalesce(place <= F.col("_last"), F.lit(False)))
+    )
+    return rows.join(limits, by, "left").filter(keep).drop("_b", "_edge", "_last")
+
+
+def quota_limits(df: DataFrame, by: list[str], key: str, quota: Column, tie: list[str]) -> DataFrame:
+    """One row per group with more rows than its quota: the bucket where it runs out (``_edge._b``) and the last row to keep
+    in that bucket (``_last``: key and ties; null where none of the bucket stays)."""
+    rows = df.withColumn("_b", F.substring(key, 1, 4))
     histogram = rows.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
     running = Window.partitionBy(*by).orderBy("_b")
     edges = (
@@ -50,20 +64,13 @@ def take_quota(df: DataFrame, by: list[str], key: str, quota: Column | int, tie:
         .groupBy(*by)
         .agg(F.min(F.struct("_b", "_left")).alias("_edge"))
     )
-    place = F.struct(key, *tie)
     ranked = Window.partitionBy(*by).orderBy(key, *tie)
     last = (
         rows.select(*by, "_b", key, *tie).join(edges, by).filter(F.col("_b") == F.col("_edge._b"))
         .withColumn("_r", F.row_number().over(ranked)).filter(F.col("_r") == F.col("_edge._left"))
-        .select(*by, place.alias("_last"))
-    )
-    limits = edges.join(last, by, "left")
-    keep = (
-        F.col("_edge").isNull()
-        | (F.col("_b") < F.col("_edge._b"))
-        | ((F.col("_b") == F.col("_edge._b")) & F.coalesce(place <= F.col("_last"), F.lit(False)))
+        .select(*by, F.struct(key, *tie).alias("_last"))
     )
-    return rows.join(limits, by, "left").filter(keep).drop("_b", "_edge", "_last")
+    return edges.join(last, by, "left")
 
 
 def _take_quota_overall(df: DataFrame, key: str, quota: Column, tie: list[str]) -> DataFrame:
