@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from quarry import fixed_values as fv
 from quarry.functions import templates as M
@@ -291,6 +294,45 @@ def rewrite(examples: DataFrame, rewriter) -> DataFrame:
     ).drop("_new")
 
 
+def rewrite_batches(examples: DataFrame, open_rewriter: Callable, seen: Observation | None = None, batch_rows: int = 64, attempts: int = 3) -> DataFrame:
+    """As :func:`rewrite` with a plug-in that takes whole batches, for example a model.
+
+    ``open_rewriter()`` is called once per task and gives a function of a list of (input, output) that returns a list of
+    texts or nulls. A batch for which it raises is tried again ``attempts`` times and then in halves, so an example that
+    fails for good takes no other with it; it keeps its answer and is ``failed``. With ``seen`` the numbers of rows,
+    fallbacks and failures are observed while the result is written.
+    """
+    fields = [f for f in examples.schema.fields if f.name not in ("original_extractive", "fell_back", "failed")]
+    schema = ST.StructType([*fields, ST.StructField("_new", ST.StringType()), ST.StructField("failed", ST.BooleanType())])
+
+    def run(batches):
+        rewriter = open_rewriter()
+
+        def tried(rows: list[tuple]) -> list[tuple]:
+            for _ in range(attempts if len(rows) > 1 else attempts + 1):
+                try:
+                    new = rewriter(rows)
+                    if len(new) != len(rows):
+                        raise ValueError(f"{len(rows)} examples in, {len(new)} out")
+                    return [(text, False) for text in new]
+                except Exception:  # whatever a plug-in raises
+                    continue
+            if len(rows) == 1:
+                return [(None, True)]
+            half = len(rows) // 2
+            return tried(rows[:half]) + tried(rows[half:])
+
+        for pdf in batches:
+            rows = list(zip(pdf["input"], pdf["output"]))
+            done = [r for i in range(0, len(rows), batch_rows) for r in tried(rows[i:i + batch_rows])]
+            yield pdf[[f.name for f in fields]].assign(_new=[d[0] for d in done], failed=[d[1] for d in done])
+
+    out = rewrite(examples.mapInPandas(run, schema), lambda *_: F.col("_new"))
+    if seen is None:
+        return out
+    return out.observe(seen, F.count("*").alias("rows"), F.count_if("fell_back").alias("fell_back"), F.count_if("failed").alias("failed"))
+
+
 # ------------------------------------------------------------------ reporting
 
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from quarry.operators import examples as X
@@ -65,3 +66,45 @@ def test_results_do_not_depend_on_partitions(spark):
     one = sorted(rows(X.curriculum(qa.coalesce(1), 100)))
     many = sorted(rows(X.curriculum(qa.repartition(13), 100)))
     assert one == many and len(one) > 0
+
+
+def test_failing_batches_are_tried_again_and_halved(spark, tmp_path):
+    """A plug-in that fails once per task recovers; bad rows fail alone; wrong lengths and short answers fall back."""
+    df = spark.createDataFrame([(i, f"in {i}", f"answer {i}") for i in range(200)], "id int, input string, output string").repartition(3)
+
+    def open_rewriter():
+        calls = []
+
+        def rewriter(rows):
+            calls.append(len(rows))
+            if len(calls) == 1:
+                raise RuntimeError("warming up")
+            if any(a == "answer 77" for _, a in rows):
+                raise ValueError("bad")
+            if any(a == "answer 5" for _, a in rows):
+                return ["one too many"] * (len(rows) + 1)
+            return ["no" if a == "answer 9" else None if a == "answer 10" else a.upper() for _, a in rows]
+
+        return rewriter
+
+    seen = Observation()
+    got = {r.id: r for r in X.rewrite_batches(df, open_rewriter, seen, batch_rows=16, attempts=2).collect()}
+    assert len(got) == 200 and {i for i, r in got.items() if r.failed} == {77, 5}
+    assert {i for i, r in got.items() if r.fell_back} == {77, 5, 9, 10}
+    assert got[3].output == "ANSWER 3" and got[3].original_extractive == "answer 3" and got[77].output == "answer 77"
+    assert seen.get == {"rows": 200, "fell_back": 4, "failed": 2}
+
+
+def test_polarity_outputs_and_scaled_layers(spark, tmp_path):
+    from quarry.plans import dataset as D
+
+    rows_ = [(i, f"in {i}", "Not found in provided context." if i % 4 == 0 else f"a{i}", ["squad_v2", "hotpotqa", "drop", "coqa"][i % 4], 1 if i % 4 == 0 else 2) for i in range(400)]
+    df = spark.createDataFrame(rows_, "id int, input string, output string, source string, layer int")
+    counts = {r.part: r.n for r in D.write_polarities(df, str(tmp_path / "out")).collect()}
+    assert counts == {"polarity=positive": 300, "polarity=negative": 100}
+    assert spark.read.json(str(tmp_path / "out" / "polarity=negative")).count() == 100
+    capped = D.cap_layers(df, {1: 30, 2: 60})
+    assert {(r.layer, r.source): r["count"] for r in capped.groupBy("layer", "source").count().collect()} == {
+        (1, "squad_v2"): 30, (2, "hotpotqa"): 20, (2, "drop"): 20, (2, "coqa"): 20}
+    assert D.cap_layers(df, {1: 0, 2: 10_000}).count() == 300
+    assert D.scaled_sizes(110_000, 0.5) == {1: 15000, 2: 15000, 3: 10000, 4: 10000, 5: 5000}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from quarry import fixed_values as fv
@@ -11,7 +12,7 @@ from quarry.operators import examples as X
 from quarry.operators import generators as G
 from quarry.operators.ordering import seeded_hash
 from quarry.plans import dataset as D
-from quarry.session import new_folder
+from quarry.session import materialize, new_folder
 from quarry.sources import tables as ST
 from workload import bindings as B
 from workload.registry import query, sql_list, sql_text
@@ -474,6 +475,27 @@ def rewrite_answers(t):
     return X.rewrite(X.extractive_layer(B.qa(t)), rewriter).select("id", F.md5("output").alias("output_md5"), "fell_back")
 
 
+@query("rewrite_batches", f"""
+WITH {B.QA}, {_L1}, w AS (SELECT id, output, length(output) % 7 = 0 AS failed, CASE WHEN length(output) % 7 > 1 THEN 'It is ' || output END AS n FROM l1),
+r AS (SELECT *, n IS NULL OR length(n) < 5 AS fell_back FROM w)
+SELECT id, md5(CASE WHEN fell_back THEN output ELSE n END) AS output_md5, fell_back, failed,
+  count(*) OVER () AS n_rows, count(*) FILTER (fell_back) OVER () AS n_fell_back, count(*) FILTER (failed) OVER () AS n_failed FROM r""")
+def rewrite_batches(t):
+    """A plug-in that fails on the batches that hold an answer of a bad length; counts observed while the result is written."""
+    def open_rewriter():
+        def rewriter(rows):
+            if any(len(answer) % 7 == 0 for _, answer in rows):
+                raise ValueError("a bad answer")
+            return [None if len(answer) % 7 == 1 else "It is " + answer for _, answer in rows]
+
+        return rewriter
+
+    seen = Observation()
+    out = materialize(X.rewrite_batches(X.extractive_layer(B.qa(t)), open_rewriter, seen, attempts=1), "rewritten")
+    counts = {f"n_{k}": F.lit(seen.get[k]).cast("bigint") for k in ("rows", "fell_back", "failed")}
+    return out.select("id", F.md5("output").alias("output_md5"), "fell_back", "failed").withColumns(counts)
+
+
 @query("is_refusal", "SELECT conv_id, turn, contains(lower(text), 'not found') AS refused FROM conversations")
 def is_refusal(t):
     return t.conversations.select("conv_id", "turn", T.is_refusal(F.col("text")).alias("refused"))
