@@ -94,13 +94,6 @@ def combine_sections(parts: DataFrame) -> DataFrame:
     )
 
 
-def with_default(queries: DataFrame, contexts: DataFrame, empty: str) -> DataFrame:
-    """Queries without any hit get the text for an empty result."""
-    return queries.select("qid").join(contexts, "qid", "left").withColumn(
-        "context", F.coalesce("context", F.lit(empty))
-    )
-
-
 def first_with_hits(primary: DataFrame, fallback: DataFrame) -> DataFrame:
     """Rows of the primary source; queries it has no row for take the fallback's rows."""
     rest = fallback.join(primary.select("qid").distinct(), "qid", "left_anti")

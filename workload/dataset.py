@@ -543,7 +543,7 @@ def polarity_outputs(t):
 SELECT conv_id || '-' || turn AS id, md5('story ' || conv_id) AS context_md5, text AS question, role AS answer,
   role = 'system' AS is_impossible FROM conversations""")
 def squad_flatten(t):
-    """Conversations nested to articles, written as JSON, read with the declared schema and flattened."""
+    """Conversations nested to articles, written as files of one JSON value over many lines, read and flattened."""
     item = F.struct(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
         F.col("text").alias("question"), F.array(F.struct(F.col("role").alias("text"))).alias("answers"),
@@ -553,11 +553,12 @@ def squad_flatten(t):
         F.array(F.struct(
             F.lit("t").alias("title"),
             F.array(F.struct(F.concat(F.lit("story "), F.col("conv_id").cast("string")).alias("context"), "qas")).alias("paragraphs"),
-        )).alias("data")
+        )).alias("data"), F.pmod("conv_id", F.lit(16)).alias("file")
     )
     folder = new_folder(t.spark, "nested")
-    paragraphs.write.json(folder)
-    nested = t.spark.read.schema(ST.schemas.QA_NESTED).json(folder)
+    articles = paragraphs.groupBy("file").agg(F.flatten(F.collect_list("data")).alias("data")).drop("file")
+    articles.write.option("maxRecordsPerFile", 1).option("pretty", "true").json(folder)
+    nested = ST.read_nested_qa(t.spark, folder)
     return X.flatten_squad(nested).select(
         "id", F.md5("context").alias("context_md5"), "question", F.get("answers", F.lit(0)).alias("answer"), "is_impossible"
     )

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry import fixed_values as fv
@@ -13,6 +16,7 @@ from quarry.functions import vectors as V
 from quarry.functions.embedding import hashing_embedding, model_embedding
 from quarry.operators import clusters as CL
 from quarry.operators import context as C
+from quarry.operators import filters as FI
 from quarry.operators import folders as FO
 from quarry.operators import photos as PH
 from quarry.operators import search as SE
@@ -496,14 +500,28 @@ SELECT path FROM d, m WHERE list_contains({sql_list(_TYPE_GROUPS['code'])}, ext)
   AND mtime_s >= now - 600""")
 def file_filters(t):
     from quarry.operators.entries import describe_files
-    from quarry.operators.filters import file_filter
 
     rows = describe_files(B.files(t), B.HOME)
     now = rows.agg(F.max("mtime")).first()[0]
-    test = file_filter(["code"], "documents", F.lit(now) - F.expr("interval 600 seconds"))
+    test = FI.file_filter(["code"], "documents", F.lit(now) - F.expr("interval 600 seconds"))
     return rows.filter(test).select("path")
 
 
+@query("named_date_ranges", """
+WITH p AS (SELECT 'Documents/f' || user_id || '.txt' AS path, max(ts) AS mtime FROM events WHERE event_type <> 'error' GROUP BY 1),
+n AS (SELECT max(ts) AS now FROM events), r(date_range, days) AS (VALUES ('today', 1), ('week', 7), ('month', 30), ('year', 365), ('any', 100000))
+SELECT date_range, path FROM p, n, r WHERE mtime >= now - to_days(days)""")
+def named_date_ranges(t):
+    """Files by the ranges that queries name; a file's last event that is no error stands for its modification."""
+    files = t.events.where("event_type <> 'error'").groupBy(F.concat(F.lit("Documents/f"), F.col("user_id").cast("string"), F.lit(".txt")).alias("path")).agg(
+        F.max("ts").cast("timestamp").alias("mtime"))
+    rows = files.withColumns({"extension": F.lit(".txt"), "folder": F.lit("Documents")})
+    now = F.lit(t.events.agg(F.max(F.col("ts").cast("timestamp"))).first()[0])
+    named = [rows.filter(FI.file_filter(["document"], "documents", FI.since(name, now))).select(F.lit(name).alias("date_range"), "path")
+             for name in [*FI.RANGE_DAYS, "any"]]
+    return reduce(DataFrame.unionByName, named)
+
+
 # ------------------------------------------------------------------------ photos
 
 
