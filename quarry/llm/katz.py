@@ -414,9 +414,10 @@ def _together(own: DataFrame, back: DataFrame) -> DataFrame:
 _WIDE = "bucket int, kind int, keys binary, others binary, counts binary, docs binary"
 _WIDE_NAMES = ["bucket", "kind", "keys", "others", "counts", "docs"]
 #: Kinds of rows: counts of words, pairs of hot words, pairs by their rare word, pairs by their rare context, weights of contexts.
-#: And documents' keys of a hand-out under a hash of them, so that they travel once for all kinds.
+#: And documents' keys of a hand-out under a hash of them: questions and answers name the hand-out and places in it, and the
+#: keys meet the added-up answers once.
 WORDS, HOT_PAIRS, BY_WORD, BY_CONTEXT, WEIGHTS, NAMES = range(6)
-#: Buckets that meet in one group for scoring: the fewer groups, the fewer copies of documents' keys.
+#: Buckets that meet in one group for scoring: the fewer groups, the fewer answers for a hand-out.
 JOINED = 4
 
 
@@ -473,13 +474,18 @@ def _deal_wide(m: Model, kind: int, keys: np.ndarray, others, counts: np.ndarray
     others, docs = (x if x is None else x[order] for x in (others, docs))
     for i in np.flatnonzero(np.diff(cuts)).tolist():
         part = slice(cuts[i], cuts[i + 1])
-        yield _wide(i, kind, keys[part], None if others is None else _packed(m, others[part]), counts[part], docs[part] if docs is not None else None if names is None else _names_hash(names))
+        yield _wide(i, kind, keys[part], None if others is None else _packed(m, others[part]), counts[part], docs[part] if docs is not None else None if names is None else _hand_out(names))
 
 
 def _names_hash(names: np.ndarray) -> np.ndarray:
     return spans.mix(spans.mix(names.view(np.uint64)) + np.arange(len(names), dtype=np.uint64)).sum(keepdims=True)
 
 
+def _hand_out(names: np.ndarray) -> np.ndarray:
+    """What names a hand-out of documents where their keys are not: a hash of the keys, and how many there are."""
+    return np.append(_names_hash(names), np.uint64(len(names)))
+
+
 def _one_table(tables: list) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys with counts from several such tables without common keys."""
     keys, counts = (np.concatenate(x) for x in zip(*tables))
@@ -489,7 +495,11 @@ def _one_table(tables: list) -> tuple[np.ndarray, np.ndarray]:
 
 def _places(names: np.ndarray):
     """The type of places in ``names``."""
-    return np.uint16 if len(names) <= 1 << 16 else np.uint32
+    return _place_type(len(names))
+
+
+def _place_type(n: int):
+    return np.uint16 if n <= 1 << 16 else np.uint32
 
 
 def _looked_up(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -503,6 +513,18 @@ def _count_at(table, keys: np.ndarray) -> np.ndarray:
     return np.where(there, table[1][at], 0).astype(np.int64) if len(table[0]) else np.zeros(len(keys), np.int64)
 
 
+def _summed(places: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct places and the sums of the three values at each."""
+    used, at = np.unique(places, return_inverse=True)
+    return used, np.stack([np.bincount(at, x, len(used)) for x in values])
+
+
+def _answer(at: np.ndarray, places=None, sums=None, names=None) -> pa.RecordBatch:
+    """A row for one hand-out: sums at places of it, or the keys of its documents."""
+    blobs = [b"" if names is None else bytes(names), b"" if places is None else places.astype(np.uint32).tobytes(), b"" if sums is None else sums.tobytes()]
+    return pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), *[pa.array([b], pa.binary()) for b in blobs]], ["at", "names", "places", "sums"])
+
+
 def _read(batch: pa.RecordBatch):
     """Kind, keys, others, counts and docs of each row of ``_WIDE``, the last three as buffers."""
     for kind, keys, others, counts, docs in zip(batch.column(1).to_pylist(), *(batch.column(i) for i in range(2, 6))):
@@ -669,8 +691,7 @@ def score_all(texts: DataFrame, fitted: tuple[Model, DataFrame, DataFrame, DataF
                 for k, parts in asked.items():
                     keys, others, of = (np.concatenate(x) for x in zip(*parts))
                     yield from _deal_wide(shared.value, k, keys, None if k == HOT_PAIRS else others, of, groups, names=names)
-                for group in range(groups):
-                    yield _wide(group, NAMES, _names_hash(names), names)
+                yield _wide(int(_names_hash(names)[0] % np.uint64(groups)), NAMES, _names_hash(names), names)
 
     def slim(batches):
         for batch in batches:
@@ -685,23 +706,23 @@ def score_all(texts: DataFrame, fitted: tuple[Model, DataFrame, DataFrame, DataF
     def far(key, batches):
         m = shared.value
         none = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-        found, wanted, own, named = {}, [], [], {}
+        found, wanted, own, told = {}, [], [], {}
         for batch in batches:
             for k, keys, others, counts, docs in _read(batch):
                 if k == NAMES:
-                    named[int(keys[0])] = np.frombuffer(others, np.int64)
+                    yield _answer(keys, names=others)
                 elif k == WEIGHTS:
                     own.append((keys, np.stack([np.frombuffer(others, np.float64), np.frombuffer(counts, np.float64)], 1)))
                 elif docs.size:
-                    wanted.append((k, keys, others, counts, int(np.frombuffer(docs, np.uint64)[0])))
+                    wanted.append((k, keys, others, counts, docs))
                 else:
                     found.setdefault(k, []).append((keys, np.frombuffer(counts, np.uint32)))
         tables = {HOT_PAIRS: (np.zeros(0, np.uint32), none[1])} | {k: _one_table(v) for k, v in found.items()}
         own = _one_table(own) if own else (none[0], np.zeros((0, 2)))
         found.clear()
         for k, keys, others, of, at in wanted:
-            names = named[at]
-            of = np.frombuffer(of, _places(names))
+            hand_out = np.frombuffer(at, np.uint64)
+            of = np.frombuffer(of, _place_type(int(hand_out[1])))
             known, base = np.zeros(len(keys)), np.zeros(len(keys))
             if k == HOT_PAIRS:
                 value = np.log10(m.pair((keys >> 16).astype(np.int64), (keys & 0xFFFF).astype(np.int64), _count_at(tables[k], keys)))
@@ -719,15 +740,32 @@ def score_all(texts: DataFrame, fitted: tuple[Model, DataFrame, DataFrame, DataF
                 at, there = _looked_up(own[0], keys)
                 share, bow = np.where(there[:, None], own[1][at], 1.0).T if len(own[0]) else np.ones((2, len(keys)))
                 value = np.log10(np.where(c > 0, share * _discounted(c, m.pair_factors), bow * np.where(w != m.other, m.p1[w], 1.0)))
-            used, place = np.unique(of, return_inverse=True)
-            sums = [np.bincount(place, x, len(used)) for x in (known, base, value)]
-            yield pa.RecordBatch.from_arrays([pa.array(names[used]), *[pa.array(s) for s in sums]], ["key", "known", "base", "value"])
+            told.setdefault(hand_out[0], []).append(_summed(of, np.stack([known, base, value])))
+        for at, parts in told.items():
+            yield _answer(np.array([at]), *_summed(*(np.concatenate(x, axis=-1) for x in zip(*parts))))
+
+    def tell(key, batches):
+        """What all buckets answered for one hand-out, added up and given to its documents."""
+        names, answers = None, []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                named, places, sums = (batch.column(c)[i].as_buffer() for c in (1, 2, 3))
+                if named.size:
+                    names = np.frombuffer(named, np.int64)
+                else:
+                    places = np.frombuffer(places, np.uint32)
+                    answers.append((places, np.frombuffer(sums, np.float64).reshape(3, len(places))))
+        total = np.zeros((3, len(names)))
+        for places, sums in answers:
+            total[:, places] += sums
+        yield pa.RecordBatch.from_arrays([pa.array(names), *[pa.array(x) for x in total]], ["key", "known", "base", "value"])
 
     own = rows.mapInArrow(near, f"id {kind}, key long, n_tokens long, known double, base double, value double")
     tables = words.unionByName(pairs.where(F.col("kind").isin(HOT_PAIRS, BY_WORD)).mapInArrow(slim, _WIDE)).unionByName(weights)
     tables = tables.withColumn("bucket", (F.col("bucket") % groups).cast("int"))
     sent = rows.mapInArrow(send, _WIDE).unionByName(tables)
-    back = sent.groupBy("bucket").applyInArrow(_as_iterator(far), "key long, known double, base double, value double")
+    answers = sent.groupBy("bucket").applyInArrow(_as_iterator(far), "at long, names binary, places binary, sums binary")
+    back = answers.groupBy("at").applyInArrow(_as_iterator(tell), "key long, known double, base double, value double")
     return _together(own, back)
 
 
