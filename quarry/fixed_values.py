@@ -320,6 +320,31 @@ GAME_REQUIREMENTS = [
     "Minimum: 16GB RAM, RTX 2060, 70GB storage. Recommended: 32GB RAM, RTX 3070.",
 ]
 
+# Sentences and questions of the domain layer; names in braces are filled from the pools above
+SYSTEM_SENTENCES = [
+    "CPU: {cpu}, {cores} cores. RAM: {ram} total, {ram_free} free. Disk: {disk}, {disk_free} free.",
+    "System specs - {cpu} ({cores}c), Memory: {ram} ({ram_free} available), Storage: {disk}",
+    "cpu={cpu}\ncores={cores}\nram={ram}\nram_free={ram_free}\ndisk={disk_free} free",
+]
+SYSTEM_LINE = "CPU: {cpu}, RAM: {ram}"
+MACHINE_LINE = "RAM: {ram}. GPU: {cpu}. Free disk: {disk_free}."
+SYSTEM_QUESTIONS = [
+    ("How much RAM do I have?", "{ram}"), ("How many CPU cores?", "{cores}"), ("What CPU do I have?", "{cpu}"),
+    ("How much free disk space?", "{disk_free}"), ("How much free RAM?", "{ram_free}"),
+]
+SLOW_QUESTION = ("Why is my computer slow?", "Only {ram_free} RAM free")
+PERSON_SENTENCE = (
+    "Works as a {job} at {company}. Favorite programming language is {language}. Lives in {city}. Interested in {interests}."
+)
+PERSON_LINE = "Favorite language: {language}. Lives in {city}."
+MEMORY_QUESTIONS = [
+    ("What's my favorite programming language?", "{language}"), ("Where do I live?", "{city}"), ("What's my job?", "{job}"),
+    ("Where do I work?", "{company}"), ("What are my interests?", "{interests}"),
+]
+MIXED_QUESTIONS = ["What's my favorite language?", "How much RAM do I have?", "What programming languages am I good at?"]
+GAME_QUESTION = "Can I run this game?"
+GAME_YES, GAME_NO = "Yes, meets minimum RAM requirement", "No, need 16GB RAM but only have {ram}"
+
 # Pools of the refusal layer
 REFUSAL_SYSTEM_CONTEXTS = [
     "CPU: Apple M2, 8 cores. RAM: 8GB total, 2GB free. Disk: 256GB SSD.",
