@@ -46,7 +46,7 @@ HOT_SHARE = 1 << 17
 BUCKET_ENTRIES = 1 << 23
 HAND_OUT = 1 << 23
 #: As BUCKET_ENTRIES, where pairs are held as two hashes.
-BUCKET_PAIRS = 1 << 21
+BUCKET_PAIRS = 1 << 20
 #: Stand for the end token and the start context among hashes of words.
 END, START = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 _BLOB = "bucket int, kind int, keys binary, counts binary, docs binary"
@@ -564,7 +564,7 @@ def fit_all(texts: DataFrame, vocabulary: int = 65_000) -> tuple[Model, DataFram
                 for kind, keys, others in ((BY_WORD, t.word[t.rare_word], t.before[t.rare_word]), (BY_CONTEXT, t.before[after], t.word[after])):
                     held[kind].append(_added_pairs(keys, others, np.ones(len(keys), np.int64)))
                     size += len(held[kind][-1][0])
-                if near.size + 2 * size > 1 << 21:
+                if near.size + 2 * size > 1 << 20:
                     yield from hand_out()
                     size = 0
         yield from hand_out()
