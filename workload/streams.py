@@ -302,6 +302,53 @@ def system_report(t):
     return with_battery.join(body, "host").join(same, "host")
 
 
+@query("whole_system_report", f"""
+WITH {_PROCESSES}, top AS (SELECT host,
+  string_agg('- **' || name || '** (PID ' || pid || '): ' || ram_mb || ' MB RAM, ' || cpu_percent || '% CPU' || chr(10), '' ORDER BY r)
+    FILTER (r <= 5) AS ram,
+  string_agg('- **' || name || '** (PID ' || pid || '): ' || cpu_percent || '% CPU, ' || ram_mb || ' MB RAM' || chr(10), '' ORDER BY c)
+    FILTER (c <= 5) AS cpu,
+  list_sort(list(DISTINCT name) FILTER (r <= 5)) = list_sort(list(DISTINCT name) FILTER (c <= 5)) AS same FROM ranked GROUP BY 1),
+l AS (SELECT user_id AS host, '/' || event_type AS mount, arg_max(round(value * 100)::BIGINT, ts) AS v, arg_max(event_id % 300, ts) AS k FROM events GROUP BY 1, 2),
+disks AS (SELECT host, string_agg('- **' || mount || ':** ' || round_even((v * 300000 - v * 1000 * k) / 1073741824.0::DOUBLE, 1) || ' GB free of ' ||
+  round_even(v * 300000 / 1073741824.0::DOUBLE, 1) || ' GB (' || round_even(v * 1000 * k * 100.0::DOUBLE / (v * 300000), 1) || '% used)' || chr(10), ''
+  ORDER BY mount) AS storage FROM l WHERE v * 300000 >= 104857600 GROUP BY 1),
+h AS (SELECT user_id AS host, count(*) AS n, max(ts) AS seen, round_even((epoch_us(max(ts)) - epoch_us(min(ts))) / 3600000000.0::DOUBLE, 1) AS up FROM events GROUP BY 1)
+SELECT host, concat_ws(chr(10), chr(10) || '## System Information (as of ' || strftime(seen, '%Y-%m-%d %H:%M:%S') || ')' || chr(10),
+  CASE WHEN up > 0 THEN '**Uptime:** ' || up || ' hours' || chr(10) END,
+  '### CPU' || chr(10) || '- **Usage:** ' || (n % 80 + 0.5::DOUBLE) || '%' || chr(10) || '- **Cores:** ' || (n % 4 + 2) || ' physical, ' || (n % 4 * 2 + 4) ||
+    ' logical' || chr(10) || CASE WHEN n % 3 > 0 THEN '- **Frequency:** 2400 MHz' || chr(10) ELSE '' END,
+  '### Memory (RAM)' || chr(10) || '- **Total:** 16.0 GB' || chr(10) || '- **Used:** ' || (n % 30 / 2.0::DOUBLE) || ' GB (' || (n % 30 / 2.0::DOUBLE * 6.25::DOUBLE) ||
+    '%)' || chr(10) || '- **Available:** ' || (16 - n % 30 / 2.0::DOUBLE) || ' GB' || chr(10) ||
+    CASE WHEN n % 2 = 0 THEN '- **Swap:** 1.0 / 2.0 GB (50.0%)' || chr(10) ELSE '' END,
+  '### Storage' || chr(10) || storage, '### Top Processes (by RAM)' || chr(10) || ram,
+  CASE WHEN NOT same THEN '### Top Processes (by CPU)' || chr(10) || cpu END,
+  '### Battery' || chr(10) || '- **Level:** ' || (host % 100) || '% (' || CASE WHEN host % 3 = 0 THEN 'Charging' WHEN host % 2 = 0 THEN 'Plugged in'
+    ELSE 'On battery' END || CASE WHEN host % 4 > 0 THEN ', ' || (host % 4) || ' min remaining' ELSE '' END || ')' || chr(10)) AS context
+FROM h JOIN top USING (host) LEFT JOIN disks USING (host)""")
+def whole_system_report(t):
+    """Every section of a host's report: uptime, processor, memory, disks, processes and battery from its samples."""
+    item = F.struct("rank", "name", "pid", "ram_mb", "cpu_percent")
+    lists = TE.top_processes(processes(t)).groupBy("host").agg(
+        F.array_sort(F.collect_list(F.when(F.col("by") == "ram", item))).alias("top_by_ram"),
+        F.array_sort(F.collect_list(F.when(F.col("by") == "cpu", item))).alias("top_by_cpu"))
+    storage = TE.disk_readings(disks(t)).groupBy("host").agg(
+        F.array_sort(F.collect_list(F.struct("mount_point", "free_gb", "total_gb", "percent"))).alias("disks"))
+    ts, n, h = F.col("ts").cast("timestamp"), F.col("n"), F.col("host")
+    hosts = t.events.groupBy(F.col("user_id").alias("host")).agg(
+        F.count("*").alias("n"), F.date_format(F.max(ts), "yyyy-MM-dd HH:mm:ss").alias("as_of"), U.uptime_hours(F.min(ts), F.max(ts)).alias("uptime_hours"))
+    used, swap = n % 30 / F.lit(2.0), n % 2 == 0
+    full = hosts.join(lists, "host").join(storage, "host", "left").withColumns({
+        "cpu": F.struct((n % 80 + 0.5).alias("percent"), (n % 4 + 2).alias("cores_physical"), (n % 4 * 2 + 4).alias("cores_logical"),
+                        F.when(n % 3 > 0, 2400.0).otherwise(0.0).alias("frequency_mhz")),
+        "memory": F.struct(
+            F.lit(16.0).alias("total_gb"), used.alias("used_gb"), (16 - used).alias("available_gb"), (used * 6.25).alias("percent"),
+            F.when(swap, 2.0).otherwise(0.0).alias("swap_total_gb"), F.lit(1.0).alias("swap_used_gb"), F.lit(50.0).alias("swap_percent")),
+        "battery": F.struct((h % 100).alias("percent"), (h % 3 == 0).alias("charging"), (h % 2 == 0).alias("plugged_in"), (h % 4).alias("time_remaining_mins")),
+    })
+    return C.system_report(full)
+
+
 @query("same_process_sets", f"""
 WITH {_PROCESSES} SELECT host, list_sort(list(DISTINCT name) FILTER (r <= 5)) = list_sort(list(DISTINCT name) FILTER (c <= 5))
   AS same FROM ranked GROUP BY 1""")
