@@ -298,7 +298,7 @@ class DebouncedStream:
     and the new changes together, so one root's changes are spread over many tasks. A batch is closed and comes out once the
     watermark (newest time seen less ``delay_ms``) has passed its end, or by the wall clock: in a micro-batch that only holds
     heartbeats, and by :meth:`expire` after a stream that ends. Changes older than the watermark come out at once as batches
-    of their own, marked ``late``. Output: root, batch_opened, path, change_type, old_path, ts, seq, n_changes, late.
+    of their own, marked ``late``, and so do changes without a time, in batches without one. Output: root, batch_opened, path, change_type, old_path, ts, seq, n_changes, late.
     """
 
     def __init__(self, out: str, checkpoint: str, width_ms: int = fv.DEBOUNCE_MS, delay_ms: int = 0):
@@ -327,13 +327,13 @@ class DebouncedStream:
         watermark = state.watermark(before)
         shaped = batch.select("root", "path", "change_type", "old_path", "ts", "seq")
         noted, seen = _noted(relevant(shaped), watermark, f"{self.checkpoint}-noted")
-        rows = noted.where("not late").drop("late").unionByName(state.table(before, "open", _OPEN))
+        rows = noted.where("not late and ts is not null").drop("late").unionByName(state.table(before, "open", _OPEN))
         opened = debounce(rows, self.width // 1000, self._bin_ms(seen, int(spark.conf.get("spark.sql.shuffle.partitions"))))
         after = until = _advanced(watermark, seen["newest"], self.delay)
         if seen["newest"] is None:
             now = shaped.where(F.col("change_type") == HEARTBEAT).agg(F.max(F.unix_micros("ts"))).first()[0]
             until = after if now is None else max(after, now - self.delay)
-        late = noted.where("late").withColumn("batch_opened", F.min("ts").over(Window.partitionBy("root", "path")))
+        late = noted.where("late or ts is null").withColumn("batch_opened", F.min("ts").over(Window.partitionBy("root", "path")))
         self._step(state, (batch_id, 0), opened, until, after, late, seen)
 
     def _step(self, state: StreamState, step: tuple[int, int], opened: DataFrame, until: int, watermark: int, late: DataFrame | None, seen: dict) -> None:
@@ -341,7 +341,7 @@ class DebouncedStream:
         written = materialize(opened, "opened")
         closed = F.unix_micros("batch_opened") + self.width <= until
         done = batches(written.where(closed)).withColumn("late", F.lit(False))
-        if seen.get("late"):
+        if late is not None:
             done = done.unionByName(batches(late).withColumn("late", F.lit(True)))
         done.write.mode("overwrite").parquet(f"{self.out}/step={step[0]}.{step[1]}")
         if until > watermark:  # by the wall clock: nothing may join what came out

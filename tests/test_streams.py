@@ -93,7 +93,7 @@ def debounced(spark, folder, width, delay=0, job=None):
 
 
 def told(job, spark):
-    return sorted((r.opened - BASE, r.path, r.n_changes, r.late) for r in job.batches(spark).withColumn("opened", F.unix_micros("batch_opened")).collect())
+    return sorted((r.opened - BASE, r.path, r.n_changes, r.late) for r in job.batches(spark).where("batch_opened is not null").withColumn("opened", F.unix_micros("batch_opened")).collect())
 
 
 def test_one_hot_root_debounced_over_micro_batches(spark):
@@ -118,10 +118,13 @@ def test_one_hot_root_debounced_over_micro_batches(spark):
 
 def test_late_changes_come_out_and_the_rest_waits_for_its_time(spark):
     first = [("/r", 1, BASE + 0, "/r/a.txt", None, "modified"), ("/r", 2, BASE + 900_000, "/r/b.txt", None, "modified")]
+    untimed = change_table(spark, [("/r", 9, None, "/r/when.txt", None, "created")]).withColumn("ts", F.lit(None).cast("timestamp"))
     second = [("/r", 3, BASE + 100, "/r/late.txt", None, "created"), ("/r", 4, BASE + 950_000, "/r/b.txt", None, "deleted"), ("/r", 5, BASE + 960_000, None, None, "modified")]
     folder = stream_of(spark, first, second)
+    untimed.coalesce(1).write.mode("append").parquet(folder)
     job = debounced(spark, folder, 200)
     early = [(0, "/r/a.txt", 1, False), (100, "/r/late.txt", 1, True)]
+    assert [(r.path, r.late) for r in job.batches(spark).where("batch_opened is null").collect()] == [("/r/when.txt", True)]
     assert told(job, spark) == early
     job.expire(spark, BASE + 1_000_000)  # the end of the open batch has not come yet
     assert told(job, spark) == early
