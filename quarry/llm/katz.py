@@ -233,14 +233,15 @@ def _statistics(counted: DataFrame, kind: int):
     return np.array(values[:-2], np.float64), values[-2], values[-1]
 
 
-def _single_words(texts: DataFrame, vocabulary: int, entries: int = BUCKET_ENTRIES) -> tuple[Model, DataFrame, int]:
-    """The model's single words, the table of all words, and the number of buckets."""
+def _single_words(texts: DataFrame, vocabulary: int, entries: int = BUCKET_ENTRIES, joined: int = 1) -> tuple[Model, DataFrame, int]:
+    """The model's single words, the table of all words, and the number of buckets, a multiple of ``joined``."""
     if not 0 < vocabulary <= (1 << 16) - 3:
         raise ValueError("a vocabulary has 1 to 65,533 words")
     spark = texts.sparkSession
     stated = texts.agg(F.count("*"), F.sum(F.length(F.col("text").cast("binary")))).first()
     documents = int(stated[0])
     buckets = int(max(spark.sparkContext.defaultParallelism, -(-int(stated[1] or 0) // 4 // entries)))
+    buckets = -(-buckets // joined) * joined  # before the words are dealt: all tables lie in the same buckets
     words = _counted(texts, 0, lambda column: _Texts(None, column).hashes, buckets)
     n, types, tokens = _statistics(words, 0)
     if documents:
@@ -535,8 +536,7 @@ def fit_all(texts: DataFrame, vocabulary: int = 65_000) -> tuple[Model, DataFram
     """The model of all words of the rows' ``text`` (null: empty): what goes to every task, the tables of words, of pairs and
     of contexts, and the number of buckets."""
     spark = texts.sparkSession
-    model, words, buckets = _single_words(texts, vocabulary, BUCKET_PAIRS)
-    buckets = -(-buckets // JOINED) * JOINED
+    model, words, buckets = _single_words(texts, vocabulary, BUCKET_PAIRS, JOINED)
     if not model.documents:
         model.unseen = float(model.p1[model.other])
     words = words.select("bucket", "kind", "keys", F.lit(b"").alias("others"), "counts", "docs")

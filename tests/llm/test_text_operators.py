@@ -283,3 +283,18 @@ def test_katz_pairs_of_all_words(spark):
             for h, w in zip(["<s>"] + tokens[i], tokens[i]):
                 value += np.log10(share[h] * cut(pair[h, w], d2) if (h, w) in pair else bow.get(h, 1.0) * p.get(w, unseen))
             assert got[i] == pytest.approx(value, abs=1e-6)
+
+
+@pytest.mark.parametrize("least", [5, 6, 7, 8])
+def test_katz_any_number_of_buckets(spark, monkeypatch, least):
+    """Words and pairs lie in the same buckets, whatever the number of tasks or of bytes asks for."""
+    rows = data.texts(8)
+    size = sum(len((t or "").encode()) for i, t in rows if plain.crc(i, 5) != 1)
+    monkeypatch.setattr(katz, "BUCKET_PAIRS", -(-size // 4 // (10 + least)))  # 15 to 18 buckets and more
+    expected, total = plain.base_scores(rows, lambda i: plain.crc(i, 5) != 1)
+    got = {r["id"]: r for r in katz.score_documents(frame(spark, rows), "crc32(cast(id as string)) % 5 <> 1", vocabulary=40).collect()}
+    monkeypatch.undo()
+    same = {r["id"]: r["score"] for r in katz.score_documents(frame(spark, rows), "crc32(cast(id as string)) % 5 <> 1", vocabulary=40).collect()}
+    for (i, _), (n, known, base) in zip(rows, expected):
+        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (n, known, total)
+        assert got[i]["base_score"] == pytest.approx(base, abs=1e-6) and got[i]["score"] == pytest.approx(same[i], abs=1e-6)
