@@ -114,8 +114,8 @@ def _meet(queries: DataFrame, entries: DataFrame, k: int | None) -> DataFrame:
         values = [r[0] for r in asked.select(name).distinct().limit(101).collect()]
         if len(values) <= 100 and None not in values:
             rows = rows.filter(F.col(name).isin(values))
-    if in_cells:
-        asked = asked.withColumn("cell", F.explode("cells")).drop("cells")
+    if in_cells:  # cells of another integer type than the entries' would be dealt to other tasks
+        asked = asked.withColumn("cell", F.explode("cells")).drop("cells").withColumn("cell", F.col("cell").cast(rows.schema["cell"].dataType))
         sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / ENTRY_TILE).cast("int").alias("_tiles")).join(
             asked.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_TILE).cast("int").alias("_blocks")), "cell")
         rows, asked = rows.join(sizes, "cell"), asked.join(sizes, "cell")

@@ -238,3 +238,19 @@ def test_a_word_in_every_photo_lets_k_rows_a_tile_through(spark):
     assert sorted(rows(got)) == sorted(expected)
     per_query = PH.photo_hits(photos, terms, 6, tile=40).groupBy("qid").count().collect()
     assert max(r["count"] for r in per_query) <= 6 * 8 and len(per_query) == 4
+
+
+def test_cells_of_another_integer_type(spark):
+    """Queries meet the entries of their cells in every task, also where the centroids' cells are no bigint as the entries' are."""
+    vectors, entries = table(spark)
+    centroids = spark.createDataFrame([(c, vectors[c * 30].tolist()) for c in range(12)], "cell int, vector array<float>")
+    queries = spark.createDataFrame([(q, vectors[q * 5].tolist()) for q in range(60)], "qid int, vector array<float>")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        celled = SE.assign_cells(entries.select("row_id", "embedding"), centroids)
+        got = {(r.qid, r["rank"]): r.row_id for r in SE.knn_in_cells(queries, celled, centroids, 5, 12).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    for q in range(60):
+        assert [got.get((q, r)) for r in range(1, 6)] == brute(vectors, vectors[q * 5], 5)
