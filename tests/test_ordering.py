@@ -108,3 +108,18 @@ def test_polarity_outputs_and_scaled_layers(spark, tmp_path):
         (1, "squad_v2"): 30, (2, "hotpotqa"): 20, (2, "drop"): 20, (2, "coqa"): 20}
     assert D.cap_layers(df, {1: 0, 2: 10_000}).count() == 300
     assert D.scaled_sizes(110_000, 0.5) == {1: 15000, 2: 15000, 3: 10000, 4: 10000, 5: 5000}
+
+
+def test_cap_layers_ends_inside_a_bucket(spark):
+    """The last row to keep lies in a bucket of the hash that stays in part; ids are bigints."""
+    from quarry.plans import dataset as D
+
+    ids = [(i, f"in {i}", "out", source, layer) for i in range(3000) for source, layer in (("a", 1), ("b", 2), ("c", 2))]
+    # ids whose hashes share their first four digits, so that a limit can fall between them
+    key = lambda s, i: hashlib.md5(f"42:{s}:{i}".encode()).hexdigest()
+    examples = spark.createDataFrame(ids, "id bigint, input string, output string, source string, layer int")
+    ordered = {s: sorted((key(s, i), s, i) for i in range(3000)) for s in "abc"}
+    shared = next(n for n in range(1, 3000) if ordered["a"][n - 1][0][:4] == ordered["a"][n][0][:4])
+    got = sorted(rows(D.cap_layers(examples, {1: shared, 2: 300}).select("source", "id")))
+    want = sorted((s, i) for name, n in (("a", shared), ("b", 100), ("c", 100)) for _, s, i in ordered[name][:n])
+    assert got == want
