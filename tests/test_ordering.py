@@ -123,3 +123,13 @@ def test_cap_layers_ends_inside_a_bucket(spark):
     got = sorted(rows(D.cap_layers(examples, {1: shared, 2: 300}).select("source", "id")))
     want = sorted((s, i) for name, n in (("a", shared), ("b", 100), ("c", 100)) for _, s, i in ordered[name][:n])
     assert got == want
+
+
+def test_distractors_of_cut_contexts(spark):
+    """Rows whose contexts are cut after their key was taken get the chunks of the whole ones."""
+    qa = spark.range(40).select("id", F.concat(F.lit("x" * 900), F.col("id").cast("string")).alias("context"), F.lit("q").alias("question"))
+    contexts = X.keyed_contexts(qa)[1]
+    whole = {r.id: r.chunks for r in X.attach_distractors(qa, contexts).collect()}
+    cut = qa.withColumn("context_key", F.md5("context")).withColumn("context", F.substring("context", 1, 500))
+    assert {r.id: r.chunks for r in X.attach_distractors(cut, contexts).collect()} == whole
+    assert all("other_file" in chunks for chunks in whole.values())
