@@ -91,22 +91,35 @@ def hybrid_photo_search(
     return SE.hybrid_merge(keyword, vector, limit, fv.HYBRID_MIN_KEYWORD_HITS)
 
 
-def answer(planned: DataFrame, index: DataFrame, photos: DataFrame, told: dict[str, tuple[DataFrame, str]], k: int = 10) -> DataFrame:
+def answer(
+    planned: DataFrame, index: DataFrame, photos: DataFrame, told: dict[str, tuple[DataFrame, str]], vectors: tuple[DataFrame, str], k: int = 10
+) -> DataFrame:
     """Every planned query answered by its own branch: (qid, tool, branch, success, context).
 
-    ``planned``: :func:`plan_queries` with the query's ``vector``; ``index``: rows of the vector index; ``photos``: photo
-    records; ``told``: for the sections ``system`` and ``web`` a table (key, context) and the name of the column of
-    ``planned`` that holds the key. File, content and memory queries are one filtered vector search, whose hits go to the
-    three renderers; photo queries are searched by keyword and by vector.
+    ``planned``: :func:`plan_queries`; ``index``: rows of the vector index; ``photos``: photo records; ``told``: for the
+    sections ``system`` and ``web`` a table (key, context) and the name of the column of ``planned`` that holds the key;
+    ``vectors``: in the same way a table (key, vector), unique by key. File, content and memory queries are one filtered
+    vector search, whose hits go to the three renderers; queries of one branch and key share a search and its text, so the
+    index meets distinct searches, however many ask. A query without a vector has no hits. Photo queries are searched by
+    keyword and by vector.
     """
-    planned = materialize(planned, "planned")
-    asked = {name: planned.filter(F.col("branch") == name) for name in ("files", "content", "memory", "photos")}
-    local = [SE.with_preset(asked[name].select("qid", "branch", "vector"), name) for name in ("files", "content", "memory")]
-    local = reduce(DataFrame.unionByName, local)
-    hits = materialize(search(local, index, k).join(local.select("qid", "branch"), "qid"), "hits")
+    table, key = vectors
+    table = table.select("key", "vector")
+    planned = materialize(planned, "planned").withColumn("key", F.col(key))
     render = {"files": C.file_list, "content": C.content_groups, "memory": C.memory_list}
-    branches = {name: make(hits.filter(F.col("branch") == name)) for name, make in render.items()}
-    found = hybrid_photo_search(photos, asked["photos"].select("qid", "query", "vector"), index, k)
+    name_of = F.concat_ws(":", "branch", F.col("key").cast("string"))
+    asked = planned.filter(F.col("branch").isin(*render)).select("branch", "key").distinct().join(table, "key")
+    asked = materialize(asked.select(name_of.alias("qid"), "branch", "vector"), "asked")
+    local = [SE.with_preset(asked.filter(F.col("branch") == name), name) for name in render]
+    local = reduce(DataFrame.unionByName, local)
+    hits = materialize(search(local, index, k).join(asked.select("qid", "branch"), "qid"), "hits")
+    branches = {}
+    for name, make in render.items():
+        contexts = make(hits.filter(F.col("branch") == name)).withColumnRenamed("qid", "_search")
+        wants = planned.filter(F.col("branch") == name).select("qid", name_of.alias("_search"))
+        branches[name] = wants.join(contexts, "_search").select("qid", "context")
+    pictured = planned.filter(F.col("branch") == "photos").join(table, "key", "left").select("qid", "query", "vector")
+    found = hybrid_photo_search(photos, pictured, index, k)
     shown = F.struct("file_name", "persons", "keywords", "file_path")
     pictures = found.join(photos.select(F.col("file_path").alias("path"), shown.alias("p")), "path").select("qid", "rank", "method", "p.*")
     branches["photos"] = C.photo_list(pictures)

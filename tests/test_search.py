@@ -254,3 +254,31 @@ def test_cells_of_another_integer_type(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
     for q in range(60):
         assert [got.get((q, r)) for r in range(1, 6)] == brute(vectors, vectors[q * 5], 5)
+
+
+def test_dispatch_searches_once_for_all_queries_that_ask_the_same(spark, monkeypatch):
+    from quarry.plans import retrieval as RP
+    from workload.catalog import QUERIES
+
+    asked, plain = [], RP.search
+    monkeypatch.setattr(RP, "search", lambda queries, *rest: asked.append(queries.count()) or plain(queries, *rest))
+    assert QUERIES["dispatch"](spark, "/root/testdata/sf0.001").count() > 200
+    assert asked and asked[0] <= 30  # three searches of ten labels
+
+
+def test_answers_of_shared_searches_and_of_a_query_without_a_vector(spark):
+    from quarry import schemas
+    from quarry.plans import retrieval as RP
+
+    vectors, entries = table(spark, 60)
+    index = entries.selectExpr("*", "concat('f', row_id) as file_name", "concat('/f', row_id) as file_path", "1 as chunk_index", "concat('t', row_id) as text")
+    planned = spark.createDataFrame(
+        [(f"q{i}", "local_query", "files", "files", "x", None if i == 9 else i % 3) for i in range(10)],
+        "qid string, tool string, branch string, target string, query string, label int")
+    known = spark.createDataFrame([(0, vectors[0].tolist()), (1, vectors[4].tolist())], "key int, vector array<float>")
+    got = {r.qid: r.context for r in RP.answer(planned, index, spark.createDataFrame([], schemas.PHOTOS), {}, (known, "label"), 5).collect()}
+    assert len(got) == 10
+    for i in range(10):
+        best = [] if i == 9 or i % 3 == 2 else brute(vectors, vectors[(0, 4)[i % 3]], 5, lambda n: n % 2 == 0)
+        lines = "\n".join(f"{r}. **f{n}** - /f{n}" for r, n in enumerate(best, 1))
+        assert got[f"q{i}"] == "\n\n## File Search Results\n" + lines

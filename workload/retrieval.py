@@ -771,7 +771,6 @@ def dispatch(t):
     and pages stand in for the sources."""
     n, labels = F.length("query"), t.embeddings.agg(F.max("label") + 1).first()[0]
     planned = RP.plan_queries(B.asked(t)).withColumns({"label": F.pmod(n, F.lit(labels)), "host": n % 200, "topic": n % 40})
-    planned = planned.join(label_queries(t).withColumnRenamed("qid", "label"), "label")
     topic = F.pmod("page_id", F.lit(40)).alias("qid")
     sites = top_k(t.pages.select(topic, "page_id", "url"), ["qid"], [F.asc("page_id")], 5).select(
         "qid", "rank", F.concat(F.lit("Page "), F.col("page_id").cast("string")).alias("title"),
@@ -779,4 +778,5 @@ def dispatch(t):
     reports = t.events.groupBy(F.col("user_id").alias("key")).agg(F.count("*").alias("n")).select(
         "key", F.concat(F.lit("System of host "), F.col("key").cast("string"), F.lit(": "), F.col("n").cast("string"), F.lit(" samples")).alias("context"))
     told = {"system": (reports, "host"), "web": (C.web_list(sites).withColumnRenamed("qid", "key"), "topic")}
-    return RP.answer(planned, index(t), B.photos(t), told).select("qid", "branch", "success", "context")
+    vectors = (label_queries(t).withColumnRenamed("qid", "key"), "label")
+    return RP.answer(planned, index(t), B.photos(t), told, vectors).select("qid", "branch", "success", "context")
