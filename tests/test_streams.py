@@ -315,3 +315,15 @@ def test_late_changes_whose_times_add_up_to_much(spark):
         watermark = max([watermark or 0, max(batches[b]) - 300_000_000])
     assert max(s or 0 for _, _, s in want.values()) >= 2**63
     assert {r.batch: (r.late, r.on_time, None if r.late_us is None else int(r.late_us)) for r in got} == want
+
+
+def test_records_of_a_reply_are_put_together_before_the_state(spark):
+    import pyarrow as pa
+
+    data = [(2, 1, 3, "token", "d"), (1, 1, 0, "token", "a"), (1, None, 0, "token", "n"), (2, 1, 5, "finish", None), (1, 1, 1, "token", "b"),
+            (1, 1, 0, "token", "again"), (2, 1, 4, "abort", None), (0, 0, 0, "finish", None)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*data), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))],
+                                       ["chat_id", "reply_id", "seq", "kind", "token"])
+    got = [tuple(r.values()) for out in TK._pack([batch, batch.slice(0, 0)]) for r in out.to_pylist()]
+    assert got == [(0, 0, [], [], "finish", 0), (1, 1, [0, 1, 0], ["a", "b", "again"], None, None), (1, None, [0], ["n"], None, None),
+                   (2, 1, [3], ["d"], "abort", 4)]
