@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.session import discard, materialize
+from quarry.session import bounded_batches, discard, materialize
 
 #: Rows of one Arrow batch are worked on in runs of about this many text bytes, which bounds a task's memory.
 RUN_BYTES = 1 << 20
@@ -21,14 +21,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of few bytes for the queries of this package: texts may be long, and a task holds batches several times.
-
-    A setting of the session, which a user of the operators makes; it changes no result.
-    """
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-
-
 def remainder(column: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id has remainder -1."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % n, F.lit(-1)).cast("int")

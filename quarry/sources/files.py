@@ -22,11 +22,11 @@ from quarry import fixed_values as fv
 from quarry.functions import paths as P
 from quarry.functions import templates as M
 from quarry.functions import text as T
-from quarry.session import materialize
+from quarry.session import bounded_batches, materialize
 
 _LISTING = "path string, name string, size bigint, mtime timestamp, is_dir boolean, pending boolean, error_type string"
 #: Entries that a task lists before it hands the folders that are left to the next round, and rows or bytes of one frame.
-WALK, FRAME_ROWS, FRAME_BYTES = 20_000, 4_096, 32 << 20
+WALK, FRAME_ROWS, FRAME_BYTES = 20_000, 4_096, 8 << 20
 
 
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,8 +169,9 @@ class Extractor(NamedTuple):
 def _run_extractors(registry: list[Extractor]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts, errors = [], []
-            for ext, content in zip(batch["extension"], batch["content"]):
+            texts, errors, size = [], [], 0
+            contents, batch = batch["content"], batch.drop(columns=["content"])
+            for ext, content in zip(batch["extension"], contents):
                 text, error = None, None
                 try:
                     plug_in = next(x for x in registry if ext in x.extensions)
@@ -179,7 +180,11 @@ def _run_extractors(registry: list[Extractor]):
                     error = type(problem).__name__
                 texts.append(text)
                 errors.append(error)
-            yield batch.drop(columns=["content"]).assign(text=texts, error_type=errors)
+                size += len(text or "")
+                if len(texts) >= FRAME_ROWS or size >= FRAME_BYTES:
+                    yield batch.iloc[:len(texts)].assign(text=texts, error_type=errors)
+                    batch, texts, errors, size = batch.iloc[len(texts):], [], [], 0
+            yield batch.assign(text=texts, error_type=errors)
 
     return run
 
@@ -197,6 +202,7 @@ def extract_text(files: DataFrame, extractors: Sequence[Extractor] = ()) -> Data
     readable = files
     plain = readable.filter(~is_special).withColumn("text", T.decode_utf8(F.col("content"))).drop("content")
     if special:
+        bounded_batches(files.sparkSession)
         kept = [f for f in readable.schema.fields if f.name not in ("content", "error_type", "text")]
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
         columns = [f.name for f in kept]

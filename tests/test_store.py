@@ -305,3 +305,24 @@ def test_commits_write_checkpoints_by_themselves(spark, tmp_path, monkeypatch):
         store.commit(f"b{i}", paths=spark.createDataFrame([(f"/r/{i}", f"h{i}", *[None] * 7)], schemas.PATHS))
     assert {r.path for r in other.paths().collect()} == {f"/r/{i}" for i in range(7)}
     assert other._versions("log") == [2, 5] and store.commit("b1") == 6
+
+
+def test_extractor_frames_follow_the_bytes_of_their_texts(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(SF, "FRAME_BYTES", 1000)
+    batch = pd.DataFrame({"extension": [".pdf"] * 6 + [".x"], "content": [b"ab"] * 7})
+    run = SF._run_extractors([SF.Extractor(frozenset([".pdf"]), lambda _, content: content.decode() * 250)])
+    frames = list(run(iter([batch])))
+    assert [len(f) for f in frames] == [2, 2, 2, 1]
+    whole = pd.concat(frames)
+    assert list(whole["text"]) == ["ab" * 250] * 6 + [None] and list(whole["error_type"])[-1] == "StopIteration"
+
+
+def test_files_are_written_and_parsed_in_batches_of_few_bytes(spark):
+    from workload.catalog import QUERIES
+
+    for name in ("read_and_fingerprint", "extract_with_plug_in"):
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == 8 << 20

@@ -8,13 +8,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.session import new_folder
+from quarry.session import bounded_batches, new_folder
 from workload import bindings as B
 
 
 def write_tree(rows: DataFrame, folder: str) -> str:
     """Write (path below ``B.HOME``, text, mtime) as files below ``folder``; a null text removes the file. Returns the root."""
     root = folder.removeprefix("file://").removeprefix("file:")
+    bounded_batches(rows.sparkSession)
 
     def write(batches):
         for batch in batches:
