@@ -9,6 +9,7 @@ are all compatible is the sequence that the merges make, so results are exact, i
 from __future__ import annotations
 
 import base64
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,8 @@ from quarry.llm import common
 #: A single space between two characters that no definition calls white space: the pattern always cuts before it.
 _CUT = regex.compile(r"(?<=[^\s\x1c-\x1f\x85]) (?=[^\s\x1c-\x1f\x85])")
 _RARE_SPACE = regex.compile(r"[\s\x1c-\x1f\x85] | [\s\x1c-\x1f\x85]|^ | $")
-#: Entries of a worker's memo tables of words (twice, see ``WordMemo``) and of pairs of tokens.
-MEMO = 150_000
+#: Entries of a worker's memo tables of words (twice, see ``WordMemo``; with fewer, the long tail is encoded again) and of pairs of tokens.
+MEMO = 400_000
 PAIRS = 400_000
 
 
@@ -174,7 +175,7 @@ class Coder:
 
     def word(self, word: str) -> bytes:
         ids = [i for match in self.pattern.findall(word) for i in self.piece(match.encode())]
-        return np.array(ids, np.uint32).tobytes()
+        return struct.pack(f"={len(ids)}I", *ids)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some texts and the offsets of each text's."""

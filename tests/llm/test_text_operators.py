@@ -298,3 +298,13 @@ def test_katz_any_number_of_buckets(spark, monkeypatch, least):
     for (i, _), (n, known, base) in zip(rows, expected):
         assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (n, known, total)
         assert got[i]["base_score"] == pytest.approx(base, abs=1e-6) and got[i]["score"] == pytest.approx(same[i], abs=1e-6)
+
+
+def test_a_worker_remembers_half_a_million_words():
+    from quarry.llm import byte_bpe
+
+    memo, made = byte_bpe.WordMemo(), []
+    runs = [[f"{run}.{i}" for i in range(100_000)] for run in range(5)]
+    for words in [*runs, runs[0]]:
+        memo.results(words, lambda new: made.append(len(new)) or [w.encode() for w in new])
+    assert made == [100_000] * 5
