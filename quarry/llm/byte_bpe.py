@@ -9,7 +9,7 @@ are all compatible is the sequence that the merges make, so results are exact, i
 from __future__ import annotations
 
 import base64
-import struct
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm import common
-
-#: A single space between two characters that no definition calls white space: the pattern always cuts before it.
-_CUT = regex.compile(r"(?<=[^\s\x1c-\x1f\x85]) (?=[^\s\x1c-\x1f\x85])")
-_RARE_SPACE = regex.compile(r"[\s\x1c-\x1f\x85] | [\s\x1c-\x1f\x85]|^ | $")
-#: Entries of a worker's memo tables of words (twice, see ``WordMemo``; with fewer, the long tail is encoded again) and of pairs of tokens.
-MEMO = 400_000
+from quarry.llm import common, spans
+
+#: Bytes that are white space by some definition, and the code points beyond ASCII that are, as two or three bytes.
+_BLANK = spans.byte_class((0x09, 0x0D), (0x1C, 0x20))
+_WIDE_BLANKS = np.array([int.from_bytes(chr(c).encode(), "big") for c in (
+    0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)])
+#: Words that a worker remembers (of at most so many bytes; with fewer, the long tail is encoded again) and pairs of tokens.
+MEMO = 750_000
+WORD_BYTES = 64
+#: Words looked up at once.
+RUN_WORDS = 1 << 17
 PAIRS = 400_000
 
 
@@ -34,58 +38,170 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
-def split_words(text: str) -> list[str]:
-    """The text cut before each single space between solid characters; all parts but the first lack that space."""
-    if "  " in text or _RARE_SPACE.search(text):
-        return _CUT.split(text)
-    return text.split(" ")
+def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of texts start, and the place of each text's first word among them.
+
+    Words are cut before each single space between two characters that no definition calls white space, where the pattern
+    always cuts too; the space belongs to the word behind it.
+    """
+    at = np.flatnonzero(data == 0x20)
+    row = np.searchsorted(offsets, at, "right") - 1
+    at = at[(at > offsets[row]) & (at < offsets[row + 1] - 1)]
+    before, after = data[at - 1], data[at + 1]
+    solid = ~(_BLANK[before] | _BLANK[after])
+    for wide, way in ((before >= 0x80, -1), (after >= 0x80, 1)):
+        i = np.flatnonzero(wide & solid)
+        a, b, c = (data[np.clip(at[i] + way * k, 0, len(data) - 1)].astype(np.int64) for k in (1, 2, 3))
+        two, three = (b << 8 | a, c << 16 | b << 8 | a) if way < 0 else (a << 8 | b, a << 16 | b << 8 | c)
+        solid[i] = ~(np.isin(two, _WIDE_BLANKS) | np.isin(three, _WIDE_BLANKS))
+    starts = np.sort(np.concatenate([offsets[:-1][offsets[1:] > offsets[:-1]], at[solid]]), kind="stable")
+    return starts, np.searchsorted(starts, offsets)
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places from each start on, so many as its size."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def _flat(values: list) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, values), np.int64, len(values))
+    return np.fromiter(chain.from_iterable(values), np.uint32, int(sizes.sum())), sizes
 
 
 class WordMemo:
-    """Remembers what was made of words. When it is full, words that nothing asked for since it last was are forgotten."""
+    """Remembers what was made of words, as arrays: a hash table, the words' bytes and the numbers made of them.
+
+    A word that is found is compared byte by byte. When the memo is full, the half that was asked for in the fewest runs is
+    forgotten. Longer words than ``WORD_BYTES`` are not remembered.
+    """
 
     def __init__(self, limit: int = MEMO):
-        self.now: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-        self.limit = limit
+        self.limit, self.count, self.mask = limit, 0, (1 << (2 * limit).bit_length()) - 1
+        self.slots = np.zeros(self.mask + 1, np.int32)  # entry + 1
+        self.keys = np.empty(limit, np.uint64)
+        self.hits = np.zeros(limit, np.int32)
+        self.words, self.word_ends = np.empty(16 * limit, np.uint8), np.zeros(limit + 1, np.int32)
+        self.values, self.value_ends = np.empty(8 * limit, np.uint32), np.zeros(limit + 1, np.int32)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Entries of the keys, -1 without one."""
+        found = np.full(len(keys), -1, np.int64)
+        left, slot = np.arange(len(keys)), (keys & np.uint64(self.mask)).astype(np.int64)
+        while len(left):
+            entry = self.slots[slot].astype(np.int64) - 1
+            here = (entry >= 0) & (self.keys[entry] == keys[left])
+            found[left[here]] = entry[here]
+            on = (entry >= 0) & ~here
+            left, slot = left[on], (slot[on] + 1) & self.mask
+        return found
+
+    def _file(self, entries: np.ndarray) -> None:
+        """Give slots to entries whose keys have none."""
+        slot = (self.keys[entries] & np.uint64(self.mask)).astype(np.int64)
+        while len(entries):
+            free = self.slots[slot] == 0
+            self.slots[slot[free]] = entries[free] + 1
+            on = self.slots[slot] != entries + 1
+            entries, slot = entries[on], (slot[on] + 1) & self.mask
+
+    def _forget(self) -> None:
+        keep = np.sort(np.argsort(self.hits[:self.count], kind="stable")[self.count - self.count // 2:])
+        self.count = len(keep)
+        for ends, store in ((self.word_ends, self.words), (self.value_ends, self.values)):
+            sizes = np.diff(ends)[keep]
+            kept = store[_ranges(ends[keep].astype(np.int64), sizes)]
+            store[:len(kept)] = kept
+            ends[1:self.count + 1] = np.cumsum(sizes)
+        self.keys[:self.count], self.hits[:self.count] = self.keys[keep], self.hits[keep] >> 1
+        self.slots[:] = 0
+        self._file(np.arange(self.count))
+
+    def _remember(self, keys: np.ndarray, words: list[bytes], values: np.ndarray, sizes: np.ndarray) -> None:
+        """File new words under their keys, of which none is known; what the memo has no room for is left out."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+
+        def room():
+            n, a, b = self.count, self.word_ends[self.count], self.value_ends[self.count]
+            ok = (n + 1 + np.arange(len(words)) <= self.limit) & (a + np.cumsum(lengths) <= len(self.words)) & (b + np.cumsum(sizes) <= len(self.values))
+            return int(np.count_nonzero(ok))
+
+        fit = room()
+        if fit < len(words) and self.count:
+            self._forget()
+            fit = room()
+        a, b = self.count, self.count + fit
+        self.keys[a:b], self.hits[a:b] = keys[:fit], 0
+        for ends, store, flat, n in ((self.word_ends, self.words, np.frombuffer(b"".join(words[:fit]), np.uint8), lengths), (self.value_ends, self.values, values, sizes)):
+            ends[a + 1:b + 1] = ends[a] + np.cumsum(n[:fit])
+            store[ends[a]:ends[b]] = flat[:ends[b] - ends[a]]
+        self.count = b
+        self._file(np.arange(a, b))
+
+    def numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, make) -> tuple[np.ndarray, np.ndarray]:
+        """What ``make(list of words)`` gives for ascending spans, one after the other, and how many numbers each has.
+
+        ``make`` gives a sequence of numbers below 2**32 for each word, and is asked for new words only.
+        """
+        parts = [self._run(data, starts[k:k + RUN_WORDS], ends[k:k + RUN_WORDS], make) for k in range(0, len(starts), RUN_WORDS)]
+        return tuple(np.concatenate(x) for x in zip((np.zeros(0, np.uint32), np.zeros(0, np.int64)), *parts))
+
+    def _run(self, data, starts, ends, make):
+        lengths = ends - starts
+        short = np.flatnonzero(lengths <= WORD_BYTES)
+        keys = np.zeros(len(starts), np.uint64)
+        keys[short] = spans.hashes(data, starts[short], ends[short], spans.CASED)
+        entry = np.full(len(starts), -1, np.int64)
+        entry[short] = self._find(keys[short])
+        new = entry < 0
+        known = np.flatnonzero(~new)
+        at, n = self.word_ends[entry[known]].astype(np.int64), lengths[known]
+        same = self.word_ends[entry[known] + 1] - at == n
+        other = [known[~same]]  # words whose key another word has
+        known, at, n = known[same], at[same], n[same]
+        differs = np.flatnonzero(data[_ranges(starts[known], n)] != self.words[_ranges(at, n)])
+        other = np.concatenate([*other, known[np.searchsorted(np.cumsum(n), differs, "right")]])
+        entry[other] = -1
+        known = np.flatnonzero(entry >= 0)
+        sizes = np.zeros(len(starts), np.int64)
+        at = self.value_ends[entry[known]].astype(np.int64)
+        sizes[known] = self.value_ends[entry[known] + 1] - at
+        self.hits[entry[known]] += 1
+        missing = np.flatnonzero(entry < 0)
+        if not len(missing):
+            return self.values[_ranges(at, sizes)], sizes
+        low = starts[missing[0]]
+        raw, place = data[low:ends[missing[-1]]].tobytes(), {}
+        words = [raw[a:b] for a, b in zip((starts[missing] - low).tolist(), (ends[missing] - low).tolist())]
+        which = np.array([place.setdefault(w, len(place)) for w in words])
+        made, made_sizes = _flat(make([w.decode() for w in place]))
+        made_at = np.cumsum(made_sizes) - made_sizes
+        sizes[missing] = made_sizes[which]
+        out_at = np.cumsum(sizes) - sizes
+        out = np.empty(int(sizes.sum()), np.uint32)
+        out[_ranges(out_at[known], sizes[known])] = self.values[_ranges(at, sizes[known])]
+        out[_ranges(out_at[missing], sizes[missing])] = made[_ranges(made_at[which], sizes[missing])]
+        fresh = missing[new[missing] & (lengths[missing] <= WORD_BYTES)]
+        if len(fresh):
+            fresh = np.sort(fresh[np.unique(keys[fresh], return_index=True)[1]])  # of several words with a key, the first
+            pick = which[np.searchsorted(missing, fresh)]
+            in_order = list(place)
+            self._remember(keys[fresh], [in_order[i] for i in pick], made[_ranges(made_at[pick], made_sizes[pick])], made_sizes[pick])
+        return out, sizes
 
     def results(self, words: list[str], make) -> list[bytes]:
-        """What ``make(list of words)`` gives for each of the words, asked for new words only."""
-        if len(self.now) >= self.limit:
-            self.before, self.now = self.now, {}
-        new = []
-        for word in set(words).difference(self.now):
-            known = self.before.get(word)
-            if known is None:
-                new.append(word)
-            else:
-                self.now[word] = known
-        if new:
-            self.now.update(zip(new, make(new)))
-        return list(map(self.now.__getitem__, words))
-
-
-def words_of(texts: list[str | None]) -> tuple[list[str], list[int], list[str]]:
-    """First words of the texts, how many others each has, and all others, which follow a space."""
-    firsts, counts, others = [], [], []
-    for text in texts:
-        parts = split_words(text) if text else [""]
-        firsts.append(parts[0])
-        counts.append(len(parts) - 1)
-        others += parts[1:]
-    return firsts, counts, others
-
-
-def packed_texts(texts: list[str | None], memo: WordMemo, make) -> list[bytes]:
-    """Ids of each text as packed 32-bit integers; ``make`` encodes a list of strings on their own."""
-    firsts, counts, others = words_of(texts)
-    found = memo.results(others, lambda words: make([" " + w for w in words]))
-    heads = make(firsts)
-    out, at = [], 0
-    for head, n in zip(heads, counts):
-        out.append(head + b"".join(found[at:at + n]))
-        at += n
-    return out
+        """The same for a list of words, where ``make`` gives bytes."""
+        data, offsets = common.text_bytes(pa.array(words, pa.string()))
+        values, sizes = self.numbers(data, offsets[:-1], offsets[1:], make)
+        raw, ends = values.astype(np.uint8).tobytes(), np.cumsum(sizes)
+        return [raw[b - n:b] for b, n in zip(ends.tolist(), sizes.tolist())]
+
+
+def text_ids(data: np.ndarray, offsets: np.ndarray, memo: WordMemo, make) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of some texts and the offsets of each text's; ``make`` encodes a list of strings on their own."""
+    starts, first = split_words(data, offsets)
+    ids, sizes = memo.numbers(data, starts, np.append(starts[1:], len(data)), make)
+    return ids, np.append(0, np.cumsum(sizes))[first]
 
 
 class Coder:
@@ -173,15 +289,12 @@ class Coder:
             left = len(starting[at]) if at < n else 0
         return [match[0] for match in tokens]
 
-    def word(self, word: str) -> bytes:
-        ids = [i for match in self.pattern.findall(word) for i in self.piece(match.encode())]
-        return struct.pack(f"={len(ids)}I", *ids)
+    def word(self, word: str) -> list[int]:
+        return [i for match in self.pattern.findall(word) for i in self.piece(match.encode())]
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some texts and the offsets of each text's."""
-        packed = packed_texts(texts, self.words, lambda words: [self.word(w) for w in words])
-        ends = np.cumsum([0] + [len(x) >> 2 for x in packed])
-        return np.frombuffer(b"".join(packed), np.uint32), ends
+        return text_ids(data, offsets, self.words, lambda words: [self.word(w) for w in words])
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All bytes of some texts' ids and the offsets of each text's."""
@@ -192,15 +305,9 @@ class Coder:
         at = np.repeat(self.starts[ids] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
         return self.all_bytes[at], np.append(0, ends)[offsets]
 
-_CODERS: dict[int, Coder] = {}
-
 
 def _coder(shared) -> Coder:
-    key = shared.id
-    if key not in _CODERS:
-        _CODERS.clear()
-        _CODERS[key] = Coder(*shared.value)
-    return _CODERS[key]
+    return common.held(("byte bpe", shared.id), lambda: Coder(*shared.value))
 
 
 class _Shared:
@@ -215,21 +322,32 @@ class _Shared:
         return self.sent.value
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, column: str = "text", out: str = "ids") -> DataFrame:
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    buffers = [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, buffers).cast(pa.binary())
+
+
+def encode(docs: DataFrame, vocabulary: str, pattern: str, column: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
     """``docs`` with ``out``: the ids of each whole text, as an array of ints.
 
     ``vocabulary`` is the path of a rank file on the driver; each match of ``pattern`` is encoded by itself, without special
     tokens. A null or empty text has no ids. A column named like ``out`` is replaced; ids and rows may repeat or be null.
+    With ``decoded``, a column of that name takes the place of the text: the bytes decoded from the ids by the same worker,
+    while ``decode`` behind this function would have a second worker with each task.
     """
     shared = _Shared(docs.sparkSession, vocabulary, pattern)
 
     def work(part):
-        texts = part.column(part.schema.get_field_index(column)).to_pylist()
-        ids, ends = _coder(shared).encode(texts)
-        return [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))]
+        coder = _coder(shared)
+        ids, ends = coder.encode(*common.text_bytes(part.column(part.schema.get_field_index(column))))
+        columns = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))]
+        return columns + [_binary(*coder.decode(ids.astype(np.int64), ends))] * (decoded is not None)
 
     source = docs.withColumn(column, F.col(f"`{column}`").cast("string"))
-    return common.append(source, column, [T.StructField(out, T.ArrayType(T.IntegerType()))], work)
+    fields = [T.StructField(out, T.ArrayType(T.IntegerType()))]
+    if decoded is None:
+        return common.append(source, column, fields, work)
+    return common.append(source, column, [*fields, T.StructField(decoded, T.BinaryType())], work, using=[column])
 
 
 def decode(encoded: DataFrame, vocabulary: str, pattern: str, column: str = "ids", out: str = "decoded") -> DataFrame:
@@ -246,7 +364,6 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str, column: str = "ids
                 ids = part.column(part.schema.get_field_index(column))
                 sizes = np.append(0, np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
                 data, ends = coder.decode(ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64), sizes)
-                decoded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in names] + [decoded.cast(pa.binary())], names + [out])
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in names] + [_binary(data, ends)], names + [out])
 
     return encoded.select(*[f"`{n}`" for n in names]).mapInArrow(run, T.StructType([*kept, T.StructField(out, T.BinaryType())]))

@@ -15,6 +15,21 @@ from quarry.session import bounded_batches, discard, materialize
 #: Rows of one Arrow batch are worked on in runs of about this many text bytes, which bounds a task's memory.
 RUN_BYTES = 1 << 20
 
+_HELD: dict = {}
+
+
+def held(key, make: Callable):
+    """What ``make()`` gives, kept by a worker for its next tasks; one thing at a time, as it may be large."""
+    if key not in _HELD:
+        release()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release() -> None:
+    """A worker gives up what an operator before kept, so that the memory is there for the one at work."""
+    _HELD.clear()
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     bounded_batches(spark)

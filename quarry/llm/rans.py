@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm import common
-from quarry.llm.byte_bpe import WordMemo, packed_texts
+from quarry.llm.byte_bpe import WordMemo, text_ids
 from quarry.session import materialize
 
 SCALE = 20
@@ -33,8 +33,6 @@ LANES = 1024
 BLOCK = 1 << 18
 #: Ids of a section, which bounds a writer's memory.
 SECTION = 1 << 21
-#: Words that a worker remembers, twice; below a few hundred thousand, most of the time goes to words of the long tail.
-WORDS = 400_000
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 _MASK = np.uint64(0xFFFFFFFF)
@@ -167,21 +165,27 @@ class WordEncoder:
     for which that doesn't hold takes whole texts (``by_word`` false).
     """
 
-    def __init__(self, definition: str, end: int, by_word: bool):
+    def __init__(self, definition: str, by_word: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_word = Tokenizer.from_str(definition), by_word
-        self.end = np.array([end], np.uint32).tobytes()
-        self.memo = WordMemo(WORDS)
+        self.memo = WordMemo()
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for k in range(0, len(texts), 4096)
-                for e in self.tokenizer.encode_batch_fast(texts[k:k + 4096], add_special_tokens=False)]
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for k in range(0, len(texts), 4096) for e in self.tokenizer.encode_batch_fast(texts[k:k + 4096], add_special_tokens=False)]
 
-    def many(self, texts: list[str | None]) -> list[np.ndarray]:
-        packed = packed_texts(texts, self.memo, self._encode) if self.by_word else self._encode([t or "" for t in texts])
-        return [np.frombuffer(x + self.end, np.uint32) for x in packed]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts and the offsets of each text's."""
+        if self.by_word:
+            return text_ids(*common.text_bytes(texts), self.memo, self._encode)
+        ids = [np.array(x, np.uint32) for x in self._encode([t or "" for t in texts.to_pylist()])]
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.cumsum([0, *map(len, ids)])
+
+
+def _encoder(definition: str, by_word: bool) -> WordEncoder:
+    """A worker keeps its encoder, so that the words it remembers serve its next tasks."""
+    return common.held(("token files", hash(definition), by_word), lambda: WordEncoder(definition, by_word))
 
 
 def write_ids(docs: DataFrame, folder: str, tokenizer: str, end: int, by_word: bool = True, column: str = "text", id_column: str = "doc_id") -> None:
@@ -194,13 +198,16 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end: int, by_word: b
         definition = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def code(batches):
-        coder = WordEncoder(definition.value, end, by_word)
+        coder = _encoder(definition.value, by_word)
         section: list[tuple[int | None, np.ndarray, bool]] = []
         size = 0
         for batch in batches:
             for part in common.text_runs(batch, "text"):
-                names, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                for name, ids in zip(names, coder.many(texts)):
+                flat, ends = coder.encode(part.column(1))
+                flat = np.insert(flat, ends[1:], np.uint32(end))
+                ends = (ends + np.arange(len(ends))).tolist()
+                for name, a, b in zip(part.column(0).to_pylist(), ends, ends[1:]):
+                    ids = flat[a:b]
                     while size + len(ids) >= SECTION:
                         cut = SECTION - size
                         section.append((name, ids[:cut], cut == len(ids)))

@@ -20,6 +20,9 @@ def _random_table() -> np.ndarray:
 
 
 _VALUES = _random_table()
+#: Values that tell upper-case letters from lower-case ones.
+CASED = _VALUES.copy()
+CASED[65:91] = np.random.default_rng(20240301).integers(1, 2**63, 26, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -99,8 +102,8 @@ def strip(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     return s, e
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of ascending spans that do not overlap."""
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _VALUES) -> np.ndarray:
+    """64-bit hashes of ascending spans that do not overlap; with ``CASED``, A-Z differ from a-z."""
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
@@ -109,7 +112,7 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
         stop = int(ends[j - 1])
         up, down = _powers(stop - base + 1)
         sums = np.zeros(stop - base + 1, np.uint64)
-        np.cumsum(_VALUES[data[base:stop]] * up[:stop - base], out=sums[1:])
+        np.cumsum(values[data[base:stop]] * up[:stop - base], out=sums[1:])
         s, e = starts[i:j] - base, ends[i:j] - base
         out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
         i = j

@@ -308,3 +308,89 @@ def test_a_worker_remembers_half_a_million_words():
     for words in [*runs, runs[0]]:
         memo.results(words, lambda new: made.append(len(new)) or [w.encode() for w in new])
     assert made == [100_000] * 5
+
+
+def test_a_worker_remembers_words_in_few_bytes():
+    import gc
+    import tracemalloc
+
+    gc.collect()
+    tracemalloc.start()
+    memo = byte_bpe.WordMemo()
+    for run in range(7):
+        memo.results([f" {run}.{i}" for i in range(100_000)], lambda new: [w.encode() for w in new])
+    gc.collect()
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 80e6
+
+
+@pytest.mark.parametrize("clash", [False, True])
+def test_a_full_memo_and_equal_keys_change_nothing(monkeypatch, clash):
+    if clash:
+        monkeypatch.setattr(spans, "hashes", lambda data, starts, ends, *_: np.full(len(starts), 7, np.uint64))
+    memo, rng = byte_bpe.WordMemo(10), np.random.default_rng(3)
+    for _ in range(30):
+        words = ["Aa" * int(n) + str(n) for n in rng.integers(0, 40, 25)] + ["aA", "AA", "", "\u00e9" * 90]
+        assert memo.results(words, lambda new: [w.encode()[::-1] for w in new]) == [w.encode()[::-1] for w in words]
+
+
+def test_words_of_texts_with_odd_blanks():
+    import pyarrow as pa
+    import regex
+
+    cut = regex.compile(r"(?<=[^\s\x1c-\x1f\x85]) (?=[^\s\x1c-\x1f\x85])")
+    rng = np.random.default_rng(4)
+    signs = list("aB.\n\t\x1c\x1f\x00\u00e9\u0085\u00a0\u00c5\u1680\u2009\u2019\u2028\u202f\u205f\u3000\u3042\U0001f600") + [" "] * 8
+    texts = ["".join(rng.choice(signs, n)) for n in rng.integers(0, 30, 4000)] + [None, "", " ", "a b"]
+    data, offsets = common.text_bytes(pa.array(texts))
+    starts, first = byte_bpe.split_words(data, offsets)
+    ends, raw = np.append(starts[1:], len(data)), data.tobytes()
+    got = [[raw[a:b].decode() for a, b in zip(starts[i:j], ends[i:j])] for i, j in zip(first, first[1:])]
+    expected = [cut.split(t) if t else [] for t in texts]
+    assert got == [[w if k == 0 else " " + w for k, w in enumerate(x)] for x in expected]
+
+
+def test_token_files_encode_as_the_library_with_odd_blanks():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    definition = open(public_tokenizers.path("byte_bpe_50k.json")).read()
+    rng = np.random.default_rng(5)
+    signs = [*"ab\n\t.'s\u00e9\u00a0\u3000\u4e2d7", "the", "The", "<|endoftext|>", "x" * 70] + [" "] * 8
+    texts = ["".join(rng.choice(signs, n)) for n in rng.integers(0, 40, 500)] + [None, ""]
+    tokenizer = Tokenizer.from_str(definition)
+    expected = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for by_word in (True, False):
+        for _ in range(2):  # the second time words are remembered
+            ids, ends = rans._encoder(definition, by_word).encode(pa.array(texts))
+            assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == expected
+
+
+def test_a_worker_keeps_its_words_for_the_next_task(monkeypatch):
+    import pyarrow as pa
+
+    definition = open(public_tokenizers.path("byte_bpe_50k.json")).read()
+    rans._encoder(definition, True).encode(pa.array(["one two three"]))
+    monkeypatch.setattr(rans.WordEncoder, "_encode", lambda self, texts: pytest.fail("encoded again"))
+    ids, ends = rans._encoder(definition, True).encode(pa.array(["one two", "one three"]))
+    assert len(ids) and ends.tolist() == [0, 2, 4]
+
+
+def test_byte_bpe_decodes_in_the_worker_that_encodes(spark):
+    rows = data.texts(5) + [(None, "again again"), (None, None)]
+    df = clashing(frame(spark, rows), "ids", "decoded")
+    once = byte_bpe.encode(df, RANKS, PATTERN, decoded="decoded")
+    twice = byte_bpe.decode(byte_bpe.encode(df, RANKS, PATTERN).drop("text"), RANKS, PATTERN)
+    assert once.schema == twice.schema and sorted(once.collect(), key=str) == sorted(twice.collect(), key=str)
+    assert once._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_a_worker_gives_up_what_an_operator_kept():
+    kept = common.held("some operator", lambda: [1])
+    assert common.held("some operator", lambda: [2]) is kept
+    common.held("another operator", list)
+    assert common.held("some operator", lambda: [3]) == [3]
+    common.release()
+    assert common.held("some operator", lambda: [4]) == [4]
+    common.release()
