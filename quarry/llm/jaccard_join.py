@@ -53,6 +53,7 @@ def shingle_sketch(texts: DataFrame, column: str, size: int) -> np.ndarray:
     """How many shingles of all documents fall into each bucket of their hash."""
 
     def count(batches):
+        common.release()
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             for part in common.text_runs(batch, column):

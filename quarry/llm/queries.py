@@ -80,8 +80,7 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_byte_bpe")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = byte_bpe.encode(common.table(spark, folder, "documents").select("doc_id", "text"), vocabulary, pattern)
-    decoded = byte_bpe.decode(encoded.drop("text"), vocabulary, pattern)
+    decoded = byte_bpe.encode(common.table(spark, folder, "documents").select("doc_id", "text"), vocabulary, pattern, decoded="decoded")
     return decoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
