@@ -346,8 +346,8 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, column: str = "text",
     source = docs.withColumn(column, F.col(f"`{column}`").cast("string"))
     fields = [T.StructField(out, T.ArrayType(T.IntegerType()))]
     if decoded is None:
-        return common.append(source, column, fields, work)
-    return common.append(source, column, [*fields, T.StructField(decoded, T.BinaryType())], work, using=[column])
+        return common.append(source, column, fields, work, holds=True)
+    return common.append(source, column, [*fields, T.StructField(decoded, T.BinaryType())], work, using=[column], holds=True)
 
 
 def decode(encoded: DataFrame, vocabulary: str, pattern: str, column: str = "ids", out: str = "decoded") -> DataFrame:

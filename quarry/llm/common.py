@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,6 +18,7 @@ from quarry.session import bounded_batches, discard, materialize
 RUN_BYTES = 1 << 20
 
 _HELD: dict = {}
+_TRIMMED = [0.0]
 
 
 def held(key, make: Callable):
@@ -29,6 +32,22 @@ def held(key, make: Callable):
 def release() -> None:
     """A worker gives up what an operator before kept, so that the memory is there for the one at work."""
     _HELD.clear()
+    trim()
+
+
+def trim(pause: float = 0.0) -> None:
+    """Freed memory goes back to the system, where the C library and Arrow would keep it in each worker, idle ones too.
+
+    Nothing is done within ``pause`` seconds of the last time.
+    """
+    now = time.monotonic()
+    if now - _TRIMMED[0] < pause:
+        return
+    _TRIMMED[0] = now
+    pa.default_memory_pool().release_unused()
+    library = ctypes.CDLL(None)
+    if hasattr(library, "malloc_trim"):  # glibc
+        library.malloc_trim(0)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -71,11 +90,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def append(df: DataFrame, column: str, fields: list[T.StructField], work: Callable, using: list[str] = ()) -> DataFrame:
+def append(df: DataFrame, column: str, fields: list[T.StructField], work: Callable, using: list[str] = (), holds: bool = False) -> DataFrame:
     """``df`` with new columns that ``work(batch)`` derives from runs of rows, as a list of Arrow arrays.
 
     Input columns with the same names are replaced, unless ``using`` names them as inputs, which ``work`` reads and the
-    output leaves out.
+    output leaves out. What workers kept before is released, except for a ``work`` that ``holds`` something itself.
     """
     names = [f.name for f in fields]
     left_out = {n.lower() for n in (*names, *using)}
@@ -85,11 +104,14 @@ def append(df: DataFrame, column: str, fields: list[T.StructField], work: Callab
     source = df.select(*[F.col(f"`{c}`") for c in df.columns if c in own or c in using or c == column])
 
     def run(batches):
+        if not holds:
+            release()
         for batch in batches:
             for part in text_runs(batch, column):
                 if part.num_rows:
                     columns = [part.column(part.schema.get_field_index(c)) for c in own]
                     yield pa.RecordBatch.from_arrays(columns + list(work(part)), own + names)
+        trim()
 
     return source.mapInArrow(run, schema)
 

@@ -71,7 +71,7 @@ def shingle_sketch(texts: DataFrame, column: str, size: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["segment", "counts"])
 
     parts = texts.select(column).mapInArrow(count, "segment int, counts binary")
-    merged = parts.groupBy("segment").applyInArrow(_as_iterator(add), "segment int, counts binary").toArrow()  # 8 MB
+    merged = parts.groupBy("segment").applyInArrow(_grouped(add), "segment int, counts binary").toArrow()  # 8 MB
     out = np.zeros(1 << SKETCH_BITS, np.int64)
     for segment, counts in zip(merged["segment"].to_pylist(), merged["counts"]):
         out[segment * SEGMENT:(segment + 1) * SEGMENT] = np.frombuffer(counts.as_buffer(), np.int64)
@@ -141,6 +141,16 @@ def tree_join(probe: np.ndarray, sets: list[np.ndarray], percent: int) -> list[i
     return found
 
 
+def _grouped(work):
+    """``work`` on the batches of each group; memory freed meanwhile goes back to the system about once a second."""
+
+    def run(key, batches):
+        yield from work(key, batches)
+        common.trim(1.0)
+
+    return _as_iterator(run)
+
+
 def _group_columns(batches):
     table = pa.Table.from_batches(list(batches))
     return [table[c].to_numpy() for c in ("gram", "node", "n", "place", "of")]
@@ -175,6 +185,7 @@ def _of_nodes(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(marks)
 
     def run(batches):
+        common.release()
         for batch in batches:
             ids = batch.column(0).fill_null(0).to_numpy() % MAP_BITS
             yield batch.filter(pa.array((shared.value[ids >> 3] >> (ids & 7)) & 1).cast(pa.bool_()))
@@ -208,7 +219,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, sketc
         hits = sorted({nodes[i] for probe in probes for i in tree_join(probe, sets, percent)})
         yield pa.RecordBatch.from_arrays([pa.array([x] * len(hits), pa.int64()), pa.array(hits, pa.int64())], ["a", "b"])
 
-    return rows.groupBy("x", "block").applyInArrow(_as_iterator(join), "a long, b long")
+    return rows.groupBy("x", "block").applyInArrow(_grouped(join), "a long, b long")
 
 
 def similar_components(docs: DataFrame, size: int = 4, percent: int = 85, column: str = "text", id_column: str = "doc_id") -> DataFrame:
@@ -224,6 +235,7 @@ def similar_components(docs: DataFrame, size: int = 4, percent: int = 85, column
     sketch = spark.sparkContext.broadcast(shingle_sketch(texts, "text", size))
 
     def describe(batches):
+        common.release()
         for batch in batches:
             for part in common.text_runs(batch, "text"):
                 grams, rows = ordered_sets(*common.text_bytes(part.column(1)), size, sketch.value)
@@ -242,6 +254,7 @@ def similar_components(docs: DataFrame, size: int = 4, percent: int = 85, column
     buckets = int(max(spark.sparkContext.defaultParallelism, -(-entries // BUCKET_ENTRIES)))
 
     def deal(batches):
+        common.release()
         for batch in batches:
             heads = batch.column(2)
             if not len(heads):
@@ -275,7 +288,7 @@ def similar_components(docs: DataFrame, size: int = 4, percent: int = 85, column
         yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (grams.view(np.int64), nodes, n, places)], ["gram", "node", "n", "place"])
 
     dealt = classes.select("node", "n", "head").mapInArrow(deal, "bucket int, grams binary, nodes binary, sizes binary, places binary")
-    groups = materialize(dealt.groupBy("bucket").applyInArrow(_as_iterator(shared), "gram long, node long, n long, place long"), "groups")
+    groups = materialize(dealt.groupBy("bucket").applyInArrow(_grouped(shared), "gram long, node long, n long, place long"), "groups")
 
     def leaders(key, batches):
         grams, nodes, n, places, of = _group_columns(batches)
@@ -292,7 +305,7 @@ def similar_components(docs: DataFrame, size: int = 4, percent: int = 85, column
     links, tried = [], []
     known = None
     for _ in range(LEADER_ROUNDS):
-        found = _labelled(groups, known, buckets).groupBy("bucket").applyInArrow(_as_iterator(leaders), "x long, y long, of long, c long")
+        found = _labelled(groups, known, buckets).groupBy("bucket").applyInArrow(_grouped(leaders), "x long, y long, of long, c long")
         found = found.groupBy("x", "y").agg(F.max("of").alias("of"), F.sum("c").alias("c"))
         for before in tried:
             found = found.join(before, ["x", "y"], "left_anti")
@@ -329,7 +342,7 @@ def similar_components(docs: DataFrame, size: int = 4, percent: int = 85, column
         x, y = _distinct(np.concatenate(pairs)).T
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)), pa.array(np.ascontiguousarray(y))], ["x", "y"])
 
-    second = _labelled(groups, known, buckets).groupBy("bucket").applyInArrow(_as_iterator(across), "x long, y long").distinct()
+    second = _labelled(groups, known, buckets).groupBy("bucket").applyInArrow(_grouped(across), "x long, y long").distinct()
     for before in tried:
         second = second.join(before.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
     tried.append(materialize(second, "pairs"))

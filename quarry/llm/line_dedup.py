@@ -64,6 +64,7 @@ def twice_seen(df: DataFrame, column: str = "text", filter_bits: int | None = No
     bits = filter_bits or _filter_bits(df)
 
     def fill(batches):
+        common.release()
         once, twice = np.zeros(bits >> 3, np.uint8), np.zeros(bits >> 3, np.uint8)
         for batch in batches:
             for part in common.text_runs(batch, column):
@@ -123,6 +124,7 @@ def repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, colu
     bits = spark.sparkContext.broadcast(twice_seen(docs, column, filter_bits))
 
     def suspects(batches):
+        common.release()
         seen = bits.value
         for batch in batches:
             for part in common.text_runs(batch, column):

@@ -124,6 +124,7 @@ def _sample(docs: DataFrame, ids: DataFrame, rows: int, column: str) -> np.ndarr
     texts = docs.join(F.broadcast(some), "id", "left_semi").select("text")
 
     def run(batches):
+        common.release()
         for batch in batches:
             for part in common.text_runs(batch, "text"):
                 x = features(*common.text_bytes(part.column(0)))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 
 
 def _random_table() -> np.ndarray:
