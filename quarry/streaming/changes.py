@@ -297,7 +297,8 @@ class DebouncedStream:
     The changes of a root's open batch are carried from one micro-batch to the next as table rows; the plan runs over them
     and the new changes together, so one root's changes are spread over many tasks. A batch is closed and comes out once the
     watermark (newest time seen less ``delay_ms``) has passed its end, or by the wall clock: in a micro-batch that only holds
-    heartbeats, and by :meth:`expire` after a stream that ends. Changes older than the watermark come out at once as batches
+    heartbeats, and by :meth:`expire` for a stream that does not run. After a log that has ended :meth:`close` lets out the
+    rest, for times may lie ahead of the clock. Changes older than the watermark come out at once as batches
     of their own, marked ``late``, and so do changes without a time, in batches without one. Output: root, batch_opened, path, change_type, old_path, ts, seq, n_changes, late.
     """
 
@@ -352,12 +353,19 @@ class DebouncedStream:
 
     def expire(self, spark: SparkSession, now_us: int | None = None) -> None:
         """Let out what is open although its end has passed by the clock; for a stream that does not run."""
+        now = time.time_ns() // 1000 if now_us is None else now_us
+        self._let_out(spark, now - self.delay)
+
+    def close(self, spark: SparkSession) -> None:
+        """Let out all that is open, whatever the clock says; for a log that has ended, to which nothing will be added."""
+        self._let_out(spark, -NEVER)
+
+    def _let_out(self, spark: SparkSession, until: int) -> None:
         state = StreamState(spark, self.checkpoint + "-state")
         last = max(state.steps(), default=None)
         if last is not None:
-            now = time.time_ns() // 1000 if now_us is None else now_us
             opened = debounce(state.table(last, "open", _OPEN), self.width // 1000)
-            self._step(state, (last[0], last[1] + 1), opened, now - self.delay, state.watermark(last), None, {})
+            self._step(state, (last[0], last[1] + 1), opened, until, state.watermark(last), None, {})
 
 
 _OPEN = "root string, path string, change_type string, old_path string, ts timestamp, seq bigint"

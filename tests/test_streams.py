@@ -294,6 +294,22 @@ def test_debounce_stream_with_numbers_out_of_order(spark):
     assert got == sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({ORACLES['debounce_stream']})").fetchall())
 
 
+def test_debounce_stream_with_times_ahead_of_the_clock(spark):
+    """Copies of the log with later times, the last of them years ahead: the newest batch of every path comes out too."""
+    import duckdb
+
+    from workload.catalog import ORACLES, QUERIES
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    later = events.withColumns({"event_id": F.col("event_id") + 1_000_000, "ts": F.expr("ts + INTERVAL 30 YEARS")})
+    folder = _event_folder(spark, events.unionByName(later))
+    columns = ["root", "opened_us", "path", "change_type", "n_changes", "late"]
+    got = sorted(rows(QUERIES["debounce_stream"](spark, folder).select(columns)))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+    assert got == sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({ORACLES['debounce_stream']})").fetchall())
+
+
 def test_late_changes_whose_times_add_up_to_much(spark):
     """The sum of the late times is exact where a bigint does not hold it."""
     from workload.catalog import QUERIES
