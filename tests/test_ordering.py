@@ -1,5 +1,8 @@
+import gzip
 import hashlib
+import json
 import random
+import time
 
 import pytest
 from pyspark.sql import Observation
@@ -110,6 +113,35 @@ def test_polarity_outputs_and_scaled_layers(spark, tmp_path):
     assert D.scaled_sizes(110_000, 0.5) == {1: 15000, 2: 15000, 3: 10000, 4: 10000, 5: 5000}
 
 
+def _shuffled(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ").split()
+    return {b for b in blocks if b.startswith("shuffle_")}
+
+
+def test_dataset_is_written_slice_by_slice(spark, tmp_path, monkeypatch):
+    """Several slices give the whole set in one order, and nothing that they shuffled stays on disk."""
+    from quarry.plans import dataset as D
+
+    monkeypatch.setattr(D, "SLICE_ROWS", 500, raising=False)
+    layers = [None, 1, 2, 2, 3, 3, 3, 3, 3]
+    data = [(i, f"in {i} {j}", "out", f"s{j}", layer) for i in range(300) for j, layer in enumerate(layers)]
+    df = spark.createDataFrame(data, "id int, input string, output string, source string, layer int")
+    before, out = _shuffled(spark), tmp_path / "set"
+    sizes = D.build(df, str(out))
+    end = time.time() + 20
+    while _shuffled(spark) - before and time.time() < end:
+        time.sleep(0.2)
+    assert not _shuffled(spark) - before
+    assert {(r.layer, r.source): r.n for r in sizes.collect()} == {(layer, f"s{j}"): 300 for j, layer in enumerate(layers)}
+    assert (out / "_SUCCESS").exists()
+    for layer in set(layers):
+        files = sorted((out / f"layer={layer or '__HIVE_DEFAULT_PARTITION__'}").glob("*.gz"))
+        got = [json.loads(line)["input"] for f in files for line in gzip.open(f, "rt")]
+        place = lambda r: hashlib.md5(":".join(str(x) for x in (42, r[4], r[3], r[0]) if x is not None).encode()).hexdigest()
+        assert got == [r[1] for r in sorted((r for r in data if r[4] == layer), key=place)]
+    assert D.build(df.limit(0), str(tmp_path / "none")).count() == 0
+
+
 def test_cap_layers_ends_inside_a_bucket(spark):
     """The last row to keep lies in a bucket of the hash that stays in part; ids are bigints."""
     from quarry.plans import dataset as D
