@@ -142,6 +142,25 @@ def test_dataset_is_written_slice_by_slice(spark, tmp_path, monkeypatch):
     assert D.build(df.limit(0), str(tmp_path / "none")).count() == 0
 
 
+def test_phase_plan_keeps_only_its_outputs(spark, tmp_path, monkeypatch):
+    """Polarities are written next to the layers from the rows, the formats of a row together; joined rows and shuffles go."""
+    from workload import dataset as WD
+    from workload.catalog import QUERIES
+
+    monkeypatch.setattr(WD, "new_folder", lambda spark, label: str(tmp_path / label))
+    before = _shuffled(spark)
+    plan = QUERIES["phase_plan"](spark, "/root/testdata/sf0.001")
+    size = {f.name: sum(x.stat().st_size for x in f.rglob("*.gz")) for f in tmp_path.iterdir()}
+    assert set(size) == {"dataset", "polarities"} and 0 < size["polarities"] < 0.6 * size["dataset"]
+    n = {r.part: r.n for r in plan.collect()}
+    assert sum(n.values()) > 0
+    written = spark.read.json(str(tmp_path / "polarities")).groupBy("polarity").count().collect()
+    assert sum(r["count"] for r in written) == spark.read.json(str(tmp_path / "dataset")).count()
+    texts = [b for b in _shuffled(spark) - before if b.endswith(".data")]
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    assert sum(disk.getFile(b).length() for b in texts) < size["polarities"]
+
+
 def test_cap_layers_ends_inside_a_bucket(spark):
     """The last row to keep lies in a bucket of the hash that stays in part; ids are bigints."""
     from quarry.plans import dataset as D
